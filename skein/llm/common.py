@@ -28,8 +28,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def keep_keys(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
-    """Semi or anti join of ``df`` with one-column ``keys``: broadcast when the count is small, else shuffled."""
+def keep_keys(df: DataFrame, keys: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
+    """Semi or anti join of ``df`` with narrow ``keys``: broadcast when the count is small, else shuffled."""
     if keys.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
     return df.join(keys, on, how)

@@ -86,13 +86,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, k: int, perc
     """Those of the distinct pairs (a, b) of nodes that link, by their whole sets."""
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     ids = cut(firsts.join(needed, "node", "left_semi").select("doc_id"))
-    full = _sets(keep_keys(docs, ids, "doc_id"), k, percent, whole=True).dropDuplicates(["node"])
+    full = _sets(keep_keys(docs, ids, "doc_id"), k, percent, whole=True)
     full = cut(full.where("node is not null").select("node", "tokens"))
     b = pairs.join(full.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
     both = b.join(full.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
     shared = F.size(F.array_intersect("ta", "tb"))
     union = F.size("ta") + F.size("tb") - F.col("shared")
-    return both.select("a", "b", "ta", "tb", shared.alias("shared")).where(F.col("shared") * 100 >= union * percent).select("a", "b")
+    return both.select("a", "b", "ta", "tb", shared.alias("shared")).where(F.col("shared") * 100 >= union * percent).select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent: int = 16) -> DataFrame:
@@ -100,45 +100,60 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent:
     slack = lambda n: n - F.ceil(n * percent / 100)
     sets = cut(_sets(docs, k, percent, whole=False))
     firsts = cut(sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    nodes = sets.join(firsts, ["node", "doc_id"], "left_semi").dropDuplicates(["node"])
+    nodes = keep_keys(sets, firsts, ["node", "doc_id"]).select("node", "n", "tokens")
     prefix = nodes.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
+    # n and pos travel as one number.
+    packed = prefix.select("token", "node", (F.shiftleft("n", 32) + F.col("pos")).alias("at"))
+    n, pos = F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos")
 
     by_token = Window.partitionBy("token")
-    ordered = by_token.orderBy("n", "node")
-    shared = prefix.select(
+    ordered = by_token.orderBy(F.shiftright("at", 32), "node")
+    shared = packed.select(
         "*",
         F.count("*").over(by_token).alias("holders"),
-        F.first(F.struct("node", "n")).over(ordered).alias("star"),
-        F.lag(F.struct("node", "n")).over(ordered).alias("last"),
+        F.first("node").over(ordered).alias("star"),
+        F.first(F.shiftright("at", 32)).over(ordered).alias("star_n"),
+        F.lag("node").over(ordered).alias("last"),
+        F.lag(F.shiftright("at", 32)).over(ordered).alias("last_n"),
     )
     shared = cut(shared.where("holders > 1").drop("holders"))
-    tied = shared.select("node", "n", F.explode(F.array("star", "last")).alias("o")).where("o.node <> node")
-    tried = tied.where(_sizes_fit(F.col("n"), F.col("o.n"), percent)).select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"))
-    tried = cut(tried.distinct())
+    # Clusters only save work, so pairs are tried where they met at a third of a prefix or more.
+    ends = F.explode(F.array(F.struct(F.col("star").alias("o"), F.col("star_n").alias("o_n")), F.struct(F.col("last").alias("o"), F.col("last_n").alias("o_n"))))
+    tied = shared.select("token", "node", n, ends.alias("e")).select("token", "node", "n", "e.*").where("o <> node")
+    tied = tied.where(_sizes_fit(F.col("n"), F.col("o_n"), percent)).distinct()
+    tied = tied.groupBy(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).agg(F.count("*").alias("met"), F.min(F.least("n", "o_n")).alias("n"))
+    tried = cut(tied.where(F.col("met") * 3 >= slack(F.col("n")) + 1).select("a", "b"))
     links = cut(_verified(tried, docs, firsts, k, percent))
     clusters = cut(components(links))
 
-    labelled = shared.select("node", "n", "pos", "token").join(clusters, "node", "left")
+    labelled = shared.select("node", "at", "token").join(clusters, "node", "left")
     labelled = labelled.withColumn("label", F.coalesce("label", "node"))
     labelled = labelled.withColumn("rank", F.dense_rank().over(by_token.orderBy("label")))
     labelled = labelled.withColumn("held", F.max("rank").over(by_token)).where("held > 1")
-    many = cut(labelled.select("node", "n", "label", "pos", "token", (F.col("held") > frequent).cast("long").alias("hot")))
+    many = cut(labelled.select("node", n, "label", pos, "token", (F.col("held") > frequent).cast("long").alias("hot")))
 
     def crossing(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Distinct untried pairs of different clusters that share a signature and fit in size."""
+        """Distinct pairs of different clusters that share a signature and fit in size."""
         x, y = left.alias("x"), right.alias("y")
         met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & _sizes_fit(F.col("x.n"), F.col("y.n"), percent))
         return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
-    # Prefixes under the order of rare before frequent tokens.
-    passed = F.sum("hot").over(Window.partitionBy("node").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = many.withColumn("rare_pos", F.col("pos") - passed)
-    rare = placed.where((F.col("hot") == 0) & (F.col("rare_pos") <= slack(F.col("n"))))
-    found = [crossing(rare, rare.where("true"))]
+    # Rare tokens. Tokens of one cluster only are in no pair of different clusters. Of two prefixes, the one that ends
+    # at the smaller hash shows all common tokens up to there: the rare ones met, hot ones at most as many as the
+    # poorer side has, and beyond it at most the tokens that follow. Where that is too little, the pair can't link.
+    spare = F.least(F.col("n"), slack(F.col("n")) + 1 + F.floor((slack(F.col("n")) + 1) / 4) + 16)
+    of_node = many.groupBy("node").agg(F.sum("hot").alias("hots"))
+    tops = nodes.select("node", F.element_at("tokens", -1).alias("top"), (F.col("n") - F.size("tokens")).alias("after"))
+    info = cut(of_node.join(tops, "node"))
+    rare = many.where("hot = 0").select("token", "node", "n", "label").join(info, "node")
+    x, y = rare.alias("x"), rare.where("true").alias("y")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.node") < F.col("y.node")) & _sizes_fit(F.col("x.n"), F.col("y.n"), percent))
+    room = F.least("x.hots", "y.hots") + F.when(F.col("x.top") <= F.col("y.top"), F.col("x.after")).otherwise(F.col("y.after"))
+    met = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), (F.col("x.n") + F.col("y.n")).alias("both"), room.alias("room")).agg(F.count("*").alias("met"))
+    found = [met.where((F.col("met") + F.col("room")) * (100 + percent) >= F.col("both") * percent).select("a", "b")]
 
     hot_tokens = cut(many.where("hot = 1").select("token").distinct())
-    kept = F.least(F.col("n"), slack(F.col("n")) + 1 + F.floor((slack(F.col("n")) + 1) / 4) + 16)
-    short = many.groupBy("node", "n", "label").agg(F.sum("hot").alias("hot")).where(kept - F.col("hot") <= slack(F.col("n")))
+    short = many.groupBy("node", "n", "label").agg(F.sum("hot").alias("hot")).where(spare - F.col("hot") <= slack(F.col("n")))
     short = cut(short.select("node", "label"))
     if short.count():
         ids = cut(firsts.join(short, "node", "left_semi").select("doc_id"))
