@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, cut, keep_keys, mix, shingle_set, small_batches
+from .common import cut, keep_keys, mix, shingle_set, small_batches
 
 
 def slack_of(n: int, percent: int) -> int:
@@ -46,7 +46,7 @@ def _sets(docs: DataFrame, k: int, percent: int, whole: bool) -> DataFrame:
                 sizes.append(n)
                 nodes.append(int(mix(np.array([mix(tokens.view(np.uint64)).sum() + np.uint64(n)], np.uint64)).view(np.int64)[0]) if n else None)
                 need = slack_of(n, percent) + 1
-                kept.append(tokens if whole else tokens[: need + need // 4 + 16])
+                kept.append(tokens if whole else tokens[: need + need // 8 + 8])
             ends = np.cumsum([0, *map(len, kept)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int64), *kept]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists], ["doc_id", "n", "node", "tokens"])
@@ -101,36 +101,32 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent:
     sets = cut(_sets(docs, k, percent, whole=False))
     firsts = cut(sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     nodes = keep_keys(sets, firsts, ["node", "doc_id"]).select("node", "n", "tokens")
-    prefix = nodes.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
-    # n and pos travel as one number.
-    packed = prefix.select("token", "node", (F.shiftleft("n", 32) + F.col("pos")).alias("at"))
-    n, pos = F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos")
-
+    prefix = nodes.select(F.explode("tokens").alias("token"), "node", "n")
     by_token = Window.partitionBy("token")
-    ordered = by_token.orderBy(F.shiftright("at", 32), "node")
-    shared = packed.select(
+    ordered = by_token.orderBy("n", "node")
+    shared = prefix.select(
         "*",
         F.count("*").over(by_token).alias("holders"),
         F.first("node").over(ordered).alias("star"),
-        F.first(F.shiftright("at", 32)).over(ordered).alias("star_n"),
+        F.first("n").over(ordered).alias("star_n"),
         F.lag("node").over(ordered).alias("last"),
-        F.lag(F.shiftright("at", 32)).over(ordered).alias("last_n"),
+        F.lag("n").over(ordered).alias("last_n"),
     )
     shared = cut(shared.where("holders > 1").drop("holders"))
     # Clusters only save work, so pairs are tried where they met at a third of a prefix or more.
     ends = F.explode(F.array(F.struct(F.col("star").alias("o"), F.col("star_n").alias("o_n")), F.struct(F.col("last").alias("o"), F.col("last_n").alias("o_n"))))
-    tied = shared.select("token", "node", n, ends.alias("e")).select("token", "node", "n", "e.*").where("o <> node")
+    tied = shared.select("token", "node", "n", ends.alias("e")).select("token", "node", "n", "e.*").where("o <> node")
     tied = tied.where(_sizes_fit(F.col("n"), F.col("o_n"), percent)).distinct()
     tied = tied.groupBy(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).agg(F.count("*").alias("met"), F.min(F.least("n", "o_n")).alias("n"))
     tried = cut(tied.where(F.col("met") * 3 >= slack(F.col("n")) + 1).select("a", "b"))
     links = cut(_verified(tried, docs, firsts, k, percent))
     clusters = cut(components(links))
 
-    labelled = shared.select("node", "at", "token").join(clusters, "node", "left")
+    labelled = shared.select("node", "n", "token").join(clusters, "node", "left")
     labelled = labelled.withColumn("label", F.coalesce("label", "node"))
     labelled = labelled.withColumn("rank", F.dense_rank().over(by_token.orderBy("label")))
     labelled = labelled.withColumn("held", F.max("rank").over(by_token)).where("held > 1")
-    many = cut(labelled.select("node", n, "label", pos, "token", (F.col("held") > frequent).cast("long").alias("hot")))
+    many = cut(labelled.select("node", "n", "label", "token", (F.col("held") > frequent).cast("long").alias("hot")))
 
     def crossing(left: DataFrame, right: DataFrame) -> DataFrame:
         """Distinct pairs of different clusters that share a signature and fit in size."""
@@ -141,7 +137,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent:
     # Rare tokens. Tokens of one cluster only are in no pair of different clusters. Of two prefixes, the one that ends
     # at the smaller hash shows all common tokens up to there: the rare ones met, hot ones at most as many as the
     # poorer side has, and beyond it at most the tokens that follow. Where that is too little, the pair can't link.
-    spare = F.least(F.col("n"), slack(F.col("n")) + 1 + F.floor((slack(F.col("n")) + 1) / 4) + 16)
+    spare = F.least(F.col("n"), slack(F.col("n")) + 1 + F.floor((slack(F.col("n")) + 1) / 8) + 8)
     of_node = many.groupBy("node").agg(F.sum("hot").alias("hots"))
     tops = nodes.select("node", F.element_at("tokens", -1).alias("top"), (F.col("n") - F.size("tokens")).alias("after"))
     info = cut(of_node.join(tops, "node"))
@@ -164,9 +160,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent:
         whole = cut(whole.select("*", F.row_number().over(of_node).alias("nth"), F.sum(1 - F.col("hot")).over(Window.partitionBy("node")).alias("rares")))
         singles = whole.where((F.col("hot") == 0) & (F.col("nth") <= slack(F.col("n")) + 1)).select("token", "node", "n", "label")
         beyond = singles.join(many.select("node", "token"), ["node", "token"], "left_anti")
-        others = prefix.join(hot_tokens, "token", "left_anti").join(clusters, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
-        few = F.broadcast(beyond) if beyond.count() <= BROADCAST_KEYS // 4 else beyond
-        found += [crossing(others, few), crossing(singles, beyond)]
+        few = cut(beyond.select("token").distinct())
+        others = keep_keys(prefix, few, "token").join(clusters, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
+        found += [crossing(others, beyond), crossing(singles, beyond)]
         pool = whole.where((F.col("hot") == 1) & (F.col("rares") <= slack(F.col("n"))) & (F.col("nth") <= slack(F.col("n")) + 2 - F.col("rares")))
         pool = pool.groupBy("node", "n", "label").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
         pool = pool.select("*", F.posexplode("tokens").alias("i", "t1"))
