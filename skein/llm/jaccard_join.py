@@ -7,7 +7,8 @@ Global token order: rare tokens first, then frequent ones, each by hash. A set o
 ``slack = n - ceil(percent * n / 100)`` of them against a partner, so ``slack + 1`` rare tokens are prefix enough and
 are indexed as single tokens. A set without so many rare tokens extends its prefix into the frequent class, where
 pairs of tokens are indexed: x1 rare tokens and x2 frequent ones make signatures that x1 + (x2 - 1) losses destroy,
-so x2 = slack + 2 - x1. Every signature match is verified on the whole sets.
+so x2 = slack + 2 - x1. Every match of rare tokens is verified on the whole sets, unless the prefixes show already that
+it is too small; sets that meet by frequent tokens are verified block by block (``_family_links``).
 
 A token is frequent when more than ``frequent`` *clusters* hold it in their prefixes. Clusters come first: each
 token's sets are chained in order of size and tied to the smallest one, these pairs are verified, and linked sets
@@ -23,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,6 +97,86 @@ def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, k: int, perc
     return both.select("a", "b", "ta", "tb", shared.alias("shared")).where(F.col("shared") * 100 >= union * percent).select("a", "b").distinct()
 
 
+def _family_links(whole: DataFrame, slack, percent: int, pair_slack: int = 64, block_tokens: int = 150_000) -> DataFrame:
+    """Links among sets that are short of rare tokens, at least enough of them to tie all that are linked.
+
+    whole: node, n, label, token, hot, nth (place in its class), rares. The frequent tokens of a prefix are indexed in
+    pairs up to ``pair_slack``, beyond it singly (so that a prefix of x tokens makes 2000 signatures at most or x);
+    sets within a factor of percent / 100 of that border are indexed both ways. Sets with a common signature, directly
+    or over others, are a family. A family is compared block by block, blocks in order of size and only those whose
+    sizes fit, by products of incidence matrices, and of the links of a block pair only a spanning forest is returned.
+    """
+    limit, low = F.lit(pair_slack), int(pair_slack * percent / 100)
+    scarce = whole.where((F.col("hot") == 1) & (F.col("rares") <= slack(F.col("n"))))
+    scarce = cut(scarce.withColumns({"slack": slack(F.col("n")), "lost": slack(F.col("n")) - F.col("rares")}))
+    pool = scarce.where((F.col("slack") <= limit) & (F.col("nth") <= F.col("lost") + 2))
+    pool = pool.groupBy("node", "label").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    pool = pool.select("node", "label", "tokens", F.posexplode("tokens").alias("i", "t1"))
+    pool = pool.select("node", "label", F.explode(F.expr("slice(tokens, i + 2, size(tokens))")).alias("t2"), "t1")
+    signs = pool.select("node", "label", F.xxhash64("t1", "t2").alias("sign"))
+    single = scarce.where((F.col("slack") > low) & (F.col("nth") <= F.col("lost") + 1))
+    signs = signs.union(single.select("node", "label", F.xxhash64("token").alias("sign")))
+    of_sign = Window.partitionBy("sign")
+    signs = signs.select("node", F.min("node").over(of_sign).alias("star"), F.min("label").over(of_sign).alias("l1"), F.max("label").over(of_sign).alias("l2"))
+    families = cut(components(signs.where("l1 < l2 and star <> node").select(F.col("star").alias("a"), F.col("node").alias("b")).distinct()))
+    rows = whole.join(families.select("node", F.col("label").alias("family")), "node")
+    rows = rows.groupBy("family", "node", "n", "label").agg(F.collect_list("token").alias("tokens"))
+    in_order = Window.partitionBy("family").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, -1)
+    cost = F.greatest(F.col("n"), F.lit(block_tokens // 1000))
+    places = cut(rows.select("family", "node", "n", F.floor(F.coalesce(F.sum(cost).over(in_order), F.lit(0)) / block_tokens).alias("block")))
+    spans = cut(places.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")))
+    i, j = spans.alias("i"), spans.alias("j")
+    facing = i.join(j, (F.col("i.family") == F.col("j.family")) & (F.col("i.block") <= F.col("j.block")) & (F.col("i.high") * 100 >= F.col("j.low") * percent))
+    facing = cut(facing.select("i.family", F.col("i.block").alias("i"), F.col("j.block").alias("j")))
+    rows = cut(rows.join(places.select("node", "block"), "node"))
+
+    def side(which: str, prefix: str) -> DataFrame:
+        out = rows.join(facing.withColumnRenamed(which, "block"), ["family", "block"]).withColumnRenamed("block", which)
+        return out.select(*[F.col(c).alias(prefix + c) for c in ("family", "i", "j", "node", "n", "label", "tokens")])
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left.columns = right.columns = ["family", "i", "j", "node", "n", "label", "tokens"]
+        return pd.DataFrame(forest(left, right, percent), columns=["a", "b"])
+
+    keys = lambda p: [p + "family", p + "i", p + "j"]
+    return side("i", "x_").groupBy(*keys("x_")).cogroup(side("j", "y_").groupBy(*keys("y_"))).applyInPandas(compare, "a long, b long")
+
+
+def forest(left: pd.DataFrame, right: pd.DataFrame, percent: int, columns: int = 4096) -> list[tuple[int, int]]:
+    """Pairs of nodes that link and join labels not joined by those before."""
+    tokens = [np.concatenate(list(side.tokens)) for side in (left, right)]
+    owner = [np.repeat(np.arange(len(side)), [len(t) for t in side.tokens]) for side in (left, right)]
+    common = np.intersect1d(*tokens)
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(common), columns):
+        part = common[at : at + columns]
+        sides = []
+        for ts, own, side in zip(tokens, owner, (left, right)):
+            place = np.minimum(np.searchsorted(part, ts), len(part) - 1)
+            hit = part[place] == ts
+            grid = np.zeros((len(side), len(part)), np.float32)
+            grid[own[hit], place[hit]] = 1
+            sides.append(grid)
+        shared += sides[0] @ sides[1].T
+    n, m = left.n.to_numpy(), right.n.to_numpy()
+    linked = np.rint(shared).astype(np.int64) * (100 + percent) >= (n[:, None] + m[None, :]) * percent
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while top.setdefault(x, x) != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    out = []
+    for x, y in np.argwhere(linked):
+        a, b = find(int(left.label.iat[x])), find(int(right.label.iat[y]))
+        if a != b:
+            top[max(a, b)] = min(a, b)
+            out.append((int(left.node.iat[x]), int(right.node.iat[y])))
+    return out
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) for each row of (doc_id, text)."""
     slack = lambda n: n - F.ceil(n * percent / 100)
@@ -113,12 +195,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent:
         F.lag("n").over(ordered).alias("last_n"),
     )
     shared = cut(shared.where("holders > 1").drop("holders"))
-    # Clusters only save work, so pairs are tried where they met at a third of a prefix or more.
+    # Clusters only save work, so pairs are tried only where they met at most tokens of a prefix.
     ends = F.explode(F.array(F.struct(F.col("star").alias("o"), F.col("star_n").alias("o_n")), F.struct(F.col("last").alias("o"), F.col("last_n").alias("o_n"))))
     tied = shared.select("token", "node", "n", ends.alias("e")).select("token", "node", "n", "e.*").where("o <> node")
     tied = tied.where(_sizes_fit(F.col("n"), F.col("o_n"), percent)).distinct()
     tied = tied.groupBy(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).agg(F.count("*").alias("met"), F.min(F.least("n", "o_n")).alias("n"))
-    tried = cut(tied.where(F.col("met") * 3 >= slack(F.col("n")) + 1).select("a", "b"))
+    tried = cut(tied.where(F.col("met") * 10 >= (slack(F.col("n")) + 1) * 6).select("a", "b"))
     links = cut(_verified(tried, docs, firsts, k, percent))
     clusters = cut(components(links))
 
@@ -148,32 +230,39 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent:
     met = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), (F.col("x.n") + F.col("y.n")).alias("both"), room.alias("room")).agg(F.count("*").alias("met"))
     found = [met.where((F.col("met") + F.col("room")) * (100 + percent) >= F.col("both") * percent).select("a", "b")]
 
-    hot_tokens = cut(many.where("hot = 1").select("token").distinct())
-    short = many.groupBy("node", "n", "label").agg(F.sum("hot").alias("hot")).where(spare - F.col("hot") <= slack(F.col("n")))
-    short = cut(short.select("node", "label"))
-    if short.count():
+    # Sets with too few rare tokens in what was kept of their prefixes are taken whole. Tokens that many clusters of
+    # these hold are frequent too, which may leave more sets short; the frequent class only grows, so this ends.
+    hot_tokens, whole = cut(many.where("hot = 1").select("token").distinct()), None
+    while hot_tokens.count():
+        hits = keep_keys(prefix, hot_tokens, "token").groupBy("node", "n").agg(F.count("*").alias("hot"))
+        short = cut(hits.where(spare - F.col("hot") <= slack(F.col("n"))).select("node"))
         ids = cut(firsts.join(short, "node", "left_semi").select("doc_id"))
         full = _sets(keep_keys(docs, ids, "doc_id"), k, percent, whole=True).dropDuplicates(["node"])
-        whole = full.join(short, "node").select("node", "n", "label", F.posexplode("tokens").alias("pos", "token"))
+        whole = full.join(short, "node").join(clusters, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), F.posexplode("tokens").alias("pos", "token"))
+        whole = cut(whole)
+        cold = whole.select("token", "label").distinct().groupBy("token").count().where(F.col("count") > frequent)
+        more = cut(cold.join(hot_tokens, "token", "left_anti").select("token"))
+        if not more.count():
+            break
+        hot_tokens = cut(hot_tokens.union(more))
+    late_links = None
+    if whole is not None:
         whole = whole.join(hot_tokens.withColumn("hot", F.lit(1)), "token", "left").fillna({"hot": 0})
-        of_node = Window.partitionBy("node", "hot").orderBy("pos")
-        whole = cut(whole.select("*", F.row_number().over(of_node).alias("nth"), F.sum(1 - F.col("hot")).over(Window.partitionBy("node")).alias("rares")))
+        in_class = Window.partitionBy("node", "hot").orderBy("pos")
+        whole = cut(whole.select("*", F.row_number().over(in_class).alias("nth"), F.sum(1 - F.col("hot")).over(Window.partitionBy("node")).alias("rares")))
         singles = whole.where((F.col("hot") == 0) & (F.col("nth") <= slack(F.col("n")) + 1)).select("token", "node", "n", "label")
         beyond = singles.join(many.select("node", "token"), ["node", "token"], "left_anti")
         few = cut(beyond.select("token").distinct())
         others = keep_keys(prefix, few, "token").join(clusters, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
         found += [crossing(others, beyond), crossing(singles, beyond)]
-        pool = whole.where((F.col("hot") == 1) & (F.col("rares") <= slack(F.col("n"))) & (F.col("nth") <= slack(F.col("n")) + 2 - F.col("rares")))
-        pool = pool.groupBy("node", "n", "label").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
-        pool = pool.select("*", F.posexplode("tokens").alias("i", "t1"))
-        pool = pool.select("node", "n", "label", F.explode(F.expr("slice(tokens, i + 2, size(tokens))")).alias("t2"), "t1")
-        pairs = pool.select("node", "n", "label", F.xxhash64("t1", "t2").alias("token"))
-        found.append(crossing(pairs, pairs.where("true")))
+        late_links = _family_links(whole, slack, percent)
     fresh = found[0]
     for more in found[1:]:
         fresh = fresh.union(more)
     fresh = cut(fresh.distinct().join(tried, ["a", "b"], "left_anti"))
     late = _verified(fresh, docs, firsts, k, percent)
+    if late_links is not None:
+        late = late.union(late_links)
     label_of = clusters.select(F.col("node").alias("key"), "label")
     for end in ("a", "b"):
         late = late.join(label_of, late[end] == label_of["key"], "left").withColumn(end, F.coalesce("label", end)).drop("key", "label")
