@@ -100,27 +100,26 @@ def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, k: int, perc
 def _family_links(whole: DataFrame, slack, percent: int, pair_slack: int = 64, block_tokens: int = 150_000) -> DataFrame:
     """Links among sets that are short of rare tokens, at least enough of them to tie all that are linked.
 
-    whole: node, n, label, token, hot, nth (place in its class), rares. The frequent tokens of a prefix are indexed in
+    whole: node, n, label, rare and hot (its tokens of either class in order). The frequent tokens of a prefix are indexed in
     pairs up to ``pair_slack``, beyond it singly (so that a prefix of x tokens makes 2000 signatures at most or x);
     sets within a factor of percent / 100 of that border are indexed both ways. Sets with a common signature, directly
     or over others, are a family. A family is compared block by block, blocks in order of size and only those whose
     sizes fit, by products of incidence matrices, and of the links of a block pair only a spanning forest is returned.
     """
     limit, low = F.lit(pair_slack), int(pair_slack * percent / 100)
-    scarce = whole.where((F.col("hot") == 1) & (F.col("rares") <= slack(F.col("n"))))
-    scarce = cut(scarce.withColumns({"slack": slack(F.col("n")), "lost": slack(F.col("n")) - F.col("rares")}))
-    pool = scarce.where((F.col("slack") <= limit) & (F.col("nth") <= F.col("lost") + 2))
-    pool = pool.groupBy("node", "label").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    scarce = whole.select("node", "label", "hot", slack(F.col("n")).cast("int").alias("slack"), F.size("rare").alias("rares")).where("rares <= slack")
+    scarce = scarce.withColumn("lost", F.col("slack") - F.col("rares"))
+    pool = scarce.where(F.col("slack") <= limit).select("node", "label", F.slice("hot", F.lit(1), F.col("lost") + 2).alias("tokens"))
     pool = pool.select("node", "label", "tokens", F.posexplode("tokens").alias("i", "t1"))
     pool = pool.select("node", "label", F.explode(F.expr("slice(tokens, i + 2, size(tokens))")).alias("t2"), "t1")
     signs = pool.select("node", "label", F.xxhash64("t1", "t2").alias("sign"))
-    single = scarce.where((F.col("slack") > low) & (F.col("nth") <= F.col("lost") + 1))
+    single = scarce.where(F.col("slack") > low).select("node", "label", F.explode(F.slice("hot", F.lit(1), F.col("lost") + 1)).alias("token"))
     signs = signs.union(single.select("node", "label", F.xxhash64("token").alias("sign")))
     of_sign = Window.partitionBy("sign")
     signs = signs.select("node", F.min("node").over(of_sign).alias("star"), F.min("label").over(of_sign).alias("l1"), F.max("label").over(of_sign).alias("l2"))
     families = cut(components(signs.where("l1 < l2 and star <> node").select(F.col("star").alias("a"), F.col("node").alias("b")).distinct()))
     rows = whole.join(families.select("node", F.col("label").alias("family")), "node")
-    rows = rows.groupBy("family", "node", "n", "label").agg(F.collect_list("token").alias("tokens"))
+    rows = rows.select("family", "node", "n", "label", F.concat("rare", "hot").alias("tokens"))
     in_order = Window.partitionBy("family").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, -1)
     cost = F.greatest(F.col("n"), F.lit(block_tokens // 1000))
     places = cut(rows.select("family", "node", "n", F.floor(F.coalesce(F.sum(cost).over(in_order), F.lit(0)) / block_tokens).alias("block")))
@@ -238,19 +237,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent:
         short = cut(hits.where(spare - F.col("hot") <= slack(F.col("n"))).select("node"))
         ids = cut(firsts.join(short, "node", "left_semi").select("doc_id"))
         full = _sets(keep_keys(docs, ids, "doc_id"), k, percent, whole=True).dropDuplicates(["node"])
-        whole = full.join(short, "node").join(clusters, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), F.posexplode("tokens").alias("pos", "token"))
-        whole = cut(whole)
-        cold = whole.select("token", "label").distinct().groupBy("token").count().where(F.col("count") > frequent)
+        whole = cut(full.join(short, "node").join(clusters, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), "tokens"))
+        cold = whole.select(F.explode("tokens").alias("token"), "label").distinct().groupBy("token").count().where(F.col("count") > frequent)
         more = cut(cold.join(hot_tokens, "token", "left_anti").select("token"))
         if not more.count():
             break
         hot_tokens = cut(hot_tokens.union(more))
     late_links = None
     if whole is not None:
-        whole = whole.join(hot_tokens.withColumn("hot", F.lit(1)), "token", "left").fillna({"hot": 0})
-        in_class = Window.partitionBy("node", "hot").orderBy("pos")
-        whole = cut(whole.select("*", F.row_number().over(in_class).alias("nth"), F.sum(1 - F.col("hot")).over(Window.partitionBy("node")).alias("rares")))
-        singles = whole.where((F.col("hot") == 0) & (F.col("nth") <= slack(F.col("n")) + 1)).select("token", "node", "n", "label")
+        flagged = whole.select("node", F.explode("tokens").alias("token")).join(hot_tokens, "token", "left_semi")
+        flagged = flagged.groupBy("node").agg(F.array_sort(F.collect_list("token")).alias("hot"))
+        whole = whole.join(flagged, "node").withColumn("rare", F.array_except("tokens", "hot"))
+        whole = cut(whole.select("node", "n", "label", "rare", "hot"))
+        singles = whole.select(F.explode(F.slice("rare", F.lit(1), (slack(F.col("n")) + 1).cast("int"))).alias("token"), "node", "n", "label")
         beyond = singles.join(many.select("node", "token"), ["node", "token"], "left_anti")
         few = cut(beyond.select("token").distinct())
         others = keep_keys(prefix, few, "token").join(clusters, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
