@@ -32,6 +32,10 @@ from pyspark.sql import functions as F
 from .common import cut, keep_keys, mix, shingle_set, small_batches
 
 
+#: Rows of edges in one partition.
+ROWS = 200_000
+
+
 def slack_of(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100
 
@@ -64,24 +68,24 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
 def components(links: DataFrame) -> DataFrame:
     """node, label (smallest node of its component) for each node of ``links`` (a, b), by alternating stars.
 
-    Each round ties every neighbour to the smallest one; edges never grow in number, and rounds grow with the
-    logarithm of the number of nodes.
+    Each round ties every greater neighbour to the smallest one, then every smaller; a row gives one row, so edges
+    never grow in number, and rounds grow with the logarithm of the number of nodes. Edges are few against documents,
+    so they are kept in partitions of ``ROWS`` rows, not in one for each shuffle partition.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
+    parts = max(16, edges.count() // ROWS)
+    edges = edges.coalesce(parts)
+    least, before = F.min("v").over(Window.partitionBy("u")), None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = cut(small.where("u <> v").distinct())
+        large = both.withColumn("m", F.least(least, F.col("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.where("u <> v").withColumn("m", least).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        edges = cut(small.coalesce(parts))
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select("v", "v").distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select("v", "v")).distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -97,11 +101,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, k: int, perc
     return both.select("a", "b", "ta", "tb", shared.alias("shared")).where(F.col("shared") * 100 >= union * percent).select("a", "b").distinct()
 
 
-def _family_links(whole: DataFrame, slack, percent: int, pair_slack: int = 64, block_tokens: int = 150_000) -> DataFrame:
+def _family_links(whole: DataFrame, slack, percent: int, pair_slack: int = 24, block_tokens: int = 150_000) -> DataFrame:
     """Links among sets that are short of rare tokens, at least enough of them to tie all that are linked.
 
     whole: node, n, label, rare and hot (its tokens of either class in order). The frequent tokens of a prefix are indexed in
-    pairs up to ``pair_slack``, beyond it singly (so that a prefix of x tokens makes 2000 signatures at most or x);
+    pairs up to ``pair_slack``, beyond it singly (so that a prefix of x tokens makes 325 signatures at most or x);
     sets within a factor of percent / 100 of that border are indexed both ways. Sets with a common signature, directly
     or over others, are a family. A family is compared block by block, blocks in order of size and only those whose
     sizes fit, by products of incidence matrices, and of the links of a block pair only a spanning forest is returned.
