@@ -143,15 +143,21 @@ class Hashed:
 
 
 class Shard:
-    def __init__(self, rows: pd.DataFrame, number: int, shards: int):
-        self.number, self.shards = number, shards
-        keys = rows.key.to_numpy().view(np.uint64)
-        part, value = rows.part.to_numpy(), rows.value.to_numpy(np.float32)
-        self.parts = {int(p): Hashed(keys[part == p], value[part == p]) for p in np.unique(part) if p}
-        self.unseen = float(value[part == 0][0])
+    """A part of the model as plain arrays; the tables to read it by are built where it is used."""
+
+    def __init__(self, part: np.ndarray, keys: np.ndarray, values: np.ndarray, number: int, shards: int):
+        self.part, self.keys, self.values, self.number, self.shards = part, keys, values, number, shards
+        self.unseen = float(values[part == 0][0])
+        self.parts: dict[int, Hashed] = {}
+
+    def build(self) -> None:
+        for p in np.unique(self.part[self.part > 0]):
+            self.parts[int(p)] = Hashed(self.keys[self.part == p], self.values[self.part == p])
 
     def log_likelihoods(self, texts: list[str]) -> np.ndarray:
         """Of each padded text, over the places that belong to this shard."""
+        if not self.parts:
+            self.build()
         codes = codes_of("".join(texts))
         sizes = np.array([len(t) for t in texts], np.int64)
         if not len(codes):
@@ -200,7 +206,9 @@ def shards_of(model: DataFrame, shard_entries: int) -> Iterator[Shard]:
     while shards > 1 and rows.where("not short").groupBy(spread(shards)).count().agg(F.max("count")).first()[0] > 2 * shard_entries and shards < total:
         shards *= 2
     for number in range(shards):
-        yield Shard(rows.where(F.col("short") | (spread(shards) == number)).select("part", "key", "value").toPandas(), number, shards)
+        mine = rows.where(F.col("short") | (spread(shards) == number)).select(F.col("part").cast("byte"), "key", F.col("value").cast("float")).toArrow()
+        part, keys, values = (mine.column(i).to_numpy() for i in range(3))
+        yield Shard(part, keys.view(np.uint64), values, number, shards)
 
 
 def _rows_hash(codes: np.ndarray) -> np.ndarray:
@@ -210,7 +218,7 @@ def _rows_hash(codes: np.ndarray) -> np.ndarray:
     return mix(acc)
 
 
-def perplexity(docs: DataFrame, model: DataFrame | None, shard_entries: int = 1_500_000) -> DataFrame:
+def perplexity(docs: DataFrame, model: DataFrame | None, shard_entries: int = 1_000_000) -> DataFrame:
     """docs (doc_id, text, ...) with text replaced by log_likelihood and n_scored (characters)."""
     spark = docs.sparkSession
     sent = [spark.sparkContext.broadcast(s) for s in shards_of(model, shard_entries)] if model is not None else []
