@@ -140,7 +140,8 @@ def matches(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
         def run(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 rows = [(doc, *hit) for doc, text in zip(frame.doc_id, frame.text) if isinstance(text, str) for hit in sent.value.find(normal(text))]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end", "edits"]).astype({"doc_id": "Int64"})
+                if rows:
+                    yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end", "edits"]).astype({"doc_id": "Int64"})
 
         out = out.union(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema))
     return out

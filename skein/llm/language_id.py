@@ -135,7 +135,8 @@ def train(docs: DataFrame, usable: Column, per_class: int = 600, buckets: int =
                 if len(hits):
                     keys, n = np.unique(hits, return_counts=True)
                     out.append((doc, lang, keys.astype(np.int32), (n / len(hits)).astype(np.float32)))
-            yield pd.DataFrame(out, columns=["doc_id", "lang", "keys", "shares"])
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "lang", "keys", "shares"])
 
     small_batches(docs.sparkSession)
     chosen = rows.join(F.broadcast(counts), "lang").where(chance).select("doc_id", "lang", "text")

@@ -70,7 +70,8 @@ def count_grams(docs: DataFrame) -> DataFrame:
             if len(counts) > 1_000_000:
                 yield pd.DataFrame({"gram": list(counts), "n": list(counts.values())})
                 counts = {}
-        yield pd.DataFrame({"gram": list(counts), "n": list(counts.values())})
+        if counts:
+            yield pd.DataFrame({"gram": list(counts), "n": list(counts.values())})
 
     small_batches(docs.sparkSession)
     return docs.select("text").mapInPandas(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
