@@ -58,11 +58,30 @@ def _strings(values) -> Column:
 
 def document_frequency(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """Number of rows that hold each word of the vocabulary, which has a fixed size."""
-    held = F.array_intersect(words(ascii_lower(F.col("text"))), _strings(vocabulary))
+    # lower() serves here: the counts only order words, and any one order gives the same matches.
+    held = F.array_intersect(words(F.lower("text")), _strings(vocabulary))
     counts = docs.select(F.explode(held).alias("word")).groupBy("word").count()
     return dict.fromkeys(vocabulary, 0) | {r["word"]: r["count"] for r in counts.collect()}
 
 
+def _holds_any(low: Column, parts: list[str]) -> Column:
+    out = F.lit(False)
+    for part in parts:
+        out = out | low.contains(part)
+    return out
+
+
+def _may_hold(low: Column, phrases) -> Column:
+    """Whether all words of some phrase are somewhere in the lower-cased text."""
+    out = F.lit(False)
+    for phrase in phrases:
+        whole = F.lit(True)
+        for part in phrase.split():
+            whole = whole & low.contains(part)
+        out = out | whole
+    return out
+
+
 def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containment: float = 0.8) -> DataFrame:
     """doc_id, text_hash, block (line from 0), label, share for each block and template that meet."""
     sets = [(label, sorted(set(text.split()))) for label, text in templates]
@@ -77,10 +96,10 @@ def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLAT
     spark = docs.sparkSession
     names = ("word", "template", "i", "of", "need")
     index_rows = spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in index])))
-    heads = "|".join(sorted({r[0] for r in index}))
-    near = docs.where(F.col("text").rlike(f"(?i)({heads})"))
+    heads = sorted({r[0] for r in index})
+    near = docs.where(_holds_any(F.lower("text"), heads))
     blocks = near.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("block", "line"))
-    blocks = blocks.where(F.col("line").rlike(f"(?i)({heads})"))
+    blocks = blocks.where(_holds_any(F.lower("line"), heads))
     rank = F.create_map(*[F.lit(x) for w, i in order.items() for x in (w, i)])
     held = F.array_intersect(words(ascii_lower(F.col("line"))), _strings(vocabulary))
     placed = F.array_sort(F.transform(held, lambda w: F.struct(F.element_at(rank, w).alias("rank"), w.alias("word"))))
@@ -113,9 +132,10 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of (doc_id, text)."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
-    maybe = "|".join(_GAP.join(p.split()) for p in PHRASES)
+    gapped = "|".join(_GAP.join(p.split()) for p in PHRASES)
+    maybe = _may_hold(F.lower("text"), PHRASES) & F.col("text").rlike(f"(?i)({gapped})")
     base = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words(F.col("text"))).cast("long").alias("n_words"),
-                       F.when(F.col("text").rlike(f"(?i)({maybe})"), words(ascii_lower(F.col("text")))).otherwise(F.array().cast("array<string>")).alias("w"))
+                       F.when(maybe, words(ascii_lower(F.col("text")))).otherwise(F.array().cast("array<string>")).alias("w"))
     for k, phrase in enumerate(PHRASES):
         places = F.filter(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0))), _stands(phrase.split()))
         base = base.withColumn(f"p{k}", F.when(F.size("w") > 0, places).otherwise(F.array().cast("array<int>")))
