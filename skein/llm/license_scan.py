@@ -65,21 +65,14 @@ def document_frequency(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]
 
 
 def _holds_any(low: Column, parts: list[str]) -> Column:
-    out = F.lit(False)
-    for part in parts:
-        out = out | low.contains(part)
-    return out
+    """Whether the text holds one of the parts; the lambda's variable keeps it from being lower-cased for each."""
+    return F.exists(F.array(low), lambda text: F.exists(_strings(parts), lambda part: F.contains(text, part)))
 
 
 def _may_hold(low: Column, phrases) -> Column:
     """Whether all words of some phrase are somewhere in the lower-cased text."""
-    out = F.lit(False)
-    for phrase in phrases:
-        whole = F.lit(True)
-        for part in phrase.split():
-            whole = whole & low.contains(part)
-        out = out | whole
-    return out
+    wanted = F.array(*[_strings(p.split()) for p in phrases])
+    return F.exists(F.array(low), lambda text: F.exists(wanted, lambda parts: F.forall(parts, lambda part: F.contains(text, part))))
 
 
 def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containment: float = 0.8) -> DataFrame:
