@@ -40,16 +40,27 @@ TEMPLATES = [
     ("cc-by-4", "licensed under a creative commons attribution 4 0 international license"),
     ("reserved", "copyright all rights reserved"),
 ]
-_WORD = r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"
-_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: One or more characters outside words, each listed: a list of characters is looked up in a bit set, ranges are tried in turn.
+_GAP = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
 
 
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
+def pieces(text: Column) -> Column:
+    """The words in order, with an empty string before or after them where the text starts or ends outside a word."""
+    return F.split(text, _GAP, -1)
+
+
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(_WORD), F.lit(1))
+    return F.array_remove(pieces(text), "")
+
+
+def word_count(text: Column) -> Column:
+    """Number of words; the lambda's variable keeps the text from being split again for each use."""
+    count = lambda a: F.size(a) - (a[0] == "").cast("int") - ((F.size(a) > 1) & (F.element_at(a, -1) == "")).cast("int")
+    return F.transform(F.array(pieces(text)), count)[0]
 
 
 def _strings(values) -> Column:
@@ -59,7 +70,7 @@ def _strings(values) -> Column:
 def document_frequency(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """Number of rows that hold each word of the vocabulary, which has a fixed size."""
     # lower() serves here: the counts only order words, and any one order gives the same matches.
-    held = F.array_intersect(words(F.lower("text")), _strings(vocabulary))
+    held = F.array_intersect(pieces(F.lower("text")), _strings(vocabulary))
     counts = docs.select(F.explode(held).alias("word")).groupBy("word").count()
     return dict.fromkeys(vocabulary, 0) | {r["word"]: r["count"] for r in counts.collect()}
 
@@ -94,7 +105,7 @@ def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLAT
     blocks = near.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("block", "line"))
     blocks = blocks.where(_holds_any(F.lower("line"), heads))
     rank = F.create_map(*[F.lit(x) for w, i in order.items() for x in (w, i)])
-    held = F.array_intersect(words(ascii_lower(F.col("line"))), _strings(vocabulary))
+    held = F.array_intersect(pieces(ascii_lower(F.col("line"))), _strings(vocabulary))
     placed = F.array_sort(F.transform(held, lambda w: F.struct(F.element_at(rank, w).alias("rank"), w.alias("word"))))
     blocks = blocks.select("doc_id", "text_hash", "block", F.transform(placed, lambda s: s["word"]).alias("held"))
     least = min(r[4] for r in index)
@@ -127,7 +138,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", text.alias("text"))
     gapped = "|".join(_GAP.join(p.split()) for p in PHRASES)
     maybe = _may_hold(F.lower("text"), PHRASES) & F.col("text").rlike(f"(?i)({gapped})")
-    base = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words(F.col("text"))).cast("long").alias("n_words"),
+    base = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), word_count(F.col("text")).cast("long").alias("n_words"),
                        F.when(maybe, words(ascii_lower(F.col("text")))).otherwise(F.array().cast("array<string>")).alias("w"))
     for k, phrase in enumerate(PHRASES):
         places = F.filter(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0))), _stands(phrase.split()))
