@@ -127,6 +127,8 @@ def train(docs: DataFrame, usable: Column, per_class: int = 600, buckets: int =
     counts = rows.groupBy("lang").count()
     chance = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 40)) < F.lit(float(per_class) * (1 << 40)) / F.col("count")
 
+    narrow = np.min_scalar_type(buckets - 1)
+
     def featurise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
@@ -134,19 +136,21 @@ def train(docs: DataFrame, usable: Column, per_class: int = 600, buckets: int =
                 hits = buckets_of(text, buckets) if isinstance(text, str) else ()
                 if len(hits):
                     keys, n = np.unique(hits, return_counts=True)
-                    out.append((doc, lang, keys.astype(np.int32), (n / len(hits)).astype(np.float32)))
+                    out.append((doc, lang, keys.astype(narrow).tobytes(), (n / len(hits)).astype(np.float32).tobytes()))
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "lang", "keys", "shares"])
 
     small_batches(docs.sparkSession)
     chosen = rows.join(F.broadcast(counts), "lang").where(chance).select("doc_id", "lang", "text")
-    got = chosen.mapInPandas(featurise, "doc_id long, lang string, keys array<int>, shares array<float>").toPandas()
-    if got.empty:
+    got = chosen.mapInPandas(featurise, "doc_id long, lang string, keys binary, shares binary").toArrow()  # bytes stay in place in Arrow
+    if not got.num_rows:
         return LanguageModel([], np.zeros((buckets, 0)), np.zeros(0), 1.0, 0.0)
-    got = got.assign(size=got["keys"].map(len)).sort_values(["doc_id", "lang", "size"], kind="stable")
-    labels = sorted(got.lang.unique())
-    y = got.lang.map({x: i for i, x in enumerate(labels)}).to_numpy()
-    return fit_sgd(list(zip(got["keys"], got.shares)), y, labels, buckets)
+    rows = zip(got["doc_id"].to_pylist(), got["lang"].to_pylist(), got["keys"], got["shares"])
+    bags = [(doc, lang, np.frombuffer(k.as_buffer(), narrow), np.frombuffer(v.as_buffer(), np.float32)) for doc, lang, k, v in rows]
+    bags.sort(key=lambda x: (x[0], x[1], len(x[2])))
+    labels = sorted({x[1] for x in bags})
+    y = np.array([labels.index(x[1]) for x in bags])
+    return fit_sgd([x[2:] for x in bags], y, labels, buckets)
 
 
 def annotate(docs: DataFrame, model: LanguageModel) -> DataFrame:
