@@ -74,10 +74,12 @@ def engine_query(include: list[str], exclude: list[str]) -> str:
 
 def windows(words: Column, most: int) -> Column:
     """All n-grams of up to ``most`` words, longest first at each start."""
-    size = F.size(words)
-    starts = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-    one = lambda i: F.transform(F.sequence(F.lit(most), F.lit(1), F.lit(-1)), lambda n: F.when(i + n - 1 <= size, F.array_join(F.slice(words, i, n), " ")))
-    return F.filter(F.flatten(F.transform(starts, one)), lambda w: w.isNotNull())
+    def of(w: Column) -> Column:
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.size(w))).otherwise(F.array().cast("array<int>"))
+        one = lambda i: F.transform(F.sequence(F.lit(most), F.lit(1), F.lit(-1)), lambda n: F.when(i + n - 1 <= F.size(w), F.array_join(F.slice(w, i, n), " ")))
+        return F.filter(F.flatten(F.transform(starts, one)), lambda x: x.isNotNull())
+
+    return F.transform(F.array(words), of)[0]  # the lambda's variable keeps words from being made again at each start
 
 
 def fill_frame(frame: str, first: Column, second: Column) -> Column:

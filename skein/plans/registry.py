@@ -372,9 +372,9 @@ def _(t):
     return t("events").select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("r"))
 
 
-@query("win07_ngrams", f"with w as (select doc_id, {TOK}[1:20] as w from documents) select doc_id, len(w)+greatest(len(w)-1,0)+greatest(len(w)-2,0) as n from w")
+@query("win07_ngrams", f"with w as (select doc_id, {TOK} as w from documents) select doc_id, len(w)+greatest(len(w)-1,0)+greatest(len(w)-2,0) as n from w")
 def _(t):
-    return t("documents").select("doc_id", F.size(T.windows(F.slice(T.tokens(F.col("text")), 1, 20), 3)).cast("long").alias("n"))
+    return t("documents").select("doc_id", F.size(T.windows(T.tokens(F.col("text")), 3)).cast("long").alias("n"))
 
 
 @query("win08_top_per_group", "select l_returnflag, l_orderkey, l_linenumber from (select *, row_number() over (partition by l_returnflag order by l_extendedprice desc, l_orderkey, l_linenumber) r from lineitem) where r<=10")
@@ -549,3 +549,90 @@ def _(t):
 @query("pipe05_count_and_score", f"with c as (select doc_id, {', '.join(f'{v} as {k}' for k, v in HITS.items())} from documents) select doc_id, pos, neg, obscene, (pos-neg-2*obscene)::double as score from c order by score desc, doc_id limit 20")
 def _(t):
     return R.top_rows(lexicon_counts(t("documents")).withColumn("score", M.equation(lex.EQUATIONS[1])), [F.desc("score"), "doc_id"], 20)
+
+
+# More filters, aggregates, rankings, sets, changes, strings and arithmetic
+
+
+@query("flt12_delete_flags", "select o_orderkey from orders where o_orderstatus is distinct from 'F'")
+def _(t):
+    return t("orders").where(~F.col("o_orderstatus").eqNullSafe(F.lit("F"))).select("o_orderkey")
+
+
+@query("flt16_cross_column", "select l_orderkey, l_partkey from lineitem join part on l_partkey=p_partkey where l_quantity=p_size")
+def _(t):
+    met = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    return met.where(F.col("l_quantity") == F.col("p_size")).select("l_orderkey", "l_partkey")
+
+
+@query("join12_bulk_fetch", "select c_custkey, c_name from customer where c_custkey in (3, 11, 999999999)")
+def _(t):
+    return t("customer").where(F.col("c_custkey").isin(3, 11, 999999999)).select("c_custkey", "c_name")
+
+
+@query("agg12_best_or_null", "select c_custkey, max(o_totalprice) as best from customer left join orders on c_custkey=o_custkey group by 1")
+def _(t):
+    best = t("orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("best"))
+    return t("customer").join(best, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "best")
+
+
+@query("agg05_exclusive_polarity", f"with w as (select doc_id, unnest({TOK}) as w from documents) select doc_id, count(*) filter (w in {tuple(lex.NEGATIVE)}) as neg, count(*) filter (w in {tuple(lex.POSITIVE)} and w not in {tuple(lex.NEGATIVE)}) as pos from w group by 1")
+def _(t):
+    kind = F.when(F.col("w").isin(lex.NEGATIVE), "neg").when(F.col("w").isin(lex.POSITIVE), "pos")
+    words = t("documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("w")).select("doc_id", kind.alias("kind"))
+    return words.groupBy("doc_id").agg(F.count_if(F.col("kind") == "neg").alias("neg"), F.count_if(F.col("kind") == "pos").alias("pos"))
+
+
+@query("win04_every_other", "select o_orderkey from (select o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) r from orders) where r%2=1")
+def _(t):
+    nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return t("orders").withColumn("r", nth).where("r % 2 = 1").select("o_orderkey")
+
+
+@query("win05_topic_order", "select p_brand, p_partkey, row_number() over (partition by p_brand order by p_retailprice, p_partkey) as r from part")
+def _(t):
+    return t("part").select("p_brand", "p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey")).cast("long").alias("r"))
+
+
+@query("set02_exploded_terms", "select distinct unnest(string_split(p_type, ' ')) as term from part")
+def _(t):
+    return t("part").select(F.explode(F.split("p_type", " ")).alias("term")).distinct()
+
+
+@query("set06_exact_content", "select item_id from benchmark b where not exists (select 1 from documents d where d.text=b.text)")
+def _(t):
+    return t("benchmark").join(t("documents").select("text"), "text", "left_anti").select("item_id")
+
+
+@query("mut09_clamp_ratings", "select event_id, sign(value-50)::int as rating from events")
+def _(t):
+    return t("events").select("event_id", F.signum(F.col("value") - 50).cast("int").alias("rating"))
+
+
+@query("mut10_backfill", "select l_orderkey, l_linenumber, o_custkey from lineitem left join orders on l_orderkey=o_orderkey")
+def _(t):
+    return t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left").select("l_orderkey", "l_linenumber", "o_custkey")
+
+
+@query("str15_quotes", """select doc_id, md5(translate(text, '''"', '')) as h from documents""")
+def _(t):
+    return t("documents").select("doc_id", F.md5(F.translate("text", "'\"", "")).alias("h"))
+
+
+@query("str24_tagged_split", r"select n_nationkey, regexp_extract(w,'^(.*)/([^/]*)$',1) as word, regexp_extract(w,'^(.*)/([^/]*)$',2) as tag from (select n_nationkey, n_name||'/'||n_regionkey||'/NNP' as w from nation)")
+def _(t):
+    tagged = t("nation").select("n_nationkey", F.concat_ws("/", "n_name", "n_regionkey", F.lit("NNP")).alias("w"))
+    return tagged.select("n_nationkey", *(F.regexp_extract("w", "^(.*)/([^/]*)$", k).alias(name) for k, name in ((1, "word"), (2, "tag"))))
+
+
+@query("mth07_unit_vectors", "select vec_id, round(list_sum(list_transform(embedding, lambda x: (x::double/n)*(x::double/n))), 6) as dot from (select vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::double*x::double))) as n from embeddings where embedding is not null) where n>0")
+def _(t):
+    wide = F.transform("embedding", lambda x: x.cast("double"))
+    dot = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)
+    rows = t("embeddings").select("vec_id", wide.alias("v")).withColumn("n", F.sqrt(dot(F.col("v")))).where("n > 0")
+    return rows.select("vec_id", F.round(dot(F.transform("v", lambda x: x / F.col("n"))), 6).alias("dot"))
+
+
+@query("mth10_polarity_sign", "select event_id, case when value-50>=0 then 1 else -1 end as polarity from events")
+def _(t):
+    return t("events").select("event_id", F.when(F.col("value") - 50 >= 0, 1).otherwise(-1).alias("polarity"))
