@@ -12,6 +12,7 @@ from ..functions import html as H
 from ..functions import math as M
 from ..functions import text as T
 from ..functions import url as U
+from ..matrix.similarity import pairwise_cosine
 from ..operators import relational as R
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -536,6 +537,11 @@ def _(t):
     return a.join(b, F.col("a.vec_id") < F.col("b.vec_id")).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.round(M.cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("cosine"))
 
 
+@query("mat09_pairwise_cosine_all")
+def _(t):
+    return pairwise_cosine(t("embeddings"))
+
+
 @query("str01_text_nodes")
 def _(t):
     return t("pages").select("page_id", F.posexplode(H.text_nodes(F.col("html"))).alias("pos", "node"))
