@@ -1,12 +1,14 @@
 """Secret scans by grammar inference over labelled credentials.
 
 Base patterns find assignments, access keys and long hex strings in whole texts. Their values are the labelled
-credentials: a bounded sample of distinct values of each kind (the ``sample`` smallest by hash, over all documents)
-is turned into a prefix tree over character classes, and states whose outgoing and final frequencies agree by the
+credentials: a bounded sample of distinct values of each kind (the ``sample`` smallest by hash of those of up to 200
+characters, over all documents) is turned into a prefix tree over character classes, and states whose outgoing and final frequencies agree by the
 Hoeffding bound are merged (red-blue order, merges folded into the subtrees), which gives one probabilistic automaton
 a kind. Every other run of 16 or more token characters with at least two digits, two letters and no base span is then scored by
-the best automaton: log-likelihood a character, less that under a class-bigram model of ordinary words. Runs above the
-threshold (the highest score of the sampled ordinary runs plus a margin) are spans of kind ``format``.
+the best automaton: log-likelihood a character, less that under a class-bigram model of all runs without base spans of
+all documents. Those above the threshold (the highest score of all ordinary runs plus a margin) are spans of
+kind ``format``. Ordinary are runs of words: letters in one case or capitalised, between signs. So a credential that
+looks like words isn't told from them by its format in the table that the model was learned on.
 
 Null texts count as empty and have no spans; repeated rows keep a row each; other columns aren't read by ``scan`` and
 pass through ``redact``; an empty table, or one without credentials, gives base results only.
@@ -24,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import cut, small_batches
 
 KINDS = ("assign", "access", "hex", "format")
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -32,6 +34,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _DIGITS = re.compile(r"[0-9]")
+#: Classes of a run of words.
+_WORDS = re.compile(r"(?:[FU]?[fl]+|[FU]+)(?:[+/_=-]+(?:[FU]?[fl]+|[FU]+))*[+/_=-]*")
 #: A text without any of these words has no assignment.
 _KEYS = re.compile(r"pass|secret|token|api", re.I | re.A)
 
@@ -146,30 +150,32 @@ class Automaton:
 
 
 class Background:
-    """Class bigrams of ordinary runs."""
+    """Class bigrams of runs, from their counts."""
 
-    def __init__(self, strings: list[str]):
-        self.pairs, self.ones = Counter(), Counter()
-        for s in strings:
-            for a, b in zip("^" + s, s + "$"):
-                self.pairs[a, b] += 1
-                self.ones[a] += 1
+    def __init__(self, pairs: dict[tuple[str, str], int]):
+        self.pairs, self.ones = Counter(pairs), Counter()
+        for (a, _), n in pairs.items():
+            self.ones[a] += n
 
     def score(self, s: str) -> float:
         return sum(math.log((self.pairs[a, b] + 0.5) / (self.ones[a] + 16)) for a, b in zip("^" + s, s + "$"))
 
 
 class SecretModel:
-    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str], margin: float = 0.25):
+    def __init__(self, labelled: dict[str, list[str]], pairs: dict[tuple[str, str], int], margin: float = 0.25):
         self.automata = [Automaton([symbols(v) for v in sorted(vs)]) for _, vs in sorted(labelled.items()) if len(vs) >= 5]
-        self.background = Background([symbols(v) for v in ordinary])
-        self.threshold = max([0.0, *(self.score(v) for v in ordinary)]) + margin
+        self.background = Background(pairs)
+        self.threshold = margin
+
+    def raise_threshold(self, score: float) -> None:
+        """Put the threshold above the score of an ordinary run."""
+        self.threshold += max(0.0, score)
 
     def score(self, value: str) -> float:
         """Log-likelihood ratio a character."""
-        if not self.automata:
-            return -math.inf
-        s = symbols(value)
+        return self.score_symbols(symbols(value)) if self.automata else -math.inf
+
+    def score_symbols(self, s: str) -> float:
         return (max(a.score(s) for a in self.automata) - self.background.score(s)) / (len(s) + 1)
 
     def spans(self, text: str) -> list[Span]:
@@ -193,10 +199,11 @@ def other_runs(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]
 
 
 def learn(docs: DataFrame, sample: int = 400) -> SecretModel:
-    """Model from ``sample`` distinct values of each base kind and as many ordinary runs, the smallest by hash."""
+    """Model from ``sample`` distinct values of each base kind, the smallest by hash, and all other runs."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[str, dict[int, str]] = defaultdict(dict)
+        others: Counter[str] = Counter()
 
         def offer(kind: str, value: str) -> None:
             key = int.from_bytes(hashlib.blake2b(value.encode("utf-8", "replace"), digest_size=7).digest(), "big")
@@ -206,27 +213,50 @@ def learn(docs: DataFrame, sample: int = 400) -> SecretModel:
 
         for frame in frames:
             for text in frame.text:
-                if not isinstance(text, str) or not _DIGITS.search(text):
+                if not isinstance(text, str):
                     continue
                 spans = base_spans(text)
                 for s in spans:
                     if s[4] - s[3] <= 200:
                         offer(KINDS[s[1]], text[s[3] : s[4]])
                 for a, b in other_runs(text, [(s[0], s[2]) for s in spans]):
-                    if b - a <= 200:
-                        offer("", text[a:b])
+                    others[symbols(text[a:b])] += 1
+            if others:
+                yield pd.DataFrame([("", 0, v, n) for v, n in others.items()], columns=["kind", "h", "value", "n"])
+                others.clear()
         if best:
-            yield pd.DataFrame([(k, h, v) for k, vs in best.items() for h, v in sorted(vs.items())[:sample]], columns=["kind", "h", "value"])
+            yield pd.DataFrame([(k, h, v, 1) for k, vs in best.items() for h, v in sorted(vs.items())[:sample]], columns=["kind", "h", "value", "n"])
+
+    def bigrams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs: Counter[tuple[str, str]] = Counter()
+        for frame in frames:
+            for s, n in zip(frame.value, frame.n):
+                for pair in zip("^" + s, s + "$"):
+                    pairs[pair] += n
+        if pairs:
+            yield pd.DataFrame([(a, b, n) for (a, b), n in pairs.items()], columns=["a", "b", "n"])
+
+    def highest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            scores = [model.score_symbols(s) for s in frame.value if _WORDS.fullmatch(s)]
+            if scores:
+                yield pd.DataFrame({"score": [max(scores)]})
 
     small_batches(docs.sparkSession)
-    got = docs.select("text").mapInPandas(run, "kind string, h long, value string").distinct()
-    got = got.withColumn("nth", F.row_number().over(Window.partitionBy("kind").orderBy("h"))).where(F.col("nth") <= sample)
+    got = docs.select("text").mapInPandas(run, "kind string, h long, value string, n long")
+    got = cut(got.groupBy("kind", "h", "value").agg(F.sum("n").alias("n")))
+    nth = F.row_number().over(Window.partitionBy("kind").orderBy("h"))
+    labelled = got.where("kind <> ''").withColumn("nth", nth).where(F.col("nth") <= sample)
     values: dict[str, list[str]] = defaultdict(list)
-    for r in got.select("kind", "value").collect():
+    for r in labelled.select("kind", "value").collect():
         values[r["kind"]].append(r["value"])
-    # A run with many digits that isn't a labelled credential may be a credential too, so it says nothing of words.
-    ordinary = [v for v in sorted(values.pop("", [])) if not mixed(v)]
-    return SecretModel(dict(values), ordinary)
+    others = got.where("kind = ''").select("value", "n")
+    # Classes and signs are few, so the sums are too.
+    sums = others.mapInPandas(bigrams, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
+    model = SecretModel(dict(values), {(r["a"], r["b"]): r["n"] for r in sums})
+    if model.automata:
+        model.raise_threshold(others.mapInPandas(highest, "score double").agg(F.max("score")).first()[0] or 0.0)
+    return model
 
 
 def _said(spans: list[Span]) -> str:

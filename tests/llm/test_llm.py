@@ -149,3 +149,13 @@ def test_pipeline_against_brute_force(spark):
     assert not any(secret_scan.base_spans(t) for t in kept.values())
     assert not any(100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for n, a in enumerate(ids) for b in ids[:n])
     assert all(0 < r["taken"] <= r["size"] for r in out)
+
+
+def test_secrets_are_learned_from_all_texts(spark):
+    rng = random.Random(8)
+    key = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+    words = ["".join(rng.choice(["sch", "lich", "ung", "keit", "tion", "the"]) for _ in range(6)) for _ in range(900)]
+    texts = [f"so the password={key(24)} it was" for _ in range(60)] + [f"the {w} is" for w in words]
+    model = secret_scan.learn(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    # All runs count, not 400 of them: each is counted once as it starts.
+    assert len(model.automata) == 1 and model.background.ones["^"] == len(words)
