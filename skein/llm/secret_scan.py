@@ -4,9 +4,9 @@ Base patterns find assignments, access keys and long hex strings in whole texts.
 credentials: a bounded sample of distinct values of each kind (the ``sample`` smallest by hash of those of up to 200
 characters, over all documents) is turned into a prefix tree over character classes, and states whose outgoing and final frequencies agree by the
 Hoeffding bound are merged (red-blue order, merges folded into the subtrees), which gives one probabilistic automaton
-a kind. Every other run of 16 or more token characters with at least two digits, two letters and no base span is then scored by
-the best automaton: log-likelihood a character, less that under a class-bigram model of all runs without base spans of
-all documents. Those above the threshold (the highest score of all ordinary runs plus a margin) are spans of
+a kind. Every run of 16 or more token characters is then scored by the best automaton: log-likelihood a character, less
+that under a class-bigram model of all such runs of all documents. Where base spans take parts of a run, the parts left
+are scored, of any length. Those above the threshold (the highest score of all ordinary runs plus a margin) are spans of
 kind ``format``. Ordinary are runs of words: letters in one case or capitalised, between signs. So a credential that
 looks like words isn't told from them by its format in the table that the model was learned on.
 
@@ -33,7 +33,6 @@ _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-_DIGITS = re.compile(r"[0-9]")
 #: Classes of a run of words.
 _WORDS = re.compile(r"(?:[FU]?[fl]+|[FU]+)(?:[+/_=-]+(?:[FU]?[fl]+|[FU]+))*[+/_=-]*")
 #: A text without any of these words has no assignment.
@@ -181,21 +180,28 @@ class SecretModel:
     def spans(self, text: str) -> list[Span]:
         out = base_spans(text)
         taken = [(s[0], s[2]) for s in out]
-        if self.automata and _DIGITS.search(text):
+        if self.automata:
             for a, b in other_runs(text, taken):
-                if mixed(text[a:b]) and self.score(text[a:b]) > self.threshold:
+                if self.score(text[a:b]) > self.threshold:
                     out.append((a, 3, b, a, b))
         return sorted(out)
 
 
-def mixed(run: str) -> bool:
-    n = len(_DIGITS.findall(run))
-    return n >= 2 and sum(map(str.isalpha, run)) >= 2
-
-
 def other_runs(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Runs of token characters that overlap no span of ``taken``."""
-    return [m.span() for m in _RUN.finditer(text) if not any(a < m.end() and m.start() < b for a, b in taken)]
+    """Runs of token characters, without the parts in spans of ``taken`` (which are in order of their starts)."""
+    out, i, end = [], 0, 0
+    for m in _RUN.finditer(text):
+        at, stop = m.span()
+        # Spans up to i start before this run; the furthest of them ends at ``end``.
+        while i < len(taken) and taken[i][0] < stop:
+            a, b = taken[i]
+            if max(at, end) < a:
+                out.append((max(at, end), a))
+            end = max(end, b)
+            i += 1
+        if max(at, end) < stop:
+            out.append((max(at, end), stop))
+    return out
 
 
 def learn(docs: DataFrame, sample: int = 400) -> SecretModel:

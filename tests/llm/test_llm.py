@@ -159,3 +159,31 @@ def test_secrets_are_learned_from_all_texts(spark):
     model = secret_scan.learn(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     # All runs count, not 400 of them: each is counted once as it starts.
     assert len(model.automata) == 1 and model.background.ones["^"] == len(words)
+
+
+def test_secrets_of_any_characters_are_learned_and_found(spark):
+    rng = random.Random(8)
+    key = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+    digits = "".join(rng.choice("0123456789") for _ in range(24))
+    hexes = "".join(rng.choice("0123456789abcdef") for _ in range(32))
+    words = ["".join(rng.choice(["sch", "lich", "ung", "keit", "tion", "the"]) for _ in range(6)) for _ in range(900)]
+    texts = [f"so the password={key(24)} it was" for _ in range(60)] + [f"the {w} is" for w in words]
+    hidden, one_digit, rest = key(24), key(12) + "7" + key(11), "Q" + key(22) + "Q"
+    texts += [f"see {hidden} here", f"see {one_digit} here", f"see {rest}{hexes} here", f"see {hexes}{rest} here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = secret_scan.learn(docs)
+    assert len(model.automata) == 1
+    # All runs count, not 400 of them: each is counted once as it starts.
+    assert model.background.ones["^"] == len(words) + 4
+    found = {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs, model).collect()}
+    assert found[960] == "format:4:28" and found[961] == "format:4:28"
+    assert found[962] == "format:4:28,hex:28:60" and found[963] == "hex:4:36,format:36:60"
+    assert not any(found[i] for i in range(60, 960))
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs, model).collect()}
+    assert hidden not in clean[960] and rest not in clean[962] + clean[963]
+    # A run of digits only is learned from and scored like any other.
+    rows = [(i, f"x token={''.join(rng.choice('0123456789') for _ in range(24))} y") for i in range(60)] + [(99, f"see {digits} here")]
+    rows += [(100 + i, f"the {w} is") for i, w in enumerate(words)]
+    numbers = spark.createDataFrame(rows, "doc_id long, text string")
+    model = secret_scan.learn(numbers)
+    assert {r["doc_id"]: r["spans"] for r in secret_scan.scan(numbers, model).collect()}[99] == "format:4:28"
