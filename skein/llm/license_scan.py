@@ -1,7 +1,8 @@
 """License scans as an exact set-similarity join, in DataFrame operations only.
 
-Text blocks (lines) are joined with license templates where a block holds at least ``containment`` of the template's
-distinct words. Words are put in one global order, rare ones first, by the number of documents that hold them (counted
+Text blocks are joined with license templates where a block holds at least ``containment`` of the template's distinct
+words. Blocks are the lines, and of texts of several lines also all windows of as many consecutive words as the template
+has, across line ends, so that wrapped notices are found. Words are put in one global order, rare ones first, by the number of documents that hold them (counted
 over the whole table for the words of the templates; no other word can match). With T words in a template and t needed:
 
 * prefix filter: a block that qualifies holds one of the template's first T - t + 1 words, and that word is among the
@@ -9,6 +10,8 @@ over the whole table for the words of the templates; no other word can match). W
 * length filter: B >= t;
 * positional filter: from a match at place i of the template and j of the block, 1 + min(T - i - 1, B - j - 1) >= t.
 
+For windows, those around a prefix word are looked at, where the words near it pass the length filter.
+
 Pairs that pass are verified on whole sets. The index of template prefixes comes from the constants below, so its
 size is fixed and it is broadcast; no block is shuffled, only the labels found are.
 
@@ -87,7 +90,7 @@ def _may_hold(low: Column, phrases) -> Column:
 
 
 def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containment: float = 0.8) -> DataFrame:
-    """doc_id, text_hash, block (line from 0), label, share for each block and template that meet."""
+    """doc_id, text_hash, block (line from 0; null for windows), label, share for each block and template that meet."""
     sets = [(label, sorted(set(text.split()))) for label, text in templates]
     vocabulary = sorted({w for _, ws in sets for w in ws})
     count = document_frequency(docs, vocabulary)
@@ -117,7 +120,41 @@ def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLAT
     shared = F.size(F.array_intersect("held", pick([_strings(ws) for _, ws in sets])))
     met = met.select("doc_id", "text_hash", "block", pick([F.lit(label) for label, _ in sets]).alias("label"), shared.alias("shared"), "need", "of")
     found = met.where(F.col("shared") >= F.col("need")).select("doc_id", "text_hash", "block", "label", (F.col("shared") / F.col("of")).alias("share"))
-    return found.distinct()
+    windows = _window_matches(near.where(F.contains("text", F.lit("\n"))), templates, sets, index, index_rows)
+    return found.unionByName(windows.select("doc_id", "text_hash", F.lit(None).cast("int").alias("block"), "label", "share")).distinct()
+
+
+def _window_matches(docs: DataFrame, templates, sets, index, index_rows: DataFrame) -> DataFrame:
+    """doc_id, text_hash, label, share for each template and the best window around each of its prefix words."""
+    vocabulary = sorted({w for _, ws in sets for w in ws})
+    need = {k: n for _, k, _, _, n in index}
+    sizes = [len(text.split()) for _, text in templates]
+    reach = max(sizes)
+
+    def enough(held: Column) -> Column:
+        out = F.lit(False)
+        for k, (_, ws) in enumerate(sets):
+            out = out | (F.size(F.array_intersect(held, _strings(ws))) >= need[k])
+        return out
+
+    # Only texts that hold enough words of some template are taken apart.
+    docs = docs.where(F.exists(F.array(F.array_intersect(pieces(F.lower("text")), _strings(vocabulary))), enough))
+    placed = F.transform(pieces(ascii_lower(F.col("text"))), lambda w, at: F.struct(at.alias("at"), w.alias("word")))
+    held = F.filter(placed, lambda s: F.array_contains(_strings(vocabulary), s["word"]))
+    heads = _strings(sorted({r[0] for r in index}))
+    # Each prefix word keeps only the template words near it, so that rows stay small in long texts.
+    beside = lambda h: F.filter(
+        F.transform(h, lambda s, j: F.struct(s["word"].alias("word"), F.slice(h, F.greatest(F.lit(1), j + 2 - reach), F.lit(2 * reach)).alias("near"))),
+        lambda s: F.array_contains(heads, s["word"]))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.flatten(F.transform(F.array(held), beside))).alias("hit"))
+    met = rows.select("doc_id", "text_hash", "hit.word", "hit.near").join(F.broadcast(index_rows), "word")
+    pick = lambda values: F.element_at(F.array(*values), F.col("template") + 1)
+    met = met.withColumn("words", pick([_strings(ws) for _, ws in sets])).withColumn("size", pick([F.lit(n) for n in sizes]))
+    met = met.withColumn("near", F.filter("near", lambda s: F.array_contains("words", s["word"]))).where(F.size("near") >= F.col("need"))
+    within = lambda a: F.filter("near", lambda b: (b["at"] >= a["at"]) & (b["at"] < a["at"] + F.col("size")))
+    shared = F.array_max(F.transform("near", lambda a: F.size(F.array_distinct(F.transform(within(a), lambda b: b["word"])))))
+    met = met.select("doc_id", "text_hash", pick([F.lit(label) for label, _ in sets]).alias("label"), shared.alias("shared"), "need", "of")
+    return met.where(F.col("shared") >= F.col("need")).select("doc_id", "text_hash", "label", (F.col("shared") / F.col("of")).alias("share"))
 
 
 def _stands(parts: list[str]):

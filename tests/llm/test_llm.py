@@ -187,3 +187,22 @@ def test_secrets_of_any_characters_are_learned_and_found(spark):
     numbers = spark.createDataFrame(rows, "doc_id long, text string")
     model = secret_scan.learn(numbers)
     assert {r["doc_id"]: r["spans"] for r in secret_scan.scan(numbers, model).collect()}[99] == "format:4:28"
+
+
+def test_wrapped_notices_are_found(spark):
+    notices = {label: text.split() for label, text in license_scan.TEMPLATES}
+    rows, want = [], {}
+    for n, (label, text) in enumerate(license_scan.TEMPLATES):
+        w = text.split()
+        for m, wrap in enumerate((1, 2, 3)):
+            lines = [" ".join(w[i : i + wrap]) for i in range(0, len(w), wrap)]
+            want[10 * n + m] = label
+            rows.append((10 * n + m, "Some prose before it\n * " + "\n * ".join(lines).title() + "\nand prose after\n" * 300))
+    # Words of a notice far apart, or too few of them, are none; those of a long text with many notices are found.
+    rows.append((900, ("\n" + "other words " * 20).join(notices["bsd"])))
+    rows.append((901, "redistribution and use\nin source and binary\nof goods"))
+    rows.append((902, "\nof the under in\n".join(["free of charge"] * 3000) + "\nreleased under\nthe mit license\n"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"].split(",") for r in license_scan.scan(docs).collect()}
+    assert all(label in got[i] for i, label in want.items())
+    assert got[900] == got[901] == [""] and got[902] == ["mit"]
