@@ -11,7 +11,7 @@ ones (orders 1 and 2). Each shard has about ``shard_entries`` entries; their num
 are broadcast one by one, each gives a partial log-likelihood of every document, and partial sums add up exactly.
 
 A document is kept if its perplexity is at most the threshold of its language: the ``quantile`` of perplexities of
-trusted documents of the language that were held out of the model (one in ``held_out``), times ``margin``.
+trusted documents of the language that were held out of the model (one in ``held_out``).
 
 Null or empty texts have no perplexity and aren't kept. Without trusted rows of a language its documents are all kept,
 as there is nothing to judge them by; a null language is one of its own. Repeated rows are judged each; other columns
@@ -240,7 +240,7 @@ def _scored(sent):
     return F.pandas_udf(run, "log_likelihood double, n_scored long")
 
 
-def judge(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, margin: float = 1.5, held_out: int = 10) -> DataFrame:
+def judge(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, held_out: int = 10) -> DataFrame:
     """doc_id, lang, perplexity, threshold, kept for each row of docs (doc_id, text, lang); trusted: doc_ids."""
     ids = cut(trusted.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct())
     rows = docs.select(F.col("doc_id").cast("long"), "text", "lang")
@@ -249,7 +249,7 @@ def judge(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, margin: f
     scored = perplexity(rows, model)
     scored = cut(scored.withColumn("perplexity", F.when(F.col("n_scored") > 0, F.exp(-F.col("log_likelihood") / F.col("n_scored")))))
     seen = keep_keys(scored.where("perplexity is not null"), ids.where(out_of_model), "doc_id")
-    limits = seen.groupBy(F.col("lang").alias("_lang")).agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("threshold"))
+    limits = seen.groupBy(F.col("lang").alias("_lang")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
     joined = scored.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("_lang")), "left")
     kept = F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
     kept = F.lit(True) if model is None else kept

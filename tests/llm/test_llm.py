@@ -206,3 +206,12 @@ def test_wrapped_notices_are_found(spark):
     got = {r["doc_id"]: r["labels"].split(",") for r in license_scan.scan(docs).collect()}
     assert all(label in got[i] for i, label in want.items())
     assert got[900] == got[901] == [""] and got[902] == ["mit"]
+
+
+def test_quality_threshold_is_the_quantile_of_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"{DIR}/{name}.parquet") for name in ("documents", "labels"))
+    trusted = labels.where("quality = 1")
+    rows = quality.judge(docs, trusted).join(trusted.select("doc_id"), "doc_id")
+    held_out = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(10)) == 0)
+    seen = held_out.groupBy("lang").agg(F.max("perplexity").alias("most"), F.max("threshold").alias("threshold"), F.collect_list("perplexity").alias("all")).collect()
+    assert seen and all(r["threshold"] in r["all"] and r["threshold"] <= r["most"] for r in seen)
