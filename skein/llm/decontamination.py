@@ -6,7 +6,8 @@ character q-grams, on diagonals (place in document less place in item) that lie
 q-grams are counted in bands of 2 (k + 1) diagonals that overlap by half, so that each run of k + 1 diagonals lies in
 one band; bands with that many are regions to verify, by banded alignment of the item against the region.
 
-Items shorter than ``least`` characters after normalising are no evidence and are left out. The items' q-grams are
+Items shorter than ``least`` characters after normalising are found with edits where that number of q-grams is positive
+and k is; the others word for word, where no word goes on beyond them. Items without characters occur nowhere. The items' q-grams are
 broadcast if all items together have at most ``broadcast_chars`` characters; otherwise items are worked off in parts
 of that size, each over all documents. Null or empty texts hold nothing; repeated rows are reported each (one row for
 each); null doc_ids are reported as null; other columns aren't read. Without documents or items the result is empty.
@@ -64,7 +65,16 @@ class Items:
 
     BITS = 20
 
-    def __init__(self, items: list[tuple[int, str]], q: int, edits: float):
+    def __init__(self, items: list[tuple[int, str]], q: int, edits: float, least: int = 32):
+        self.short: dict[int, tuple[np.ndarray, dict[str, list[int]]]] = {}
+        short = [(i, t) for i, t in items if len(t) < least and not self._indexed(len(t), q, edits)]
+        for m in {len(t) for _, t in short}:
+            ids: dict[str, list[int]] = {}
+            for i, t in short:
+                if len(t) == m:
+                    ids.setdefault(t, []).append(i)
+            self.short[m] = np.concatenate([gram_hashes(codes_of(t), m) for t in ids]), ids
+        items = [(i, t) for i, t in items if len(t) >= least or self._indexed(len(t), q, edits)]
         self.ids, self.texts, self.q = [i for i, _ in items], [t for _, t in items], q
         self.codes = [codes_of(t) for t in self.texts]
         self.size = np.array([len(c) for c in self.codes], np.int64)
@@ -79,13 +89,31 @@ class Items:
         self.bitmap = np.zeros(1 << self.BITS, bool)
         self.bitmap[(self.flat & np.uint64((1 << self.BITS) - 1)).astype(np.int64)] = True
 
+    @staticmethod
+    def _indexed(m: int, q: int, edits: float) -> bool:
+        """Whether an item shorter than ``least`` may have edits and the q-gram lemma finds it."""
+        k = int(m * edits + 1e-9)
+        return k > 0 and m - q + 1 - q * k > 0
+
+    def _find_short(self, text: str, codes: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """The first place of each short item that stands in the text word for word."""
+        out: dict[int, tuple[int, int, int, int]] = {}
+        for m, (hashes, ids) in self.short.items():
+            for a in np.flatnonzero(np.isin(gram_hashes(codes, m), hashes)).tolist():
+                part = text[a : a + m]
+                inside = a and text[a - 1].isalnum() and part[0].isalnum() or text[a + m : a + m + 1].isalnum() and part[-1].isalnum()
+                for i in () if inside else ids.get(part, ()):
+                    out.setdefault(i, (i, a, a + m, 0))
+        return list(out.values())
+
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """item id, start and end in the normalised text, edits: the best region of each item that occurs."""
         codes = codes_of(text)
+        short = self._find_short(text, codes)
         grams = gram_hashes(codes, self.q)
         at = np.flatnonzero(self.bitmap[(grams & np.uint64((1 << self.BITS) - 1)).astype(np.int64)])
         if not len(at) or not len(self.flat):
-            return []
+            return short
         low, high = np.searchsorted(self.flat, grams[at]), np.searchsorted(self.flat, grams[at], "right")
         n = high - low
         entry = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -112,7 +140,7 @@ class Items:
                 hit = (got[0], max(start, start + got[1] - m), start + got[1])
             if k not in found or hit < found[k]:
                 found[k] = hit
-        return [(self.ids[k], a, b, e) for k, (e, a, b) in sorted(found.items())]
+        return [(self.ids[k], a, b, e) for k, (e, a, b) in sorted(found.items())] + short
 
 
 def indexes(items: DataFrame, q: int = 8, edits: float = 0.08, least: int = 32, broadcast_chars: int = 4_000_000) -> Iterator[Items]:
@@ -123,9 +151,9 @@ def indexes(items: DataFrame, q: int = 8, edits: float = 0.08, least: int = 32,
     parts = max(1, -(-total // broadcast_chars))
     for part in range(parts):
         mine = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        kept = [(r["item_id"], t) for r in mine.orderBy("item_id", "text").collect() if len(t := normal(r["text"])) >= least]
+        kept = [(r["item_id"], t) for r in mine.orderBy("item_id", "text").collect() if (t := normal(r["text"]))]
         if kept:
-            yield Items(kept, q, edits)
+            yield Items(kept, q, edits, least)
 
 
 def matches(docs: DataFrame, items: DataFrame, **how) -> DataFrame:

@@ -215,3 +215,14 @@ def test_quality_threshold_is_the_quantile_of_held_out_rows(spark):
     held_out = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(10)) == 0)
     seen = held_out.groupBy("lang").agg(F.max("perplexity").alias("most"), F.max("threshold").alias("threshold"), F.collect_list("perplexity").alias("all")).collect()
     assert seen and all(r["threshold"] in r["all"] and r["threshold"] <= r["most"] for r in seen)
+
+
+def test_short_items_are_found(spark):
+    items = spark.createDataFrame([(1, "Who  was Ada?"), (2, "rat"), (3, "what is the capital city"), (4, " "), (5, "name the rivers"), (6, "rat")], "item_id long, text string")
+    texts = ["they ask who was\nada? and so on", "a separate crate", "a RAT.", "So: what is teh the capitol city of it", "Name the rivers", "rename the rivers", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["start"], r["end"], r["edits"]) for r in decontamination.matches(docs, items).collect()}
+    assert got.keys() == {(0, 1), (2, 2), (2, 6), (4, 5)} and got[2, 2] == (2, 5, 0) and got[0, 1] == (9, 21, 0)
+    near = spark.createDataFrame([(9, "so what is the capitol city of it")], "doc_id long, text string")
+    assert [(r["item_id"], r["edits"]) for r in decontamination.matches(near, items).collect()] == [(3, 1)]
+    assert sorted(r["doc_id"] for r in decontamination.clean(docs, items).collect()) == [1, 3, 5, 6, 7]
