@@ -1,9 +1,11 @@
 """Chat formatting over reply trees.
 
-Messages (tree_id, msg_id, parent_id, role, text, score) form reply trees. Iterative self-joins enumerate the
-root-to-leaf paths: round j joins every (leaf, node at distance d < 2^j) with the ancestor 2^j up, so the number of
-joins is the logarithm of the depth and only ids are joined. Branches are ranked by the sum of their scores (ties:
-the greater number of messages, then the smaller leaf id), and each chosen path is formatted as one conversation:
+Messages (tree_id, msg_id, parent_id, role, text, score) form reply trees. Iterative self-joins double the reach of
+every message's link upwards: after round j it names the ancestor 2^j above and holds the score and number of the
+messages up to there. Once all links have passed their root, a leaf's sums are those of its root-to-leaf path, so
+branches are ranked by the sum of their scores (ties: the greater number of messages, then the smaller leaf id)
+before any path is listed. Then only the paths of the chosen leaves are enumerated, again by self-joins with the links
+of each round; only ids are joined. Each chosen path is formatted as one conversation:
 
     <s>[TURN]role[TEXT]text[/TURN][TURN]...</s>
 
@@ -11,9 +13,11 @@ Control strings inside roles and texts are escaped by one backslash after their
 backslashes stand there already), so the output has no control string but the template's own and unescaping gives
 the original back. ``loss_spans`` are the [start, end) code points of the assistant texts as escaped.
 
-Null texts count as empty, null roles as ''. A message whose parent is missing, null or its own id is a root; rows in
-a cycle of parents have no root and are left out. Rows with null tree_id or msg_id are left out; of repeated msg_ids
-of a tree the least (role, text) counts. Other columns aren't read. An empty table gives an empty result.
+Null texts count as empty, null roles as '', null scores as 0. A message whose parent is missing, null or its own id is
+a root. A cycle of parents has no root: it and all that hangs on it is left out, as no path of it ends after as many
+rounds as the largest tree needs. Rows with null tree_id or msg_id are left out; of repeated msg_ids of a tree the
+least (role, text) counts. Other columns aren't read. An empty table gives an empty result. A conversation is one value
+of one row, so it has to fit in a task.
 """
 
 from __future__ import annotations
@@ -34,39 +38,46 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"([<\[]\\*)\\" + _CONTROL, "$1")
 
 
-def leaf_paths(messages: DataFrame) -> DataFrame:
-    """tree_id, leaf_id, msg_id, up (distance from the leaf) for messages (tree_id, msg_id, parent_id, score)."""
-    parent = messages.select("tree_id", F.col("msg_id").alias("parent_id")).distinct()
-    own = messages.select("tree_id", "msg_id", "parent_id").where("parent_id is not null and parent_id <> msg_id")
-    jump = cut(own.join(parent, ["tree_id", "parent_id"], "left_semi").select("tree_id", "msg_id", F.col("parent_id").alias("above")))
-    leaves = messages.join(jump.select("tree_id", F.col("above").alias("msg_id")).distinct(), ["tree_id", "msg_id"], "left_anti")
-    paths = leaves.select("tree_id", F.col("msg_id").alias("leaf_id"), "msg_id", F.lit(0).cast("long").alias("up"))
-    step, count = 1, jump.count()
-    while count:
-        higher = paths.join(jump, ["tree_id", "msg_id"]).select("tree_id", "leaf_id", F.col("above").alias("msg_id"), F.col("up") + step)
-        paths = cut(paths.union(higher))
-        further = jump.select("tree_id", F.col("msg_id").alias("low"), F.col("above").alias("msg_id")).join(jump, ["tree_id", "msg_id"])
-        jump = cut(further.select("tree_id", F.col("low").alias("msg_id"), "above").where("msg_id <> above"))
-        step, count = step * 2, jump.count()
-    return paths
+def links(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The messages that reach a root (tree_id, msg_id, total, depth: sums over the path from the root), and of each
+    round the links (tree_id, msg_id, above) that it starts from."""
+    ids = messages.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("above"))
+    own = messages.withColumn("asked", F.when(F.col("parent_id") != F.col("msg_id"), F.col("parent_id")))
+    own = own.join(ids, (F.col("tree_id") == F.col("t")) & (F.col("asked") == F.col("above")), "left")
+    own = own.select("tree_id", "msg_id", "above", F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"))
+    state, rounds = cut(own), []
+    most = messages.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 0
+    while 1 << len(rounds) <= most and not state.where("above is not null").isEmpty():
+        rounds.append(state.where("above is not null").select("tree_id", "msg_id", "above"))
+        up = state.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"), F.col("above").alias("further"), F.col("total").alias("more"), F.col("depth").alias("deeper"))
+        joined = state.join(up, (F.col("tree_id") == F.col("t")) & (F.col("above") == F.col("m")), "left")
+        state = cut(joined.select("tree_id", "msg_id", F.col("further").alias("above"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("deeper", F.lit(0))).alias("depth")))
+    return state.where("above is null").drop("above"), rounds
 
 
 def ranked_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
-    """The paths of the best ``branches`` leaves of each tree: tree_id, leaf_id, branch (rank from 1), msg_id, up."""
-    paths = leaf_paths(messages).join(messages.select("tree_id", "msg_id", "score"), ["tree_id", "msg_id"])
-    scored = paths.groupBy("tree_id", "leaf_id").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("total"), F.max("up").alias("depth"))
-    best = Window.partitionBy("tree_id").orderBy(F.desc("total"), F.desc("depth"), "leaf_id")
-    chosen = scored.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= branches)
-    return paths.join(chosen.select("tree_id", "leaf_id", "branch", "total"), ["tree_id", "leaf_id"])
+    """The paths of the best ``branches`` leaves of each tree: tree_id, leaf_id, branch (rank from 1), total, msg_id,
+    up (distance from the leaf) for messages (tree_id, msg_id, parent_id, score)."""
+    reached, rounds = links(messages)
+    if rounds:
+        reached = reached.join(rounds[0].select("tree_id", F.col("above").alias("msg_id")).distinct(), ["tree_id", "msg_id"], "left_anti")
+    best = Window.partitionBy("tree_id").orderBy(F.desc("total"), F.desc("depth"), "msg_id")
+    chosen = reached.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= branches)
+    paths = chosen.select("tree_id", F.col("msg_id").alias("leaf_id"), "branch", "total", "msg_id", F.lit(0).cast("long").alias("up"))
+    for j, jump in enumerate(rounds):
+        # So far the 2^j lowest messages of each path are listed; each names the one 2^j above it.
+        higher = paths.join(jump, ["tree_id", "msg_id"]).select("tree_id", "leaf_id", "branch", "total", F.col("above").alias("msg_id"), F.col("up") + (1 << j))
+        paths = cut(paths.union(higher))
+    return paths
 
 
 def format_trees(messages: DataFrame, branches: int = 1, trained_role: str = "assistant") -> DataFrame:
     """tree_id, leaf_id, branch, branch_score, n_messages, formatted, loss_spans of each chosen path."""
     rows = messages.where("tree_id is not null and msg_id is not null")
     least = F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")))
-    rows = rows.groupBy("tree_id", "msg_id").agg(least.alias("m")).select("tree_id", "msg_id", "m.*")
+    rows = cut(rows.groupBy("tree_id", "msg_id").agg(least.alias("m")).select("tree_id", "msg_id", "m.*"))
     paths = ranked_paths(rows.select("tree_id", "msg_id", "parent_id", "score"), branches)
-    told = paths.drop("score").join(rows.select("tree_id", "msg_id", "role", "text"), ["tree_id", "msg_id"])
+    told = paths.join(rows.select("tree_id", "msg_id", "role", "text"), ["tree_id", "msg_id"])
     head = F.concat(F.lit("[TURN]"), escape(F.col("role")), F.lit("[TEXT]"))
     body = escape(F.col("text"))
     turn = F.struct((-F.col("up")).alias("at"), head.alias("head"), body.alias("body"), (F.col("role") == trained_role).alias("trained"))
@@ -117,3 +128,20 @@ def op6_chat_format(spark, sf_dir: str) -> DataFrame:
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+#: The same in DuckDB, for the whole table.
+OP6_SQL = r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e as (
+  select *, length(regexp_replace(role || chr(10) || text,
+    '([<\[]\\*)(/?s>|/?TURN\]|TEXT\]|/?INST\]|</?SYS>>|\|im_start\||\|im_end\|)', '\1\\\2', 'g')) - 1 as chars from c)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(7 + sum(chars + 19) as bigint) as formatted_chars
+from e group by conv_id
+"""

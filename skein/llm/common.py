@@ -1,11 +1,18 @@
-"""Shared helpers: reading tables, cutting lineage, size-checked broadcasts, text hashing."""
+"""Shared helpers: reading tables, cutting lineage, size-checked broadcasts, running sums, text hashing.
+
+Arrow batches hold at most ``spark.sql.execution.arrow.maxBytesPerBatch`` of texts; sessions are not reconfigured.
+"""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Keys up to this many rows (8-byte keys: about 32 MB) may be broadcast; more are joined by shuffle.
@@ -16,28 +23,73 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there, so that lineage ends here.
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session. Only a local session without one (tests) gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="skein-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
-    The folder is ``spark.checkpoint.dir`` of the session; only where that is unset (tests), one is made.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it from there, so that lineage ends here."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skein-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def hinted(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """``keys`` with a broadcast hint if it has at most ``most`` rows; as it is, so joined by shuffle, otherwise."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def keep_keys(df: DataFrame, keys: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
     """Semi or anti join of ``df`` with narrow ``keys``: broadcast when the count is small, else shuffled."""
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    return df.join(keys, on, how)
+    return df.join(hinted(keys), on, how)
+
+
+def slices(frames: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
+    """The frames in parts of at most ``rows`` rows, so that what is made of whole texts at a time stays small."""
+    for frame in frames:
+        for at in range(0, len(frame), rows):
+            yield frame.iloc[at : at + rows]
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Limit rows in an Arrow batch, as a batch holds whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def running(df: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
+    """``df`` in ``order`` over all its partitions, with ``before_<name>``: the sum of each of ``sums`` (no nulls) over
+    all rows before a row.
+
+    Rows are range-sorted into partitions and kept; partition totals, one row each, give each partition its start, and
+    running sums within a partition are taken batch by batch. So no task holds more than its range.
+    """
+    kept = cut(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    totals = kept.groupBy(F.spark_partition_id().alias("part")).agg(*[F.sum(c).alias(c) for c in sums]).collect()
+    at, starts = dict.fromkeys(sums, 0), {}
+    for r in sorted(totals, key=lambda r: r["part"]):
+        starts[r["part"]] = dict(at)
+        at = {c: at[c] + r[c] for c in sums}
+    kinds = {c: kept.schema[c].dataType.simpleString() for c in sums}
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reached = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if reached is None:
+                reached = dict(starts[TaskContext.get().partitionId()])
+            for c in sums:
+                values = batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+                total = np.cumsum(values)
+                batch = batch.append_column("before_" + c, pa.array(reached[c] + total - values))
+                reached[c] += total[-1].item()
+            yield batch
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    return kept.mapInArrow(add, schema + "".join(f", before_{c} {kinds[c]}" for c in sums))
 
 
 _P = 0x9E3779B97F4A7C15 | 1

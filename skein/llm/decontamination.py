@@ -6,8 +6,8 @@ character q-grams, on diagonals (place in document less place in item) that lie
 q-grams are counted in bands of 2 (k + 1) diagonals that overlap by half, so that each run of k + 1 diagonals lies in
 one band; bands with that many are regions to verify, by banded alignment of the item against the region.
 
-Items shorter than ``least`` characters after normalising are found with edits where that number of q-grams is positive
-and k is; the others word for word, where no word goes on beyond them. Items without characters occur nowhere. The items' q-grams are
+Items for which k and that number of q-grams are positive are found so (with q = 8 and 8 % edits, from 20 characters on,
+normalised); shorter ones word for word, where no word goes on beyond them. Items without characters occur nowhere. The items' q-grams are
 broadcast if all items together have at most ``broadcast_chars`` characters; otherwise items are worked off in parts
 of that size, each over all documents. Null or empty texts hold nothing; repeated rows are reported each (one row for
 each); null doc_ids are reported as null; other columns aren't read. Without documents or items the result is empty.
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, small_batches, table
+from .common import mix, slices, table
 
 
 def normal(text: str | None) -> str:
@@ -43,21 +43,31 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
-def banded_distance(item: np.ndarray, region: np.ndarray, most: int) -> tuple[int, int] | None:
-    """Fewest edits that turn the item into a part of the region, and that part's end, if ``most`` are enough.
+def banded_distance(item: np.ndarray, text: np.ndarray, first: int, width: int, most: int) -> tuple[int, int] | None:
+    """Fewest edits that turn the item into a part of the text, and that part's end, if ``most`` are enough.
 
-    The part may start anywhere; the region is already a band's width, so each row spans all of it.
+    Only alignments on the ``width`` diagonals (place in text less place in item) from ``first`` on are tried; the part
+    may start at any of them. A row of the table holds the cells of one character of the item on these diagonals.
     """
-    steps = np.arange(len(region) + 1)
-    row = np.zeros(len(region) + 1, np.int64)
-    for c in item:
-        best = np.minimum(row[1:] + 1, row[:-1] + (region != c))
-        best = np.concatenate([[row[0] + 1], best])
-        row = np.minimum.accumulate(best - steps) + steps
+    steps = np.arange(width)
+    far = len(item) + most + 1
+    around = np.full(len(item) + width, -1, np.int64)  # the text from ``first`` on; -1 outside it
+    low, high = max(0, first), min(len(text), first + len(around))
+    if low < high:
+        around[low - first : high - first] = text[low:high]
+    row = np.where((first + steps >= 0) & (first + steps <= len(text)), 0, far)
+    for i, c in enumerate(item.astype(np.int64)):
+        best = row + (around[i : i + width] != c)  # take both characters
+        best[around[i : i + width] < 0] = far
+        best[:-1] = np.minimum(best[:-1], row[1:] + 1)  # leave out the item's character
+        at = first + i + 1 + steps
+        best[(at < 0) | (at > len(text))] = far
+        row = np.minimum.accumulate(best - steps) + steps  # leave out characters of the text
+        row[(at < 0) | (at > len(text))] = far
         if row.min() > most:
             return None
     end = int(row.argmin())
-    return int(row[end]), end
+    return int(row[end]), first + len(item) + end
 
 
 class Items:
@@ -65,21 +75,21 @@ class Items:
 
     BITS = 20
 
-    def __init__(self, items: list[tuple[int, str]], q: int, edits: float, least: int = 32):
+    def __init__(self, items: list[tuple[int, str]], q: int, edits: float):
         self.short: dict[int, tuple[np.ndarray, dict[str, list[int]]]] = {}
-        short = [(i, t) for i, t in items if len(t) < least and not self._indexed(len(t), q, edits)]
+        short = [(i, t) for i, t in items if not self._indexed(len(t), q, edits)]
         for m in {len(t) for _, t in short}:
             ids: dict[str, list[int]] = {}
             for i, t in short:
                 if len(t) == m:
                     ids.setdefault(t, []).append(i)
             self.short[m] = np.concatenate([gram_hashes(codes_of(t), m) for t in ids]), ids
-        items = [(i, t) for i, t in items if len(t) >= least or self._indexed(len(t), q, edits)]
+        items = [(i, t) for i, t in items if self._indexed(len(t), q, edits)]
         self.ids, self.texts, self.q = [i for i, _ in items], [t for _, t in items], q
         self.codes = [codes_of(t) for t in self.texts]
         self.size = np.array([len(c) for c in self.codes], np.int64)
         self.most = np.floor(self.size * edits + 1e-9).astype(np.int64)
-        self.least = np.maximum(1, self.size - q + 1 - q * self.most)
+        self.least = self.size - q + 1 - q * self.most
         grams = [gram_hashes(c, q) for c in self.codes]
         flat = np.concatenate(grams) if grams else np.empty(0, np.uint64)
         order = np.argsort(flat, kind="stable")
@@ -91,7 +101,7 @@ class Items:
 
     @staticmethod
     def _indexed(m: int, q: int, edits: float) -> bool:
-        """Whether an item shorter than ``least`` may have edits and the q-gram lemma finds it."""
+        """Whether an item of m characters may have edits and the q-gram lemma finds it."""
         k = int(m * edits + 1e-9)
         return k > 0 and m - q + 1 - q * k > 0
 
@@ -129,21 +139,20 @@ class Items:
             k, b = int(key // wide), int(key % wide) - 1
             reach, m = int(self.most[k]) + 1, int(self.size[k])
             first = b * reach - int(self.size.max())
-            start, end = max(0, first - reach), min(len(codes), first + 2 * reach + m + reach)
-            exact = text.find(self.texts[k], start, end)
+            exact = text.find(self.texts[k], max(0, first), max(0, first + 2 * reach + m))
             if exact >= 0:
                 hit = (0, exact, exact + m)
             else:
-                got = banded_distance(self.codes[k], codes[start:end], int(self.most[k]))
-                if got is None or got[0] > self.most[k]:
+                got = banded_distance(self.codes[k], codes, first, 2 * reach, int(self.most[k]))
+                if got is None:
                     continue
-                hit = (got[0], max(start, start + got[1] - m), start + got[1])
+                hit = (got[0], max(0, got[1] - m), got[1])
             if k not in found or hit < found[k]:
                 found[k] = hit
         return [(self.ids[k], a, b, e) for k, (e, a, b) in sorted(found.items())] + short
 
 
-def indexes(items: DataFrame, q: int = 8, edits: float = 0.08, least: int = 32, broadcast_chars: int = 4_000_000) -> Iterator[Items]:
+def indexes(items: DataFrame, q: int = 8, edits: float = 0.08, broadcast_chars: int = 4_000_000) -> Iterator[Items]:
     """Indexes of all items (item_id, text), each of broadcast_chars characters or about."""
     rows = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
     tidy = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
@@ -153,20 +162,19 @@ def indexes(items: DataFrame, q: int = 8, edits: float = 0.08, least: int = 32,
         mine = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
         kept = [(r["item_id"], t) for r in mine.orderBy("item_id", "text").collect() if (t := normal(r["text"]))]
         if kept:
-            yield Items(kept, q, edits, least)
+            yield Items(kept, q, edits)
 
 
 def matches(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """doc_id, item_id, start, end (in the normalised text), edits for each item that a row of docs holds."""
     spark = docs.sparkSession
-    small_batches(spark)
     schema = "doc_id long, item_id long, start long, end long, edits int"
     out = spark.createDataFrame([], schema)
     for index in indexes(items, **how):
         sent = spark.sparkContext.broadcast(index)
 
         def run(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            for frame in frames:
+            for frame in slices(frames):
                 rows = [(doc, *hit) for doc, text in zip(frame.doc_id, frame.text) if isinstance(text, str) for hit in sent.value.find(normal(text))]
                 if rows:
                     yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end", "edits"]).astype({"doc_id": "Int64"})
@@ -177,7 +185,6 @@ def matches(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """The rows of docs whose text holds no item, with all their columns."""
-    small_batches(docs.sparkSession)
     for index in indexes(items, **how):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 

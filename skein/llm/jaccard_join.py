@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, keep_keys, mix, shingle_set, small_batches
+from .common import cut, keep_keys, mix, shingle_set
 
 
 #: Rows of edges in one partition.
@@ -44,7 +44,7 @@ def _sets(docs: DataFrame, k: int, percent: int, whole: bool) -> DataFrame:
     """doc_id, n, node (hash of the set, null if empty), tokens (all, or the prefix with some spare)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             sizes, nodes, kept = [], [], []
             for text in batch.column("text"):
                 tokens = shingle_set(text.as_py(), k)
@@ -57,7 +57,6 @@ def _sets(docs: DataFrame, k: int, percent: int, whole: bool) -> DataFrame:
             lists = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int64), *kept]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists], ["doc_id", "n", "node", "tokens"])
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, node long, tokens array<long>")
 
 

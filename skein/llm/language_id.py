@@ -3,16 +3,19 @@
 A text becomes the mean of the embeddings of its hashed character n-grams (of letters, with word boundaries), and a
 linear softmax over that mean gives the languages. Embeddings and softmax are learned together by mini-batch
 stochastic gradient descent in numpy, on a bounded sample: about ``per_class`` labelled rows of each language, chosen
-by a hash of doc_id. Rejection is calibrated on a held-back part of that sample: a temperature minimises the log
-loss, and the rejection threshold is ``margin`` times the confidence that ``lose`` of the correctly predicted rows miss.
+by a hash of doc_id, one row a doc_id. Rejection is calibrated on a held-back part of that sample: a temperature
+minimises the log loss, so that a score is the probability to be right, and predictions less likely than ``sure`` to be
+right are rejected (Chow's rule for an error that costs 1 / (1 - sure) times a rejection).
 
 Null texts and texts without a letter get ``und``, score 0, and are rejected. Rows with null doc_id or null lang are
-not learned from. With no labelled row at all, every text gets ``und``. Repeated rows are predicted each; other
-columns are kept untouched by ``annotate`` unless they carry the name of an output column, which replaces them.
+not learned from. With no labelled row at all, every text gets ``und``. Repeated rows are predicted each. ``confident``
+keeps all columns as they are, whatever their names; ``annotate`` does too but for columns named like its own three,
+which it replaces. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, small_batches
+from .common import cut, hinted, mix, slices
 
 UND = "und"
 ORDERS = (1, 2, 3, 4)
@@ -31,10 +34,10 @@ _is_letter: dict[str, np.ndarray] = {}
 def letters_of(text: str) -> np.ndarray:
     """Lower-cased code points with each run of non-letters as one space, spaces at both ends; empty if no letter."""
     if "t" not in _is_letter:
-        _is_letter["t"] = np.array([chr(c).isalpha() for c in range(0x30000)])
+        _is_letter["t"] = np.array([chr(c).isalpha() for c in range(sys.maxunicode + 1)])
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     known = _is_letter["t"]
-    letter = known[np.minimum(codes, len(known) - 1)]
+    letter = known[codes]
     if not letter.any():
         return np.empty(0, np.uint32)
     codes = np.where(letter, codes, 32).astype(np.uint32)
@@ -83,7 +86,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit_sgd(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, labels: list[str], buckets: int, dim: int = 16, epochs: int = 12, rate: float = 2.0, batch: int = 32, lose: float = 0.001, margin: float = 0.8) -> LanguageModel:
+def fit_sgd(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, labels: list[str], buckets: int, dim: int = 16, epochs: int = 12, rate: float = 2.0, batch: int = 32, sure: float = 0.5) -> LanguageModel:
     """bags: distinct buckets and their shares for each text."""
     rng = np.random.default_rng(7)
     emb = (rng.standard_normal((buckets, dim)) / dim).astype(np.float32)
@@ -115,22 +118,19 @@ def fit_sgd(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, labels: li
     logits = np.array([bags[i][1] @ table[bags[i][0]] for i in held]) + bias
     loss = lambda t: -np.log(_softmax(logits / t)[np.arange(len(held)), y[held]] + 1e-12).mean()
     temperature = min(np.geomspace(0.05, 20, 60), key=loss)
-    p = _softmax(logits / temperature)
-    right = p.max(axis=1)[p.argmax(axis=1) == y[held]]
-    threshold = min(0.4, float(np.quantile(right, lose)) * margin) if len(right) else 0.0
-    return LanguageModel(labels, table, bias.astype(np.float64), float(temperature), threshold)
+    return LanguageModel(labels, table, bias.astype(np.float64), float(temperature), sure)
 
 
 def train(docs: DataFrame, usable: Column, per_class: int = 600, buckets: int = 1 << 14) -> LanguageModel:
     """Learn from the rows of (doc_id, text, lang) for which ``usable`` holds; about per_class of each language."""
     rows = docs.select(F.col("doc_id").cast("long"), "text", "lang").where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    counts = rows.groupBy("lang").count()
+    counts = hinted(cut(rows.groupBy("lang").count()))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 40)) < F.lit(float(per_class) * (1 << 40)) / F.col("count")
 
     narrow = np.min_scalar_type(buckets - 1)
 
     def featurise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in slices(frames):
             out = []
             for doc, lang, text in zip(frame.doc_id, frame.lang, frame.text):
                 hits = buckets_of(text, buckets) if isinstance(text, str) else ()
@@ -140,8 +140,7 @@ def train(docs: DataFrame, usable: Column, per_class: int = 600, buckets: int =
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "lang", "keys", "shares"])
 
-    small_batches(docs.sparkSession)
-    chosen = rows.join(F.broadcast(counts), "lang").where(chance).select("doc_id", "lang", "text")
+    chosen = rows.join(counts, "lang").where(chance).select("doc_id", "lang", "text").dropDuplicates(["doc_id", "lang"])
     got = chosen.mapInPandas(featurise, "doc_id long, lang string, keys binary, shares binary").toArrow()  # bytes stay in place in Arrow
     if not got.num_rows:
         return LanguageModel([], np.zeros((buckets, 0)), np.zeros(0), 1.0, 0.0)
@@ -156,13 +155,21 @@ def train(docs: DataFrame, usable: Column, per_class: int = 600, buckets: int =
 def annotate(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """docs with lang_pred, score and rejected of each whole text."""
 
+    guess = _guess(model)
+    out = docs.drop("lang_pred", "score", "rejected").select("*", guess(F.col("text")).alias("_skein_guess"))
+    return out.select("*", "_skein_guess.*").drop("_skein_guess")
+
+
+def confident(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of docs whose language isn't rejected, with all their columns."""
+    return docs.where(~_guess(model)(F.col("text"))["rejected"])
+
+
+def _guess(model: LanguageModel):
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.predict(t if isinstance(t, str) else None) for t in texts], columns=["lang_pred", "score", "rejected"])
 
-    small_batches(docs.sparkSession)
-    guess = F.pandas_udf(run, "lang_pred string, score double, rejected boolean")
-    out = docs.drop("_guess", "lang_pred", "score", "rejected").withColumn("_guess", guess(F.col("text")))
-    return out.select("*", "_guess.*").drop("_guess")
+    return F.pandas_udf(run, "lang_pred string, score double, rejected boolean")
 
 
 def fold(mod: int) -> Column:

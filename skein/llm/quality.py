@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keep_keys, mix, small_batches, table
+from .common import cut, keep_keys, mix, slices, table
 
 ORDER = 5
 _BLANK, _DIGIT = re.compile(r"\s+"), re.compile(r"\d")
@@ -58,7 +58,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, int] = {}
-        for frame in frames:
+        for frame in slices(frames):
             text = "".join(padded(t) for t in frame.text)
             if not text:
                 continue
@@ -73,7 +73,6 @@ def count_grams(docs: DataFrame) -> DataFrame:
         if counts:
             yield pd.DataFrame({"gram": list(counts), "n": list(counts.values())})
 
-    small_batches(docs.sparkSession)
     return docs.select("text").mapInPandas(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
@@ -224,7 +223,6 @@ def perplexity(docs: DataFrame, model: DataFrame | None, shard_entries: int = 1_
     spark = docs.sparkSession
     sent = [spark.sparkContext.broadcast(s) for s in shards_of(model, shard_entries)] if model is not None else []
     sums = [_scored(b)(F.col("text")) for b in sent]
-    small_batches(spark)
     out = docs.select("*", *[s.alias(f"_part{i}") for i, s in enumerate(sums)])
     total = sum((F.col(f"_part{i}")["log_likelihood"] for i in range(len(sums))), F.lit(0.0))
     size = F.col("_part0")["n_scored"] if sums else F.lit(0).cast("long")

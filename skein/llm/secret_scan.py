@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, slices
 
 KINDS = ("assign", "access", "hex", "format")
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -248,7 +248,6 @@ def learn(docs: DataFrame, sample: int = 400) -> SecretModel:
             if scores:
                 yield pd.DataFrame({"score": [max(scores)]})
 
-    small_batches(docs.sparkSession)
     got = docs.select("text").mapInPandas(run, "kind string, h long, value string, n long")
     got = cut(got.groupBy("kind", "h", "value").agg(F.sum("n").alias("n")))
     nth = F.row_number().over(Window.partitionBy("kind").orderBy("h"))
@@ -281,7 +280,6 @@ def scan(docs: DataFrame, model: SecretModel) -> DataFrame:
             rows.append((n[0], n[1], n[2], hashlib.sha256(_said(base).encode()).hexdigest(), _said(spans)))
         return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    small_batches(docs.sparkSession)
     found = F.pandas_udf(run, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
     return docs.select("doc_id", found(F.col("text")).alias("found")).select("doc_id", "found.*")
 
@@ -302,7 +300,6 @@ def redact(docs: DataFrame, model: SecretModel, mark: str = "[SECRET]") -> DataF
             out.append(text if isinstance(text, str) else None)
         return pd.Series(out, dtype=object)
 
-    small_batches(docs.sparkSession)
     return docs.withColumn("text", F.pandas_udf(run, "string")(F.col("text")))
 
 

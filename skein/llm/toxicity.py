@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import slices, table
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -193,7 +193,6 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 1
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame.doc_id, "toxic": frame.toxic, "tokens": [tokens_of(t) for t in frame.text]})
 
-    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
     got = texts.mapInPandas(count, "doc_id long, toxic int, tokens array<string>").toPandas()
     got = got.assign(size=got.tokens.map(len)).sort_values(["doc_id", "size"], kind="stable")
@@ -203,7 +202,6 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 1
 
 def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """doc_id, score for each row of (doc_id, text)."""
-    small_batches(docs.sparkSession)
 
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([model.score(t if isinstance(t, str) else None) for t in texts], dtype=float)
