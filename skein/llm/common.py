@@ -34,6 +34,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there, so that lineage ends here."""
     sc = df.sparkSession.sparkContext

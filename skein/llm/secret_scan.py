@@ -284,8 +284,9 @@ def scan(docs: DataFrame, model: SecretModel) -> DataFrame:
     return docs.select("doc_id", found(F.col("text")).alias("found")).select("doc_id", "found.*")
 
 
-def redact(docs: DataFrame, model: SecretModel, mark: str = "[SECRET]") -> DataFrame:
-    """docs with the value of each span in text replaced by ``mark``; texts without spans stay as they are."""
+def redact(docs: DataFrame, model: SecretModel, mark: str = "[SECRET]", chars: str | None = None) -> DataFrame:
+    """docs with the value of each span in text replaced by ``mark``; texts without spans stay as they are, and so does
+    the column ``chars``, which is set to the number of characters of texts that changed."""
 
     def run(texts: pd.Series) -> pd.Series:
         out = []
@@ -300,7 +301,9 @@ def redact(docs: DataFrame, model: SecretModel, mark: str = "[SECRET]") -> DataF
             out.append(text if isinstance(text, str) else None)
         return pd.Series(out, dtype=object)
 
-    return docs.withColumn("text", F.pandas_udf(run, "string")(F.col("text")))
+    new = F.pandas_udf(run, "string")(F.col("text"))
+    count = {} if chars is None else {chars: F.when(new.eqNullSafe(F.col("text")), F.col(chars)).otherwise(F.length(new).cast("long"))}
+    return docs.withColumns({"text": new, **count})
 
 
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
