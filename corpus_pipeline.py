@@ -1,25 +1,23 @@
 """A corpus pipeline: language ID, near-duplicate removal, decontamination, redaction of secrets, source mix.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; its result is written as Parquet
-and read again as the next one's docs. All but the last return the columns of documents.
+and read again as the next one's docs, and goes once the next one is written (the last stays, as it is the result). All but the last return the columns of documents.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import decontamination, jaccard_join, language_id, mixing, secret_scan
-from skein.llm.common import table
+from skein.llm.common import drop_folder, shared_folder, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with enough confidence; null texts and texts without letters go."""
-    model = language_id.train(docs, F.lit(True))
-    return language_id.annotate(docs, model).where("not rejected").select(*docs.columns)
+    return language_id.confident(docs, language_id.train(docs, F.lit(True)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +32,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced in their texts; n_chars follows the text where that changed."""
-    old = docs.withColumn("_old", F.length("text"))
-    new = secret_scan.redact(old, secret_scan.learn(docs))
-    changed = F.length("text") != F.col("_old")
-    return new.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return secret_scan.redact(docs, secret_scan.learn(docs), chars="n_chars")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,10 +58,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of all stages over documents, each written to a folder of its own below spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-pipeline-")
+    base, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        out = f"{base}/pipeline-{uuid.uuid4().hex}/{name}"
+        out = f"{base}/{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before:  # nothing reads it any more
+            drop_folder(spark, before)
+        before = out
     return docs
