@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, keep_keys, table
 
 _CONTROL = r"(?=/?s>|/?TURN\]|TEXT\]|/?INST\]|</?SYS>>|\|im_start\||\|im_end\|)"
 
@@ -45,14 +45,27 @@ def links(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     own = messages.withColumn("asked", F.when(F.col("parent_id") != F.col("msg_id"), F.col("parent_id")))
     own = own.join(ids, (F.col("tree_id") == F.col("t")) & (F.col("asked") == F.col("above")), "left")
     own = own.select("tree_id", "msg_id", "above", F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"))
-    state, rounds = cut(own), []
+    state, rounds, done = cut(own), [], []
     most = messages.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 0
-    while 1 << len(rounds) <= most and not state.where("above is not null").isEmpty():
-        rounds.append(state.where("above is not null").select("tree_id", "msg_id", "above"))
+    while 1 << len(rounds) <= most:
+        # Trees whose links have all passed their root are done; of the others only the links that have not go on.
+        going = state.where("above is not null")
+        trees = cut(going.select("tree_id").distinct())
+        done.append(keep_keys(state, trees, "tree_id", "left_anti"))
+        if trees.isEmpty():
+            break
+        rounds.append(going.select("tree_id", "msg_id", "above"))
+        state = cut(keep_keys(state, trees, "tree_id"))
         up = state.select(F.col("tree_id").alias("t"), F.col("msg_id").alias("m"), F.col("above").alias("further"), F.col("total").alias("more"), F.col("depth").alias("deeper"))
-        joined = state.join(up, (F.col("tree_id") == F.col("t")) & (F.col("above") == F.col("m")), "left")
-        state = cut(joined.select("tree_id", "msg_id", F.col("further").alias("above"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("deeper", F.lit(0))).alias("depth")))
-    return state.where("above is null").drop("above"), rounds
+        higher = state.where("above is not null").join(up, (F.col("tree_id") == F.col("t")) & (F.col("above") == F.col("m")))
+        higher = higher.select("tree_id", "msg_id", F.col("further").alias("above"), (F.col("total") + F.col("more")).alias("total"), (F.col("depth") + F.col("deeper")).alias("depth"))
+        state = cut(state.where("above is null").unionByName(higher))
+    else:
+        done.append(state)
+    reached = done[0]
+    for part in done[1:]:
+        reached = reached.unionByName(part)
+    return reached.where("above is null").drop("above"), rounds
 
 
 def ranked_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
