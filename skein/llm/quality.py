@@ -1,36 +1,45 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-N-grams are of characters (order 5; digits as 0, white space as one space, text padded). All n-grams of all trusted
-rows are counted: each task adds up its own texts, the sums are added by n-gram. Lower orders use continuation counts
-(distinct n-grams one longer that end in it), discounts D1, D2, D3+ of each order come from its counts of counts, and
-probabilities and back-off weights come from joins of these count tables on contexts and suffixes.
-
-Documents are scored against shards of the model. All n-grams and back-off weights that one position can need share
-the two characters before it, so a shard holds those whose last two context characters hash to it, plus the short
-ones (orders 1 and 2). Each shard has about ``shard_entries`` entries; their number grows until that holds. Shards
-are broadcast one by one, each gives a partial log-likelihood of every document, and partial sums add up exactly.
-
-A document is kept if its perplexity is at most the threshold of its language: the ``quantile`` of perplexities of
-trusted documents of the language that were held out of the model (one in ``held_out``).
-
-Null or empty texts have no perplexity and aren't kept. Without trusted rows of a language its documents are all kept,
-as there is nothing to judge them by; a null language is one of its own. Repeated rows are judged each; other columns
-are not read. An empty table gives an empty result.
+N-grams are of characters (order 5; digits as 0, white space as one space, text padded). One pass over the documents
+adds up each task's n-grams: how often they stand in trusted rows, and that some document holds them. These counts, by
+fold of doc_id and n-gram, are the sharded table that everything else is joined from: lower orders are continuation
+counts (distinct n-grams one longer that end in it), discounts D1, D2, D3+ of each order come from its counts of
+counts, and the interpolated probability of each distinct n-gram that documents hold comes from joins with the count
+tables, its suffixes and their contexts, order by order, all by shuffle on the n-gram.
+
+Cross-fitting: a document is scored by the model of the trusted rows of the other fold, so no row is judged by a model
+that has seen it, trusted rows included. If one fold has no trusted text, the other's model scores all.
+
+Each document's log-likelihood adds up the values of its n-grams. Up to ``broadcast_keys`` distinct n-grams, values are
+broadcast (12 bytes each). Beyond, they are joined: documents are packed into compressed chunks with their distinct
+n-grams, these fetch their values by a shuffled join, and each chunk is scored with its own. Both give the same sums.
+
+A document is kept if its perplexity is at most the threshold of its language: the ``quantile`` of the perplexities of
+all trusted rows of the language; for a language without any, that of all trusted rows.
+
+Null or empty texts have no perplexity and aren't kept. Without any trusted text all other documents are kept, with
+null perplexity and threshold, as there is nothing to judge them by; a null language is one of its own. Repeated rows
+are judged each; other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, keep_keys, mix, slices, table
+from .common import cut, drop_folder, hinted, mix, shared_folder, slices, table
 
 ORDER = 5
+#: Values that may be broadcast, 12 bytes each; and characters of the texts of a chunk beyond that.
+BROADCAST_KEYS, CHUNK_CHARS = 4_000_000, 16_000_000
 _BLANK, _DIGIT = re.compile(r"\s+"), re.compile(r"\d")
 _MULT = np.uint64(0x100000001B3)
 
@@ -54,62 +63,80 @@ def gram_hash(codes: np.ndarray, n: int) -> np.ndarray:
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """gram, n: the ORDER-grams of all texts."""
+    """fold, gram, n: the ORDER-grams of all texts of docs (fold, trusted, text), n of them in trusted ones."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[str, int] = {}
-        for frame in slices(frames):
-            text = "".join(padded(t) for t in frame.text)
-            if not text:
-                continue
-            keys, first, n = np.unique(gram_hash(codes_of(text), ORDER), return_index=True, return_counts=True)
-            for i, k in zip(first.tolist(), n.tolist()):
-                gram = text[i : i + ORDER]
-                if "\x03" not in gram[:-1]:
-                    counts[gram] = counts.get(gram, 0) + k
-            if len(counts) > 1_000_000:
-                yield pd.DataFrame({"gram": list(counts), "n": list(counts.values())})
-                counts = {}
-        if counts:
-            yield pd.DataFrame({"gram": list(counts), "n": list(counts.values())})
-
-    return docs.select("text").mapInPandas(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def kneser_ney(grams: DataFrame) -> DataFrame | None:
-    """part (order; or 10 + length for back-off weights), gram, value (natural logarithm); None without grams."""
+        counts: dict[int, dict[str, int]] = {}
+
+        def out() -> Iterator[pd.DataFrame]:
+            for fold, of in counts.items():
+                yield pd.DataFrame({"fold": np.full(len(of), fold, np.int32), "gram": list(of), "n": list(of.values())})
+
+        for frame in slices(frames, 1000):
+            for (fold, trusted), part in frame.groupby(["fold", "trusted"]):
+                text, of = "".join(padded(t) for t in part.text), counts.setdefault(int(fold), {})
+                if not text:
+                    continue
+                _, first, n = np.unique(gram_hash(codes_of(text), ORDER), return_index=True, return_counts=True)
+                for i, k in zip(first.tolist(), n.tolist()):
+                    gram = text[i : i + ORDER]
+                    if "\x03" not in gram[:-1]:
+                        of[gram] = of.get(gram, 0) + (k if trusted else 0)
+            if sum(map(len, counts.values())) > 1_000_000:
+                yield from out()
+                counts.clear()
+        yield from out()
+
+    rows = docs.select("fold", "trusted", "text").mapInPandas(run, "fold int, gram string, n long")
+    return rows.groupBy("fold", "gram").agg(F.sum("n").alias("n"))
+
+
+def kneser_ney(grams: DataFrame) -> tuple[dict[int, DataFrame], dict[int, int]]:
+    """For each order fold, gram, context, p (probability) and rest (weight of the lower order after the context), from
+    fold, gram, n; and the number of characters of each fold that has any."""
     counts = {ORDER: cut(grams)}
     for m in range(ORDER - 1, 0, -1):
-        counts[m] = cut(counts[m + 1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")))
-    vocabulary = counts[1].count()
-    if not vocabulary:
-        return None
-    lower, parts = None, []
+        counts[m] = cut(counts[m + 1].groupBy("fold", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")))
+    vocabulary = {r["fold"]: r["count"] for r in counts[1].groupBy("fold").count().collect()}
+    levels: dict[int, DataFrame] = {}
+    for m in range(1, ORDER + 1):
+        level = counts[m].select("fold", "gram", "n", F.expr(f"substring(gram, 1, {m - 1})").alias("context"))
+        of = {(r["fold"], r["n"]): r["count"] for r in level.where("n <= 4").groupBy("fold", "n").count().collect()}
+        discount, least = F.lit(None).cast("double"), F.lit(None).cast("double")
+        for fold, size in vocabulary.items():
+            c = [of.get((fold, k), 0) for k in range(5)]
+            y = c[1] / (c[1] + 2 * c[2]) if c[1] else 0.5
+            d = [min(max(k - (k + 1) * y * c[k + 1] / c[k], 0.05), k - 0.05) if c[k] else k * 0.5 for k in (1, 2, 3)]
+            discount = F.when(F.col("fold") == fold, F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])).otherwise(discount)
+            least = F.when(F.col("fold") == fold, 1 / (size + 1)).otherwise(least)
+        contexts = level.groupBy("fold", "context").agg(F.sum("n").alias("total"), F.sum(discount).alias("freed"))
+        level = level.join(contexts, ["fold", "context"]).withColumn("rest", F.col("freed") / F.col("total"))
+        q = least
+        if m > 1:
+            shorter = levels[m - 1].select("fold", F.col("gram").alias("suffix"), F.col("p").alias("q"))
+            level, q = level.withColumn("suffix", F.expr("substring(gram, 2)")).join(shorter, ["fold", "suffix"]), F.col("q")
+        p = (F.col("n") - discount) / F.col("total") + F.col("rest") * q
+        levels[m] = cut(level.select("fold", "gram", "context", p.alias("p"), "rest"))
+    return levels, vocabulary
+
+
+def values_of(asked: DataFrame, levels: dict[int, DataFrame], vocabulary: dict[int, int]) -> DataFrame:
+    """fold, gram, value: the log-probability of the last character of each gram of asked (fold, gram; fold: of the
+    model), by the longest n-gram that the model has, times the weights of the contexts that it passes."""
+    value = F.lit(None).cast("double")
+    for fold, size in vocabulary.items():
+        value = F.when(F.col("fold") == fold, float(np.log(0.5 / (size + 1)))).otherwise(value)
+    rows = asked
     for m in range(1, ORDER + 1):
-        level = counts[m].select("gram", "n", F.expr(f"substring(gram, 1, {m - 1})").alias("context"))
-        of = {r["k"]: r["c"] for r in level.where("n <= 4").groupBy(F.col("n").alias("k")).agg(F.count("*").alias("c")).collect()}
-        c = [of.get(k, 0) for k in range(5)]
-        y = c[1] / (c[1] + 2 * c[2]) if c[1] else 0.5
-        d = [min(max(k - (k + 1) * y * c[k + 1] / c[k], 0.05), k - 0.05) if c[k] else k * 0.5 for k in (1, 2, 3)]
-        discount = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        contexts = level.groupBy("context").agg(F.sum("n").alias("total"), F.sum(discount).alias("freed"))
-        level = level.join(contexts, "context").withColumn("rest", F.col("freed") / F.col("total"))
-        if lower is None:
-            p = (F.col("n") - discount) / F.col("total") + F.col("rest") / (vocabulary + 1)
-            level = level.select("gram", "context", p.alias("p"), "rest")
-        else:
-            shorter = lower.select(F.col("gram").alias("suffix"), F.col("p").alias("q"))
-            level = level.withColumn("suffix", F.expr("substring(gram, 2)")).join(shorter, "suffix")
-            level = level.select("gram", "context", ((F.col("n") - discount) / F.col("total") + F.col("rest") * F.col("q")).alias("p"), "rest")
-        lower = cut(level)
-        parts.append(lower.select(F.lit(m).alias("part"), "gram", F.log("p").alias("value")))
+        own = levels[m].select(F.col("fold").alias("f"), F.col("gram").alias("g"), F.log("p").alias(f"p{m}"))
+        rows = rows.join(own, (F.col("fold") == F.col("f")) & (F.expr(f"right(gram, {m})") == F.col("g")), "left").drop("f", "g")
+        weight = F.lit(0.0)
         if m > 1:
-            parts.append(lower.select(F.lit(10 + m - 1).alias("part"), F.col("context").alias("gram"), F.log("rest").alias("value")).distinct())
-    unseen = parts[0].sparkSession.range(1).select(F.lit(0).alias("part"), F.lit("").alias("gram"), F.log(F.lit(0.5 / (vocabulary + 1))).alias("value"))
-    out = unseen
-    for part in parts:
-        out = out.union(part)
-    return out
+            passed = levels[m].select(F.col("fold").alias("f"), F.col("context").alias("g"), F.log("rest").alias(f"r{m}")).distinct()
+            rows = rows.join(passed, (F.col("fold") == F.col("f")) & (F.expr(f"substring(gram, {ORDER - m + 1}, {m - 1})") == F.col("g")), "left").drop("f", "g")
+            weight = F.coalesce(f"r{m}", F.lit(0.0))
+        value = F.coalesce(F.col(f"p{m}"), weight + value)
+    return rows.select("fold", "gram", value.alias("value"))
 
 
 class Hashed:
@@ -142,115 +169,150 @@ class Hashed:
         return found, value
 
 
-class Shard:
-    """A part of the model as plain arrays; the tables to read it by are built where it is used."""
-
-    def __init__(self, part: np.ndarray, keys: np.ndarray, values: np.ndarray, number: int, shards: int):
-        self.part, self.keys, self.values, self.number, self.shards = part, keys, values, number, shards
-        self.unseen = float(values[part == 0][0])
-        self.parts: dict[int, Hashed] = {}
-
-    def build(self) -> None:
-        for p in np.unique(self.part[self.part > 0]):
-            self.parts[int(p)] = Hashed(self.keys[self.part == p], self.values[self.part == p])
-
-    def log_likelihoods(self, texts: list[str]) -> np.ndarray:
-        """Of each padded text, over the places that belong to this shard."""
-        if not self.parts:
-            self.build()
-        codes = codes_of("".join(texts))
-        sizes = np.array([len(t) for t in texts], np.int64)
-        if not len(codes):
-            return np.zeros(len(texts))
-        own = np.ones(len(codes), bool)
-        starts = np.cumsum(sizes) - sizes
-        for i in range(ORDER - 1):
-            own[(starts + i)[sizes > 0]] = False
-        at = np.flatnonzero(own)
-        if self.shards > 1:
-            pair = gram_hash(codes, 2)[at - 2]
-            at = at[(pair >> np.uint64(1)) % np.uint64(self.shards) == self.number]
-        score, weight = np.zeros(len(codes)), np.zeros(len(at))
-        for m in range(ORDER, 0, -1):
-            found, value = self.parts[m].get(gram_hash(codes, m)[at - m + 1])
-            score[at[found]] = value[found] + weight[found]
-            at, weight = at[~found], weight[~found]
-            if m > 1 and len(at):
-                weight = weight + self.parts[10 + m - 1].get(gram_hash(codes, m - 1)[at - m + 1])[1]
-        score[at] = self.unseen + weight
-        total = np.concatenate([[0.0], np.cumsum(score)])
-        return total[starts + sizes] - total[starts]
-
-
-def shards_of(model: DataFrame, shard_entries: int) -> Iterator[Shard]:
-    """Broadcastable shards of the model, each of about shard_entries entries."""
-
-    def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame = frame.reset_index(drop=True)
-            key, pair = np.zeros(len(frame), np.int64), np.zeros(len(frame), np.int64)
-            for p, rows in frame.groupby("part"):
-                n = p if p < 10 else p - 10
-                if n:
-                    codes = codes_of("".join(rows.gram)).reshape(-1, n)
-                    key[rows.index] = _rows_hash(codes).view(np.int64)
-                    if p > 2 and p != 11:
-                        two = codes[:, -3:-1] if p < 10 else codes[:, -2:]
-                        pair[rows.index] = (_rows_hash(two) >> np.uint64(1)).astype(np.int64)
-            yield pd.DataFrame({"part": frame.part, "key": key, "pair": pair, "short": frame.part.isin([0, 1, 2, 11]), "value": frame.value})
-
-    rows = cut(model.mapInPandas(hashed, "part int, key long, pair long, short boolean, value double"))
-    total = rows.where("not short").count()
-    shards = max(1, -(-total // shard_entries))
-    spread = lambda n: F.pmod("pair", F.lit(n))
-    while shards > 1 and rows.where("not short").groupBy(spread(shards)).count().agg(F.max("count")).first()[0] > 2 * shard_entries and shards < total:
-        shards *= 2
-    for number in range(shards):
-        mine = rows.where(F.col("short") | (spread(shards) == number)).select(F.col("part").cast("byte"), "key", F.col("value").cast("float")).toArrow()
-        part, keys, values = (mine.column(i).to_numpy() for i in range(3))
-        yield Shard(part, keys.view(np.uint64), values, number, shards)
-
-
-def _rows_hash(codes: np.ndarray) -> np.ndarray:
-    acc = np.full(len(codes), codes.shape[1], np.uint64)
-    for i in range(codes.shape[1]):
-        acc = acc * _MULT + codes[:, i] + np.uint64(1)
-    return mix(acc)
+def place_keys(texts: list[str], fold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key of the ORDER-gram that ends at each scored place of padded texts for the model of a fold, and the places of
+    each text."""
+    codes = codes_of("".join(texts))
+    sizes = np.array([max(0, len(t) - ORDER + 1) for t in texts], np.int64)
+    if not len(codes):
+        return np.empty(0, np.uint64), sizes
+    own = np.ones(len(codes), bool)
+    ends = np.cumsum([len(t) for t in texts])
+    for i in range(1, ORDER):
+        own[ends - i] = False  # an n-gram that starts here goes on in the next text
+    return fold_key(gram_hash(codes, ORDER), fold)[own[: len(codes) - ORDER + 1]], sizes
 
 
-def perplexity(docs: DataFrame, model: DataFrame | None, shard_entries: int = 1_000_000) -> DataFrame:
-    """docs (doc_id, text, ...) with text replaced by log_likelihood and n_scored (characters)."""
-    spark = docs.sparkSession
-    sent = [spark.sparkContext.broadcast(s) for s in shards_of(model, shard_entries)] if model is not None else []
-    sums = [_scored(b)(F.col("text")) for b in sent]
-    out = docs.select("*", *[s.alias(f"_part{i}") for i, s in enumerate(sums)])
-    total = sum((F.col(f"_part{i}")["log_likelihood"] for i in range(len(sums))), F.lit(0.0))
-    size = F.col("_part0")["n_scored"] if sums else F.lit(0).cast("long")
-    return out.select(*[c for c in docs.columns if c != "text"], total.alias("log_likelihood"), size.alias("n_scored"))
+def fold_key(keys: np.ndarray, fold: int) -> np.ndarray:
+    return mix(keys + np.uint64(fold + 1))
 
 
-def _scored(sent):
-    def run(texts: pd.Series) -> pd.DataFrame:
-        ready = [padded(t) for t in texts]
-        n = [max(0, len(t) - ORDER + 1) for t in ready]
-        return pd.DataFrame({"log_likelihood": sent.value.log_likelihoods(ready), "n_scored": n})
+def likelihoods(texts: list, fold: int, values: Hashed) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood and number of scored places of each text."""
+    ready = [padded(t) for t in texts]
+    keys, sizes = place_keys([t for t in ready if t], fold)
+    n = np.array([max(0, len(t) - ORDER + 1) for t in ready], np.int64)
+    _, found = values.get(keys)
+    total = np.concatenate([[0.0], np.cumsum(found.astype(np.float64))])
+    out, ends = np.zeros(len(ready)), np.cumsum(sizes)
+    out[n > 0] = total[ends] - total[ends - sizes]
+    return out, n
 
-    return F.pandas_udf(run, "log_likelihood double, n_scored long")
 
+def keyed(values: DataFrame) -> DataFrame:
+    """key, value for fold, gram, value."""
 
-def judge(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, held_out: int = 10) -> DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for fold, part in frame.groupby("fold"):
+                codes = codes_of("".join(part.gram)).reshape(-1, ORDER)
+                acc = np.full(len(codes), ORDER, np.uint64)
+                for i in range(ORDER):
+                    acc = acc * _MULT + codes[:, i] + np.uint64(1)
+                yield pd.DataFrame({"key": fold_key(mix(acc), int(fold)).view(np.int64), "value": part.value.to_numpy(np.float32)})
+
+    return values.mapInPandas(run, "key long, value float")
+
+
+def scored(docs: DataFrame, values: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """doc_id, lang, trusted, log_likelihood, n_scored for each row of docs (doc_id, lang, trusted, model, text)."""
+    values = cut(keyed(values))
+    if values.count() > broadcast_keys:
+        return _scored_in_chunks(docs, values)
+    got = values.toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast((got["key"].to_numpy().view(np.uint64), got["value"].to_numpy()))
+    tables: dict[str, Hashed] = {}
+
+    def run(texts: pd.Series, model: pd.Series) -> pd.DataFrame:
+        if "t" not in tables:
+            tables["t"] = Hashed(*sent.value)
+        out = pd.DataFrame({"log_likelihood": np.zeros(len(texts)), "n_scored": np.zeros(len(texts), np.int64)})
+        for part in slices([pd.DataFrame({"text": texts.to_numpy(), "model": model.to_numpy()})]):
+            for fold, rows in part.groupby("model"):
+                total, n = likelihoods(list(rows.text), int(fold), tables["t"])
+                out.loc[rows.index, "log_likelihood"], out.loc[rows.index, "n_scored"] = total, n
+        return out
+
+    found = F.pandas_udf(run, "log_likelihood double, n_scored long")(F.col("text"), F.col("model"))
+    return docs.select("doc_id", "lang", "trusted", found.alias("found")).select("doc_id", "lang", "trusted", "found.*")
+
+
+def _scored_in_chunks(docs: DataFrame, values: DataFrame) -> DataFrame:
+    spark = docs.sparkSession
+    folder = f"{shared_folder(spark)}/chunks-{np.random.default_rng().integers(1 << 62)}"
+    columns = ["doc_id", "lang", "trusted", "model", "text"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, chars, keys, nth = [], 0, [], 0
+
+        def out() -> pa.RecordBatch:
+            sink = io.BytesIO()
+            whole = pa.Table.from_batches(held)
+            with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(whole)
+            lists = pa.array([np.unique(np.concatenate(keys)).view(np.int64)], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() << 32 | nth], pa.int64()), pa.array([sink.getvalue()], pa.binary()), lists], ["chunk", "docs", "keys"])
+
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
+            texts, folds = batch.column("text").to_pylist(), np.array(batch.column("model").to_pylist())
+            for fold in np.unique(folds):
+                mine = [t for text, f in zip(texts, folds) if f == fold and (t := padded(text))]
+                keys.append(np.unique(place_keys(mine, int(fold))[0]))
+            held.append(batch)
+            chars += sum(len(t) for t in texts if t)
+            if len(keys) > 64:
+                keys = [np.unique(np.concatenate(keys))]
+            if chars >= CHUNK_CHARS:
+                yield out()
+                held, chars, keys, nth = [], 0, [], nth + 1
+        if held:
+            yield out()
+
+    docs.select(*columns).mapInArrow(pack, "chunk long, docs binary, keys array<long>").write.option("compression", "zstd").parquet(folder)
+    chunks = spark.read.parquet(folder)
+    fetched = chunks.select("chunk", F.explode("keys").alias("key")).join(values, "key").select(F.col("chunk").alias("to"), "key", "value")
+
+    def score(packed: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if packed.empty:
+            return pd.DataFrame({"doc_id": [], "lang": [], "trusted": [], "log_likelihood": [], "n_scored": []}, dtype=object)
+        held = Hashed(known.key.to_numpy().view(np.uint64), known.value.to_numpy(np.float32))
+        out = []
+        for blob in packed.docs:
+            for batch in pa.ipc.open_stream(blob):
+                frame = batch.to_pandas(integer_object_nulls=True)
+                for fold, rows in frame.groupby("model"):
+                    total, n = likelihoods(list(rows.text), int(fold), held)
+                    out.append(rows[["doc_id", "lang", "trusted"]].assign(log_likelihood=total, n_scored=n))
+        return pd.concat(out).astype({"doc_id": "Int64"})
+
+    whole = chunks.select("chunk", "docs").groupBy("chunk").cogroup(fetched.groupBy("to"))
+    done = cut(whole.applyInPandas(score, "doc_id long, lang string, trusted boolean, log_likelihood double, n_scored long"))
+    drop_folder(spark, folder)
+    return done
+
+
+def judge(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """doc_id, lang, perplexity, threshold, kept for each row of docs (doc_id, text, lang); trusted: doc_ids."""
-    ids = cut(trusted.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct())
+    ids = cut(trusted.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null").distinct())
+    fold: Column = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)).cast("int")
     rows = docs.select(F.col("doc_id").cast("long"), "text", "lang")
-    out_of_model: Column = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(held_out)) == 0
-    model = kneser_ney(count_grams(keep_keys(rows, ids.where(~out_of_model), "doc_id")))
-    scored = perplexity(rows, model)
-    scored = cut(scored.withColumn("perplexity", F.when(F.col("n_scored") > 0, F.exp(-F.col("log_likelihood") / F.col("n_scored")))))
-    seen = keep_keys(scored.where("perplexity is not null"), ids.where(out_of_model), "doc_id")
-    limits = seen.groupBy(F.col("lang").alias("_lang")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
-    joined = scored.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    kept = F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
-    kept = F.lit(True) if model is None else kept
+    rows = rows.join(hinted(ids), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "lang", fold.alias("fold"), F.col("_id").isNotNull().alias("trusted"))
+    grams = cut(count_grams(rows))
+    levels, vocabulary = kneser_ney(grams.where("n > 0"))
+    if not vocabulary:
+        none = F.lit(None).cast("double")
+        return rows.select("doc_id", "lang", none.alias("perplexity"), none.alias("threshold"), (F.length(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))) > 0).alias("kept"))
+    other = F.lit(1) - F.col("fold") if len(vocabulary) == 2 else F.lit(next(iter(vocabulary)))
+    asked = grams.select(other.cast("int").alias("fold"), "gram").distinct()
+    found = scored(rows.withColumn("model", other.cast("int")), values_of(asked, levels, vocabulary), broadcast_keys)
+    perplexity = F.when(F.col("n_scored") > 0, F.exp(-F.col("log_likelihood") / F.col("n_scored")))
+    found = cut(found.select("doc_id", "lang", "trusted", perplexity.alias("perplexity")))
+    seen = found.where("trusted and perplexity is not null")
+    cutoff = F.percentile_approx("perplexity", quantile, 10_000)
+    limits = hinted(cut(seen.groupBy(F.col("lang").alias("_lang")).agg(cutoff.alias("own"))))
+    pooled = seen.agg(cutoff).first()[0]
+    joined = found.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("threshold", F.coalesce("own", F.lit(pooled).cast("double")))
+    kept = F.col("perplexity").isNotNull() & (F.col("perplexity") <= F.col("threshold"))
     return joined.select("doc_id", "lang", "perplexity", "threshold", kept.alias("kept"))
 
 
