@@ -1,14 +1,18 @@
 """Secret scans by grammar inference over labelled credentials.
 
 Base patterns find assignments, access keys and long hex strings in whole texts. Their values are the labelled
-credentials: a bounded sample of distinct values of each kind (the ``sample`` smallest by hash of those of up to 200
-characters, over all documents) is turned into a prefix tree over character classes, and states whose outgoing and final frequencies agree by the
-Hoeffding bound are merged (red-blue order, merges folded into the subtrees), which gives one probabilistic automaton
-a kind. Every run of 16 or more token characters is then scored by the best automaton: log-likelihood a character, less
-that under a class-bigram model of all such runs of all documents. Where base spans take parts of a run, the parts left
-are scored, of any length. Those above the threshold (the highest score of all ordinary runs plus a margin) are spans of
-kind ``format``. Ordinary are runs of words: letters in one case or capitalised, between signs. So a credential that
-looks like words isn't told from them by its format in the table that the model was learned on.
+credentials: a bounded sample of distinct values of each kind (over all documents, the smallest by hash: at most
+``sample``, and no more once ``sample_chars`` characters are reached) is turned into a prefix tree over character
+classes. States are merged in red-blue order, those of most strings first, if the frequencies of their next symbols,
+of their ends and of the lengths still to come agree by the Hoeffding bound, and merges are folded into the subtrees;
+of several such states the likeliest is taken. So a format of fixed length or with a fixed prefix keeps both. That
+gives one probabilistic automaton a kind.
+
+Candidates are all runs of ``LEAST`` or more token characters (the fewest a base value may have), and what base spans
+leave of a run. Each is scored by the best automaton: log-likelihood a character, less that under a class-bigram model
+of all such runs of all documents. Those above the threshold (the highest score of all ordinary runs plus a margin) are
+spans of kind ``format``. Ordinary are runs of words: letters in one case or capitalised, between signs. So a
+credential that looks like words isn't told from them by its format in the table that the model was learned on.
 
 Null texts count as empty and have no spans; repeated rows keep a row each; other columns aren't read by ``scan`` and
 pass through ``redact``; an empty table, or one without credentials, gives base results only.
@@ -32,7 +36,8 @@ KINDS = ("assign", "access", "hex", "format")
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 8
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 #: Classes of a run of words.
 _WORDS = re.compile(r"(?:[FU]?[fl]+|[FU]+)(?:[+/_=-]+(?:[FU]?[fl]+|[FU]+))*[+/_=-]*")
 #: A text without any of these words has no assignment.
@@ -64,49 +69,68 @@ class Automaton:
     """A probabilistic automaton learned by merging compatible states of a prefix tree."""
 
     def __init__(self, strings: list[str], alpha: float = 0.05):
-        self.to: list[dict[str, int]] = [{}]
-        self.n, self.seen, self.ends = [0], [Counter()], [0]
+        self.to: list[dict[str, int]] = []
+        self.seen: list[Counter] = []  # how often each symbol follows
+        self.left: list[Counter] = []  # how many strings have so many symbols to come; 0: end here
+        self.n: list[int] = []
+        self._state()
         for s in sorted(strings):
             state = 0
-            self.n[0] += 1
-            for c in s:
+            for i, c in enumerate(s):
+                self.n[state] += 1
                 self.seen[state][c] += 1
+                self.left[state][len(s) - i] += 1
                 if c not in self.to[state]:
-                    self.to[state][c] = len(self.to)
-                    self.to.append({})
-                    self.n.append(0)
-                    self.seen.append(Counter())
-                    self.ends.append(0)
+                    self.to[state][c] = self._state()
                 state = self.to[state][c]
-                self.n[state] += 1
-            self.ends[state] += 1
+            self.n[state] += 1
+            self.left[state][0] += 1
         self.slack = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge_all()
         self.scores = self._log_probabilities()
 
-    def _differ(self, a: int, n: int, b: int, m: int) -> bool:
-        return abs(a / n - b / m) > self.slack * (n**-0.5 + m**-0.5)
+    def _state(self) -> int:
+        self.to.append({})
+        self.seen.append(Counter())
+        self.left.append(Counter())
+        self.n.append(0)
+        return len(self.n) - 1
+
+    def _agree(self, p: int, q: int) -> bool:
+        n, m = self.n[p], self.n[q]
+        most = self.slack * (n**-0.5 + m**-0.5)
+        if any(abs(self.seen[p][c] / n - self.seen[q][c] / m) > most for c in {*self.seen[p], *self.seen[q]}):
+            return False
+        gap = 0.0
+        for k in sorted({*self.left[p], *self.left[q]}):
+            gap += self.left[p][k] / n - self.left[q][k] / m
+            if abs(gap) > most:
+                return False
+        return True
 
     def _compatible(self, p: int, q: int) -> bool:
         todo = [(p, q)]
         while todo:
             p, q = todo.pop()
-            n, m = self.n[p], self.n[q]
-            if not n or not m:
-                continue
-            if self._differ(self.ends[p], n, self.ends[q], m) or any(self._differ(self.seen[p][c], n, self.seen[q][c], m) for c in {*self.seen[p], *self.seen[q]}):
+            if not self._agree(p, q):
                 return False
             todo += [(self.to[p][c], t) for c, t in self.to[q].items() if c in self.to[p]]
         return True
 
+    def _likelihood(self, p: int, q: int) -> float:
+        """Of the next symbols and lengths to come at q, under those at p."""
+        n = self.n[p] + 1.0
+        of = lambda known, new: sum(k * math.log((known[x] + 0.01) / n) for x, k in new.items())
+        return of(self.seen[p], self.seen[q]) + of(self.left[p], self.left[q])
+
     def _fold(self, p: int, q: int) -> None:
         """Add the subtree at q into p."""
         todo = [(p, q)]
         while todo:
             p, q = todo.pop()
             self.n[p] += self.n[q]
-            self.ends[p] += self.ends[q]
             self.seen[p].update(self.seen[q])
+            self.left[p].update(self.left[q])
             for c, t in self.to[q].items():
                 if c in self.to[p]:
                     todo.append((self.to[p][c], t))
@@ -114,26 +138,27 @@ class Automaton:
                     self.to[p][c] = t
 
     def _merge_all(self) -> None:
-        red = [0]
+        red, known = [0], {0}
         while True:
-            blue = [(p, c, self.to[p][c]) for p in red for c in sorted(self.to[p]) if self.to[p][c] not in red]
+            blue = [(p, c, self.to[p][c]) for p in red for c in sorted(self.to[p]) if self.to[p][c] not in known]
             if not blue:
                 break
             p, c, q = max(blue, key=lambda x: (self.n[x[2]], -x[2]))
-            for r in red:
-                if self._compatible(r, q):
-                    self.to[p][c] = r
-                    self._fold(r, q)
-                    break
-            else:
+            like = sorted((r for r in red if self._agree(r, q)), key=lambda r: -self._likelihood(r, q))
+            same = next((r for r in like if self._compatible(r, q)), None)
+            if same is None:
                 red.append(q)
+                known.add(q)
+            else:
+                self.to[p][c] = same
+                self._fold(same, q)
         self.red = red
 
     def _log_probabilities(self) -> dict[int, tuple[dict[str, tuple[int, float]], float]]:
         out = {}
         for p in self.red:
             n = self.n[p] + 1.0
-            out[p] = ({c: (t, math.log((self.seen[p][c] + 0.5) / n)) for c, t in self.to[p].items()}, math.log((self.ends[p] + 0.05) / n))
+            out[p] = ({c: (t, math.log((self.seen[p][c] + 0.5) / n)) for c, t in self.to[p].items()}, math.log((self.left[p][0] + 0.05) / n))
         return out
 
     def score(self, s: str, floor: float = -7.0) -> float:
@@ -162,7 +187,8 @@ class Background:
 
 class SecretModel:
     def __init__(self, labelled: dict[str, list[str]], pairs: dict[tuple[str, str], int], margin: float = 0.25):
-        self.automata = [Automaton([symbols(v) for v in sorted(vs)]) for _, vs in sorted(labelled.items()) if len(vs) >= 5]
+        self.automata = [Automaton([symbols(v) for v in sorted(vs)]) for _, vs in sorted(labelled.items())]
+        self.known: dict[str, float] = {}
         self.background = Background(pairs)
         self.threshold = margin
 
@@ -175,7 +201,14 @@ class SecretModel:
         return self.score_symbols(symbols(value)) if self.automata else -math.inf
 
     def score_symbols(self, s: str) -> float:
-        return (max(a.score(s) for a in self.automata) - self.background.score(s)) / (len(s) + 1)
+        out = self.known.get(s)
+        if out is None:
+            out = (max(a.score(s) for a in self.automata) - self.background.score(s)) / (len(s) + 1)
+            if len(self.known) > 200_000:
+                self.known.clear()
+            if len(s) <= 64:
+                self.known[s] = out
+        return out
 
     def spans(self, text: str) -> list[Span]:
         out = base_spans(text)
@@ -204,34 +237,50 @@ def other_runs(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]
     return out
 
 
-def learn(docs: DataFrame, sample: int = 400) -> SecretModel:
-    """Model from ``sample`` distinct values of each base kind, the smallest by hash, and all other runs."""
+def learn(docs: DataFrame, sample: int = 400, sample_chars: int = 100_000) -> SecretModel:
+    """Model from at most ``sample`` distinct values of each base kind, the smallest by hash (none after that which
+    reaches ``sample_chars``), and all other runs."""
+
+    def first(values: dict[int, str]) -> dict[int, str]:
+        out, chars = {}, 0
+        for key in sorted(values)[:sample]:
+            if chars >= sample_chars:
+                break
+            out[key], chars = values[key], chars + len(values[key])
+        return out
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[str, dict[int, str]] = defaultdict(dict)
+        chars: Counter[str] = Counter()
         others: Counter[str] = Counter()
 
         def offer(kind: str, value: str) -> None:
             key = int.from_bytes(hashlib.blake2b(value.encode("utf-8", "replace"), digest_size=7).digest(), "big")
-            best[kind][key] = value
-            if len(best[kind]) >= 2 * sample + 64:
-                best[kind] = {k: best[kind][k] for k in sorted(best[kind])[:sample]}
+            if key not in best[kind]:
+                best[kind][key] = value
+                chars[kind] += len(value)
+            if len(best[kind]) >= 2 * sample + 64 or chars[kind] >= 4 * sample_chars:
+                best[kind] = first(best[kind])
+                chars[kind] = sum(map(len, best[kind].values()))
+
+        def told() -> Iterator[pd.DataFrame]:
+            if others:
+                yield pd.DataFrame([("", 0, v, n) for v, n in others.items()], columns=["kind", "h", "value", "n"])
+                others.clear()
 
-        for frame in frames:
+        for frame in slices(frames):
             for text in frame.text:
                 if not isinstance(text, str):
                     continue
                 spans = base_spans(text)
                 for s in spans:
-                    if s[4] - s[3] <= 200:
-                        offer(KINDS[s[1]], text[s[3] : s[4]])
-                for a, b in other_runs(text, [(s[0], s[2]) for s in spans]):
-                    others[symbols(text[a:b])] += 1
-            if others:
-                yield pd.DataFrame([("", 0, v, n) for v, n in others.items()], columns=["kind", "h", "value", "n"])
-                others.clear()
+                    offer(KINDS[s[1]], text[s[3] : s[4]])
+                others.update(symbols(text[a:b]) for a, b in other_runs(text, [(s[0], s[2]) for s in spans]))
+            if len(others) > 50_000:
+                yield from told()
+        yield from told()
         if best:
-            yield pd.DataFrame([(k, h, v, 1) for k, vs in best.items() for h, v in sorted(vs.items())[:sample]], columns=["kind", "h", "value", "n"])
+            yield pd.DataFrame([(k, h, v, 1) for k, vs in best.items() for h, v in first(vs).items()], columns=["kind", "h", "value", "n"])
 
     def bigrams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pairs: Counter[tuple[str, str]] = Counter()
@@ -250,8 +299,13 @@ def learn(docs: DataFrame, sample: int = 400) -> SecretModel:
 
     got = docs.select("text").mapInPandas(run, "kind string, h long, value string, n long")
     got = cut(got.groupBy("kind", "h", "value").agg(F.sum("n").alias("n")))
-    nth = F.row_number().over(Window.partitionBy("kind").orderBy("h"))
-    labelled = got.where("kind <> ''").withColumn("nth", nth).where(F.col("nth") <= sample)
+    # The smallest of each part of a kind first, so that no task gets all tasks' values of it.
+    nth = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("h", "value"))
+    labelled = got.where("kind <> ''").withColumn("part", F.pmod(F.xxhash64("h", "value"), F.lit(64)))
+    labelled = labelled.withColumn("nth", nth("kind", "part")).where(F.col("nth") <= sample)
+    labelled = labelled.withColumn("nth", nth("kind")).where(F.col("nth") <= sample)
+    before = F.sum(F.length("value")).over(Window.partitionBy("kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1))
+    labelled = labelled.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < sample_chars)
     values: dict[str, list[str]] = defaultdict(list)
     for r in labelled.select("kind", "value").collect():
         values[r["kind"]].append(r["value"])
