@@ -1,15 +1,16 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
-Tokens (letter runs, lower-cased) get the log-odds of toxic against other labelled documents with a Dirichlet prior in
-proportion to the whole sample, if the difference is significant among all words, others 0; each token also pays ``drift``, which makes the expected score negative. A linear-time scan (Ruzzo and Tompa) finds every
-maximal segment of a whole text. Segment scores s over a text of n tokens are calibrated by the extreme-value law
+Tokens (letter runs, lower-cased) go by their longest form, the word or a prefix of it, that is significant among all
+forms, and get its log-odds of toxic against other labelled documents with a Dirichlet prior in proportion to the whole
+sample; tokens without such a form get 0. Each token also pays ``drift``, which makes the expected score negative. A
+linear-time scan (Ruzzo and Tompa) finds every maximal segment of a whole text. Segment scores s over a text of n tokens are calibrated by the extreme-value law
 P(S >= s) = 1 - exp(-K n exp(-lambda s)): lambda solves sum p(x) exp(lambda x) = 1 over the token scores of other
 documents, K is fitted to their best segments. Segments with an expectation under ``significant`` are toxic passages;
 the text's evidence is the sum of their -log expectations, mapped to a probability by a logistic fit at the true share
 of toxic rows.
 
-Learned from a bounded sample, about ``per_class`` labelled rows of each class by a hash of doc_id; the calibration
-uses words learned on the other half of the sample. Null or empty texts get the lowest score, that of no evidence.
+Learned from a bounded sample, about ``per_class`` labelled rows of each class by a hash of doc_id, one row a doc_id;
+the calibration uses words learned on the other half of the sample. Null or empty texts get the lowest score, that of no evidence.
 Rows without a label, with another label than 0 or 1, or with null doc_id aren't learned from; without both classes
 every score is the share of toxic rows (0 if none). Repeated rows are scored each; other columns aren't read.
 """
@@ -27,8 +28,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import cut, hinted, slices, table
 
+PREFIXES = (9, 8, 7, 6, 5)
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -36,31 +38,42 @@ def tokens_of(text: str | None) -> list[str]:
     return _TOKEN.findall(text.lower()) if isinstance(text, str) else []
 
 
+def forms(word: str) -> list[str]:
+    """The word and its shorter prefixes (marked by a star), longest first: inflected and compounded words share these."""
+    return [word, *(word[:k] + "*" for k in PREFIXES if k < len(word))]
+
+
 def token_scores(tokens: list[str], odds: dict[str, float]) -> np.ndarray:
-    get = odds.get
-    return np.fromiter((get(t, 0.0) for t in tokens), float, len(tokens))
+    def best(word: str) -> float:
+        for form in forms(word):
+            if form in odds:
+                return odds[form]
+        return 0.0
+
+    known = {t: best(t) for t in set(tokens)}
+    return np.fromiter((known[t] for t in tokens), float, len(tokens))
 
 
 def _xlogx(x: float, of: float) -> float:
     return x * math.log(x / of) if x > 0 else 0.0
 
 
-def log_odds(toxic: Counter, other: Counter, n1: int, n0: int, prior: float = 5.0, false_words: float = 0.5) -> dict[str, float]:
-    """Words by the log-odds of a toxic document to hold them, under a Dirichlet prior.
+def log_odds(toxic: Counter, other: Counter, held: Counter, n1: int, n0: int, prior: float = 50.0, false_words: float = 0.5) -> dict[str, float]:
+    """Forms by the log-odds of a token of a toxic document to have them, under a Dirichlet prior of ``prior`` tokens.
 
-    Counts are of documents that hold the word, n1 toxic and n0 other ones, so a word repeated in one long document
-    is one piece of evidence. Words count from three documents on, if their likelihood-ratio statistic is so high
-    that about ``false_words`` of all such words would reach it by chance.
+    Counts are of the tokens with the form, among n1 tokens of toxic documents and n0 of other ones; held: how many
+    documents have it. Forms count from three documents on, if their likelihood-ratio statistic, divided by the tokens
+    that a holding document has of it (which come together, so count once), is so high that about ``false_words`` of all
+    such forms would reach it by chance.
     """
-    total = toxic + other
-    words = [w for w, n in total.items() if n >= 3]
+    words = [w for w, n in held.items() if n >= 3]
     least = 2 * math.log(max(len(words), 1) / false_words)
     out = {}
     for w in words:
         a, b = toxic[w], other[w]
         e1, e0 = (a + b) * n1 / (n1 + n0), (a + b) * n0 / (n1 + n0)
         g = 2 * (_xlogx(a, e1) + _xlogx(b, e0) + _xlogx(n1 - a, n1 - e1) + _xlogx(n0 - b, n0 - e0))
-        if a > e1 and g >= least:
+        if a > e1 and g * held[w] / (a + b) >= least:
             p = prior * (a + b) / (n1 + n0)
             out[w] = math.log((a + p) / (n1 + prior - a - p)) - math.log((b + p) / (n0 + prior - b - p))
     return out
@@ -154,19 +167,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 def fit(rows: list[tuple[int, list[str]]], share: float, drift: float = 0.3, significant: float = 0.5) -> ToxicModel:
     """rows: (label, tokens); share: of toxic rows among all labelled ones."""
-    halves = [rows[::2], rows[1::2]]
+    by_class = sorted(rows, key=lambda r: r[0])
+    halves = [by_class[::2], by_class[1::2]]
     if len({y for y, _ in halves[0]}) < 2 or len({y for y, _ in halves[1]}) < 2:
         p = min(max(share, 1e-6), 1 - 1e-6)
         return ToxicModel({}, drift, 1.0, 1.0, significant, 0.0, math.log(p / (1 - p)))
 
     def learn(part: list[tuple[int, list[str]]]) -> ToxicModel:
-        counts, seen, n = (Counter(), Counter()), (set(), set()), Counter(y for y, _ in part)
+        counts, held, seen, n = (Counter(), Counter()), Counter(), (set(), set()), Counter()
         for y, ts in part:
-            # One piece of evidence a document, and one for a word between the same neighbours: copies add nothing.
-            found = {w: (a, w, b) for a, w, b in zip(["", *ts], ts, [*ts[1:], ""])}
-            counts[y].update(w for w, around in found.items() if hash(around) not in seen[y])
-            seen[y].update(map(hash, found.values()))
-        return _calibrated(log_odds(counts[1], counts[0], n[1], n[0]), [ts for y, ts in part if not y], drift, significant)
+            n[y] += len(ts)
+            # A form between the same neighbours is one piece of evidence a class: copies add nothing.
+            found = {(form, a, w, b) for a, w, b in zip(["", *ts], ts, [*ts[1:], ""]) for form in forms(w)}
+            fresh = [x for x in found if hash(x) not in seen[y]]
+            seen[y].update(map(hash, found))
+            counts[y].update(x[0] for x in fresh)
+            held.update({x[0] for x in fresh})
+        return _calibrated(log_odds(counts[1], counts[0], held, n[1], n[0]), [ts for y, ts in part if not y], drift, significant)
 
     x, y = [], []
     for fitted, other in ((0, 1), (1, 0)):
@@ -190,10 +207,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 1
     chosen = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 40)) < part * float(1 << 40))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in slices(frames):
             yield pd.DataFrame({"doc_id": frame.doc_id, "toxic": frame.toxic, "tokens": [tokens_of(t) for t in frame.text]})
 
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(hinted(cut(chosen)), "doc_id").select("doc_id", "toxic", "text").dropDuplicates(["doc_id"])
     got = texts.mapInPandas(count, "doc_id long, toxic int, tokens array<string>").toPandas()
     got = got.assign(size=got.tokens.map(len)).sort_values(["doc_id", "size"], kind="stable")
     rows = [(int(y), list(ts)) for y, ts in zip(got.toxic, got.tokens)]
