@@ -1,22 +1,30 @@
 """N-gram Jaccard join by token-combination prefixes.
 
 A document is the set of its word shingles, held as sorted 64-bit hashes. Two documents link when the Jaccard
-similarity of their sets is at least ``percent`` / 100. Equal sets are one *node*.
+similarity of their sets is at least ``percent`` / 100. Equal sets are one *node*, whatever rows hold them.
 
 Global token order: rare tokens first, then frequent ones, each by hash. A set of n tokens loses at most
 ``slack = n - ceil(percent * n / 100)`` of them against a partner, so ``slack + 1`` rare tokens are prefix enough and
-are indexed as single tokens. A set without so many rare tokens extends its prefix into the frequent class, where
-pairs of tokens are indexed: x1 rare tokens and x2 frequent ones make signatures that x1 + (x2 - 1) losses destroy,
-so x2 = slack + 2 - x1. Every match of rare tokens is verified on the whole sets, unless the prefixes show already that
-it is too small; sets that meet by frequent tokens are verified block by block (``_family_links``).
-
-A token is frequent when more than ``frequent`` *clusters* hold it in their prefixes. Clusters come first: each
+are indexed as single tokens. A set without so many rare tokens extends its prefix over the whole frequent class, where
+combinations of two tokens are indexed: those that follow each other in the set's own frequent tokens. A set of which r
+tokens are rare and met by none loses at most ``slack - r`` of the others, each of which breaks two combinations, and
+tokens that the partner has more break one each; together at most ``breaks`` of them (``breaks_of``). So by the prefix
+principle, applied to the combinations in order of their hashes, the first ``breaks + 1`` of both sets share one. That
+is less than half as many combinations as the set has tokens, at every size. Every match of rare tokens is verified on
+the whole sets, unless the prefixes show already that it is too small; sets that meet by combinations are verified
+block by block (``_family_links``).
+
+A token is frequent when more than ``frequent`` *clusters* hold it in their prefixes, or more than ``16 * frequent``
+sets of several clusters, so that no rare token makes more than a bounded number of pairs. Clusters come first: each
 token's sets are chained in order of size and tied to the smallest one, these pairs are verified, and linked sets
 form a cluster. So a group of thousands of near copies is one cluster, tied by a number of pairs in proportion to
-its size, and its own tokens stay rare. Later only pairs of different clusters are compared, which loses no link.
+its size, and its own tokens stay rare. Tokens of more than ``hot_rows`` sets are chained in salted parts, whose
+smallest sets are tied to the smallest of all. Later only pairs of different clusters are compared, which loses no link.
 
-Null or empty texts have no set (n_shingles 0) and link with nothing; repeated rows and equal texts are one node;
-repeated doc_ids each keep their row; other columns of the input are not read; an empty table gives an empty result.
+Null or empty texts have no set (n_shingles 0) and link with nothing. Repeated rows and equal texts are one node; rows
+of a repeated doc_id each keep their row and their own text's component. Null doc_ids link like others; component_id is
+the smallest doc_id that is not null in the component, or null if there is none. Other columns of the input are not
+read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, keep_keys, mix, shingle_set
+from .common import cut, hinted, keep_keys, mix, running, shingle_set
 
 
 #: Rows of edges in one partition.
@@ -40,8 +48,19 @@ def slack_of(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100
 
 
+def breaks_of(n: Column, rares: Column, percent: int) -> Column:
+    """Most combinations of following frequent tokens that a set of n tokens, none of whose rare ones is shared, can
+    lose against a partner: two for each frequent token lost, one for each that the partner has more.
+
+    With a lost and b more, a + b <= (100 - percent) / 100 of the union, which has at most 100 n / percent tokens.
+    """
+    lost = n - F.ceil(n * percent / 100)
+    either = F.floor(n * (100 - percent) / percent)
+    return (lost - rares) + F.greatest(either - rares, F.lit(0))
+
+
 def _sets(docs: DataFrame, k: int, percent: int, whole: bool) -> DataFrame:
-    """doc_id, n, node (hash of the set, null if empty), tokens (all, or the prefix with some spare)."""
+    """doc_id, text_hash, n, node (hash of the set, null if empty), tokens (all, or the prefix with some spare)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
@@ -55,9 +74,9 @@ def _sets(docs: DataFrame, k: int, percent: int, whole: bool) -> DataFrame:
                 kept.append(tokens if whole else tokens[: need + need // 8 + 8])
             ends = np.cumsum([0, *map(len, kept)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int64), *kept]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists], ["doc_id", "n", "node", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists], ["doc_id", "text_hash", "n", "node", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, node long, tokens array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n long, node long, tokens array<long>")
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -87,12 +106,19 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select("v", "v")).distinct()
 
 
+def _whole_sets(wanted: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """node, n, tokens (all) of each node of wanted (node, doc_id, text_hash: a row that has it)."""
+    wanted = cut(wanted.select("node", F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")))
+    one = docs.select(F.col("doc_id").cast("long"), "text")
+    one = one.join(hinted(wanted), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left_semi")
+    # Repeated rows give a set each, of which the first stays; another text of the same hash is another node.
+    return _sets(one, k, percent, whole=True).dropDuplicates(["node"]).join(wanted.select("node"), "node", "left_semi").select("node", "n", "tokens")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) of nodes that link, by their whole sets."""
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = cut(firsts.join(needed, "node", "left_semi").select("doc_id"))
-    full = _sets(keep_keys(docs, ids, "doc_id"), k, percent, whole=True)
-    full = cut(full.where("node is not null").select("node", "tokens"))
+    full = cut(_whole_sets(firsts.join(needed, "node", "left_semi"), docs, k, percent).select("node", "tokens"))
     b = pairs.join(full.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
     both = b.join(full.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
     shared = F.size(F.array_intersect("ta", "tb"))
@@ -100,35 +126,34 @@ def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, k: int, perc
     return both.select("a", "b", "ta", "tb", shared.alias("shared")).where(F.col("shared") * 100 >= union * percent).select("a", "b").distinct()
 
 
-def _family_links(whole: DataFrame, slack, percent: int, pair_slack: int = 24, block_tokens: int = 150_000) -> DataFrame:
+def _family_links(whole: DataFrame, slack, percent: int, block_tokens: int = 150_000) -> DataFrame:
     """Links among sets that are short of rare tokens, at least enough of them to tie all that are linked.
 
-    whole: node, n, label, rare and hot (its tokens of either class in order). The frequent tokens of a prefix are indexed in
-    pairs up to ``pair_slack``, beyond it singly (so that a prefix of x tokens makes 325 signatures at most or x);
-    sets within a factor of percent / 100 of that border are indexed both ways. Sets with a common signature, directly
-    or over others, are a family. A family is compared block by block, blocks in order of size and only those whose
-    sizes fit, by products of incidence matrices, and of the links of a block pair only a spanning forest is returned.
+    whole: node, n, label, rare and hot (its tokens of either class in order). Sets with a common combination, directly
+    or over others, are a family. A family is compared block by block, blocks in order of cluster and size and only
+    those whose sizes fit and that aren't of one cluster, by products of incidence matrices, and of the links of a block
+    pair only a spanning forest is returned.
     """
-    limit, low = F.lit(pair_slack), int(pair_slack * percent / 100)
-    scarce = whole.select("node", "label", "hot", slack(F.col("n")).cast("int").alias("slack"), F.size("rare").alias("rares")).where("rares <= slack")
-    scarce = scarce.withColumn("lost", F.col("slack") - F.col("rares"))
-    pool = scarce.where(F.col("slack") <= limit).select("node", "label", F.slice("hot", F.lit(1), F.col("lost") + 2).alias("tokens"))
-    pool = pool.select("node", "label", "tokens", F.posexplode("tokens").alias("i", "t1"))
-    pool = pool.select("node", "label", F.explode(F.expr("slice(tokens, i + 2, size(tokens))")).alias("t2"), "t1")
-    signs = pool.select("node", "label", F.xxhash64("t1", "t2").alias("sign"))
-    single = scarce.where(F.col("slack") > low).select("node", "label", F.explode(F.slice("hot", F.lit(1), F.col("lost") + 1)).alias("token"))
-    signs = signs.union(single.select("node", "label", F.xxhash64("token").alias("sign")))
-    of_sign = Window.partitionBy("sign")
-    signs = signs.select("node", F.min("node").over(of_sign).alias("star"), F.min("label").over(of_sign).alias("l1"), F.max("label").over(of_sign).alias("l2"))
-    families = cut(components(signs.where("l1 < l2 and star <> node").select(F.col("star").alias("a"), F.col("node").alias("b")).distinct()))
+    scarce = whole.select("node", "label", "hot", "n", F.size("rare").alias("rares")).where(F.col("rares") <= slack(F.col("n")))
+    pairs = lambda h: F.zip_with(F.slice(h, F.lit(1), F.size(h) - 1), F.slice(h, F.lit(2), F.size(h) - 1), lambda x, y: F.xxhash64(x, y))
+    signs = F.when(F.size("hot") > 1, F.array_sort(pairs(F.col("hot")))).otherwise(F.array().cast("array<long>"))
+    most = breaks_of(F.col("n"), F.col("rares"), percent) + 1
+    signs = scarce.select("node", "label", F.explode(F.slice(signs, F.lit(1), most.cast("int"))).alias("sign"))
+    stars = cut(signs.groupBy("sign").agg(F.min("node").alias("star"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 < l2").select("sign", "star"))
+    signs = keep_keys(signs.select("sign", "node"), stars, "sign", "inner").where("star <> node").select("star", "node")
+    families = cut(components(signs.select(F.col("star").alias("a"), F.col("node").alias("b")).distinct()))
     rows = whole.join(families.select("node", F.col("label").alias("family")), "node")
     rows = rows.select("family", "node", "n", "label", F.concat("rare", "hot").alias("tokens"))
-    in_order = Window.partitionBy("family").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, -1)
-    cost = F.greatest(F.col("n"), F.lit(block_tokens // 1000))
-    places = cut(rows.select("family", "node", "n", F.floor(F.coalesce(F.sum(cost).over(in_order), F.lit(0)) / block_tokens).alias("block")))
-    spans = cut(places.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")))
+    # Blocks by the running sum of tokens in this order over all families; one that two families share is one of each.
+    cost = F.greatest(F.col("n"), F.lit(block_tokens // 1000)).cast("long")
+    order = [F.col("family"), F.col("label"), F.col("n"), F.col("node")]
+    places = running(rows.select("family", "node", "n", "label", cost.alias("cost")), order, ["cost"])
+    places = cut(places.select("family", "node", "n", "label", F.floor(F.col("before_cost") / block_tokens).alias("block")))
+    spans = cut(places.groupBy("family", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("l1"), F.max("label").alias("l2")))
     i, j = spans.alias("i"), spans.alias("j")
-    facing = i.join(j, (F.col("i.family") == F.col("j.family")) & (F.col("i.block") <= F.col("j.block")) & (F.col("i.high") * 100 >= F.col("j.low") * percent))
+    sizes = (F.col("i.high") * 100 >= F.col("j.low") * percent) & (F.col("j.high") * 100 >= F.col("i.low") * percent)
+    several = F.least("i.l1", "j.l1") < F.greatest("i.l2", "j.l2")
+    facing = i.join(j, (F.col("i.family") == F.col("j.family")) & (F.col("i.block") <= F.col("j.block")) & sizes & several)
     facing = cut(facing.select("i.family", F.col("i.block").alias("i"), F.col("j.block").alias("j")))
     rows = cut(rows.join(places.select("node", "block"), "node"))
 
@@ -179,38 +204,53 @@ def forest(left: pd.DataFrame, right: pd.DataFrame, percent: int, columns: int =
     return out
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent: int = 16) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links) for each row of (doc_id, text)."""
+def _chained(prefix: DataFrame, hot_rows: int) -> DataFrame:
+    """token, node, n of tokens of more than one set, with first and last (n, node): the smallest of the token's sets
+    and the one before it in order of size; within salted parts for tokens of about ``hot_rows`` sets or more, whose
+    own smallest sets are tied to the smallest of all. Which tokens are so is told from one set in 64, as it only
+    spreads the work."""
+    some = prefix.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(64)) == 0).groupBy("token").agg((F.count("*") * 64).alias("holders"))
+    big = cut(some.where(F.col("holders") >= hot_rows))
+    spread = prefix.join(hinted(big), "token").withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("holders") / hot_rows))).drop("holders")
+    single = keep_keys(prefix, big.select("token"), "token", "left_anti").withColumn("salt", F.lit(0).cast("long"))
+    least = hinted(cut(spread.groupBy("token").agg(F.min(F.struct("n", "node")).alias("least"))))
+    ordered = Window.partitionBy("token", "salt").orderBy("n", "node")
+    chain = [
+        F.struct(F.first("n").over(ordered).alias("n"), F.first("node").over(ordered).alias("node")).alias("first"),
+        F.struct(F.lag("n").over(ordered).alias("n"), F.lag("node").over(ordered).alias("node")).alias("last"),
+    ]
+    single = single.select("token", "node", "n", *chain, F.count("*").over(Window.partitionBy("token", "salt")).alias("holders")).where("holders > 1").drop("holders")
+    spread = spread.select("token", "node", "n", *chain).join(least, "token")
+    spread = spread.withColumn("first", F.when(F.col("first.node") == F.col("node"), F.col("least")).otherwise(F.col("first"))).drop("least")
+    return single.unionByName(spread)
+
+
+def _components_of_nodes(docs: DataFrame, k: int, percent: int, frequent: int, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' sets (doc_id, text_hash, n, node, tokens), and top (a node) for each node that links."""
     slack = lambda n: n - F.ceil(n * percent / 100)
-    sets = cut(_sets(docs, k, percent, whole=False))
-    firsts = cut(sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    nodes = keep_keys(sets, firsts, ["node", "doc_id"]).select("node", "n", "tokens")
+    sets = cut(_sets(docs, k, percent, whole=False).withColumn("row", F.monotonically_increasing_id()))
+    firsts = cut(sets.where("node is not null").groupBy("node").agg(F.min("row").alias("row")))
+    # One row of each set, found again by the number that it has in the kept table.
+    nodes = keep_keys(sets.where("node is not null"), firsts.select("row"), "row")
+    firsts = cut(nodes.select("node", "doc_id", "text_hash"))
     prefix = nodes.select(F.explode("tokens").alias("token"), "node", "n")
-    by_token = Window.partitionBy("token")
-    ordered = by_token.orderBy("n", "node")
-    shared = prefix.select(
-        "*",
-        F.count("*").over(by_token).alias("holders"),
-        F.first("node").over(ordered).alias("star"),
-        F.first("n").over(ordered).alias("star_n"),
-        F.lag("node").over(ordered).alias("last"),
-        F.lag("n").over(ordered).alias("last_n"),
-    )
-    shared = cut(shared.where("holders > 1").drop("holders"))
     # Clusters only save work, so pairs are tried only where they met at most tokens of a prefix.
-    ends = F.explode(F.array(F.struct(F.col("star").alias("o"), F.col("star_n").alias("o_n")), F.struct(F.col("last").alias("o"), F.col("last_n").alias("o_n"))))
-    tied = shared.select("token", "node", "n", ends.alias("e")).select("token", "node", "n", "e.*").where("o <> node")
-    tied = tied.where(_sizes_fit(F.col("n"), F.col("o_n"), percent)).distinct()
+    shared = cut(_chained(prefix, hot_rows))
+    tied = shared.select("node", "n", F.explode(F.array_distinct(F.array("first", "last"))).alias("e"))
+    tied = tied.select("node", "n", F.col("e.node").alias("o"), F.col("e.n").alias("o_n")).where("o <> node")
+    tied = tied.where(_sizes_fit(F.col("n"), F.col("o_n"), percent))
     tied = tied.groupBy(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).agg(F.count("*").alias("met"), F.min(F.least("n", "o_n")).alias("n"))
     tried = cut(tied.where(F.col("met") * 10 >= (slack(F.col("n")) + 1) * 6).select("a", "b"))
     links = cut(_verified(tried, docs, firsts, k, percent))
     clusters = cut(components(links))
 
-    labelled = shared.select("node", "n", "token").join(clusters, "node", "left")
-    labelled = labelled.withColumn("label", F.coalesce("label", "node"))
-    labelled = labelled.withColumn("rank", F.dense_rank().over(by_token.orderBy("label")))
-    labelled = labelled.withColumn("held", F.max("rank").over(by_token)).where("held > 1")
-    many = cut(labelled.select("node", "n", "label", "token", (F.col("held") > frequent).cast("long").alias("hot")))
+    labelled = shared.select("token", "node", "n").join(clusters, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
+    held = labelled.groupBy("token", "label").agg(F.count("*").alias("rows")).groupBy("token").agg(F.count("*").alias("held"), F.sum("rows").alias("rows")).where("held > 1")
+    held = cut(held.select("token", ((F.col("held") > frequent) | (F.col("rows") > 16 * frequent)).alias("is_hot")))
+    hot_tokens, cold_tokens = cut(held.where("is_hot").select("token")), held.where("not is_hot").select("token")
+    cold = keep_keys(labelled, hot_tokens, "token", "left_anti").join(cold_tokens, "token", "left_semi")
+    hot = keep_keys(labelled, hot_tokens, "token")
+    many = cut(cold.withColumn("hot", F.lit(0).cast("long")).unionByName(hot.withColumn("hot", F.lit(1).cast("long"))))
 
     def crossing(left: DataFrame, right: DataFrame) -> DataFrame:
         """Distinct pairs of different clusters that share a signature and fit in size."""
@@ -232,23 +272,24 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent:
     met = met.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), (F.col("x.n") + F.col("y.n")).alias("both"), room.alias("room")).agg(F.count("*").alias("met"))
     found = [met.where((F.col("met") + F.col("room")) * (100 + percent) >= F.col("both") * percent).select("a", "b")]
 
-    # Sets with too few rare tokens in what was kept of their prefixes are taken whole. Tokens that many clusters of
-    # these hold are frequent too, which may leave more sets short; the frequent class only grows, so this ends.
-    hot_tokens, whole = cut(many.where("hot = 1").select("token").distinct()), None
-    while hot_tokens.count():
+    # Sets with too few rare tokens in what was kept of their prefixes are taken whole. Tokens that many clusters or
+    # sets of these hold are frequent too, which may leave more sets short; the frequent class only grows, so this ends.
+    whole = None
+    while not hot_tokens.isEmpty():
         hits = keep_keys(prefix, hot_tokens, "token").groupBy("node", "n").agg(F.count("*").alias("hot"))
         short = cut(hits.where(spare - F.col("hot") <= slack(F.col("n"))).select("node"))
-        ids = cut(firsts.join(short, "node", "left_semi").select("doc_id"))
-        full = _sets(keep_keys(docs, ids, "doc_id"), k, percent, whole=True).dropDuplicates(["node"])
-        whole = cut(full.join(short, "node").join(clusters, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), "tokens"))
-        cold = whole.select(F.explode("tokens").alias("token"), "label").distinct().groupBy("token").count().where(F.col("count") > frequent)
-        more = cut(cold.join(hot_tokens, "token", "left_anti").select("token"))
-        if not more.count():
+        full = _whole_sets(firsts.join(short, "node", "left_semi"), docs, k, percent)
+        whole = cut(full.join(clusters, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"), "tokens"))
+        spread = whole.select(F.explode("tokens").alias("token"), "label").groupBy("token", "label").agg(F.count("*").alias("rows"))
+        spread = spread.groupBy("token").agg(F.count("*").alias("held"), F.sum("rows").alias("rows"))
+        spread = spread.where((F.col("held") > frequent) | (F.col("held") > 1) & (F.col("rows") > 16 * frequent))
+        more = cut(spread.join(hot_tokens, "token", "left_anti").select("token"))
+        if more.isEmpty():
             break
         hot_tokens = cut(hot_tokens.union(more))
     late_links = None
     if whole is not None:
-        flagged = whole.select("node", F.explode("tokens").alias("token")).join(hot_tokens, "token", "left_semi")
+        flagged = keep_keys(whole.select("node", F.explode("tokens").alias("token")), hot_tokens, "token")
         flagged = flagged.groupBy("node").agg(F.array_sort(F.collect_list("token")).alias("hot"))
         whole = whole.join(flagged, "node").withColumn("rare", F.array_except("tokens", "hot"))
         whole = cut(whole.select("node", "n", "label", "rare", "hot"))
@@ -271,23 +312,61 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent:
     merged = components(late)
     ends = merged.select(F.col("node").alias("label"), F.col("label").alias("top"))
     tops = clusters.join(ends, "label", "full").select(F.coalesce("node", "label").alias("node"), F.coalesce("top", "label").alias("top"))
-    ids = tops.join(firsts, "node")
-    mins = ids.groupBy("top").agg(F.min("doc_id").alias("component_id"))
-    reached = ids.join(mins, "top").select("node", "component_id")
-    out = firsts.join(reached, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return sets.join(out, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return sets, cut(tops)
 
 
-def one_of_each_group(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, one for each; null doc_ids stay."""
-    found = cut(jaccard_components(docs, **how))
-    counts = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("component_id") == F.col("doc_id")).alias("first"))
-    firsts = cut(counts.where("first"))
-    once = keep_keys(docs, firsts.where("rows = 1").select("doc_id"), "doc_id")
-    # Rows of a repeated doc_id: those of equal sets are one, others stay apart.
-    again = keep_keys(docs, firsts.where("rows > 1").select("doc_id"), "doc_id").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again).unionByName(docs.where("doc_id is null"))
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, frequent: int = 16, hot_rows: int = 2_000) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links) for each row of (doc_id, text)."""
+    sets, tops = _components_of_nodes(docs, k, percent, frequent, hot_rows)
+    ids = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(tops, "node", "left")
+    ids = cut(ids.select("node", "doc_id", F.coalesce("top", "node").alias("top")))
+    reached = ids.groupBy("top").agg(F.min("doc_id").alias("component_id"))
+    out = ids.join(reached, "top").select("node", "component_id")
+    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return sets.join(out, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80, frequent: int = 16, hot_rows: int = 2_000) -> DataFrame:
+    """One row of docs for each component, of the smallest doc_id (nulls last) and text hash; sets decide, not doc_ids.
+
+    Rows without a set stay, as they link with nothing; of rows that are equal in doc_id and text one stays.
+    """
+    sets, tops = _components_of_nodes(docs, k, percent, frequent, hot_rows)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = sets.where("node is not null").groupBy("node").agg(F.min(order).alias("first"), F.count("*").alias("rows"))
+    first = first.join(tops, "node", "left").groupBy(F.coalesce("top", "node").alias("top")).agg(F.min("first").alias("first"))
+    heads = cut(first.select(F.col("first.doc_id").alias("_d"), F.col("first.text_hash").alias("_t")))
+    same = sets.where("node is not null").groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"))
+    again = cut(heads.join(same.withColumnsRenamed({"_d": "e", "_t": "u"}), F.col("_d").eqNullSafe(F.col("e")) & (F.col("_t") == F.col("u")), "left_semi"))
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t"))
+    once = heads.join(again.withColumnsRenamed({"_d": "e", "_t": "u"}), F.col("_d").eqNullSafe(F.col("e")) & (F.col("_t") == F.col("u")), "left_anti")
+    words = F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
+    kept = docs.where(words).join(hinted(cut(once)), own, "left_semi")
+    if not again.isEmpty():
+        kept = kept.unionByName(docs.where(words).join(hinted(again), own, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.unionByName(docs.where(~words))
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: The same in DuckDB, for the whole table.
+OP10_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) end as s from w),
+t as (select doc_id, len(s) as n, md5(array_to_string(list_sort(s), chr(10))) as node, s from s),
+u as (select node, any_value(s) as s, any_value(n) as n from t where n > 0 group by node),
+e as (select node, n, unnest(s) as token from u),
+l as (
+  select a.node as a, b.node as b from e a join e b on a.token = b.token and a.node < b.node and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80
+  group by a.node, b.node, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+pairs as (select a, b from l union all select b, a from l),
+r(node, other) as (select node, node from u union select r.node, pairs.b from r join pairs on r.other = pairs.a),
+c as (select r.node, min(t.doc_id) as component_id from r join t on t.node = r.other and t.n > 0 group by r.node)
+select t.doc_id, t.n as n_shingles, case when t.n = 0 then t.doc_id else c.component_id end as component_id
+from t left join c on t.node = c.node and t.n > 0
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .chat_format import OP6_SQL, op6_chat_format
 from .decontamination import op4_decontamination
-from .jaccard_join import op10_jaccard_join
+from .jaccard_join import OP10_SQL, op10_jaccard_join
 from .language_id import op1_language_id
 from .license_scan import op9_license_scan
 from .mixing import OP3_SQL, op3_source_mix
@@ -20,4 +20,4 @@ QUERIES = {
         op6_chat_format, op7_toxicity, op8_secret_scan, op9_license_scan, op10_jaccard_join,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op3_source_mix": OP3_SQL, "op6_chat_format": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_source_mix": OP3_SQL, "op6_chat_format": OP6_SQL, "op10_jaccard_join": OP10_SQL}
