@@ -11,7 +11,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,11 +70,11 @@ def running(df: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
     Rows are range-sorted into partitions and kept; partition totals, one row each, give each partition its start, and
     running sums within a partition are taken batch by batch. So no task holds more than its range.
     """
-    kept = cut(df.repartitionByRange(*order).sortWithinPartitions(*order))
-    totals = kept.groupBy(F.spark_partition_id().alias("part")).agg(*[F.sum(c).alias(c) for c in sums]).collect()
+    kept = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    totals = kept.groupBy("_part").agg(*[F.sum(c).alias(c) for c in sums]).collect()
     at, starts = dict.fromkeys(sums, 0), {}
-    for r in sorted(totals, key=lambda r: r["part"]):
-        starts[r["part"]] = dict(at)
+    for r in sorted(totals, key=lambda r: r["_part"]):
+        starts[r["_part"]] = dict(at)
         at = {c: at[c] + r[c] for c in sums}
     kinds = {c: kept.schema[c].dataType.simpleString() for c in sums}
 
@@ -85,7 +84,7 @@ def running(df: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
             if not batch.num_rows:
                 continue
             if reached is None:
-                reached = dict(starts[TaskContext.get().partitionId()])
+                reached = dict(starts[batch.column(batch.schema.get_field_index("_part"))[0].as_py()])
             for c in sums:
                 values = batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
                 total = np.cumsum(values)
@@ -94,7 +93,7 @@ def running(df: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
             yield batch
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInArrow(add, schema + "".join(f", before_{c} {kinds[c]}" for c in sums))
+    return kept.mapInArrow(add, schema + "".join(f", before_{c} {kinds[c]}" for c in sums)).drop("_part")
 
 
 _P = 0x9E3779B97F4A7C15 | 1
