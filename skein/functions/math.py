@@ -60,3 +60,46 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+def noisy_or_of(values: Column) -> Column:
+    """Noisy or of an array, in order."""
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: noisy_or(acc, x))
+
+
+def colour_mix(similarities: list[Column], colours: list[tuple[int, int, int]]) -> list[Column]:
+    """Red, green and blue of colours mixed by the cubes of similarities to them; each from 0 to 255, grey if the cubes
+    add up to 0."""
+    cubes = [s * s * s for s in similarities]
+    total = sum(cubes[1:], cubes[0])
+    out = []
+    for i in range(3):
+        parts = [F.lit(float(c[i])) * w / total for c, w in zip(colours, cubes)]
+        mixed = sum(parts[1:], parts[0])
+        out.append(F.when(total == 0, 128).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(255.0), mixed)).cast("int")))
+    return out
+
+
+def valued(df, value, keep=()):
+    """df with v = value(df), rows of all conditions in ``keep`` only; value and conditions make columns of a frame."""
+    for condition in keep:
+        df = df.where(condition(df))
+    return df.withColumn("v", value(df))
+
+
+def coalesce_sum(x: Column) -> Column:
+    """The sum, 0 of nothing."""
+    return F.coalesce(F.sum(x), F.lit(0)).cast("long")
+
+
+def register_table_functions(spark) -> None:
+    """skein_terms(text, mark): rows pos, term of a delimited text."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="pos int, term string")
+    class Terms:
+        def eval(self, text: str, mark: str):
+            for i, term in enumerate((text or "").split(mark)):
+                yield i, term
+
+    spark.udtf.register("skein_terms", Terms)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,18 +62,181 @@ def vote_scores(votes: DataFrame, keys: list[str]) -> DataFrame:
 
 def round_robin(sources: dict[str, DataFrame], order: str) -> DataFrame:
     """One row of each source in turn until all are exhausted: columns plus source and turn."""
+    from .order import numbered
+
     out = None
     for name, df in sources.items():
-        mine = df.withColumns({"source": F.lit(name), "turn": F.row_number().over(Window.orderBy(order)).cast("long")})
+        mine = numbered(df.withColumn("source", F.lit(name)), [F.col(order)], "turn")
         out = mine if out is None else out.unionByName(mine)
     return out
 
 
 def expand_links(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """url, depth of every url within ``depth`` links of the seeds; links (url, target), seeds (url)."""
-    reached = frontier = seeds.select("url").distinct().withColumn("depth", F.lit(0))
+    """url, depth of every url within ``depth`` links of the seeds; links (url, target), seeds (url).
+
+    Links are kept once by url; each round's frontier is kept too, so that rounds don't repeat those before.
+    """
+    from .order import kept
+
+    links = kept(links.select("url", "target").distinct())
+    reached = frontier = kept(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
     for d in range(1, depth + 1):
         step = links.join(frontier.select("url"), "url").select(F.col("target").alias("url")).distinct()
-        frontier = step.join(reached.select("url"), "url", "left_anti").withColumn("depth", F.lit(d))
+        frontier = kept(step.join(reached.select("url"), "url", "left_anti").withColumn("depth", F.lit(d)))
+        if frontier.isEmpty():
+            break
         reached = reached.union(frontier)
     return reached
+
+
+def all_in(text: Column, terms: list[str]) -> Column:
+    out = F.lit(True)
+    for term in terms:
+        out = out & text.contains(term)
+    return out
+
+
+def any_in(text: Column, terms: list[str]) -> Column:
+    out = F.lit(False)
+    for term in terms:
+        out = out | text.contains(term)
+    return out
+
+
+def first_visible(df: DataFrame, rules: dict[str, int]) -> DataFrame:
+    """Rows that some rule (an SQL condition) shows, once, with the least priority of these rules."""
+    priority = F.least(*[F.when(F.expr(rule), p) for rule, p in rules.items()])
+    return df.withColumn("priority", priority).where("priority is not null")
+
+
+def cascade(gone: DataFrame, levels: list[tuple[str, DataFrame, str, str]]) -> dict[str, DataFrame]:
+    """What is left of each level (name, rows, key to the level above, own key) when the rows of ``gone`` go, and with
+    them all below."""
+    left = {}
+    for name, rows, above, own in levels:
+        keys = gone.toDF(above)
+        left[name] = rows.join(keys, above, "left_anti")
+        gone = rows.join(keys, above, "left_semi").select(own).distinct()
+    return left
+
+
+def bulk(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """The rows with these ids; ids without a row are dropped."""
+    return df.join(ids.distinct(), on, "left_semi")
+
+
+def pairs(df: DataFrame, key: str, value: str, ordered: bool = False) -> DataFrame:
+    """a, b: values of all pairs of rows with different keys (both ways) or with the first key smaller. The result has
+    the square of the rows by definition, so this is for short lists."""
+    x, y = df.alias("x"), df.alias("y")
+    on = F.col(f"x.{key}") != F.col(f"y.{key}") if ordered else F.col(f"x.{key}") < F.col(f"y.{key}")
+    return x.join(y, on).select(F.col(f"x.{value}").alias("a"), F.col(f"y.{value}").alias("b"))
+
+
+def permuted(df: DataFrame, column: str) -> DataFrame:
+    """A row for each order of the array in ``column``."""
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda x: [list(p) for p in itertools.permutations(x)])
+
+    return df.withColumn(column, F.explode(F.pandas_udf(run, "array<array<string>>")(F.col(column))))
+
+
+def rolled_up(specs: DataFrame, key: str, delimited: str, limit: str) -> DataFrame:
+    """key, terms (distinct, trimmed, sorted, of all its comma lists) and most (the greatest limit)."""
+    from ..functions.text import terms
+
+    rows = specs.select(key, limit, F.explode_outer(terms(F.col(delimited))).alias("term"))
+    return rows.groupBy(key).agg(F.array_sort(F.collect_set("term")).alias("terms"), F.max(limit).alias("most"))
+
+
+def best_of_few(df: DataFrame, keys: list[str], by: list, n: int, parts: int = 64) -> DataFrame:
+    """``best_of`` where groups are few and large: first the best n of each of ``parts`` parts of a group."""
+    part = F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys]), F.lit(parts))
+    return best_of(best_of(df.withColumn("_part", part), [*keys, "_part"], by, n), keys, by, n).drop("_part")
+
+
+def clamped(asked: int | None, most: int, usual: int) -> int:
+    """A limit between 1 and ``most``; ``usual`` if none or less is asked for."""
+    return usual if asked is None or asked < 1 else min(asked, most)
+
+
+def clamped_page(df: DataFrame, by: list, number: int, size: int) -> DataFrame:
+    """The rows of a page, its number put between the first and the last one there is, with page, total, has_next and
+    has_last. The total is counted first, as it says which page that is."""
+    total = df.count()
+    last = max(1, -(-total // size))
+    number = min(max(1, number), last)
+    extra = {"page": F.lit(number).cast("long"), "total": F.lit(total).cast("long"), "has_next": F.lit(number < last), "has_last": F.lit(number > 1)}
+    return page(df, by, number, size).withColumns(extra)
+
+
+def best_frame(df: DataFrame, said: str, frames: list[tuple[int, str, int]]) -> DataFrame:
+    """df with frame_id, first and second of the best frame (id, template, goodness) that its text fits; rows that fit
+    none are left out."""
+    from ..functions.text import template_match
+
+    tried = []
+    for frame_id, template, _ in sorted(frames, key=lambda f: (-f[2], f[0])):
+        first, second = template_match(template, F.col(said))
+        tried.append(F.when(first.isNotNull(), F.struct(F.lit(frame_id).alias("frame_id"), first.alias("first"), second.alias("second"))))
+    return df.withColumn("_fit", F.coalesce(*tried)).where("_fit is not null").select(*df.columns, "_fit.*")
+
+
+def known_in_any_case(df: DataFrame, column: str, known: DataFrame, name: str) -> DataFrame:
+    keys = known.select(F.lower(name).alias("_known")).distinct()
+    return df.join(keys, F.lower(F.col(column)) == F.col("_known"), "left_semi")
+
+
+def newest_of_near_urls(df: DataFrame, key: str, url: str) -> DataFrame:
+    """The greatest key of each group of URLs of one host and query whose paths are the same but for .htm or .html."""
+    from ..functions import url as U
+
+    p = U.parts(F.col(url))
+    return df.groupBy(p["host"], p["query"], U.without_extension(p["path"])).agg(F.max(key).alias(key))
+
+
+#: Words of SQL that terms of a search may not be.
+SQL_WORDS = ["select", "drop", "insert", "delete", "update", "and", "or", "not"]
+
+
+def cleaned_terms(df: DataFrame, column: str) -> DataFrame:
+    """term: the distinct terms of all arrays, without words of SQL and empty ones."""
+    rows = df.select(F.explode(column).alias("term"))
+    return rows.where(~F.col("term").isin([*SQL_WORDS, ""])).distinct()
+
+
+def assertions_of(raw: DataFrame) -> DataFrame:
+    """relation, concept1, concept2, assertion_id (least raw_id), creators and score (each creator's last vote) from raw
+    assertions (raw_id, user_id, relation, concept1, concept2, vote)."""
+    what = ["relation", "concept1", "concept2"]
+    one = raw.groupBy(*what, "user_id").agg(F.min("raw_id").alias("raw_id"), F.max_by("vote", "raw_id").alias("vote"))
+    return one.groupBy(*what).agg(F.min("raw_id").alias("assertion_id"), F.count("*").alias("creators"), F.sum("vote").alias("score"))
+
+
+def appended(log: DataFrame, events: DataFrame) -> DataFrame:
+    return log.unionByName(events)
+
+
+def merged_by_etag(old: DataFrame, new: DataFrame, key: str, etag: str, value: str) -> DataFrame:
+    """Old rows with changed and new ones in their place, and delta, what ``value`` changed by."""
+    was = old.select(F.col(key).alias("_k"), F.col(etag).alias("_e"), F.col(value).alias("_v"))
+    rows = new.join(was, F.col(key) == F.col("_k"), "full")
+    fresh = F.col(key).isNotNull() & (F.col("_k").isNull() | (F.col(etag) != F.col("_e")))
+    return rows.select(
+        F.coalesce(key, "_k").alias(key),
+        F.when(fresh, F.col(etag)).otherwise(F.col("_e")).alias(etag),
+        F.when(fresh, F.col(value)).otherwise(F.col("_v")).alias(value),
+        F.when(fresh, F.col(value) - F.coalesce("_v", F.lit(0))).otherwise(0).alias("delta"),
+    )
+
+
+def got_or_created(known: DataFrame, asked: DataFrame) -> DataFrame:
+    """text (lower-case, trimmed), id and created of each text asked for; new texts get the ids after the greatest."""
+    from .order import numbered
+
+    texts = asked.select(F.lower(F.trim("text")).alias("text")).distinct()
+    found = texts.join(known, "text", "left")
+    top = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    new = numbered(found.where("id is null").select("text"), [F.col("text")], "nth").crossJoin(F.broadcast(top))
+    new = new.select("text", (F.col("top") + F.col("nth")).alias("id"), F.lit(True).alias("created"))
+    return found.where("id is not null").withColumn("created", F.lit(False)).unionByName(new)

@@ -17,14 +17,26 @@ from ..operators import relational as R
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-Read = Callable[[str], DataFrame]
+
+
+class Read:
+    """Reads tables by name; ``values`` makes a small one of literals."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def values(self, schema: str, rows: list) -> DataFrame:
+        return self.spark.createDataFrame(rows, schema)
 
 
 def query(name: str, sql: str | None = None):
     """Register a function of a table reader."""
 
     def add(f: Callable[[Read], DataFrame]):
-        _QUERIES[name] = lambda spark, sf_dir: f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+        _QUERIES[name] = lambda spark, sf_dir: f(Read(spark, sf_dir))
         if sql:
             _SQL[name] = sql
         return f
@@ -71,27 +83,6 @@ def _(t):
     return t("orders").where("o_orderkey = 33").select("o_orderkey", "o_totalprice")
 
 
-@query("src09_round_robin", "select n_name as name, 'nation' as source, row_number() over (order by n_name) as turn from nation union all select r_name, 'region', row_number() over (order by r_name) from region")
-def _(t):
-    return R.round_robin({"nation": t("nation").select(F.col("n_name").alias("name")), "region": t("region").select(F.col("r_name").alias("name"))}, "name")
-
-
-@query("src10_word_mapping", "select trim(split_part(m,'=>',1)) as word, trim(split_part(m,'=>',2)) as becomes from (select unnest(['dont => do not','cant=>can not']) as m)")
-def _(t):
-    rows = t("region").limit(1).select(F.explode(F.array(F.lit("dont => do not"), F.lit("cant=>can not"))).alias("m"))
-    return rows.select(F.trim(F.split_part("m", F.lit("=>"), F.lit(1))).alias("word"), F.trim(F.split_part("m", F.lit("=>"), F.lit(2))).alias("becomes"))
-
-
-@query("src11_url_lines", "select doc_id, unnest(string_split(text, chr(10))) as line from documents")
-def _(t):
-    return t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-
-
-@query("src14_paged_requests", "select r_name as term, unnest(range(0, 250, 100)) as start_at from region")
-def _(t):
-    return t("region").select(F.col("r_name").alias("term"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(249).cast("long"), F.lit(100).cast("long"))).alias("start_at"))
-
-
 # Filters and projections
 
 
@@ -123,17 +114,6 @@ def _(t):
     return t("pages").select("page_id", U.status(F.col("url"), _RULES).alias("reason"))
 
 
-@query("flt06_own_site", "select page_id from pages where not contains(regexp_extract(url,'^[a-z]+://([^/?#]+)',1),'.example.net')")
-def _(t):
-    return t("pages").where(~U.parts(F.col("url"))["host"].contains(".example.net")).select("page_id")
-
-
-@query("flt07_link_screen", "select page_id, h as href from (select page_id, unnest(regexp_extract_all(html,'<a href=\"([^\"]*)\"',1)) as h from pages) where contains(h,'th') and not contains(h,'er')")
-def _(t):
-    links = t("pages").select("page_id", F.explode(H.hrefs(F.col("html"))).alias("href"))
-    return R.include_exclude(links, F.col("href"), [], []).where(F.col("href").contains("th") & ~F.col("href").contains("er"))
-
-
 @query("flt08_text_filter", "select doc_id from documents where (contains(lower(text),'trash') or contains(lower(text),'scum')) and not contains(lower(text),'clown') and length(text)>=200")
 def _(t):
     return R.include_exclude(t("documents"), F.col("text"), ["trash", "scum"], ["clown"], all_of=False, least=200).select("doc_id")
@@ -182,29 +162,6 @@ def _(t):
     return t("events").where(F.col("user_id").isin(1, 2, 3)).select("event_id")
 
 
-@query("flt21_soft_404", "select page_id, (strpos(html,'404')>1 or strpos(html,'Not Found')>1) as gone from pages")
-def _(t):
-    return t("pages").select("page_id", ((F.locate("404", "html") > 1) | (F.locate("Not Found", "html") > 1)).alias("gone"))
-
-
-@query("prj02_date_format", "select o_orderkey, strftime(o_orderdate, '%b-%d-%Y') as day from orders")
-def _(t):
-    return t("orders").select("o_orderkey", F.date_format("o_orderdate", "MMM-dd-yyyy").alias("day"))
-
-
-_PARTS = "regexp_extract(url,'^([a-z]+)://',1) as scheme, regexp_extract(url,'^[a-z]+://([^/?#]+)',1) as host, regexp_extract(url,'^[a-z]+://[^/?#]+([^?#]*)',1) as path, regexp_extract(url,'^[^?#]*\\?([^#]*)',1) as query, regexp_extract(url,'^[^#]*#(.*)$',1) as fragment"
-
-
-@query("prj03_url_parts", f"select page_id, {_PARTS} from pages")
-def _(t):
-    return t("pages").select("page_id", *[c.alias(k) for k, c in U.parts(F.col("url")).items()])
-
-
-@query("prj04_url_recompose", "select page_id, url as again from pages")
-def _(t):
-    return t("pages").select("page_id", U.recompose(U.parts(F.col("url"))).alias("again"))
-
-
 # Joins
 
 
@@ -218,21 +175,11 @@ def _(t):
     return R.best_of(t("orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"])
 
 
-@query("join04_score_or_na", "select d.doc_id, coalesce(cast(l.toxic as varchar),'n/a') as score from documents d left join labels l using(doc_id)")
-def _(t):
-    return t("documents").select("doc_id").join(t("labels"), "doc_id", "left").select("doc_id", F.coalesce(F.col("toxic").cast("string"), F.lit("n/a")).alias("score"))
-
-
 @query("join05_orphans", "select doc_id from documents where doc_id not in (select doc_id from labels)")
 def _(t):
     return R.without(t("documents").select("doc_id"), t("labels"), "doc_id")
 
 
-@query("join06_cascade_delete", "select l_orderkey, l_linenumber from lineitem where l_orderkey not in (select o_orderkey from orders where o_custkey<50)")
-def _(t):
-    return R.without(t("lineitem").select("l_orderkey", "l_linenumber"), t("orders").where("o_custkey<50").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
-
-
 @query("join07_semi", "select c_custkey from customer where exists (select 1 from orders where o_custkey=c_custkey and o_totalprice>400000)")
 def _(t):
     return t("customer").select("c_custkey").join(t("orders").where("o_totalprice>400000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
@@ -250,17 +197,6 @@ def _(t):
     return a.join(b, (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_nationkey") != F.col("b.n_nationkey"))).select(F.col("a.n_name").alias("a"), F.col("b.n_name").alias("b"))
 
 
-@query("join14_pairs", "select a.r_name as a, b.r_name as b from region a join region b on a.r_regionkey<b.r_regionkey")
-def _(t):
-    a, b = t("region").alias("a"), t("region").alias("b")
-    return a.join(b, F.col("a.r_regionkey") < F.col("b.r_regionkey")).select(F.col("a.r_name").alias("a"), F.col("b.r_name").alias("b"))
-
-
-@query("join15_rollup_terms", "select n_regionkey, list_sort(list(distinct n_name)) as names, max(n_nationkey) as most from nation group by 1")
-def _(t):
-    return t("nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_set("n_name")).alias("names"), F.max("n_nationkey").alias("most"))
-
-
 # Aggregates
 
 
@@ -284,18 +220,6 @@ def _(t):
     return lexicon_counts(t("documents")).select("doc_id", (F.col("pos") - F.col("neg") - 2 * F.col("obscene")).alias("polarity"), "pos", "neg")
 
 
-@query("agg07_source_polarity", f"select source, sum({HITS['pos']}-{HITS['neg']})::bigint as polarity from documents group by 1")
-def _(t):
-    docs = t("documents").select("source", T.tokens(F.col("text")).alias("w"))
-    return docs.groupBy("source").agg(F.sum(T.hits(F.col("w"), lex.POSITIVE) - T.hits(F.col("w"), lex.NEGATIVE)).alias("polarity"))
-
-
-@query("agg08_word_frequency", f"select w as word, count(*) as n from (select unnest({TOK}) as w from documents) where w not in (select unnest({_in(lex.STOP)})) group by 1")
-def _(t):
-    words = t("documents").select(F.explode(T.tokens(F.col("text"))).alias("word")).where(~F.col("word").isin(lex.STOP))
-    return words.groupBy("word").agg(F.count("*").alias("n"))
-
-
 _VOTE = "case when event_type='purchase' then 1 when event_type='error' then -1 when event_type='view' then 0 end"
 
 
@@ -304,18 +228,6 @@ def _(t):
     return R.vote_scores(t("events").select(F.col("event_type").alias("object"), F.expr(_VOTE).alias("vote")), ["object"])
 
 
-@query("agg10_top_scored", "select user_id, count(*) as n, round(sum(value),4) as total from events group by 1 having count(*)>=3 order by n desc, user_id limit 25")
-def _(t):
-    sums = t("events").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return R.top_rows(sums.where("n>=3"), [F.desc("n"), "user_id"], 25)
-
-
-@query("agg11_degree", "select part, count(*) as degree from (select l_partkey as part from lineitem union all select l_suppkey from lineitem) group by 1")
-def _(t):
-    l = t("lineitem")  # noqa: E741
-    return l.select(F.col("l_partkey").alias("part")).union(l.select("l_suppkey")).groupBy("part").agg(F.count("*").alias("degree"))
-
-
 @query("agg13_group_list", "select l_orderkey, list_sort(list(l_linenumber)) as l from lineitem group by 1")
 def _(t):
     return t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("l"))
@@ -326,43 +238,15 @@ def _(t):
     return R.best_of(t("orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), "o_orderkey"]).drop("o_totalprice")
 
 
-@query("agg16_term_document", f"select doc_id, w as word, count(*) as n from (select doc_id, unnest({TOK}) as w from documents) group by 1,2")
-def _(t):
-    return t("documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-
-
-@query("agg17_tfidf", f"with m as (select doc_id, w as word, count(*) as n from (select doc_id, unnest({TOK}) as w from documents) group by 1,2), d as (select word, count(*) as df from m group by 1) select doc_id, word, round(n*ln((select count(*) from documents)/df),6) as tfidf from m join d using(word)")
-def _(t):
-    docs = t("documents")
-    m = docs.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    df = m.groupBy("word").agg(F.count("*").alias("df"))
-    total = docs.agg(F.count("*").alias("total"))
-    return m.join(df, "word").crossJoin(F.broadcast(total)).select("doc_id", "word", F.round(F.col("n") * F.log(F.col("total") / F.col("df")), 6).alias("tfidf"))
-
-
 @query("agg18_read_counters", "select sum(case when value>50 then 1 else 0 end)::bigint as ok, sum(case when value>50 then 0 else 1 end)::bigint as failed from events")
 def _(t):
     ok = F.when(F.col("value") > 50, 1).otherwise(0)
     return t("events").agg(F.sum(ok).alias("ok"), F.sum(1 - ok).alias("failed"))
 
 
-@query("agg19_tensor_sum", "select l_partkey as a, l_returnflag as rel, l_suppkey as b, sum(l_quantity)::bigint as w from lineitem group by 1,2,3 union all select l_suppkey, '-'||l_returnflag, l_partkey, sum(l_quantity)::bigint from lineitem group by 1,2,3")
-def _(t):
-    s = t("lineitem").groupBy("l_partkey", "l_returnflag", "l_suppkey").agg(F.sum("l_quantity").cast("long").alias("w"))
-    fwd = s.select(F.col("l_partkey").alias("a"), F.col("l_returnflag").alias("rel"), F.col("l_suppkey").alias("b"), "w")
-    return fwd.union(fwd.select("b", F.concat(F.lit("-"), F.col("rel")), "a", "w"))
-
-
 # Windows, order, pages
 
 
-@query("win02_hit_windows", r"with s as (select doc_id, unnest(string_split(regexp_replace(text,'[.!?]','\0'||chr(10),'g'),chr(10))) as sent, generate_subscripts(string_split(regexp_replace(text,'[.!?]','\0'||chr(10),'g'),chr(10)),1)-1 as pos from documents), h as (select *, max(case when contains(sent,' the ') then 1 else 0 end) over (partition by doc_id order by pos rows between 1 preceding and 1 following) as near from s) select doc_id, count(*) as kept from h where near=1 group by 1")
-def _(t):
-    s = t("documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sent"))
-    near = F.max(F.col("sent").contains(" the ").cast("int")).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(-1, 1))
-    return s.withColumn("near", near).where("near=1").groupBy("doc_id").agg(F.count("*").alias("kept"))
-
-
 @query("win03_prefix_dedup", "select min(doc_id) as doc_id, text[1:50] as prefix from documents group by 2")
 def _(t):
     return t("documents").groupBy(T.prefix_key(F.col("text")).alias("prefix")).agg(F.min("doc_id").alias("doc_id"))
@@ -373,32 +257,11 @@ def _(t):
     return t("events").select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("r"))
 
 
-@query("win07_ngrams", f"with w as (select doc_id, {TOK} as w from documents) select doc_id, len(w)+greatest(len(w)-1,0)+greatest(len(w)-2,0) as n from w")
-def _(t):
-    return t("documents").select("doc_id", F.size(T.windows(T.tokens(F.col("text")), 3)).cast("long").alias("n"))
-
-
-@query("win08_top_per_group", "select l_returnflag, l_orderkey, l_linenumber from (select *, row_number() over (partition by l_returnflag order by l_extendedprice desc, l_orderkey, l_linenumber) r from lineitem) where r<=10")
-def _(t):
-    l = t("lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice")  # noqa: E741
-    return R.best_of(l, ["l_returnflag"], [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"], 10).drop("l_extendedprice")
-
-
 @query("top01_newest", "select o_orderkey from orders order by o_orderdate desc, o_orderkey limit 20")
 def _(t):
     return R.top_rows(t("orders"), [F.desc_nulls_last("o_orderdate"), "o_orderkey"], 20).select("o_orderkey")
 
 
-@query("top02_page", "select o_orderkey from orders order by o_totalprice, o_orderkey limit 20 offset 40")
-def _(t):
-    return R.page(t("orders"), ["o_totalprice", "o_orderkey"], 3, 20).select("o_orderkey")
-
-
-@query("top03_page_total", "select doc_id, (select count(*) from documents) as total from documents order by doc_id limit 300")
-def _(t):
-    return R.page(t("documents").select("doc_id"), ["doc_id"], 1, 300).crossJoin(F.broadcast(t("documents").agg(F.count("*").alias("total"))))
-
-
 # Sets and mutations
 
 
@@ -407,12 +270,6 @@ def _(t):
     return t("events").select("event_type").distinct()
 
 
-@query("set04_url_near_duplicates", "select max(page_id) as page_id from pages group by regexp_extract(url,'^[a-z]+://([^/?#]+)',1), regexp_extract(url,'^[^?#]*\\?([^#]*)',1), regexp_replace(regexp_extract(url,'^[a-z]+://[^/?#]+([^?#]*)',1),'[.]html?$','')")
-def _(t):
-    p = U.parts(F.col("url"))
-    return t("pages").groupBy(p["host"], p["query"], U.without_extension(p["path"])).agg(F.max("page_id").alias("page_id")).select("page_id")
-
-
 @query("set05_insert_ignore", "select min(doc_id) as doc_id from documents where doc_id>=20 and text[1:50] not in (select text[1:50] from documents where doc_id<20) group by text[1:50]")
 def _(t):
     d = t("documents").select("doc_id", T.prefix_key(F.col("text")).alias("key"))
@@ -431,12 +288,6 @@ def _(t):
     return R.upsert(old, old.where("c_custkey%7=0").withColumn("c_acctbal", F.lit(0.0)), "c_custkey")
 
 
-@query("mut02_replace_children", "select l_orderkey, l_linenumber from lineitem where l_orderkey%5<>0 union all select distinct l_orderkey, 99 from lineitem where l_orderkey%5=0")
-def _(t):
-    old = t("lineitem").select("l_orderkey", "l_linenumber")
-    return R.replace_children(old, old.where("l_orderkey%5=0").select("l_orderkey", F.lit(99).alias("l_linenumber")).distinct(), "l_orderkey")
-
-
 @query("mut05_last_vote", f"select user_id, object_type, v as vote from (select user_id, event_type as object_type, {_VOTE} as v, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) r from events) where r=1 and v<>0")
 def _(t):
     votes = t("events").select("user_id", F.col("event_type").alias("object_type"), F.expr(_VOTE).alias("vote"), "ts", "event_id")
@@ -451,16 +302,6 @@ def _(t):
 # Scalar functions
 
 
-@query("str03_meta", """select page_id, len(regexp_extract_all(regexp_extract(html,'<meta ([^>]*)>',1),'([a-z-]+="[^"]*")',1)) as n from pages""")
-def _(t):
-    return t("pages").select("page_id", F.size(H.meta_attributes(F.col("html"))).cast("long").alias("n"))
-
-
-@query("str04_hrefs", """select page_id, unnest(regexp_extract_all(html,'<a href="([^"]*)"',1)) as href from pages""")
-def _(t):
-    return t("pages").select("page_id", F.explode(H.hrefs(F.col("html"))).alias("href"))
-
-
 @query("str07_polish", """select doc_id, trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(text,'[\n\r\t]',' ','g'),'&quot;?','`','g'),'"','``'),'''','`'),' +',' ','g')) as polished from documents""")
 def _(t):
     return t("documents").select("doc_id", T.polish(F.col("text")).alias("polished"))
@@ -476,53 +317,16 @@ def _(t):
     return t("documents").select("doc_id", F.md5(T.strip_punctuation(F.col("text")).cast("binary")).alias("m"))
 
 
-@query("str13_keep_letters", "select doc_id, length(regexp_replace(text,'[^a-z]','','g')) as n from documents")
-def _(t):
-    return t("documents").select("doc_id", F.length(T.keep_letters(F.col("text"))).cast("long").alias("n"))
-
-
 @query("str14_ascii", r"select doc_id, md5(regexp_replace(text,'[^\x00-\x7F]','?','g')) as m from documents")
 def _(t):
     return t("documents").select("doc_id", F.md5(T.ascii_replace(F.col("text")).cast("binary")).alias("m"))
 
 
-@query("str16_sentences", r"select doc_id, len(string_split(regexp_replace(text,'[.!?]','\0'||chr(10),'g'),chr(10))) as n from documents")
-def _(t):
-    return t("documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n"))
-
-
-@query("str17_paragraphs", "select page_id, len(regexp_extract_all(html,'(<p[ >][^<]*</p>)',1)) as n from pages")
-def _(t):
-    return t("pages").select("page_id", F.size(H.paragraphs(F.col("html"))).cast("long").alias("n"))
-
-
-@query("str20_fill_frame", "select n_name || ' is in ' || r_name as said from nation join region on n_regionkey=r_regionkey")
-def _(t):
-    return t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(T.fill_frame("{1} is in {2}", F.col("n_name"), F.col("r_name")).alias("said"))
-
-
-@query("mth01_equations", f"with c as (select doc_id, {', '.join(f'{v} as {k}' for k, v in HITS.items())} from documents) select doc_id, 1 as method, (pos-neg-2*obscene)::double as score from c union all select doc_id, 2, round((pos-neg)/nullif((pos+neg+obscene)::double,0),9) from c")
-def _(t):
-    counts = lexicon_counts(t("documents"))
-    one = lambda k: counts.select("doc_id", F.lit(k).alias("method"), F.round(M.equation(lex.EQUATIONS[k]), 9).alias("score"))
-    return one(1).union(one(2))
-
-
 @query("mth02_edge_value", "select l_orderkey, l_linenumber, round(l_linenumber*log2(greatest(l_quantity+1,1))/10,9) as v from lineitem")
 def _(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", F.round(M.edge_value(F.col("l_linenumber"), F.col("l_quantity")), 9).alias("v"))
 
 
-@query("mth04_noisy_or", "select l_orderkey, l_linenumber, round(greatest(l_tax,l_discount)+(1-greatest(l_tax,l_discount))*least(l_tax,l_discount),9) as v from lineitem")
-def _(t):
-    return t("lineitem").select("l_orderkey", "l_linenumber", F.round(M.noisy_or(F.col("l_tax"), F.col("l_discount")), 9).alias("v"))
-
-
-@query("jsn02_to_struct", "select event_id, json_valid(props) as ok from events")
-def _(t):
-    return t("events").select("event_id", F.get_json_object("props", "$").isNotNull().alias("ok"))
-
-
 @query("mat01_triples", "select l_partkey as concept, 'right' as side, l_returnflag as rel, l_suppkey as other, count(*) as n from lineitem group by all union all select l_suppkey, 'left', l_returnflag, l_partkey, count(*) from lineitem group by all")
 def _(t):
     s = t("lineitem").groupBy("l_partkey", "l_returnflag", "l_suppkey").agg(F.count("*").alias("n"))
@@ -530,23 +334,11 @@ def _(t):
     return right.union(s.select("l_suppkey", F.lit("left"), "l_returnflag", "l_partkey", "n"))
 
 
-@query("mat09_pairwise_cosine", "select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[],b.embedding::double[]),6) as cosine from embeddings a join embeddings b on a.vec_id<b.vec_id where a.label=0 and b.label=0 and a.vec_id<100 and b.vec_id<100")
-def _(t):
-    words = t("embeddings").where("label=0 and vec_id<100")  # the word list of the report
-    a, b = words.alias("a"), words.alias("b")
-    return a.join(b, F.col("a.vec_id") < F.col("b.vec_id")).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.round(M.cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("cosine"))
-
-
 @query("mat09_pairwise_cosine_all")
 def _(t):
     return pairwise_cosine(t("embeddings"))
 
 
-@query("str01_text_nodes")
-def _(t):
-    return t("pages").select("page_id", F.posexplode(H.text_nodes(F.col("html"))).alias("pos", "node"))
-
-
 @query("str11_markdown")
 def _(t):
     return t("pages").select("page_id", H.markdown(F.col("html")).alias("markdown"))
@@ -571,24 +363,12 @@ def _(t):
     return met.where(F.col("l_quantity") == F.col("p_size")).select("l_orderkey", "l_partkey")
 
 
-@query("join12_bulk_fetch", "select c_custkey, c_name from customer where c_custkey in (3, 11, 999999999)")
-def _(t):
-    return t("customer").where(F.col("c_custkey").isin(3, 11, 999999999)).select("c_custkey", "c_name")
-
-
 @query("agg12_best_or_null", "select c_custkey, max(o_totalprice) as best from customer left join orders on c_custkey=o_custkey group by 1")
 def _(t):
     best = t("orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("best"))
     return t("customer").join(best, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "best")
 
 
-@query("agg05_exclusive_polarity", f"with w as (select doc_id, unnest({TOK}) as w from documents) select doc_id, count(*) filter (w in {tuple(lex.NEGATIVE)}) as neg, count(*) filter (w in {tuple(lex.POSITIVE)} and w not in {tuple(lex.NEGATIVE)}) as pos from w group by 1")
-def _(t):
-    kind = F.when(F.col("w").isin(lex.NEGATIVE), "neg").when(F.col("w").isin(lex.POSITIVE), "pos")
-    words = t("documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("w")).select("doc_id", kind.alias("kind"))
-    return words.groupBy("doc_id").agg(F.count_if(F.col("kind") == "neg").alias("neg"), F.count_if(F.col("kind") == "pos").alias("pos"))
-
-
 @query("win04_every_other", "select o_orderkey from (select o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) r from orders) where r%2=1")
 def _(t):
     nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))

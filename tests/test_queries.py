@@ -1,5 +1,6 @@
 """Every query with SQL gives the rows that DuckDB gives, on the same tables."""
 
+import numbers
 import os
 
 import duckdb
@@ -22,7 +23,7 @@ def duck():
 
 def rows(frame: pd.DataFrame):
     frame = frame[sorted(frame.columns)]
-    tidy = lambda v: None if v is None or v is pd.NaT or v != v else round(v, 6) if isinstance(v, float) else v
+    tidy = lambda v: None if v is None or v is pd.NaT or v is pd.NA or v != v else float(round(v, 6)) if isinstance(v, numbers.Number) else v
     return sorted((tuple(tidy(v) if not hasattr(v, "__len__") or isinstance(v, str) else tuple(v) for v in r) for r in frame.itertuples(index=False)), key=repr)
 
 
