@@ -70,7 +70,8 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
         def out() -> Iterator[pd.DataFrame]:
             for fold, of in counts.items():
-                yield pd.DataFrame({"fold": np.full(len(of), fold, np.int32), "gram": list(of), "n": list(of.values())})
+                if of:
+                    yield pd.DataFrame({"fold": np.full(len(of), fold, np.int32), "gram": list(of), "n": list(of.values())})
 
         for frame in slices(frames, 1000):
             for (fold, trusted), part in frame.groupby(["fold", "trusted"]):
