@@ -155,7 +155,7 @@ def greedy_snippets(text: Column, term: str, most: int = 2000, least: int = 5) -
     Sentences of up to ``least`` characters are dropped first; a block takes the sentence before its hit if no block
     has it, the hit and the next sentence, and counts if shorter than ``most`` characters.
     """
-    kept = F.filter(F.transform(sentences(text), F.trim), lambda s: F.length(s) > least)
+    kept = F.filter(F.transform(sentences(text), lambda s: F.trim(s)), lambda s: F.length(s) > least)
     low = term.lower()
 
     def step(state: Column, s: Column) -> Column:

@@ -15,7 +15,7 @@ def read(spark: SparkSession, path: str, schema, files: int | None = None) -> Da
     """A stream of the Parquet files of a folder, or of one file; ``files``: at most so many a batch."""
     stream = spark.readStream.schema(schema)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():  # a stream reads folders
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).isFile(place):  # a stream reads folders
         path, stream = place.getParent().toString(), stream.option("pathGlobFilter", place.getName())
     return (stream.option("maxFilesPerTrigger", files) if files else stream).parquet(path)
 
