@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, hinted, slices, table
 
-PREFIXES = (9, 8, 7, 6, 5)
+PREFIXES = (7, 5)
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -177,12 +178,16 @@ def fit(rows: list[tuple[int, list[str]]], share: float, drift: float = 0.3, sig
         counts, held, seen, n = (Counter(), Counter()), Counter(), (set(), set()), Counter()
         for y, ts in part:
             n[y] += len(ts)
-            # A form between the same neighbours is one piece of evidence a class: copies add nothing.
-            found = {(form, a, w, b) for a, w, b in zip(["", *ts], ts, [*ts[1:], ""]) for form in forms(w)}
-            fresh = [x for x in found if hash(x) not in seen[y]]
-            seen[y].update(map(hash, found))
-            counts[y].update(x[0] for x in fresh)
-            held.update({x[0] for x in fresh})
+            # A word between the same neighbours is one piece of evidence a class: copies add nothing.
+            places = {hash(p): p[1] for p in zip(["", *ts], ts, [*ts[1:], ""])}
+            fresh = Counter(w for h, w in places.items() if h not in seen[y])
+            seen[y].update(places)
+            of_text: Counter[str] = Counter()
+            for w, k in fresh.items():
+                for form in forms(w):
+                    of_text[form] += k
+            counts[y].update(of_text)
+            held.update(of_text.keys())
         return _calibrated(log_odds(counts[1], counts[0], held, n[1], n[0]), [ts for y, ts in part if not y], drift, significant)
 
     x, y = [], []
@@ -213,7 +218,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 1
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(hinted(cut(chosen)), "doc_id").select("doc_id", "toxic", "text").dropDuplicates(["doc_id"])
     got = texts.mapInPandas(count, "doc_id long, toxic int, tokens array<string>").toPandas()
     got = got.assign(size=got.tokens.map(len)).sort_values(["doc_id", "size"], kind="stable")
-    rows = [(int(y), list(ts)) for y, ts in zip(got.toxic, got.tokens)]
+    rows = [(int(y), list(map(sys.intern, ts))) for y, ts in zip(got.toxic, got.tokens)]
+    del got
     return fit(rows, n.get(1, 0) / sum(n.values()))
 
 
