@@ -73,7 +73,7 @@ def _(t):
     return tokens.join(words, ["lang", "word"]).groupBy("lang", "class").agg(F.array_sort(F.collect_set("word")).alias("words"), F.count_distinct("doc_id").alias("docs"))
 
 
-@query("prj01_rows_as_structs", "select to_json({'content': c_name, 'url': n_name, 'first': c_custkey = 1, 'total': (select count(*) from customer), 'score': round(c_acctbal, 2)}) as item from customer join nation on c_nationkey = n_nationkey")
+@query("prj01_rows_as_structs", "select to_json({'content': c_name, 'url': n_name, 'first': c_custkey = 1, 'total': (select count(*) from customer), 'score': round(c_acctbal, 2)})::varchar as item from customer join nation on c_nationkey = n_nationkey")
 def _(t):
     total = t("customer").agg(F.count("*").alias("total"))
     rows = t("customer").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey")).crossJoin(F.broadcast(total))
