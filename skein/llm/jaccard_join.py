@@ -205,24 +205,33 @@ def forest(left: pd.DataFrame, right: pd.DataFrame, percent: int, columns: int =
 
 
 def _chained(prefix: DataFrame, hot_rows: int) -> DataFrame:
-    """token, node, n of tokens of more than one set, with first and last (n, node): the smallest of the token's sets
-    and the one before it in order of size; within salted parts for tokens of about ``hot_rows`` sets or more, whose
-    own smallest sets are tied to the smallest of all. Which tokens are so is told from one set in 64, as it only
-    spreads the work."""
+    """token, node, n of tokens of more than one set, with star and last: the smallest of the token's sets and the one
+    before it in order of size, with their sizes; the latter within salted parts for tokens of about ``hot_rows`` sets or
+    more. Which tokens are so is told from one set in 64, as it only spreads the work. Parts are a power of eight and by
+    node alone, so that tokens that the same sets hold chain these alike."""
     some = prefix.where(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(64)) == 0).groupBy("token").agg((F.count("*") * 64).alias("holders"))
     big = cut(some.where(F.col("holders") >= hot_rows))
-    spread = prefix.join(hinted(big), "token").withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("holders") / hot_rows))).drop("holders")
-    single = keep_keys(prefix, big.select("token"), "token", "left_anti").withColumn("salt", F.lit(0).cast("long"))
-    least = hinted(cut(spread.groupBy("token").agg(F.min(F.struct("n", "node")).alias("least"))))
-    ordered = Window.partitionBy("token", "salt").orderBy("n", "node")
-    chain = [
-        F.struct(F.first("n").over(ordered).alias("n"), F.first("node").over(ordered).alias("node")).alias("first"),
-        F.struct(F.lag("n").over(ordered).alias("n"), F.lag("node").over(ordered).alias("node")).alias("last"),
-    ]
-    single = single.select("token", "node", "n", *chain, F.count("*").over(Window.partitionBy("token", "salt")).alias("holders")).where("holders > 1").drop("holders")
-    spread = spread.select("token", "node", "n", *chain).join(least, "token")
-    spread = spread.withColumn("first", F.when(F.col("first.node") == F.col("node"), F.col("least")).otherwise(F.col("first"))).drop("least")
-    return single.unionByName(spread)
+    salt = F.coalesce(F.pmod(F.xxhash64("node"), _parts(F.col("holders"), hot_rows)), F.lit(0))
+    rows = prefix.join(hinted(big), "token", "left").withColumn("salt", salt)
+    of_part = Window.partitionBy("token", "salt")
+    ordered = of_part.orderBy("n", "node")
+    rows = rows.select(
+        "token", "node", "n", "holders",
+        F.count("*").over(of_part).alias("of_part"),
+        F.first("node").over(ordered).alias("star"),
+        F.first("n").over(ordered).alias("star_n"),
+        F.lag("node").over(ordered).alias("last"),
+        F.lag("n").over(ordered).alias("last_n"),
+    )
+    rows = cut(rows.where("of_part > 1 or holders is not null").drop("of_part"))
+    least = rows.where("holders is not null").groupBy("token").agg(F.min(F.struct("n", "node")).alias("least"))
+    rows = rows.join(hinted(cut(least)), "token", "left")
+    star = {"star": F.coalesce("least.node", "star"), "star_n": F.coalesce("least.n", "star_n")}
+    return rows.withColumns(star).drop("least", "holders")
+
+
+def _parts(holders: Column, rows: int) -> Column:
+    return F.pow(F.lit(8), F.greatest(F.lit(0), F.round(F.log(holders / rows) / F.log(F.lit(8.0))))).cast("long")
 
 
 def _components_of_nodes(docs: DataFrame, k: int, percent: int, frequent: int, hot_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -235,10 +244,10 @@ def _components_of_nodes(docs: DataFrame, k: int, percent: int, frequent: int, h
     firsts = cut(nodes.select("node", "doc_id", "text_hash"))
     prefix = nodes.select(F.explode("tokens").alias("token"), "node", "n")
     # Clusters only save work, so pairs are tried only where they met at most tokens of a prefix.
-    shared = cut(_chained(prefix, hot_rows))
-    tied = shared.select("node", "n", F.explode(F.array_distinct(F.array("first", "last"))).alias("e"))
-    tied = tied.select("node", "n", F.col("e.node").alias("o"), F.col("e.n").alias("o_n")).where("o <> node")
-    tied = tied.where(_sizes_fit(F.col("n"), F.col("o_n"), percent))
+    shared = _chained(prefix, hot_rows)
+    to_star = shared.select("node", "n", F.col("star").alias("o"), F.col("star_n").alias("o_n")).where("o <> node")
+    to_last = shared.where("last <> star").select("node", "n", F.col("last").alias("o"), F.col("last_n").alias("o_n"))
+    tied = to_star.unionByName(to_last).where(_sizes_fit(F.col("n"), F.col("o_n"), percent))
     tied = tied.groupBy(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).agg(F.count("*").alias("met"), F.min(F.least("n", "o_n")).alias("n"))
     tried = cut(tied.where(F.col("met") * 10 >= (slack(F.col("n")) + 1) * 6).select("a", "b"))
     links = cut(_verified(tried, docs, firsts, k, percent))
