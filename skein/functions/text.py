@@ -175,10 +175,14 @@ def greedy_snippets(text: Column, term: str, most: int = 2000, least: int = 5) -
     return F.filter(F.aggregate(kept, start, step, end), lambda b: F.length(b) < most)
 
 
-def windows_at(words: Column, start: Column, most: int) -> Column:
-    """The n-grams of up to ``most`` words from place ``start`` (from 1), longest first."""
-    sizes = F.array(*[F.when(start + n - 1 <= F.size(words), n) for n in range(most, 0, -1)])
-    return F.transform(F.filter(sizes, lambda n: n.isNotNull()), lambda n: F.array_join(F.slice(words, start, n), " "))
+def windows_placed(words: Column, most: int) -> Column:
+    """array<struct<start_at, gram>>: the n-grams of up to ``most`` words, longest first at each place (from 1)."""
+    def of(w: Column) -> Column:
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.size(w))).otherwise(F.array().cast("array<int>"))
+        one = lambda i: F.array(*[F.when(i + n - 1 <= F.size(w), F.struct(i.cast("long").alias("start_at"), F.array_join(F.slice(w, i, n), " ").alias("gram"))) for n in range(most, 0, -1)])
+        return F.filter(F.flatten(F.transform(starts, one)), lambda x: x.isNotNull())
+
+    return F.transform(F.array(words), of)[0]  # the lambda's variable keeps words from being made again at each place
 
 
 def snippet(text: Column, term: str, most: int) -> Column:
