@@ -1,12 +1,14 @@
 """Shared helpers: reading tables, cutting lineage, size-checked broadcasts, running sums, text hashing.
 
-Arrow batches hold at most ``spark.sql.execution.arrow.maxBytesPerBatch`` of texts; sessions are not reconfigured.
+Arrow batches hold at most ``spark.sql.execution.arrow.maxBytesPerBatch`` of texts; ``small_batches`` lowers that while
+jobs run inside it.
 """
 
 from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -46,6 +48,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> Iterator[None]:
+    """Arrow batches of at most so many rows and bytes while jobs are run inside; the session's own values come back."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def hinted(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
     """``keys`` with a broadcast hint if it has at most ``most`` rows; as it is, so joined by shuffle, otherwise."""
     return F.broadcast(keys) if keys.count() <= most else keys
