@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import decontamination, jaccard_join, language_id, mixing, secret_scan
-from skein.llm.common import drop_folder, shared_folder, table
+from skein.llm.common import drop_folder, shared_folder, small_batches, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +62,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         out = f"{base}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
+        with small_batches(spark):
+            stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
         if before:  # nothing reads it any more
             drop_folder(spark, before)
