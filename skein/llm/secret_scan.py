@@ -204,7 +204,7 @@ class SecretModel:
         out = self.known.get(s)
         if out is None:
             out = (max(a.score(s) for a in self.automata) - self.background.score(s)) / (len(s) + 1)
-            if len(self.known) > 200_000:
+            if len(self.known) > 20_000:
                 self.known.clear()
             if len(s) <= 64:
                 self.known[s] = out
@@ -276,7 +276,7 @@ def learn(docs: DataFrame, sample: int = 400, sample_chars: int = 100_000) -> Se
                 for s in spans:
                     offer(KINDS[s[1]], text[s[3] : s[4]])
                 others.update(symbols(text[a:b]) for a, b in other_runs(text, [(s[0], s[2]) for s in spans]))
-            if len(others) > 50_000:
+            if len(others) > 20_000:
                 yield from told()
         yield from told()
         if best:
