@@ -11,8 +11,8 @@ are left when up to ``most`` code points are taken out are keys on both sides (e
 
 Names that share a key are verified by their exact unrestricted Damerau-Levenshtein distance. Equal names are one name
 until the end: rows of a name are summed up before, so a name that a third of all rows have is one probe. All steps are
-joins and sums by name or key; nothing is collected or broadcast, and the joins are plain equi-joins of two shuffled
-sides, which adaptive execution can split where a key is hot.
+joins and sums by name or key; nothing is collected or broadcast (hints keep adaptive execution from broadcasting what
+is small by chance), and the joins are plain equi-joins of two shuffled sides, which it can split where a key is hot.
 
 Null and empty names take no part. Ids may repeat or be null: equal rows (id, name) of the indexed side are one, every
 row of the probing side counts; a null probing id counts in n, is never the first and adds nothing to crc; a null
@@ -110,7 +110,7 @@ def _probing_keys(names: DataFrame, most: int) -> DataFrame:
 
 def close_names(indexed: DataFrame, probing: DataFrame, most: int = 1) -> DataFrame:
     """v, c, distance of all pairs of distinct names (name, not null or empty) that are within ``most`` edits."""
-    met = _indexed_keys(indexed, most).join(_probing_keys(probing, most), "key")
+    met = _indexed_keys(indexed, most).join(_probing_keys(probing, most).hint("merge"), "key")
     # Each exchange is two plain edits, so plain distance bounds what can qualify before pairs are made distinct.
     met = met.where(F.levenshtein("v", "c", 2 * most) >= 0).select("v", "c").distinct()
 
@@ -145,9 +145,9 @@ def linked_clients(vendors: DataFrame, clients: DataFrame, most: int = 1) -> Dat
     sellers = cut(vendors.where(F.length("name") > 0).select(F.col("vendor_id").cast("long"), "name").distinct())
     names = cut(names_of(clients, "client_id", "name"))
     pairs = close_names(sellers.select("name").distinct(), names.select("name"), most)
-    sums = pairs.join(names.withColumnRenamed("name", "c"), "c").groupBy("v", "distance")
+    sums = pairs.join(names.withColumnRenamed("name", "c").hint("merge"), "c").groupBy("v", "distance")
     sums = sums.agg(F.sum("n").alias("n_clients"), F.min("first").alias("first_client_id"), F.sum("crc").alias("clients_crc"))
-    of_id = sellers.join(sums.withColumnRenamed("v", "name"), "name").groupBy("vendor_id", "distance")
+    of_id = sellers.join(sums.withColumnRenamed("v", "name").hint("merge"), "name").groupBy("vendor_id", "distance")
     return of_id.agg(F.sum("n_clients").alias("n_clients"), F.min("first_client_id").alias("first_client_id"), F.sum("clients_crc").alias("clients_crc"))
 
 
