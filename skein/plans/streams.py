@@ -23,22 +23,56 @@ def _(t):
     return t.spark.read.parquet(f"{folder}/scored/batch=*")
 
 
-@query("stm02_drained_results", "select event_id as id, user_id from events where user_id = 3")
+@query("stm02_drained_results", "with e as (select event_id as id, user_id from events), h as (select *, id % 2 as half from e) select case when user_id = 3 and half = 0 then 1 when user_id = 3 then 2 else 3 end as request, id, user_id from h where user_id in (3, 8) union all select null, id, user_id from h where false")
 def _(t):
-    folder = shared_folder(t.spark, "drained")
-    stages = [("results", lambda b: b.select(F.col("event_id").alias("id"), "user_id"))]
-    live.finish(live.staged(events(t), stages, folder))
-    given = live.drain(t.spark, f"{folder}/results/batch=*", f"{folder}/ledger", F.col("user_id") == 3)
-    again = live.drain(t.spark, f"{folder}/results/batch=*", f"{folder}/ledger", F.col("user_id") == 3)
-    return given.unionByName(again)  # the second drain finds nothing new
+    found = t("events").select(F.col("event_id").alias("id"), "user_id")
+    buffer = live.ResultBuffer(t.spark, shared_folder(t.spark, "drained"), found.schema, "user_id")
+    buffer.put(found.where("id % 2 = 0"))
+    buffer.run()  # nothing is asked for yet; each run is a start of its own
+    buffer.ask({1: 3})
+    buffer.run()
+    buffer.put(found.where("id % 2 = 1"))
+    buffer.ask({2: 3, 3: 8})
+    buffer.run()
+    buffer.ask({4: 3})  # nothing is left
+    buffer.run()
+    return buffer.given()
+
+
+@query("stm02_all_given_once", "select user_id % 7 as request, count(*) as n, count(distinct event_id) as ids from events group by 1")
+def _(t):
+    found = t("events").select(F.col("event_id").alias("id"), "user_id", (F.col("user_id") % 7).alias("class"))
+    buffer = live.ResultBuffer(t.spark, shared_folder(t.spark, "given"), found.schema, "class")
+    for half in (0, 1):
+        buffer.put(found.where(F.col("id") % 2 == half))
+        buffer.ask({10 * half + k: k for k in range(7)})
+        buffer.run()
+    return buffer.given().groupBy((F.col("request") % 10).alias("request")).agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
 
 
-@query("stm03_stopped", "select 0::bigint as n")
+@query("stm03_stopped", "select event_type, count(*) as before_stop, 0::bigint as after_stop from events where event_id % 2 = 0 group by 1 union all select event_type || ' later', count(*), count(*) from events where event_id % 2 = 1 group by 1")
 def _(t):
-    folder = shared_folder(t.spark, "stopped")
-    query_ = live.staged(events(t), [("all", lambda b: b)], folder, stop=lambda: True)
-    done = live.finish(query_)
-    return t.values("n long", [(0 if not done else 1,)])
+    """Half of the events is read, then a stop is asked for while the other half waits, then a run reads that half."""
+    folder, stopping = shared_folder(t.spark, "stopped"), []
+    rows = t("events").select("event_id", "event_type", (F.col("event_id") % 2).alias("half"))
+    stream = lambda: t.spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    go = lambda: live.finish(live.staged(stream(), [("all", lambda b: b)], folder, stop=lambda: bool(stopping)))
+    rows.where("half = 0").write.mode("append").parquet(f"{folder}/in")
+    ended = [go()]
+    rows.where("half = 1").write.mode("append").parquet(f"{folder}/in")
+    stopping.append(True)
+    ended.append(go())
+    read = t.spark.read.schema(rows.schema).parquet(f"{folder}/all/batch=*")
+    seen = read.groupBy("event_type", "half").agg(F.count("*").alias("n"))
+    seen = t.spark.createDataFrame(seen.collect(), seen.schema)  # a row for each type: what was read up to the stop
+    stopping.clear()
+    ended.append(go())
+    if ended != [True, False, True]:
+        raise AssertionError(f"runs ended as {ended}")
+    now = t.spark.read.schema(rows.schema).parquet(f"{folder}/all/batch=*").groupBy("event_type", "half").agg(F.count("*").alias("now"))
+    both = now.join(seen, ["event_type", "half"], "left")
+    name = F.when(F.col("half") == 0, F.col("event_type")).otherwise(F.concat("event_type", F.lit(" later")))
+    return both.select(name.alias("event_type"), F.col("now").alias("before_stop"), (F.col("now") - F.coalesce("n", F.lit(0))).alias("after_stop"))
 
 
 @query("stm04_once_each", "select count(*) as n, count(distinct event_id) as ids from events")
@@ -68,6 +102,54 @@ def _(t):
     return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("end"), "n")
 
 
+_ARRIVAL = "month(arrived_at)"
+_CLICKS = f"""with c as (select *, {_ARRIVAL} as batch from clicks),
+ top as (select batch, max(ts) as ts from c group by 1),
+ mark as (select b.batch, date_trunc('millisecond', max(t.ts)) - interval '1 hour' as mark from (select distinct batch from c) b left join top t on t.batch < b.batch group by 1),
+ told as (select c.*, c.ts <= mark.mark as late from c join mark using (batch))"""
+
+
+def _arrival():
+    """A month of arrivals is a micro-batch."""
+    return F.month("arrived_at")
+
+
+@query("stm05_late_rows_dropped", _CLICKS + """, f as (select click_id, min(ts) as ts from told where not coalesce(late, false) group by 1),
+ last as (select date_trunc('millisecond', max(ts)) - interval '1 hour' as mark from c)
+ select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M:%S') as start, count(*) as n from f
+ where time_bucket(interval '1 hour', ts) + interval '1 hour' <= (select mark from last) group by 1""")
+def _(t):
+    """Hourly counts of clicks, each click_id once, in append mode: a click that comes later than an hour behind the
+    newest of the micro-batches before falls out; an hour is given when the watermark has passed its end."""
+    folder, clicks = shared_folder(t.spark, "late"), t("clicks").select("click_id", "ts", "arrived_at")
+
+    def run():
+        stream = t.spark.readStream.schema(clicks.schema).parquet(f"{folder}/in")
+        once = live.first_of_each(stream, "click_id", "ts", "1 hour")
+        bins = once.groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"))
+        put = lambda b, number: b.select(F.col("w.start").alias("start"), "n").write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        return bins.writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", f"{folder}/_checkpoint").trigger(availableNow=True).start()
+
+    live.by_arrival(clicks, _arrival(), f"{folder}/in", run)
+    out = t.spark.read.schema("start timestamp, n long").parquet(f"{folder}/out/batch=*")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query("stm05_late_rows_counted", _CLICKS + " select batch::int as batch, count(*) filter (late) as late from told group by 1")
+def _(t):
+    """How many rows of each micro-batch fell out behind the watermark, as the stream itself counted them."""
+    folder, clicks = shared_folder(t.spark, "counted"), t("clicks").select("click_id", "ts", "arrived_at")
+
+    def run():
+        stream = t.spark.readStream.schema(clicks.schema).parquet(f"{folder}/in")
+        put = lambda b, number: b.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        return live.first_of_each(stream, "click_id", "ts", "1 hour").writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/_checkpoint").trigger(availableNow=True).start()
+
+    runs = live.by_arrival(clicks, _arrival(), f"{folder}/in", run)
+    numbers = sorted(r["batch"] for r in clicks.select(_arrival().cast("int").alias("batch")).distinct().collect())
+    return t.values("batch int, late long", [(n, live.dropped(q)) for n, q in zip(numbers, runs)])
+
+
 @query("stm06_scheduled", "select event_type, count(*) as n from events group by 1")
 def _(t):
     path, folder = f"{t.sf_dir}/events.parquet", shared_folder(t.spark, "scheduled")

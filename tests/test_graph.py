@@ -102,11 +102,3 @@ def test_a_stopped_stream_goes_on_where_it_was(spark, tmp_path):
     assert live.finish(live.staged(stream(), stages, f"{tmp_path}/out")) is True
     out = spark.read.parquet(f"{tmp_path}/out/all/batch=*")
     assert out.count() == out.distinct().count() == 30
-
-
-def test_results_are_drained_once(spark, tmp_path):
-    spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "id long, k string").write.parquet(f"{tmp_path}/r/batch=0")
-    drain = lambda k: sorted(r["id"] for r in live.drain(spark, f"{tmp_path}/r/batch=*", f"{tmp_path}/ledger", F.col("k") == k).collect())
-    assert drain("a") == [1, 2] and drain("a") == [] and drain("b") == [3]
-    spark.createDataFrame([(4, "a")], "id long, k string").write.parquet(f"{tmp_path}/r/batch=1")
-    assert drain("a") == [4]
