@@ -2,23 +2,43 @@
 
 from __future__ import annotations
 
-import heapq
-import math
-from collections import defaultdict
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.math import branching_discount
 from ..operators.order import hinted, kept
 
-#: Named views: weights of relations said of a concept, and of it in others (with a minus before); others count 0.
+#: How much relations count for spreading, said of a concept; others, and all said of it in others, count 0.
+DEFAULT_WEIGHTS = {
+    "AtLocation": 0.9,
+    "CapableOf": 0.8,
+    "Causes": 1.0,
+    "CausesDesire": 1.0,
+    "ConceptuallyRelatedTo": 1.0,
+    "CreatedBy": 1.0,
+    "DefinedAs": 1.0,
+    "Desires": 1.0,
+    "HasFirstSubevent": 1.0,
+    "HasLastSubevent": 1.0,
+    "HasPrerequisite": 1.0,
+    "HasProperty": 1.0,
+    "HasSubevent": 0.9,
+    "IsA": 0.9,
+    "MadeOf": 0.7,
+    "MotivatedByGoal": 1.0,
+    "PartOf": 1.0,
+    "ReceivesAction": 0.6,
+    "UsedFor": 1.0,
+}
+
+#: Named views by their relations' weights; others count 0.
 VIEWS = {
-    "affective": {"Desires": 1.0, "CausesDesire": 1.0, "MotivatedByGoal": 0.8, "-Desires": 0.5},
-    "spatial": {"AtLocation": 1.0, "LocatedNear": 1.0, "PartOf": 0.4, "-AtLocation": 0.6},
-    "details": {"HasSubevent": 1.0, "HasFirstSubevent": 1.0, "PartOf": 0.8, "HasA": 0.8, "MadeOf": 0.6},
-    "consequences": {"Causes": 1.0, "HasLastSubevent": 0.7, "CausesDesire": 0.5},
-    "utility": {"UsedFor": 1.0, "CapableOf": 0.7, "ReceivesAction": 0.5, "-UsedFor": 0.4},
+    "affective": {"Desires": 1.0, "CausesDesire": 1.0, "MotivatedByGoal": 1.0},
+    "spatial": {"AtLocation": 1.0, "ConceptuallyRelatedTo": 0.5},
+    "details": {"HasFirstSubevent": 1.0, "HasLastSubevent": 1.0, "HasSubevent": 1.0, "MadeOf": 1.0, "PartOf": 1.0, "HasProperty": 0.9},
+    "consequences": {"CausesDesire": 1.0, "UsedFor": 0.4, "CapableOf": 0.4, "ReceivesAction": 0.3, "Causes": 1.0},
+    "utility": {"UsedFor": 1.0, "CapableOf": 1.0},
+    "all": DEFAULT_WEIGHTS,
 }
 
 
@@ -59,63 +79,57 @@ def _hop(rows: DataFrame, degrees: DataFrame, frontier: DataFrame, fade: float)
     return met.groupBy(F.col("b").alias("concept")).agg(noisy_or_all(x).alias("activation"))
 
 
+def flows(edges: DataFrame, weights: dict[str, float], fade: float = 0.5) -> DataFrame:
+    """a, b, factor: what a step from a to b leaves of activation: ``fade`` times the relation's weight times the
+    discount of b's branches (edges that leave it; for a step against an edge, by the weight of '-rel', edges that reach
+    it). Steps of weight 0 are left out; repeated edges (a, rel, b) are one."""
+    known = edges.select("a", "rel", "b").where("a is not null and b is not null").distinct()
+    weight = lambda sign: F.coalesce(*[F.when(F.concat(F.lit(sign), "rel") == r, float(w)) for r, w in weights.items()], F.lit(0.0))
+
+    def steps_by(sign: str, a: str, b: str) -> DataFrame:
+        degree = known.groupBy(F.col(a).alias("_to")).agg(F.count("*").alias("_n"))
+        rows = known.select(F.col(a).alias("a"), F.col(b).alias("b"), weight(sign).alias("w")).where("w > 0")
+        met = rows.join(degree, F.col("b") == F.col("_to"), "left")
+        return met.select("a", "b", (fade * branching_discount(F.coalesce("_n", F.lit(0))) * F.col("w")).alias("factor"))
+
+    forward = steps_by("", "a", "b")
+    return forward.unionByName(steps_by("-", "b", "a")) if any(r.startswith("-") and w > 0 for r, w in weights.items()) else forward
+
+
 def spread(edges: DataFrame, origins: DataFrame, weights: dict[str, float] | None = None, fade: float = 0.5, queue: int = 500, visits: int = 500, top: int = 200) -> DataFrame:
-    """concept, activation of the ``top`` concepts that activation from origins (concept, weight) reaches.
+    """concept, activation of the ``top`` concepts that spreading from origins (concept, weight) visits, best first.
+
+    A visit is of a concept by one way: the waiting entry of greatest activation is visited next (ties: the smaller
+    concept) and adds an entry for each step from there (see ``flows``; ``DEFAULT_WEIGHTS`` if none are given), until
+    fewer than ``visits`` have been made or none waits; of those that wait the best ``queue`` stay. Visits of one concept
+    add up as a noisy or; origins, which start with their weight times the discount of their branches, aren't in the result.
 
-    Level by level: the best ``queue`` of a level's new concepts go on, up to ``visits`` concepts in all; activation
-    that reaches a concept in several ways or levels adds up as a noisy or. Origins aren't among the results.
+    The order of visits over the whole graph is kept, though many are made at once: a step leaves at most the greatest
+    factor of all, so all entries above that share of the best one come before anything that these can add. Each round
+    visits this bucket and joins at most ``queue`` rows with the steps, which stay where they are. Null concepts and
+    concepts without edges reach nothing; repeated origins are entries each.
     """
-    rows = kept(steps(edges, weights))
-    degrees = kept(_degrees(rows))
-    frontier = kept(_started(origins, degrees))
-    seen, found, left = frontier.select("concept"), None, visits
-    while left > 0:
-        frontier = frontier.orderBy(F.desc("activation"), "concept").limit(min(queue, left))
-        n = frontier.count()
-        if not n:
-            break
-        left -= n
-        reached = kept(_hop(rows, degrees, frontier, fade).join(origins.select("concept"), "concept", "left_anti"))
-        found = reached if found is None else kept(found.unionByName(reached).groupBy("concept").agg(noisy_or_all(F.col("activation")).alias("activation")))
-        frontier = kept(reached.join(seen, "concept", "left_anti"))
-        seen = kept(seen.union(frontier.select("concept")))
-    if found is None:
-        return frontier.limit(0)
-    return found.orderBy(F.desc("activation"), "concept").limit(top)
-
-
-def spread_exactly(edges: DataFrame, origins: DataFrame, weights: dict[str, float] | None = None, fade: float = 0.5, queue: int = 500, visits: int = 500, top: int = 200, most_edges: int = 500_000) -> list[tuple]:
-    """(concept, activation) best first, by a best-first search on the driver, for graphs of up to ``most_edges`` steps:
-    the concept of greatest activation goes on next, whatever its level."""
-    rows = steps(edges, weights)
-    if rows.count() > most_edges:
-        raise ValueError(f"more than {most_edges} steps: use spread")
-    near = defaultdict(list)
-    for r in rows.collect():
-        near[r["a"]].append((r["b"], r["w"]))
-    discount = lambda c: math.exp(-((math.log(len(near[c]) + 5, 5) - 2.5) ** 2) / 2) / math.sqrt(2 * math.pi)
-    start = {r["concept"]: r["weight"] * discount(r["concept"]) for r in origins.collect()}
-    waiting = [(-x, c) for c, x in start.items()]
-    heapq.heapify(waiting)
-    seen, found = set(start), {}
-    while waiting and visits > 0:
-        x, c = heapq.heappop(waiting)
-        visits -= 1
-        fresh = {}
-        for b, w in near[c]:
-            if b not in start:
-                y = -x * w * fade * discount(b)
-                fresh[b] = max(fresh.get(b, 0.0), y) + (1 - max(fresh.get(b, 0.0), y)) * min(fresh.get(b, 0.0), y)
-        for b, y in fresh.items():
-            old = found.get(b, 0.0)
-            found[b] = max(old, y) + (1 - max(old, y)) * min(old, y)
-            if b not in seen:
-                seen.add(b)
-                heapq.heappush(waiting, (-y, b))
-        if len(waiting) > queue:
-            waiting = heapq.nsmallest(queue, waiting)
-            heapq.heapify(waiting)
-    return sorted(found.items(), key=lambda x: (-x[1], x[0]))[:top]
+    rows = kept(flows(edges, DEFAULT_WEIGHTS if weights is None else weights, fade))
+    degree = edges.select("a", "rel", "b").where("a is not null and b is not null").distinct().groupBy("a").agg(F.count("*").alias("degree"))
+    waiting = kept(_started(origins, degree))
+    reach = rows.agg(F.max("factor")).first()[0] or 0.0
+    left, visited = visits - 1, []
+    best_first = [F.desc("activation"), "concept"]
+    while left > 0 and (greatest := waiting.agg(F.max("activation")).first()[0]):
+        bucket = F.col("activation") > reach * greatest
+        now = kept(waiting.where(bucket).orderBy(*best_first).limit(left))  # at most ``queue`` rows
+        visited.append(now)
+        left -= now.count()
+        met = rows.join(F.broadcast(now), F.col("a") == F.col("concept"))
+        new = met.select(F.col("b").alias("concept"), (F.col("activation") * F.col("factor")).alias("activation"))
+        waiting = kept(waiting.where(~bucket).unionByName(new).where("activation > 0").orderBy(*best_first).limit(queue))
+    if not visited:
+        return waiting.select("concept", "activation").limit(0)
+    out = visited[0]
+    for more in visited[1:]:
+        out = out.unionByName(more)
+    out = out.join(origins.select("concept").distinct(), "concept", "left_anti")
+    return out.groupBy("concept").agg(noisy_or_all(F.col("activation")).alias("activation")).orderBy(*best_first).limit(top)
 
 
 def related(edges: DataFrame, roots: DataFrame, weights: dict[str, float] | None = None, levels: int = 2, expand: int = 100) -> DataFrame:
@@ -147,8 +161,8 @@ def level_mean(old: Column, new: Column, distance: Column) -> Column:
 
 
 def projection(edges: DataFrame, origins: DataFrame, view: str, **how) -> DataFrame:
-    """``spread`` by the weights of a named view; all: every relation both ways."""
-    return spread(edges, origins, None if view == "all" else VIEWS[view], **how)
+    """``spread`` by the weights of a named view."""
+    return spread(edges, origins, VIEWS[view], **how)
 
 
 def beam(edges: DataFrame, starts: list[str], steps: int, width: int) -> DataFrame:

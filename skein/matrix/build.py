@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.order import kept
+from .svd import largest
+
 
 def tensor(edges: DataFrame, mirrored: bool = False) -> DataFrame:
     """a, rel, b, w: weights of equal (a, rel, b) added up; mirrored: also (b, '-' rel, a)."""
@@ -67,10 +70,34 @@ def normalized(cells: DataFrame, row: str = "row", value: str = "v") -> DataFram
     return cells.join(length, row).withColumn(value, scaled).drop("_length")
 
 
-def blended(parts: list[tuple[DataFrame, float]]) -> DataFrame:
-    """row, col, v: cells of all parts added up, each part divided by its largest singular value."""
+def blended(parts: list[DataFrame]) -> DataFrame:
+    """row, col, v: cells of all parts added up, each part divided by its largest singular value, found by a search of
+    its own; parts of zeros or without cells add nothing."""
     out = None
-    for cells, sigma in parts:
-        mine = cells.select("row", "col", (F.col("v") / sigma).alias("v"))
+    for cells in parts:
+        sigma = largest(cells)
+        mine = cells.select("row", "col", (F.col("v") / sigma if sigma else F.lit(0.0)).alias("v"))
         out = mine if out is None else out.unionByName(mine)
     return out.groupBy("row", "col").agg(F.sum("v").alias("v"))
+
+
+def balanced(cells: DataFrame, tolerance: float = 1e-9, most: int = 200) -> DataFrame:
+    """Cells (row, col, v) scaled by row and by column until all rows have one length and all columns another: rows are
+    brought to length 1, then columns to the common length that the same sum of squares gives them, in turn, until no
+    row is off by more than ``tolerance`` or ``most`` turns are over. Cells of zero stay; where the pattern of cells
+    allows no such scaling, the turns end at ``most``."""
+    cells = kept(cells.select("row", "col", F.col("v").cast("double").alias("v")))
+    rows, columns = cells.where("v <> 0").agg(F.count_distinct("row"), F.count_distinct("col")).first()
+    if not rows:
+        return cells
+    squares = F.sum(F.col("v") * F.col("v")).alias("_s")
+    for _ in range(most):
+        by_row = cells.groupBy("row").agg(squares)
+        cells = cells.join(by_row, "row").select("row", "col", F.when(F.col("_s") > 0, F.col("v") / F.sqrt("_s")).otherwise(0.0).alias("v"))
+        by_col = cells.groupBy("col").agg(squares)
+        share = F.sqrt(F.col("_s") * columns / rows)
+        cells = kept(cells.join(by_col, "col").select("row", "col", F.when(F.col("_s") > 0, F.col("v") / share).otherwise(0.0).alias("v")))
+        off = cells.groupBy("row").agg(squares).where("_s > 0").agg(F.max(F.abs(F.col("_s") - 1))).first()[0]
+        if off <= tolerance:
+            break
+    return cells

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,51 +38,112 @@ def _times(cells: DataFrame, of: str, to: str, vectors: DataFrame, k: int) -> Da
     return met.groupBy(of).agg(*sums).select(of, F.array(*[F.col(f"_{i}") for i in range(k)]).alias("vector"))
 
 
+def _stacked(batch: pa.RecordBatch) -> np.ndarray:
+    """The vectors of a batch as rows."""
+    return np.asarray(batch.column("vector").flatten(), float).reshape(batch.num_rows, -1)
+
+
 def _gram(vectors: DataFrame, k: int) -> np.ndarray:
-    """The k x k sums of products of components."""
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    got = vectors.agg(*[F.sum(F.element_at("vector", i + 1) * F.element_at("vector", j + 1)).alias(f"g{i}_{j}") for i, j in pairs]).first()
-    out = np.zeros((k, k))
-    for i, j in pairs:
-        out[i, j] = out[j, i] = got[f"g{i}_{j}"] or 0.0
-    return out
+    """The k x k sums of products of components: partial ones by task, summed up by place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, k))
+        for batch in batches:
+            if batch.num_rows:
+                x = _stacked(batch)
+                total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k)), pa.array(total.ravel())], ["place", "s"])
+
+    out = np.zeros(k * k)
+    for r in vectors.select("vector").mapInArrow(run, "place long, s double").groupBy("place").agg(F.sum("s").alias("s")).collect():
+        out[r["place"]] = r["s"]
+    return out.reshape(k, k)
 
 
 def _applied(vectors: DataFrame, key: str, by: np.ndarray) -> DataFrame:
     """Each vector times a small matrix."""
-    columns = [F.array(*[F.lit(float(x)) for x in by[:, j]]) for j in range(by.shape[1])]
-    return vectors.select(key, F.array(*[F.aggregate(F.zip_with("vector", c, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) for c in columns]).alias("vector"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                made = _stacked(batch) @ by
+                ends = np.arange(len(made) + 1, dtype=np.int32) * made.shape[1]
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(ends, made.ravel())], [key, "vector"])
+
+    return vectors.select(key, "vector").mapInArrow(run, f"`{key}` {vectors.schema[key].dataType.simpleString()}, vector array<double>")
+
+
+def _beside(left: DataFrame, right: DataFrame, key: str, width: int) -> DataFrame:
+    """Vectors of both set side by side; where ``right`` has none, zeros of its width."""
+    none = F.array(*[F.lit(0.0)] * width)
+    met = left.join(right.select(key, F.col("vector").alias("_more")), key, "left")
+    return met.select(key, F.concat("vector", F.coalesce("_more", none)).alias("vector"))
 
 
-def _orthonormal(vectors: DataFrame, key: str, k: int) -> DataFrame:
+def _orthonormal(vectors: DataFrame, key: str, k: int) -> tuple[DataFrame, int]:
     values, basis = np.linalg.eigh(_gram(vectors, k))
     keep = values > max(values.max(initial=0.0), 1e-300) * 1e-12
-    return kept(_applied(vectors, key, basis[:, keep] / np.sqrt(values[keep])))
+    return kept(_applied(vectors, key, basis[:, keep] / np.sqrt(values[keep]))), int(keep.sum())
 
 
-def svd(cells: DataFrame, k: int, rounds: int = 12, extra: int = 8) -> Factors:
-    """The k greatest singular values and vectors of cells (row, col, v), by subspace iteration from a hash of the
-    columns, ``extra`` vectors beyond k. Only sums of k + extra squared numbers come to the driver, so rows and columns
-    may be any number; each vector's greatest component by size is positive. Fewer come back if the rank is less."""
+def svd(cells: DataFrame, k: int, tolerance: float = 1e-6, extra: int = 8, blocks: int = 8, restarts: int = 25) -> Factors:
+    """The k greatest singular values and vectors of cells (row, col, v), by a block Krylov search with Rayleigh-Ritz.
+
+    From a block of k + ``extra`` vectors told by a hash of the columns, each step multiplies the newest block by the
+    matrix and its transpose, takes out what the blocks before have (twice), and finds the best values and vectors in
+    the span of all blocks. It ends when every wanted vector's residual (what the matrix and its transpose make of it,
+    less its squared value times it) is within ``tolerance`` of the greatest squared value; after ``blocks`` blocks the
+    search starts again from the best vectors. An end short of that, after ``restarts`` of them, is an error.
+
+    The matrix and all vectors stay distributed; sums of products of components, at most ((k + extra) (blocks + 1))^2
+    numbers, come to the driver, so rows and columns may be any number. Each vector's greatest component by size is
+    positive. Cells of null or zero value count nothing, cells of one place add up. Fewer come back if the rank is less.
+    """
     cells = kept(cells.select("row", "col", F.col("v").cast("double").alias("v")).where("v <> 0"))
-    width = k + extra
-    start = F.array(*[F.lit(1.0) - F.pmod(F.xxhash64("col", F.lit(i)), F.lit(1 << 20)) / float(1 << 19) for i in range(width)])
-    vectors = _orthonormal(cells.select("col").distinct().select("col", start.alias("vector")), "col", width)
-    if vectors.isEmpty():
-        return Factors(vectors.select(F.col("col").alias("row"), "vector"), vectors, [])
-    for _ in range(rounds):
-        n = len(vectors.first()["vector"])
-        rows = _orthonormal(_times(cells, "row", "col", vectors, n), "row", n)
-        n = len(rows.first()["vector"])
-        vectors = _orthonormal(_times(cells, "col", "row", rows, n), "col", n)
-    n = len(vectors.first()["vector"])
-    images = kept(_times(cells, "row", "col", vectors, n))
-    values, basis = np.linalg.eigh(_gram(images, n))
-    order = [i for i in np.argsort(-values)[:k] if values[i] > 1e-12 * max(values.max(), 1e-300)]
-    sigma = np.sqrt(values[order])
-    u, v = kept(_applied(images, "row", basis[:, order] / sigma)), kept(_applied(vectors, "col", basis[:, order]))
-    ends = u.agg(*[F.max(F.element_at("vector", i + 1)).alias(f"x{i}") for i in range(len(order))], *[F.min(F.element_at("vector", i + 1)).alias(f"n{i}") for i in range(len(order))]).first()
-    sign = [1.0 if abs(ends[f"x{i}"]) >= abs(ends[f"n{i}"]) else -1.0 for i in range(len(order))]
+    start = F.array(*[F.lit(1.0) - F.pmod(F.xxhash64("col", F.lit(i)), F.lit(1 << 20)) / float(1 << 19) for i in range(k + extra)])
+    block, width = _orthonormal(cells.select("col").distinct().select("col", start.alias("vector")), "col", k + extra)
+    if not width or block.isEmpty():
+        return Factors(block.select(F.col("col").alias("row"), "vector"), block, [])
+    most, begun = blocks * width, 0
+    q, m = block, width
+    z = newest = kept(_times(cells, "row", "col", block, width))
+    while True:
+        values, basis = np.linalg.eigh(_gram(z, m))
+        order = np.argsort(-values)
+        values, basis = np.maximum(values[order], 0.0), basis[:, order]
+        wanted = [i for i in range(min(k, m)) if values[i] > 1e-12 * max(values[0], 1e-300)]
+        image = kept(_beside(q, _times(cells, "col", "row", newest, width), "col", width))
+        gram = _gram(image, m + width)
+        across, own = gram[:m, m:], gram[m:, m:]
+        beyond = own - across.T @ across  # what of the image stands outside the span
+        last = basis[m - width : m, wanted]
+        apart = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", last, beyond, last), 0.0))
+        scale, turn = np.linalg.eigh((beyond + beyond.T) / 2)
+        fresh = scale > 1e-12 * max(own.trace(), 1e-300)
+        if (apart <= tolerance * values[0]).all() or not fresh.any():
+            break
+        if m + width > most:
+            begun += 1
+            if begun > restarts:
+                raise RuntimeError(f"residuals of {apart.max() / values[0]:.2g} after {restarts} restarts")
+            keep = basis[:, : k + extra]
+            q, z, m = kept(_applied(q, "col", keep)), kept(_applied(z, "row", keep)), keep.shape[1]
+            newest, width = z, m
+            continue
+        by = turn[:, fresh] / np.sqrt(scale[fresh])
+        block = kept(_applied(image, "col", np.vstack([-across @ by, by])))
+        gram = _gram(_beside(q, block, "col", by.shape[1]), m + by.shape[1])
+        again = gram[:m, m:]
+        scale, turn = np.linalg.eigh(gram[m:, m:] - again.T @ again)
+        by = turn / np.sqrt(np.maximum(scale, 1e-300))
+        width = by.shape[1]
+        block = kept(_applied(_beside(q, block, "col", width), "col", np.vstack([-again @ by, by])))
+        newest = kept(_times(cells, "row", "col", block, width))
+        q, z, m = kept(_beside(q, block, "col", width)), kept(_beside(z, newest, "row", width)), m + width
+    sigma = np.sqrt(values[wanted])
+    u, v = kept(_applied(z, "row", basis[:, wanted] / sigma)), kept(_applied(q, "col", basis[:, wanted]))
+    ends = u.agg(*[f(F.element_at("vector", i + 1)).alias(f"{n}{i}") for i in range(len(wanted)) for n, f in (("x", F.max), ("n", F.min))]).first()
+    sign = [1.0 if abs(ends[f"x{i}"]) >= abs(ends[f"n{i}"]) else -1.0 for i in range(len(wanted))]
     return Factors(u.select("row", _scaled("vector", sign).alias("vector")), v.select("col", _scaled("vector", sign).alias("vector")), sigma.tolist())
 
 
@@ -119,4 +182,18 @@ def evaluated(factors: Factors, cells: DataFrame) -> DataFrame:
     return met.select(*cells.columns, F.coalesce(dot("_u", "_v"), F.lit(0.0)).alias("value"))
 
 
-__all__ = ["Factors", "category", "evaluated", "predicted", "similar", "svd"]
+def largest(cells: DataFrame, tolerance: float = 1e-9) -> float:
+    """The largest singular value of cells (row, col, v); 0 without any."""
+    return next(iter(svd(cells, 1, tolerance=tolerance).sigma), 0.0)
+
+
+def folded(factors: Factors, rows: DataFrame, key: str) -> DataFrame:
+    """key and vector of new rows (key, row, v): the sum of v times the weighted vectors of known rows, as of a category
+    of their own; a key none of whose rows is known has none."""
+    k = len(factors.sigma)
+    met = rows.select(key, "row", F.col("v").cast("double").alias("v")).join(hinted(factors.weighted, 200_000), "row")
+    sums = met.groupBy(key).agg(*[F.sum(F.col("v") * F.element_at("vector", i + 1)).alias(f"_{i}") for i in range(k)])
+    return sums.select(key, F.array(*[F.col(f"_{i}") for i in range(k)]).alias("vector"))
+
+
+__all__ = ["Factors", "category", "evaluated", "folded", "largest", "predicted", "similar", "svd"]

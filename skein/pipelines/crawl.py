@@ -72,7 +72,7 @@ def associations(edges: DataFrame, words: list, k: int) -> DataFrame:
     from ..matrix import svd as S
 
     cells = edges.select(F.col("a").alias("row"), F.concat_ws("/", "rel", F.col("b").cast("string")).alias("col"), F.col("score").alias("v"))
-    factors = S.svd(cells, k, rounds=3)
+    factors = S.svd(cells, k)
     own = edges.where(F.col("a").isin(words))
     top = R.best_of(own, ["a"], [F.desc("score"), "rel", "b"], 10)
     out = top.select(F.lit("assertion").alias("report"), F.col("a").alias("word"), F.concat_ws("/", "rel", F.col("b").cast("string")).alias("other"), F.col("score").alias("value"))

@@ -8,8 +8,10 @@ from ..graph import activation as A
 from ..graph import edges as E
 from ..matrix import build as B
 from ..matrix import svd as S
+from ..functions import text as T
 from ..matrix.similarity import pairwise_cosine
 from ..operators import relational as R
+from ..operators.order import kept
 from .registry import query
 
 _EDGES = "(select l_partkey as a, l_returnflag as rel, 100000000 + l_suppkey as b, max(l_quantity) / 50 as score from lineitem group by 1, 2, 3)"
@@ -46,9 +48,51 @@ def _(t):
     return A.one_hop(edges(t), origins).select("concept", F.round("activation", 6).alias("activation"))
 
 
-@query("grf03_spreading")
+#: Relations of a small world over lineitem: what a line number is called on the way from a part to its supplier, and a
+#: line status on the way back.
+_WAYS = {"1": "AtLocation", "2": "HasProperty", "3": "Desires", "4": "UsedFor", "5": "PartOf", "6": "Causes", "7": "CapableOf"}
+_BACK = {"F": "HasSubevent", "O": "CapableOf"}
+
+
+def _named(column: str, names: dict[str, str], usual: str):
+    return F.coalesce(*[F.when(F.col(column) == k, v) for k, v in names.items()], F.lit(usual))
+
+
+def named_edges(t):
+    """a, rel, b: parts and suppliers both ways, by named relations."""
+    l = t("lineitem").select("l_partkey", (F.col("l_suppkey") + 100_000_000).alias("s"), _named(_WAY, _WAYS, "IsA").alias("there"), _named("l_linestatus", _BACK, "MadeOf").alias("back"))  # noqa: E741
+    ways = F.array(F.struct(F.col("l_partkey").alias("a"), F.col("there").alias("rel"), F.col("s").alias("b")), F.struct(F.col("s").alias("a"), F.col("back").alias("rel"), F.col("l_partkey").alias("b")))
+    return l.select(F.explode(ways).alias("e")).select("e.*").distinct()
+
+
+def _spread_sql(weights: dict[str, float], origins: str) -> str:
+    """Best first over a tree of ways whose activation only falls is the best of all ways, so of each depth's best."""
+    case = lambda column, names, usual: f"case {column} " + " ".join(f"when '{k}' then '{v}'" for k, v in names.items()) + f" else '{usual}' end"
+    weight = "case rel " + " ".join(f"when '{r}' then {w}" for r, w in weights.items()) + " else 0 end"
+    return f"""with recursive e as (
+  select l_partkey as a, {case(_WAY, _WAYS, 'IsA')} as rel, 100000000 + l_suppkey as b from lineitem
+  union select 100000000 + l_suppkey, {case('l_linestatus', _BACK, 'MadeOf')}, l_partkey from lineitem),
+d as (select a, count(*) as n from e group by 1),
+f as (select e.a, e.b, 0.5::double * {_DISCOUNT.format('coalesce(d.n, 0)')} * {weight}::double as factor from e left join d on d.a = e.b),
+o as (select concept, weight * {_DISCOUNT.format('coalesce(d.n, 0)')} as x from (values {origins}) v(concept, weight) left join d on d.a = concept),
+p as (
+  select concept, x, 0 as depth from o
+  union all select * from (select f.b, p.x * f.factor, depth + 1 from p join f on f.a = p.concept where f.factor > 0 and depth < 12 order by 2 desc, 1 limit 499)),
+v as (select * from p order by x desc, concept limit 499)
+select concept, round(1 - exp(sum(ln(1 - x))), 6) as activation from v where concept not in (select concept from o) group by 1 order by 1 - exp(sum(ln(1 - x))) desc, concept limit 200"""
+
+
+_WAY = "l_linenumber"
+_ORIGINS = "(1, 1.0::double), (2, 0.5::double)"
+
+
+def _origins(t):
+    return t.values("concept long, weight double", [(1, 1.0), (2, 0.5)])
+
+
+@query("grf03_spreading", _spread_sql(A.DEFAULT_WEIGHTS, _ORIGINS))
 def _(t):
-    return A.spread(edges(t), t.values("concept long, weight double", [(1, 1.0), (2, 0.5)]))
+    return A.spread(named_edges(t), _origins(t)).select("concept", F.round("activation", 6).alias("activation"))
 
 
 @query("grf04_related")
@@ -62,14 +106,11 @@ def _(t):
     return out.select("concept", F.round("weight", 6).alias("weight"), "level")
 
 
-@query("grf05_projection")
+@query("grf05_projection", "\nunion all ".join(f"select '{v}' as \"view\", * from ({_spread_sql(w, _ORIGINS)})" for v, w in A.VIEWS.items()))
 def _(t):
-    rel = F.element_at(F.create_map(*[F.lit(x) for x in ("A", "AtLocation", "N", "UsedFor", "R", "PartOf")]), F.col("rel"))
-    named = edges(t).withColumn("rel", rel)
-    origins = t.values("concept long, weight double", [(1, 1.0)])
-    out = None
-    for view in ("spatial", "utility", "all"):
-        mine = A.projection(named, origins, view).select(F.lit(view).alias("view"), "concept", "activation")
+    named, out = kept(named_edges(t)), None
+    for view in A.VIEWS:
+        mine = A.projection(named, _origins(t), view).select(F.lit(view).alias("view"), "concept", F.round("activation", 6).alias("activation"))
         out = mine if out is None else out.unionByName(mine)
     return out
 
@@ -130,14 +171,24 @@ def cells(t):
     return edges(t).select(F.col("a").alias("row"), F.concat_ws("/", "rel", F.col("b").cast("string")).alias("col"), F.col("score").alias("v"))
 
 
-@query("mat04_blended", f"with e as {_EDGES}, c as (select a as \"row\", b::varchar as col, case rel when 'A' then score / 2 else score / 4 end as v from e where rel in ('A', 'N')) select \"row\", col, round(sum(v), 6) as v from c group by 1, 2")
+@query("mat04_blended")
 def _(t):
     part = lambda rel: edges(t).where(F.col("rel") == rel).select(F.col("a").alias("row"), F.col("b").cast("string").alias("col"), F.col("score").alias("v"))
-    return B.blended([(part("A"), 2.0), (part("N"), 4.0)]).select("row", "col", F.round("v", 6).alias("v"))
+    return B.blended([part("A"), part("N")]).select("row", "col", F.round("v", 6).alias("v"))
+
+
+@query("mat04_balanced", f"with e as {_EDGES} select a as \"row\", b::varchar as col, 1.0::double as rows_length, 1.0::double as columns_length from e where rel = 'A' group by 1, 2")
+def _(t):
+    """Each cell's row and column length after scaling, the latter by the common one: all are 1."""
+    cells = edges(t).where("rel = 'A'").select(F.col("a").alias("row"), F.col("b").cast("string").alias("col"), F.col("score").alias("v"))
+    out = kept(B.balanced(cells, tolerance=1e-7))
+    rows, columns = out.agg(F.count_distinct("row"), F.count_distinct("col")).first()
+    length = lambda key, by: out.groupBy(key).agg(F.round(F.sqrt(F.sum(F.col("v") * F.col("v")) / by), 5).alias(f"{'rows' if key == 'row' else 'columns'}_length"))
+    return out.join(length("row", 1.0), "row").join(length("col", rows / columns), "col").select("row", "col", "rows_length", "columns_length")
 
 
 def factors(t, k=5):
-    return S.svd(edges(t).select(F.col("a").alias("row"), F.col("b").cast("string").alias("col"), F.col("score").alias("v")), k, rounds=3)
+    return S.svd(edges(t).select(F.col("a").alias("row"), F.col("b").cast("string").alias("col"), F.col("score").alias("v")), k)
 
 
 @query("mat05_singular_values")
@@ -171,9 +222,18 @@ def _(t):
 
 @query("mat10_colours")
 def _(t):
-    from ..functions.math import colour_mix
-
-    f = factors(t, 3)
-    red, green = (S.category(f, [c], 1_000_000).select("row", F.col("similarity").alias(n)) for c, n in ((1, "r"), (2, "g")))
-    mixed = colour_mix([F.col("r"), F.col("g")], [(255, 0, 0), (0, 255, 0)])
-    return R.top_rows(red.join(green, "row").select("row", *[m.alias(n) for m, n in zip(mixed, ("red", "green", "blue"))]), ["row"], 1_000_000)
+    """A colour for each document, a sentence or more: words are rows, languages and sources their features; a document
+    is the sum of its words' vectors and takes of each anchor word's colour as it is similar to it."""
+    from ..functions.math import colour_mix, cosine
+
+    words = t("documents").select("doc_id", F.concat_ws("/", F.coalesce("lang", F.lit("?")), F.coalesce("source", F.lit("?"))).alias("col"), F.explode(T.tokens(F.col("text"))).alias("row"))
+    counts = kept(words.groupBy("doc_id", "col", "row").agg(F.count("*").alias("v")))
+    cells = counts.groupBy("row", "col").agg(F.log1p(F.sum("v")).alias("v"))
+    f = S.svd(B.normalized(cells), 3)
+    totals = kept(counts.groupBy("row").agg(F.sum("v").alias("n")))
+    anchors = [r["row"] for r in totals.orderBy(F.desc("n"), "row").limit(3).collect()]
+    vectors = {r["row"]: r["vector"] for r in f.weighted.where(F.col("row").isin(anchors)).collect()}
+    of_doc = S.folded(f, counts, "doc_id")
+    near = [F.greatest(cosine(F.col("vector"), F.array(*map(F.lit, vectors[a]))), F.lit(0.0)) for a in anchors]
+    mixed = colour_mix(near, [(255, 0, 0), (0, 255, 0), (0, 0, 255)][: len(anchors)])
+    return of_doc.select("doc_id", *[F.round(m, 4).alias(n) for m, n in zip(mixed, ("red", "green", "blue"))])

@@ -1,5 +1,8 @@
 """Activation, level search, factors and streams."""
 
+import math
+from collections import defaultdict
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -14,22 +17,47 @@ def graph(spark, rows):
     return spark.createDataFrame(rows, "a string, rel string, b string, score double")
 
 
-def test_both_searches_agree_on_a_tree(spark):
-    tree = graph(spark, [("r", "x", "a", 1.0), ("r", "x", "b", 0.5), ("a", "x", "c", 0.8), ("b", "x", "d", 0.4), ("c", "x", "e", 1.0)])
-    origins = spark.createDataFrame([("r", 1.0)], "concept string, weight double")
-    weights = {"x": 1.0}
-    level = {r["concept"]: r["activation"] for r in activation.spread(tree, origins, weights).collect()}
-    exact = dict(activation.spread_exactly(tree, origins, weights))
-    assert level.keys() == exact.keys() == set("abcde") and all(level[c] == pytest.approx(exact[c]) for c in level)
-    assert activation.spread(tree, origins, weights, top=2).count() == 2
-    assert "a" in dict(activation.spread_exactly(tree, origins, weights, visits=1)) and "c" not in dict(activation.spread_exactly(tree, origins, weights, visits=1))
-    with pytest.raises(ValueError):
-        activation.spread_exactly(tree, origins, weights, most_edges=2)
+def best_first(edges, origins, weights, fade=0.5, queue=500, visits=500, top=200):
+    """One entry after the other, from a sorted list."""
+    leave, reach = defaultdict(list), defaultdict(list)
+    for a, rel, b in sorted({e[:3] for e in edges}):
+        leave[a].append((rel, b))
+        reach[b].append((rel, a))
+    discount = lambda n: math.exp(-((math.log(n + 5, 5) - 2.5) ** 2) / 2) / math.sqrt(2 * math.pi)
+    waiting, seen = [(-w * discount(len(leave[c])), c) for c, w in origins], []
+    while waiting and len(seen) < visits - 1:
+        waiting.sort()
+        x, c = waiting.pop(0)
+        seen.append((-x, c))
+        waiting += [(x * fade * discount(len(leave[b])) * weights.get(rel, 0), b) for rel, b in leave[c] if weights.get(rel, 0)]
+        waiting += [(x * fade * discount(len(reach[a])) * weights.get("-" + rel, 0), a) for rel, a in reach[c] if weights.get("-" + rel, 0)]
+        waiting = sorted(waiting)[:queue]
+    found = defaultdict(float)
+    for x, c in seen:
+        if c not in dict(origins):
+            found[c] = max(found[c], x) + (1 - max(found[c], x)) * min(found[c], x)
+    return dict(sorted(found.items(), key=lambda p: (-p[1], p[0]))[:top])
+
+
+@pytest.mark.parametrize("weights,how", [({"IsA": 0.9, "PartOf": 1.0}, {}), ({"IsA": 1.0, "-IsA": 0.7, "PartOf": 0.3}, {}), ({"IsA": 1.0, "PartOf": 1.0}, {"visits": 40, "top": 10}), (activation.DEFAULT_WEIGHTS, {"visits": 150})])
+def test_spreading_visits_best_first(spark, weights, how):
+    rng = np.random.default_rng(len(how) + len(weights))
+    edges = [(f"n{a:02}", str(rel), f"n{b:02}", 1.0) for a, b, rel in zip(rng.integers(0, 60, 260), rng.integers(0, 60, 260), rng.choice(["IsA", "PartOf", "Causes", "Odd"], 260))]
+    origins = [("n00", 1.0), ("n01", 0.4), ("nowhere", 1.0)]
+    got = activation.spread(graph(spark, edges + edges[:9] + [("n00", "IsA", None, 1.0)]), spark.createDataFrame(origins, "concept string, weight double"), weights, **how).collect()
+    want = best_first(edges, origins, weights, **how)
+    assert {r["concept"]: r["activation"] for r in got} == pytest.approx(want) and len(want) > 5
+
+
+def test_spreading_without_edges_or_origins(spark):
+    none = graph(spark, [])
+    assert activation.spread(none, spark.createDataFrame([("a", 1.0)], "concept string, weight double")).count() == 0
+    assert activation.spread(graph(spark, [("a", "IsA", "b", 1.0)]), spark.createDataFrame([], "concept string, weight double")).count() == 0
 
 
 def test_activation_stays_between_nothing_and_all(spark):
     rng = np.random.default_rng(1)
-    g = graph(spark, [(f"n{a}", "x", f"n{b}", float(s)) for a, b, s in zip(rng.integers(0, 12, 60), rng.integers(0, 12, 60), rng.random(60)) if a != b])
+    g = graph(spark, [(f"n{a}", "IsA", f"n{b}", float(s)) for a, b, s in zip(rng.integers(0, 12, 60), rng.integers(0, 12, 60), rng.random(60)) if a != b])
     origins = spark.createDataFrame([("n0", 1.0), ("n1", 1.0)], "concept string, weight double")
     got = activation.spread(g, origins).collect()
     assert got and all(0 < r["activation"] <= 1 for r in got) and not {"n0", "n1"} & {r["concept"] for r in got}

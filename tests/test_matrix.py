@@ -1,4 +1,8 @@
+import duckdb
 import numpy as np
+import pytest
+
+from skein.matrix import build, svd
 from skein.matrix.similarity import pairwise_cosine
 from skein.plans import registry
 
@@ -25,3 +29,81 @@ def test_the_report_covers_all_vectors(spark):
     whole = registry.queries()["mat09_pairwise_cosine_all"](spark, folder)
     n = spark.read.parquet(f"{folder}/embeddings.parquet").count()
     assert whole.count() == n * (n - 1) // 2
+
+
+@pytest.fixture(scope="module")
+def world():
+    """The matrix of the queries at sf0.01, its factors by numpy, and its labels."""
+    cells = duckdb.sql("select l_partkey as a, l_returnflag as rel, 100000000 + l_suppkey as b, max(l_quantity) / 50 as score from '/root/testdata/sf0.01/lineitem.parquet' group by 1, 2, 3").df()
+    rows, cols = sorted(cells.a.unique()), sorted(cells.b.unique())
+    x = np.zeros((len(rows), len(cols)))
+    np.add.at(x, (np.searchsorted(rows, cells.a), np.searchsorted(cols, cells.b)), cells.score)
+    return cells, rows, cols, x, np.linalg.svd(x, full_matrices=False)
+
+
+def test_queries_by_factors_against_numpy(spark, world, monkeypatch):
+    _, rows, cols, x, (u, s, vt) = world
+    folder, got = "/root/testdata/sf0.01", registry.queries()
+    made = {}
+    whole = svd.svd
+    monkeypatch.setattr(svd, "svd", lambda cells, k, **how: made.setdefault(k, whole(cells, k, **how)))
+    sigma = [r["sigma"] for r in got["mat05_singular_values"](spark, folder).orderBy("place").collect()]
+    assert sigma == pytest.approx(s[:5].tolist(), abs=1e-5)
+    w = u[:, :5] * s[:5]
+    near = w @ w[rows.index(7)]
+    similar = got["mat06_similar"](spark, folder).collect()
+    assert [r["what"] for r in similar if r["kind"] == "similar"] == [str(rows[i]) for i in np.argsort(-near)[:10]]
+    assert [r["value"] for r in similar if r["kind"] == "similar"] == pytest.approx(np.sort(near)[::-1][:10].tolist(), rel=1e-4)
+    back = w @ vt[:5]
+    assert [r["what"] for r in similar if r["kind"] == "predicted"] == [str(cols[i]) for i in np.argsort(-back[rows.index(7)])[:10]]
+    of_both = w @ (w[rows.index(1)] + w[rows.index(2)])
+    assert {r["row"]: r["similarity"] for r in got["mat07_category"](spark, folder).collect()} == pytest.approx({rows[i]: of_both[i] for i in np.argsort(-of_both)[:10]}, rel=1e-4)
+    cell = lambda a, b: back[rows.index(a), cols.index(b)] if a in rows and b in cols else 0.0
+    told = {(r["row"], r["col"]): r["value"] for r in got["mat08_evaluated"](spark, folder).collect()}
+    assert told == pytest.approx({(1, "100000001"): cell(1, 100000001), (7, "100000002"): cell(7, 100000002), (-1, "100000001"): 0.0, (2, "nothing"): 0.0}, abs=1e-4)
+
+
+def test_a_blend_divides_by_the_largest_singular_values(spark, world):
+    cells, rows, cols, x, _ = world
+    want = np.zeros_like(x)
+    for rel in "AN":
+        part = np.zeros_like(x)
+        mine = cells[cells.rel == rel]
+        np.add.at(part, (np.searchsorted(rows, mine.a), np.searchsorted(cols, mine.b)), mine.score)
+        want += part / np.linalg.norm(part, 2)
+    got = registry.queries()["mat04_blended"](spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == np.count_nonzero(want)
+    assert max(abs(r["v"] - want[rows.index(r["row"]), cols.index(int(r["col"]))]) for r in got[::50]) < 2e-6
+
+
+def test_close_values_are_told_apart(spark):
+    """A spectrum with almost no gaps, of known values."""
+    rng = np.random.default_rng(2)
+    n, values = 60, np.r_[5.0, 4.0, np.linspace(3.0, 2.9, 58)]
+    q, p = (np.linalg.qr(rng.standard_normal((n, n)))[0] for _ in range(2))
+    x = q * values @ p.T
+    cells = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(n) for j in range(n)], "row long, col long, v double")
+    f = svd.svd(cells, 4, blocks=5)
+    assert f.sigma == pytest.approx(values[:4].tolist(), abs=1e-3) and f.sigma[:2] == pytest.approx([5.0, 4.0], abs=1e-9)
+    u = np.array([r["vector"] for r in f.u.orderBy("row").collect()])
+    assert np.abs(u.T @ u - np.eye(4)).max() < 1e-6
+    assert svd.largest(cells) == pytest.approx(5.0, abs=1e-9) and svd.largest(cells.limit(0)) == 0.0
+
+
+def test_balanced_rows_and_columns(spark):
+    rng = np.random.default_rng(4)
+    cells = [(i, j, float(rng.random() + 0.1)) for i in range(12) for j in range(5) if (i * j) % 4 != 3] + [(99, 0, 0.0)]
+    out = build.balanced(spark.createDataFrame(cells, "row long, col long, v double")).toPandas()
+    rows, cols = ((out.v**2).groupby(out[k]).sum() for k in ("row", "col"))
+    assert rows.drop(99).tolist() == pytest.approx([1.0] * 12, abs=1e-6) and rows[99] == 0 and cols.tolist() == pytest.approx([12 / 5] * 5, abs=1e-6)
+    assert build.balanced(spark.createDataFrame([], "row long, col long, v double")).count() == 0
+
+
+def test_documents_take_the_colours_of_their_words(spark):
+    folder = "/root/testdata/sf0.001"
+    got = {r["doc_id"]: (r["red"], r["green"], r["blue"]) for r in registry.queries()["mat10_colours"](spark, folder).collect()}
+    n = duckdb.sql(f"select count(*) from '{folder}/documents.parquet' where regexp_matches(text, '[A-Za-z]')").fetchall()[0][0]
+    assert len(got) >= 0.95 * n and all(0 <= c <= 255 for rgb in got.values() for c in rgb) and len(set(got.values())) > 10
+    f = svd.Factors(spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "row string, vector array<double>"), None, [2.0, 3.0])
+    rows = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (1, "unknown", 5), (2, "unknown", 1), (3, "b", None)], "doc int, row string, v int")
+    assert {r["doc"]: r["vector"] for r in svd.folded(f, rows, "doc").collect()} == {1: [4.0, 3.0], 3: [None, None]}
