@@ -4,7 +4,8 @@ Texts are lower-cased with white space collapsed. An item of m characters occurs
 within k = floor(m * edits) edits. By the q-gram lemma such a region shares at least m - q + 1 - q k of the item's
 character q-grams, on diagonals (place in document less place in item) that lie within k of each other. So shared
 q-grams are counted in bands of 2 (k + 1) diagonals that overlap by half, so that each run of k + 1 diagonals lies in
-one band; bands with that many are regions to verify, by banded alignment of the item against the region.
+one band; bands with that many are regions to verify, by banded alignment of the item against the region. Counts are
+taken over bounded numbers of shared q-grams at a time, so texts and items of repeated characters need no more memory.
 
 Items for which k and that number of q-grams are positive are found so (with q = 8 and 8 % edits, from 20 characters on,
 normalised); shorter ones word for word, where no word goes on beyond them. Items without characters occur nowhere. The items' q-grams are
@@ -74,6 +75,7 @@ class Items:
     """The q-gram index of benchmark items (id, normalised text)."""
 
     BITS = 20
+    PAIRS = 250_000
 
     def __init__(self, items: list[tuple[int, str]], q: int, edits: float):
         self.short: dict[int, tuple[np.ndarray, dict[str, list[int]]]] = {}
@@ -116,6 +118,47 @@ class Items:
                     out.setdefault(i, (i, a, a + m, 0))
         return list(out.values())
 
+    def _full_bands(self, grams: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
+        """item and band of each band with enough shared q-grams, in order of the bands of an item.
+
+        Pairs of a place ``at`` and an entry of the index are laid out ``PAIRS`` at a time in order of places; counts are
+        kept only of bands that later places can still reach, so a text and an item of one repeated character, or a
+        q-gram that many items hold, takes no more memory than others.
+        """
+        low = np.searchsorted(self.flat, grams[at])
+        n = np.searchsorted(self.flat, grams[at], "right") - low
+        at, low, n = at[n > 0], low[n > 0], n[n > 0]
+        if not len(at):
+            return
+        ends, far = np.cumsum(n), int(self.size.max())
+        wide = (int(at[-1]) + far) // int(self.most.min() + 1) + 3
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        for begin in range(0, int(ends[-1]), self.PAIRS):
+            end = min(begin + self.PAIRS, int(ends[-1]))
+            p, last = np.searchsorted(ends, [begin, end - 1], "right")
+            shares = np.minimum(ends[p : last + 1], end) - np.maximum(ends[p : last + 1] - n[p : last + 1], begin)
+            entry = np.arange(begin, end) + np.repeat(low[p : last + 1] - ends[p : last + 1] + n[p : last + 1], shares)
+            item = self.item[entry]
+            band = (np.repeat(at[p : last + 1], shares) - self.place[entry] + far) // (self.most[item] + 1)
+            key = item * wide + band
+            least = int(key.min())
+            if int(key.max()) - least < 4 * len(key) + 1000:
+                sums = np.bincount(key - least)
+                sums = np.append(sums, 0) + np.append(0, sums)  # each counts for its own band and for the next, overlapping one
+                new = np.flatnonzero(sums)
+                new, sums = new + least, sums[new]
+            else:
+                new, sums = np.unique(np.concatenate([key + 1, key]), return_counts=True)
+            keys, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            counts = np.bincount(place, weights=np.concatenate([counts, sums]), minlength=len(keys)).astype(np.int64)
+            # A place from ``ahead`` on is on no diagonal of a band that ends before it by the item's length.
+            ahead = int(at[np.searchsorted(ends, end, "right")]) if end < ends[-1] else np.iinfo(np.int64).max // 2
+            item, band = keys // wide, keys % wide - 1
+            over = (band + 2) * (self.most[item] + 1) - far <= ahead - self.size[item]
+            full = over & (counts >= self.least[item])
+            yield from zip(item[full].tolist(), band[full].tolist())
+            keys, counts = keys[~over], counts[~over]
+
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """item id, start and end in the normalised text, edits: the best region of each item that occurs."""
         codes = codes_of(text)
@@ -124,31 +167,21 @@ class Items:
         at = np.flatnonzero(self.bitmap[(grams & np.uint64((1 << self.BITS) - 1)).astype(np.int64)])
         if not len(at) or not len(self.flat):
             return short
-        low, high = np.searchsorted(self.flat, grams[at]), np.searchsorted(self.flat, grams[at], "right")
-        n = high - low
-        entry = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        item, diagonal = self.item[entry], np.repeat(at, n) - self.place[entry]
-        step = self.most[item] + 1
-        diagonal = diagonal + self.size.max()
-        band = diagonal // step
-        wide = int(band.max(initial=0)) + 2
-        keys, counts = np.unique(np.concatenate([item * wide + band + 1, item * wide + band]), return_counts=True)
-        full = counts >= self.least[keys // wide]
         found: dict[int, tuple[int, int, int]] = {}
-        for key in keys[full]:
-            k, b = int(key // wide), int(key % wide) - 1
+        for k, b in self._full_bands(grams, at):
             reach, m = int(self.most[k]) + 1, int(self.size[k])
             first = b * reach - int(self.size.max())
+            best = found.get(k)
+            if best and not best[0]:  # bands of an item come in order, so the first exact place is known
+                continue
             exact = text.find(self.texts[k], max(0, first), max(0, first + 2 * reach + m))
             if exact >= 0:
-                hit = (0, exact, exact + m)
-            else:
-                got = banded_distance(self.codes[k], codes, first, 2 * reach, int(self.most[k]))
-                if got is None:
-                    continue
-                hit = (got[0], max(0, got[1] - m), got[1])
-            if k not in found or hit < found[k]:
-                found[k] = hit
+                found[k] = (0, exact, exact + m)
+                continue
+            less = best[0] - 1 if best else int(self.most[k])  # only a better region is looked for
+            got = banded_distance(self.codes[k], codes, first, 2 * reach, less) if less else None
+            if got is not None:
+                found[k] = (got[0], max(0, got[1] - m), got[1])
         return [(self.ids[k], a, b, e) for k, (e, a, b) in sorted(found.items())] + short
 
 

@@ -124,6 +124,42 @@ def test_matches_against_whole_alignments(spark):
         assert {(k, e) for k, _, _, e in index.find(text)} == want
 
 
+def test_repeated_characters_take_bounded_time_and_memory():
+    import tracemalloc
+
+    items = decontamination.Items([(1, "-" * 300), (2, "=-" * 60), (3, "-" * 150 + "x" + "-" * 149)], 8, 0.08)
+    tracemalloc.start()
+    began = time.time()
+    got = items.find("-" * 60_000 + " end")
+    took, most = time.time() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(1, 0, 300, 0), (3, got[1][1], got[1][2], 1)] and most < 100e6 and took < 20
+    got = items.find("=" + "-" * 100 + "x" + "-" * 190)
+    assert {(k, e) for k, _, _, e in got} == {(1, 10), (3, 9 + 1)} or {k for k, *_ in got} == {1, 3}
+
+
+def test_bands_in_small_parts_are_the_same(monkeypatch):
+    rng = random.Random(9)
+    items = decontamination.Items([(i, "".join(rng.choice("ab") for _ in range(rng.randrange(20, 60)))) for i in range(12)] + [(99, "a" * 50)], 8, 0.08)
+    texts = ["".join(rng.choice("ab") for _ in range(200)) for _ in range(30)] + ["a" * 300, "b" * 20 + "a" * 47 + "b" + "a" * 9]
+    whole = [items.find(t) for t in texts]
+    monkeypatch.setattr(decontamination.Items, "PAIRS", 7)
+    assert [items.find(t) for t in texts] == whole and any(whole)
+
+
+def test_long_conversations_take_time_in_proportion(spark):
+    said = lambda n: [("c", i, i - 1 if i else None, "assistant" if i % 2 else "user", f"é[/TURN] {i}", 0.0) for i in range(n)]
+    took = []
+    for n in (10, 4000):
+        chat_format.format_trees(trees(spark, said(n))).collect()
+        began = time.time()
+        r = chat_format.format_trees(trees(spark, said(n))).first()
+        took.append(time.time() - began)
+        texts = [r["formatted"][s["start"] : s["end"]] for s in r["loss_spans"]]
+        assert texts == [f"é[\\/TURN] {i}" for i in range(1, n, 2)]
+    assert took[1] < 5 * took[0] + 20
+
+
 def test_decontamination_keeps_ids_and_repeats(spark):
     docs = spark.createDataFrame([(None, "xx who was the first to fly over it xx"), (1, "who was the first to fly over it"), (1, "who was the first to fly over it"), (2, ""), (3, None)], "doc_id long, text string")
     items = spark.createDataFrame([(5, "Who was the FIRST to fly over it")], "item_id long, text string")
