@@ -22,8 +22,10 @@ of one row, so it has to fit in a task.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from .common import cut, keep_keys, table
 
@@ -93,19 +95,23 @@ def format_trees(messages: DataFrame, branches: int = 1, trained_role: str = "as
     told = paths.join(rows.select("tree_id", "msg_id", "role", "text"), ["tree_id", "msg_id"])
     head = F.concat(F.lit("[TURN]"), escape(F.col("role")), F.lit("[TEXT]"))
     body = escape(F.col("text"))
-    turn = F.struct((-F.col("up")).alias("at"), head.alias("head"), body.alias("body"), (F.col("role") == trained_role).alias("trained"))
-    whole = told.groupBy("tree_id", "leaf_id", "branch").agg(F.first("total").alias("branch_score"), F.array_sort(F.collect_list(turn)).alias("turns"))
+    # Where a turn stands: the lengths of those before it, summed up once for each conversation.
+    of_path = ["tree_id", "leaf_id", "branch"]
+    above = Window.partitionBy(*of_path).orderBy(F.desc("up")).rowsBetween(Window.unboundedPreceding, -1)
+    told = told.select(*of_path, "total", "up", head.alias("head"), body.alias("body"), (F.col("role") == trained_role).alias("trained"))
+    size = F.length("head") + F.length("body") + 7
+    start = (F.coalesce(F.sum(size).over(above), F.lit(0)) + 3 + F.length("head")).cast("int")
+    turn = F.struct((-F.col("up")).alias("at"), "head", "body", "trained", "start", (F.col("start") + F.length("body")).alias("end"))
+    whole = told.withColumn("start", start).groupBy(*of_path).agg(F.first("total").alias("branch_score"), F.array_sort(F.collect_list(turn)).alias("turns"))
     text = F.concat(F.lit("<s>"), F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit("[/TURN]"))), ""), F.lit("</s>"))
-    begin = F.struct(F.lit(3).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"))
+    spans = F.transform(F.filter("turns", lambda t: t["trained"]), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end")))
+    return whole.select("tree_id", "leaf_id", "branch", "branch_score", F.size("turns").cast("long").alias("n_messages"), text.alias("formatted"), spans.alias("loss_spans"))
 
-    def add(acc: Column, t: Column) -> Column:
-        start = acc["at"] + F.length(t["head"])
-        end = start + F.length(t["body"])
-        spans = F.when(t["trained"], F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(acc["spans"])
-        return F.struct((end + 7).alias("at"), spans.alias("spans"))
 
-    spans = F.aggregate("turns", begin, add)["spans"]
-    return whole.select("tree_id", "leaf_id", "branch", "branch_score", F.size("turns").cast("long").alias("n_messages"), text.alias("formatted"), spans.alias("loss_spans"))
+@F.pandas_udf(ArrayType(StringType()))
+def under_mask(formatted: pd.Series, spans: pd.Series) -> pd.Series:
+    """What stands in the spans of a formatted conversation (a slice of a Python string takes no search from its start)."""
+    return pd.Series([[text[s["start"] : s["end"]] for s in mine] for text, mine in zip(formatted, spans)], dtype=object)
 
 
 def read_back(formatted: Column) -> Column:
@@ -130,7 +136,7 @@ def op6_chat_format(spark, sf_dir: str) -> DataFrame:
     messages = rows.withColumn("msg_id", nth).select("tree_id", "msg_id", (F.col("msg_id") - 1).alias("parent_id"), "role", "text", F.lit(0.0).alias("score"))
     done = format_trees(messages)
     turns = read_back(F.col("formatted"))
-    lost = F.transform("loss_spans", lambda s: F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))
+    lost = under_mask("formatted", "loss_spans")
     out = done.select("*", turns.alias("turns"), F.array_join(F.transform(lost, unescape), "").alias("loss"))
     said_by = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
