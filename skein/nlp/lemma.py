@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.order import kept
+
 from .normalize import CORRECT, STOP, SWAP
 
 VOWELS = "aeiou"
@@ -93,28 +96,93 @@ def lemma_combine(lemmas: str, residue: str) -> str:
     return " ".join(out)
 
 
+#: Endings of a family's lemma that its other words lack.
+_ADDED = ("", "e", "y")
+
+
+def word_families(counts: DataFrame, longest: int = 5) -> DataFrame:
+    """word, lemma, n of words (word, n) that come of another word of the table by cutting up to ``longest`` letters and
+    putting on nothing, an e or a y: of several the least cut, then the least added. A lemma has three letters or more and
+    isn't longer than what comes of it."""
+    tries = F.array(*[F.struct(F.lit(cut).alias("cut"), F.lit(add).alias("add")) for cut in range(1, longest + 1) for add in _ADDED if len(add) < cut])
+    rows = counts.where(F.length("word") > 3).select("word", "n", F.explode(tries).alias("t")).where(F.length("word") - F.col("t.cut") >= 2)
+    rows = rows.withColumn("lemma", F.concat(F.substring("word", F.lit(1), F.length("word") - F.col("t.cut")), F.col("t.add")))
+    rows = rows.where(F.length("lemma") >= 3).join(counts.select(F.col("word").alias("lemma")), "lemma", "left_semi")
+    return rows.groupBy("word", "n").agg(F.min_by("lemma", F.struct("t.cut", "t.add")).alias("lemma")).select("word", "lemma", "n")
+
+
+def suffix_rules(pairs: DataFrame, longest: int = 6, least: int = 2) -> DataFrame:
+    """suffix, cut, add, n: of each suffix (up to ``longest`` letters) of words (word, lemma) the change that most words
+    with it take; of equal ones the least cut. Changes of fewer than ``least`` words are too rare to count."""
+    letters = F.sequence(F.lit(1), F.least(F.length("word"), F.length("lemma")))
+    parted = F.array_min(F.filter(letters, lambda i: F.substring("word", i, F.lit(1)) != F.substring("lemma", i, F.lit(1))))
+    same = F.coalesce(parted - 1, F.least(F.length("word"), F.length("lemma")))
+    rows = pairs.select("word", (F.length("word") - same).alias("cut"), F.substr("lemma", same + 1).alias("add"))
+    sizes = F.sequence(F.greatest("cut", F.lit(1)), F.least(F.length("word"), F.greatest("cut", F.lit(longest))))
+    rows = rows.where(F.greatest("cut", F.lit(1)) <= F.length("word")).select("word", "cut", "add", F.explode(sizes).alias("k"))
+    seen = rows.groupBy(F.substring("word", -F.col("k"), F.col("k")).alias("suffix"), "cut", "add").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    best = seen.groupBy("suffix").agg(F.max_by(F.struct("cut", "add", "n"), F.struct("n", -F.col("cut"), F.col("add"))).alias("r"))
+    return best.select("suffix", "r.cut", "r.add", "r.n")
+
+
 class SuffixTrie:
-    """Learned from (word, lemma) pairs: the longest known suffix of a word says what to cut off and put on. Changes seen
-    only once at a suffix of one letter are too rare to count."""
-
-    def __init__(self, pairs: list[tuple[str, str]]):
-        self.rules: dict[str, Counter] = {}
-        for word, lemma in pairs:
-            n = 0
-            while n < min(len(word), len(lemma)) and word[n] == lemma[n]:
-                n += 1
-            for k in range(0, len(word) + 1):
-                if k >= len(word) - n:
-                    self.rules.setdefault(word[len(word) - k :], Counter())[len(word) - n, lemma[n:]] += 1
+    """Changes by suffix, as a trie of letters from the end, held in arrays: a node's child for a letter is found by a
+    search in one sorted array of (node, letter)."""
+
+    def __init__(self, steps: np.ndarray, to: np.ndarray, change: np.ndarray, changes: list[tuple[int, str]]):
+        self.steps, self.to, self.change, self.changes = steps, to, change, changes
+
+    @classmethod
+    def of(cls, rules: Iterable[tuple[str, int, str, int]], rare: int = 1) -> SuffixTrie:
+        """From (suffix, cut, add, n); changes seen ``rare`` times or less are left out."""
+        nodes: dict[tuple[int, int], int] = {}
+        change, changes = [-1], {}
+        for suffix, cut, add, n in rules:
+            if n <= rare:
+                continue
+            at = 0
+            for c in reversed(suffix):
+                if (at, ord(c)) not in nodes:
+                    nodes[at, ord(c)] = len(change)
+                    change.append(-1)
+                at = nodes[at, ord(c)]
+            change[at] = changes.setdefault((cut, add), len(changes))
+        keys = sorted(nodes)
+        return cls(np.array([n << 21 | c for n, c in keys], np.int64), np.array([nodes[k] for k in keys], np.int64), np.array(change), list(changes))
 
     def lemma(self, word: str) -> str:
-        for at in range(len(word) + 1):
-            seen = self.rules.get(word[at:])
-            if seen:
-                (cut, add), n = min(seen.items(), key=lambda x: (-x[1], x[0]))
-                if n > 1 or len(word) - at > 1:
-                    return word[: len(word) - cut] + add
-        return word
+        """The word changed as the longest known suffix says that leaves a letter."""
+        at, found = 0, -1
+        for k, c in enumerate(reversed(word)):
+            place = int(np.searchsorted(self.steps, at << 21 | ord(c)))
+            if place == len(self.steps) or self.steps[place] != at << 21 | ord(c):
+                break
+            at = int(self.to[place])
+            if self.change[at] >= 0 and self.changes[self.change[at]][0] < len(word):
+                found = int(self.change[at])
+        if found < 0:
+            return word
+        cut, add = self.changes[found]
+        return word[: len(word) - cut] + add
+
+
+def lemmas_of(counts: DataFrame, least: int = 2, most_rules: int = 200_000) -> DataFrame:
+    """word, lemma of each row of words (word, n): one that stands in the table with a word it comes of has that; of
+    others the ending is told by a trie learned from the families of the table. The trie has the ``most_rules`` rules of
+    most words at most, which bounds what is sent to the workers."""
+    spark = counts.sparkSession
+    families = kept(word_families(counts))
+    rules = suffix_rules(families, least=least).orderBy(F.desc("n"), "suffix").limit(most_rules).collect()
+    trie = spark.sparkContext.broadcast(SuffixTrie.of([tuple(r) for r in rules]))
+
+    def run(words: pd.Series) -> pd.Series:
+        return words.map(trie.value.lemma, na_action="ignore")
+
+    known = families.select(F.col("word").alias("_w"), F.col("lemma").alias("_known"))
+    met = counts.select("word").join(known, F.col("word") == F.col("_w"), "left")
+    is_lemma = families.select(F.col("lemma").alias("_l")).distinct().withColumn("_own", F.lit(True))
+    met = met.join(is_lemma, F.col("word") == F.col("_l"), "left")
+    return met.select("word", F.coalesce("_known", F.when(F.col("_own"), F.col("word")), F.pandas_udf(run, "string")(F.col("word"))).alias("lemma"))
 
 
 #: Endings that light stemmers take off, longest first.
@@ -166,7 +234,3 @@ def recombined(lemmas: Column, residue: Column) -> Column:
 
 def stem_text(text: Column, lang: str) -> Column:
     return _by_row(lambda t: stemmed(t, lang), "string")(text)
-
-
-def trie_lemma(word: Column, pairs: list[tuple[str, str]]) -> Column:
-    return _by_row(SuffixTrie(pairs).lemma, "string")(word)

@@ -103,26 +103,6 @@ def parsed(text: Column) -> Column:
     return F.pandas_udf(run, "relation string, text1 string, text2 string")(text)
 
 
-_NP = r"((?:\S+/(?:DT|JJ|NN|NNS|NNP|PRP) ?)+)"
-#: Relation and ordered pattern over word/TAG text; the first that fits counts.
-TAGGED = [
-    ("UsedFor", rf"^{_NP}\s?(?:is|are)/\S+ used/VBN (?:for/IN|to/TO) (.+)$"), ("PartOf", rf"^{_NP}\s?(?:is|are)/\S+ part/NN of/IN {_NP}$"),
-    ("MadeOf", rf"^{_NP}\s?(?:is|are)/\S+ made/VBN of/IN {_NP}$"), ("AtLocation", rf"^{_NP}\s?(?:is|are)/\S+ (?:in|on|at)/IN {_NP}$"),
-    ("ReceivesAction", rf"^{_NP}\s?can/MD be/VB (\S+/VBN.*)$"), ("CapableOf", rf"^{_NP}\s?can/MD (\S+/VB .*|\S+/VB)$"),
-    ("HasProperty", rf"^{_NP}\s?(?:is|are)/\S+ (\S+/JJ)$"), ("IsA", rf"^{_NP}\s?(?:is|are)/\S+ {_NP}$"), ("HasA", rf"^{_NP}\s?(?:has|have)/\S+ {_NP}$"),
-]
-
-
-def untagged(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"/[A-Z$]+(?= |$)", ""))
-
-
-def parsed_tagged(text: Column) -> Column:
-    """struct<relation, text1, text2> of the first pattern that fits word/TAG text."""
-    tries = [F.when(text.rlike(p), F.struct(F.lit(r).alias("relation"), untagged(F.regexp_extract(text, p, 1)).alias("text1"), untagged(F.regexp_extract(text, p, 2)).alias("text2"))) for r, p in TAGGED]
-    return F.coalesce(*tries)
-
-
 def repaired(df: DataFrame) -> DataFrame:
     """Assertions (relation, adverb, text1, text2) put right: near is LocatedNear, a thing or ability in, on, at or by is
     a place; without junk, places "of" something, and concepts of more than six words."""

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..nlp import lemma as L
 from ..nlp import normalize as N
 from ..nlp import parse as P
+from ..nlp import peg as G
+from ..operators.order import kept
 from .registry import query
 
 
@@ -82,14 +84,23 @@ def _(t):
     return f.select("doc_id", L.recombined(F.col("f.lemmas"), F.col("f.residue")).alias("text"))
 
 
-#: Words with their lemmas that the trie learns endings from; of our own.
-PAIRS = [("walks", "walk"), ("talks", "talk"), ("stories", "story"), ("cities", "city"), ("boxes", "box"), ("wishes", "wish"), ("walked", "walk"), ("talked", "talk"), ("making", "make"), ("baking", "bake"), ("running", "run"), ("sitting", "sit"), ("nations", "nation"), ("tions", "tion")]
+@query("nlp07_trie_lemmas")
+def _(t):
+    """Lemmas of all words of the documents, by endings learned from the word families that they hold themselves."""
+    words = t("documents").select(F.explode(N.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return L.lemmas_of(kept(words))
 
 
-@query("nlp07_trie_lemmas")
+_FAMILY = """with w as (select distinct unnest(""" + _WORDS + """) as word from documents),
+t as (select word, c.cut, a.add, substr(word, 1, length(word) - c.cut) || a.add as lemma from w, (values (1), (2), (3), (4), (5)) c(cut), (values (''), ('e'), ('y')) a(add)
+  where length(word) > 3 and length(a.add) < c.cut and length(word) - c.cut >= 2)
+select t.word, arg_min(lemma, (t.cut, t.add)) as lemma from t where length(lemma) >= 3 and lemma in (select word from w) group by 1"""
+
+
+@query("nlp07_word_families", _FAMILY)
 def _(t):
-    words = t("documents").select(F.explode(N.words(F.col("text"))).alias("word")).distinct()
-    return words.select("word", L.trie_lemma(F.col("word"), PAIRS).alias("lemma"))
+    words = t("documents").select(F.explode(N.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return L.word_families(kept(words)).select("word", "lemma")
 
 
 @query("nlp08_stems")
@@ -133,21 +144,11 @@ def _(t):
     return rows.select("id", P.parsed(F.col("text")).alias("p")).select("id", "p.*")
 
 
-TAGGED = [
-    ("The/DT dog/NN is/VBZ an/DT animal/NN", "IsA", "The dog", "an animal"),
-    ("A/DT knife/NN is/VBZ used/VBN for/IN cutting/VBG", "UsedFor", "A knife", "cutting"),
-    ("Books/NNS are/VBP on/IN the/DT table/NN", "AtLocation", "Books", "the table"),
-    ("Sound/NN can/MD be/VB recorded/VBN", "ReceivesAction", "Sound", "recorded"),
-    ("Birds/NNS can/MD sing/VB", "CapableOf", "Birds", "sing"),
-    ("Roses/NNS are/VBP red/JJ", "HasProperty", "Roses", "red"),
-    ("no/DT pattern/VB", None, None, None),
-]
-
-
-@query("nlp12_tagged_assertions", "select id, relation, text1, text2 from (values " + ",".join("(" + ", ".join([str(i), *("null" if x is None else f"'{x}'" for x in s[1:])]) + ")" for i, s in enumerate(TAGGED)) + ") v(id, relation, text1, text2)")
+@query("nlp12_tagged_assertions")
 def _(t):
-    rows = t.values("id int, text string", [(i, s[0]) for i, s in enumerate(TAGGED)])
-    return rows.select("id", P.parsed_tagged(F.col("text")).alias("p")).select("id", "p.*")
+    """Every sentence of all documents, its words tagged by what the whole table says of them."""
+    words = G.sentences(t("documents"), "doc_id", "text")
+    return G.assertions(G.tagged(words, "doc_id"), "doc_id")
 
 
 @query("nlp13_repairs", "with a as (select l_orderkey, l_linenumber, case l_linenumber % 4 when 0 then 'AtLocation' when 1 then 'IsA' when 2 then 'junk' else 'CapableOf' end as relation, case l_returnflag when 'A' then 'near' when 'N' then 'in' else 'of' end as adverb, case when l_quantity > 40 then 'one two three four five six seven' else 'short text' end as text1, 'x' as text2 from lineitem) select l_orderkey, l_linenumber, case when relation = 'AtLocation' and adverb = 'near' then 'LocatedNear' when relation in ('IsA', 'CapableOf') and adverb in ('in', 'on', 'at', 'by') then 'AtLocation' else relation end as relation, case when relation in ('IsA', 'CapableOf') and adverb in ('in', 'on', 'at', 'by') then '' else adverb end as adverb, text1, text2 from a where relation <> 'junk' and not (relation = 'AtLocation' and adverb = 'of') and text1 = 'short text'")
