@@ -43,11 +43,12 @@ def tags_of(word: str) -> dict[str, float]:
     return {t: q * 0.01 for t, q in out.items()}
 
 
-def chart(words: list[str]) -> list[list[dict[str, float]]]:
-    """For each start and end the probability of each tag or phrase over it, filled from short to long."""
+def chart(words: list[str], longest: int) -> list[list[dict[str, float]]]:
+    """For each start and end up to ``longest`` words on the probability of each tag or phrase over it, filled from short
+    to long."""
     n = len(words)
     cells: list[list[dict[str, float]]] = [[{} for _ in range(n + 1)] for _ in range(n)]
-    for size in range(1, n + 1):
+    for size in range(1, min(n, longest) + 1):
         for i in range(n - size + 1):
             cell = cells[i][i + size]
             if size == 1:
@@ -63,13 +64,18 @@ def chart(words: list[str]) -> list[list[dict[str, float]]]:
     return cells
 
 
-def parse(sentence: str, most_words: int = 24) -> tuple[str, str, str] | None:
-    """relation, first and second concept of the likeliest pattern; None for none, for junk and for long sentences."""
+#: A sentence without any of these words fits no pattern.
+_SAYING = {w for _, pattern, _ in PATTERNS for part in pattern if not part.isupper() for w in part.split("|")}
+
+
+def parse(sentence: str, longest: int = 24) -> tuple[str, str, str] | None:
+    """relation, first and second concept of the likeliest pattern; None for none and for junk. Sentences have any
+    length; a concept is a phrase of at most ``longest`` words, so that the chart grows as the sentence does."""
     plain = sentence.strip().rstrip(".!?").replace('"', "").split()
     words = [w.lower().strip(",;:") for w in plain]
-    if not words or len(words) > most_words:
-        return None
-    cells, best = chart(words), (FLOOR, "", [])
+    if _SAYING.isdisjoint(words) or len(words) > 2 * longest + max(len(p) for _, p, _ in PATTERNS):
+        return None  # nothing to say it by, or more words than two concepts and a pattern have
+    cells, best = chart(words, longest), (FLOOR, "", [])
 
     def fits(pattern: list[str], at: int) -> list[tuple[float, list[tuple[int, int]]]]:
         if not pattern:
@@ -77,7 +83,7 @@ def parse(sentence: str, most_words: int = 24) -> tuple[str, str, str] | None:
         head, rest = pattern[0], pattern[1:]
         if head.isupper():
             out = []
-            for end in range(at + 1, len(words) + 1):
+            for end in range(at + 1, min(len(words), at + longest) + 1):
                 if head in cells[at][end]:
                     out += [(cells[at][end][head] * p, [(at, end), *spans]) for p, spans in fits(rest, end)]
             return sorted(out, key=lambda x: -x[0])[:1]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -213,6 +214,60 @@ def assertions_of(raw: DataFrame) -> DataFrame:
     return one.groupBy(*what).agg(F.min("raw_id").alias("assertion_id"), F.count("*").alias("creators"), F.sum("vote").alias("score"))
 
 
+def written(raw: DataFrame) -> dict[str, DataFrame]:
+    """What writing raw assertions (raw_id, user_id, sentence, relation, concept1, concept2, vote) makes, each once:
+
+    sentences: sentence_id (the least raw_id that says it), sentence, user_id of that one
+    raw: raw_id (the least of a user's same sentence and same assertion), user_id, sentence_id, assertion_id
+    assertions: assertion_id (the least raw_id), relation, concept1, concept2, score (sum of votes)
+    votes: user_id, assertion_id, vote: each user's last one, unless it is 0, which takes a vote back
+    events: object (of the four kinds), object_id, user_id: one for each object made
+
+    Nulls in relation, concepts, sentence and user are values like others; a null vote is none.
+    """
+    what, key = ["relation", "concept1", "concept2"], ["user_id", "relation", "concept1", "concept2", "sentence"]
+    first = lambda rows, by, name: rows.groupBy(*by).agg(F.min(F.struct("raw_id", "user_id")).alias("_f")).select(*by, F.col("_f.raw_id").alias(name), F.col("_f.user_id").alias("_by"))
+    sentences = first(raw, ["sentence"], "sentence_id")
+    made = first(raw, what, "assertion_id")
+    same = lambda left, right, by: reduce(lambda x, y: x & y, [left[c].eqNullSafe(right["_" + c]) for c in by])
+    under = lambda rows, by: rows.withColumnsRenamed({c: "_" + c for c in by}).drop("_by")
+    rows = raw.groupBy(*key).agg(F.min("raw_id").alias("raw_id"), F.max_by("vote", F.when(F.col("vote").isNotNull(), F.col("raw_id"))).alias("vote"), F.max(F.when(F.col("vote").isNotNull(), F.col("raw_id"))).alias("_voted"))
+    for table, by in ((under(sentences, ["sentence"]), ["sentence"]), (under(made, what), what)):
+        rows = rows.join(table, same(rows, table, by), "left").drop(*["_" + c for c in by])
+    votes = rows.where("_voted is not null").groupBy("user_id", "assertion_id").agg(F.max_by("vote", "_voted").alias("vote")).where("vote <> 0")
+    scores = votes.groupBy(F.col("assertion_id").alias("_id")).agg(F.sum("vote").alias("score"))
+    assertions = made.join(scores, F.col("assertion_id") == F.col("_id"), "left").select("assertion_id", *what, F.coalesce("score", F.lit(0)).alias("score"), "_by")
+    out = {
+        "sentences": sentences.select("sentence_id", "sentence", F.col("_by").alias("user_id")),
+        "raw": rows.select("raw_id", "user_id", "sentence_id", "assertion_id"),
+        "assertions": assertions.drop("_by"),
+        "votes": votes,
+    }
+    said = lambda rows, kind, key, user: rows.select(F.lit(kind).alias("object"), F.col(key).alias("object_id"), F.col(user).alias("user_id"))
+    events = said(sentences, "sentence", "sentence_id", "_by").unionByName(said(assertions, "assertion", "assertion_id", "_by"))
+    events = events.unionByName(said(out["raw"], "raw", "raw_id", "user_id")).unionByName(said(votes, "vote", "assertion_id", "user_id"))
+    return out | {"events": events}
+
+
+def merged_concepts(raw: DataFrame, same: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Raw assertions with concepts found to be one: ``same`` (a, b) ties concepts, each of which becomes the smallest of
+    those it is tied to, over any number of steps. Returns the re-pointed rows (as they were, where nothing is tied) and
+    an audit (raw_id, old1, old2, new1, new2) of those that changed."""
+    from .components import connected
+    from .order import kept
+
+    top = kept(connected(same))
+    rows = raw
+    for k in ("1", "2"):
+        mine = top.select(F.col("node").alias("_node"), F.col("label").alias(f"_new{k}"))
+        rows = rows.join(mine, F.col(f"concept{k}") == F.col("_node"), "left").drop("_node")
+    new = [F.coalesce(f"_new{k}", f"concept{k}").alias(f"new{k}") for k in ("1", "2")]
+    rows = kept(rows.select(*raw.columns, *new))
+    moved = ~(F.col("new1").eqNullSafe(F.col("concept1")) & F.col("new2").eqNullSafe(F.col("concept2")))
+    audit = rows.where(moved).select("raw_id", F.col("concept1").alias("old1"), F.col("concept2").alias("old2"), "new1", "new2")
+    return rows.withColumns({"concept1": F.col("new1"), "concept2": F.col("new2")}).select(*raw.columns), audit
+
+
 def appended(log: DataFrame, events: DataFrame) -> DataFrame:
     return log.unionByName(events)
 

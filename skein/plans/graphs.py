@@ -128,12 +128,16 @@ def _(t):
     return E.realised(props, frames, surfaces).select("a", "rel", "b", "said")
 
 
-_OLD = ["PropertyOf", "LocationOfInverse", "IsA", "UsedForInverse", "EffectOf"]
+#: Old names of relations by the number of a line, and what they are now.
+_OLD = {"1": ("PropertyOf", "HasProperty", False), "2": ("LocationOfInverse", "AtLocation", True), "3": ("IsA", "IsA", False), "4": ("UsedForInverse", "UsedFor", True), "5": ("EffectOf", "Causes", False), "6": ("SubeventOfInverse", "HasSubevent", True), "7": ("ThematicKLine", "ConceptuallyRelatedTo", False)}
 
 
-@query("grf08_renamed", "select * from (values ('PropertyOf', 'HasProperty', false), ('LocationOfInverse', 'AtLocation', true), ('IsA', 'IsA', false), ('UsedForInverse', 'UsedFor', true), ('EffectOf', 'Causes', false)) v(old, relation, inverse)")
+@query("grf08_renamed", "select l_partkey as a, relation, case when inverse then l_suppkey end as reversed_from, inverse, count(*) as n from lineitem join (values " + ", ".join(f"({k}, '{new}', {str(inv).lower()})" for k, (_, new, inv) in _OLD.items()) + ") v(k, relation, inverse) on k = l_linenumber group by 1, 2, 3, 4")
 def _(t):
-    return t.values("old string", [(x,) for x in _OLD]).select("old", *E.renamed(F.col("old")))
+    """Lines as edges by old names, renamed, and turned round where the name says inverse."""
+    old = F.coalesce(*[F.when(F.col("l_linenumber") == int(k), was) for k, (was, _, _) in _OLD.items()])
+    rows = t("lineitem").select("l_partkey", "l_suppkey", *E.renamed(old))
+    return rows.groupBy(F.col("l_partkey").alias("a"), "relation", F.when(F.col("inverse"), F.col("l_suppkey")).alias("reversed_from"), "inverse").agg(F.count("*").alias("n"))
 
 
 # Matrices

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -435,9 +437,9 @@ def _(t):
     return R.without(t("orders").select("o_orderkey", "o_custkey"), gone, "o_custkey")
 
 
-@query("mut04_link_expansion", "with recursive l as (select distinct 'p' || l_partkey as url, 's' || l_suppkey as target from lineitem where l_quantity > 45 union select distinct 's' || l_suppkey, 'p' || l_partkey from lineitem where l_quantity > 45), r(url, depth) as (select 'p1', 0 union select l.target, r.depth + 1 from r join l on l.url = r.url where r.depth < 3) select url, min(depth) as depth from r group by 1")
+@query("mut04_link_expansion", "with recursive l as (select distinct 'p' || l_partkey as url, 's' || l_suppkey as target from lineitem union select distinct 's' || l_suppkey, 'p' || l_partkey from lineitem), r(url, depth) as (select 'p1', 0 union select l.target, r.depth + 1 from r join l on l.url = r.url where r.depth < 3) select url, min(depth) as depth from r group by 1")
 def _(t):
-    wide = t("lineitem").where("l_quantity > 45").select(F.concat(F.lit("p"), "l_partkey").alias("url"), F.concat(F.lit("s"), "l_suppkey").alias("target"))
+    wide = t("lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("url"), F.concat(F.lit("s"), "l_suppkey").alias("target"))
     return R.expand_links(wide.union(wide.select("target", "url")).distinct(), t.values("url string", [("p1",)]), 3)
 
 
@@ -454,9 +456,60 @@ def _(t):
     return R.assertions_of(raw_assertions(t))
 
 
-@query("mut07_merge_assertions", f"with a as (select relation, concept1, concept2 % 2 as concept2, user_id, min(raw_id) as raw_id, arg_max(vote, raw_id) as vote from {_RAW} r group by 1, 2, 3, 4) select relation, concept1, concept2, min(raw_id) as assertion_id, count(distinct user_id) as creators, sum(vote)::bigint as score from a group by 1, 2, 3")
+_SAID = "(select *, 'said ' || concept1 || ' in ' || user_id % 9 as sentence, case when raw_id % 11 = 0 then 0 else vote end as cast_vote from {0} r)"
+#: The five kinds of rows that writing makes, each as kind, id and what else it holds, as SQL over a table of raw rows.
+_WRITTEN = """
+ss as (select sentence, min(raw_id) as sentence_id, arg_min(user_id, raw_id) as by_user from src group by 1),
+aa as (select relation, concept1, concept2, min(raw_id) as assertion_id, arg_min(user_id, raw_id) as by_user from src group by 1, 2, 3),
+rr as (select min(raw_id) as raw_id, user_id, sentence_id, assertion_id, arg_max(vote, raw_id) as vote, max(raw_id) as voted
+  from src join ss using (sentence) join aa using (relation, concept1, concept2) group by user_id, sentence_id, assertion_id),
+vv as (select * from (select user_id, assertion_id, arg_max(vote, voted) as vote from rr group by 1, 2) where vote <> 0),
+sc as (select assertion_id, sum(vote)::bigint as score from vv group by 1),
+made as (
+  select 'sentence' as kind, sentence_id as id, by_user as user_id, sentence as detail from ss
+  union all select 'raw', raw_id, user_id, sentence_id || '/' || assertion_id from rr
+  union all select 'assertion', assertion_id, null, concat_ws('/', relation, concept1, concept2, coalesce(score, 0)) from aa left join sc using (assertion_id)
+  union all select 'vote', assertion_id, user_id, vote::varchar from vv
+  union all select 'event', sentence_id, by_user, 'sentence' from ss union all select 'event', assertion_id, by_user, 'assertion' from aa
+  union all select 'event', raw_id, user_id, 'raw' from rr union all select 'event', assertion_id, user_id, 'vote' from vv)"""
+
+
+def said_rows(t):
+    sentence = F.concat(F.lit("said "), F.col("concept1").cast("string"), F.lit(" in "), (F.col("user_id") % 9).cast("string"))
+    return raw_assertions(t).withColumns({"sentence": sentence, "vote": F.when(F.col("raw_id") % 11 == 0, 0).otherwise(F.col("vote"))})
+
+
+def kinds(rows):
+    """All rows of ``R.written`` as kind, id, user_id, detail."""
+    s = lambda c: F.col(c).cast("string")
+    none = F.lit(None).cast("long")
+    parts = [
+        rows["sentences"].select(F.lit("sentence").alias("kind"), F.col("sentence_id").alias("id"), "user_id", F.col("sentence").alias("detail")),
+        rows["raw"].select(F.lit("raw"), "raw_id", "user_id", F.concat_ws("/", s("sentence_id"), s("assertion_id"))),
+        rows["assertions"].select(F.lit("assertion"), "assertion_id", none, F.concat_ws("/", "relation", s("concept1"), s("concept2"), s("score"))),
+        rows["votes"].select(F.lit("vote"), "assertion_id", "user_id", s("vote")),
+        rows["events"].select(F.lit("event"), "object_id", "user_id", "object"),
+    ]
+    return reduce(lambda a, b: a.union(b), parts)
+
+
+@query("mut06_written_rows", f"with src as (select raw_id, user_id, relation, concept1, concept2, sentence, cast_vote as vote from {_SAID.format(_RAW)} q), {_WRITTEN} select * from made")
+def _(t):
+    return kinds(R.written(said_rows(t)))
+
+
+#: Concepts found to be one: 1 and 3, 3 and 5, 2 and 6; so 1, 3 and 5 are one.
+_SAME = [(1, 3), (5, 3), (2, 6)]
+
+
+@query("mut07_merge_assertions", f"with recursive pair(a, b) as (select * from (values (1, 3), (5, 3), (2, 6)) p(a, b)), two as (select a, b from pair union select b, a from pair), reach(a, b) as (select a, b from two union select reach.a, two.b from reach join two on reach.b = two.a), top as (select a as node, least(a, min(b)) as label from reach group by a), src as (select raw_id, user_id, relation, coalesce(x.label, concept1) as concept1, coalesce(y.label, concept2) as concept2, sentence, cast_vote as vote, concept1 as old1, concept2 as old2 from {_SAID.format(_RAW)} q left join top x on x.node = concept1 left join top y on y.node = concept2), {_WRITTEN} select * from made union all select 'moved', raw_id, null, concat_ws('/', old1, old2, concept1, concept2) from src where old1 <> concept1 or old2 <> concept2")
 def _(t):
-    return R.assertions_of(raw_assertions(t).withColumn("concept2", F.col("concept2") % 2))  # concepts found to be one
+    """All five kinds of rows after concepts are merged, and an audit row for each raw one that was re-pointed."""
+    same = t.values("a long, b long", _SAME)
+    rows, audit = R.merged_concepts(said_rows(t), same)
+    s = lambda c: F.col(c).cast("string")
+    moved = audit.select(F.lit("moved"), "raw_id", F.lit(None).cast("long"), F.concat_ws("/", s("old1"), s("old2"), s("new1"), s("new2")))
+    return kinds(R.written(rows)).union(moved)
 
 
 @query("mut08_audit_log", "select event_id, event_type, user_id from events union all select event_id + 1000000000, 'reviewed', user_id from events where event_type = 'error'")

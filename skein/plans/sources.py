@@ -40,14 +40,22 @@ def _(t):
     return fetch.unchanged(fetch.from_store(asked(t), store(t)), known).select("url", "etag")
 
 
-@query("src05_acquire", "select * from (values ('0', 'one text', null), ('1', '', 'empty')) v(name, text, error)")
+@query("src05_acquire", "select 'o' as kind, doc_id::varchar as name, md5(text) as h, case when length(text) > 0 then null else 'empty' end as error from documents union all select 'f', n_nationkey::varchar, md5(n_name || chr(10)), null from nation")
 def _(t):
-    return fetch.acquire(t.spark, ["one text", ""], "o")
+    """All documents as objects in memory, and a file for each nation."""
+    folder = sinks.shared_folder(t.spark, "acquired")
+    sinks.file_for_each(t("nation").select("n_nationkey", "n_name"), "n_nationkey", "n_name", folder)
+    texts = fetch.acquire(t.spark, t("documents").select(F.col("doc_id").alias("name"), "text"), "o").withColumn("kind", F.lit("o"))
+    files = fetch.acquire(t.spark, f"{folder}/each/*", "f").withColumns({"kind": F.lit("f"), "name": F.regexp_extract("name", "n_nationkey=([0-9]+)/", 1)})
+    return texts.unionByName(files).select("kind", "name", F.md5(F.col("text").cast("binary")).alias("h"), "error")
 
 
-@query("src06_read_file", "select * from (values ('the'), ('of'), ('and'), (''), ('idiot')) v(value)")
+@query("src06_read_file", r"select md5(l) as h, count(*) as n from (select unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) as l from documents) group by 1")
 def _(t):
-    return fetch.read_lines(t.spark, f"file://{DATA}/words.txt")
+    """The lines of all documents, from files to which their texts were written."""
+    folder = sinks.shared_folder(t.spark, "read")
+    sinks.lines(t("documents"), "text", folder)
+    return fetch.read_lines(t.spark, folder).groupBy(F.md5(F.col("value").cast("binary")).alias("h")).agg(F.count("*").alias("n"))
 
 
 _RSS = "<rss><channel>'||'<item><title>' || n_name || '</title><link>http://x.example/' || n_nationkey || '</link><pubDate>Mon, 01 Jan 2024 00:00:0' || n_nationkey % 10 || ' GMT</pubDate><description>&lt;p onclick=\"x()\"&gt;' || n_regionkey || '&lt;/p&gt;&lt;script&gt;y&lt;/script&gt;</description><category>r</category></item></channel></rss>"
@@ -79,14 +87,22 @@ def _(t):
     return R.round_robin({"nation": t("nation").select(F.col("n_name").alias("name")), "region": t("region").select(F.col("r_name").alias("name"))}, "name")
 
 
-@query("src10_word_list", "select * from (values ('the'), ('of'), ('and'), ('idiot')) v(word)")
+@query("src10_word_list", "select p_brand as word, count(*) as n from part group by 1")
 def _(t):
-    return fetch.word_list(t.spark, f"file://{DATA}/words.txt")
+    """Parts by the words of a list that was written from them, empty lines between."""
+    folder = sinks.shared_folder(t.spark, "list")
+    sinks.lines(t("part").select("p_brand").distinct().select(F.concat(F.lit("  "), "p_brand", F.lit("\n\n")).alias("line")), "line", folder)
+    words = fetch.word_list(t.spark, folder)
+    return t("part").join(words, F.col("p_brand") == F.col("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-@query("src10_word_mapping", "select * from (values ('dont', 'do not'), ('cant', 'can not')) v(word, becomes)")
+@query("src10_word_mapping", "select c_custkey, n_name as becomes from customer join nation on n_nationkey = c_nationkey")
 def _(t):
-    return fetch.mapping(t.spark, f"file://{DATA}/mapping.txt")
+    """Customers with the name that a file of lines number => name gives their nation's number; other lines are none."""
+    folder = sinks.shared_folder(t.spark, "mapping")
+    sinks.lines(t("nation").select(F.concat(F.col("n_nationkey").cast("string"), F.lit(" => "), "n_name", F.lit("\nno pair")).alias("line")), "line", folder)
+    pairs = fetch.mapping(t.spark, folder)
+    return t("customer").join(pairs, F.col("c_nationkey").cast("string") == F.col("word")).select("c_custkey", "becomes")
 
 
 @query("src11_url_lines", r"select page_id, unnest(regexp_split_to_array(url || chr(13) || chr(10) || 'http://two.example' || chr(10) || 'three', '\r?\n')) as line from pages")
@@ -131,9 +147,11 @@ def _(t):
     return fetch.reachable(fetch.from_store(asked(t), store(t)))
 
 
-@query("src14_paged_requests", "select query, o.off::int as start_at from (values ('\"x\" \"y\"'), ('\"y\" \"x\"')) q(query), (values (0), (100), (200)) o(off)")
+@query("src14_paged_requests", "with s as (select '\"' || n_name || '\" \"' || r_name || '\" -\"' || n_nationkey || '\"' as query, 40 * (n_nationkey % 4) as most from nation join region on r_regionkey = n_regionkey union all select '\"' || r_name || '\" \"' || n_name || '\" -\"' || n_nationkey || '\"', 40 * (n_nationkey % 4) from nation join region on r_regionkey = n_regionkey) select query, k::int as start_at from s, unnest(range(0, most, 50)) r(k)")
 def _(t):
-    return t.values("query string, start_at int", search.requests(["x", "y"], [], 250, 100))
+    named = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    terms, exclude = F.array("n_name", "r_name").alias("terms"), F.array(F.col("n_nationkey").cast("string")).alias("exclude")
+    return search.requested(named.select(terms, exclude, (F.col("n_nationkey") % 4 * 40).alias("most")), 50)
 
 
 # Sinks: written, then read back

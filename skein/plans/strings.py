@@ -49,12 +49,15 @@ def _(t):
     return t("pages").select("page_id", F.explode(U.links_in(html)).alias("link"))
 
 
-_LINES = ["http://a.example/x", "see www.b.example", "c.com", "d.net/y", "e.org", "nothing here", ""]
+_URL_LINES = "select page_id, unnest([url, 'see ' || regexp_replace(url, '^https?://', ''), html]) as line from pages"
 
 
-@query("str06_urls_in_lines", "select line, case when contains(line, 'http:') then line when contains(line, 'www.') or contains(line, '.com') or contains(line, '.net') or contains(line, '.org') then 'http://' || line end as url from (values " + ",".join(f"('{x}')" for x in _LINES) + ") v(line)")
+@query("str06_urls_in_lines", f"select page_id, md5(line) as line, md5(case when contains(line, 'http:') then line when contains(line, 'www.') or contains(line, '.com') or contains(line, '.net') or contains(line, '.org') then 'http://' || line end) as url from ({_URL_LINES})")
 def _(t):
-    return t.values("line string", [(x,) for x in _LINES]).select("line", U.in_text(F.col("line")).alias("url"))
+    """Of each page its address, the address without its scheme in a line of text, and its own text as a line."""
+    lines = F.array("url", F.concat(F.lit("see "), F.regexp_replace("url", "^https?://", "")), "html")
+    h = lambda c: F.md5(c.cast("binary"))
+    return t("pages").select("page_id", F.explode(lines).alias("line")).select("page_id", h(F.col("line")).alias("line"), h(U.in_text(F.col("line"))).alias("url"))
 
 
 _ENT = "text"
@@ -67,10 +70,10 @@ def _(t):
     return t("pages").select("page_id", F.md5(T.without_entities(F.col("html")).cast("binary")).alias("h"))
 
 
-@query("str10_unescaped", "select * from (values (1, 'a & b < c'), (2, 'cafe \"quoted\" it''s -- so...'), (3, 'A B'), (4, null)) v(id, plain)")
+@query("str10_unescaped", """select c_custkey, '"' || c_name || '" & <' || c_nationkey || '> cafe it''s -- so... A B' as plain from customer""")
 def _(t):
-    rows = t.values("id int, text string", [(1, "a &amp; b &#60; c"), (2, "café &ldquo;quoted&rdquo; it&#8217;s &mdash; so&hellip;"), (3, "&#x41;&nbsp;B"), (4, None)])
-    return rows.select("id", T.unescaped(F.col("text")).alias("plain"))
+    text = F.concat(F.lit("&ldquo;"), "c_name", F.lit("&rdquo; &amp; &#60;"), F.col("c_nationkey").cast("string"), F.lit("&gt; café it&#8217;s &mdash; so&hellip; &#x41;&nbsp;B"))
+    return t("customer").select("c_custkey", T.unescaped(text).alias("plain"))
 
 
 @query("str13_keep_letters", "select doc_id, md5(regexp_replace(text,'[^a-z]','','g')) as h from documents")
@@ -140,10 +143,12 @@ def _(t):
     return t("events").select("event_id", T.vote_label(vote, "Good,Bad").alias("label"), T.vote_message(F.col("event_type"), direction).alias("message"))
 
 
-@query("str27_absolute_links", "select * from (values (1, 'http://a.example/x/z'), (2, 'http://b.example/y'), (3, 'http://a.example/c?d=1')) v(id, link)")
+@query("str27_absolute_links", r"""with l as (select page_id, url, unnest(regexp_extract_all(html, 'href="(/[^"\s]*)"', 1)) as href from pages) select page_id, href, count(*) as n, regexp_extract(url, '^[a-z]+://[^/?#]+') || href as link from l group by 1, 2, url""")
 def _(t):
-    rows = t.values("id int, base string, link string", [(1, "http://a.example/x/y", "z"), (2, "http://a.example/", "http://b.example/y"), (3, "http://a.example/x/y", "../c?d=1")])
-    return rows.select("id", feed.absolute(F.col("base"), F.col("link")).alias("link"))
+    """The links of all pages from their root, as seen from the page."""
+    hrefs = F.explode(F.regexp_extract_all("html", F.lit(r'href="(/[^"\s]*)"'), F.lit(1))).alias("href")
+    links = t("pages").select("page_id", "url", hrefs).groupBy("page_id", "url", "href").agg(F.count("*").alias("n"))
+    return links.select("page_id", "href", "n", feed.absolute(F.col("url"), F.col("href")).alias("link"))
 
 
 @query("str27_sanitized")
@@ -153,19 +158,22 @@ def _(t):
 
 @query("str11_markdown_of_pages")
 def _(t):
-    return t("pages").select("page_id", H.markdown(F.col("html")).alias("markdown"))
+    """What the Markdown of each page holds: its characters, lines, headings and links."""
+    m = t("pages").select("page_id", H.markdown(F.col("html")).alias("m"))
+    lines = F.split("m", "\n")
+    return m.select("page_id", F.length("m").alias("n_chars"), F.size(lines).alias("n_lines"), F.size(F.filter(lines, lambda l: l.startswith("#"))).alias("n_headings"), F.regexp_count("m", F.lit(r"\]\(")).alias("n_links"))
 
 
 # Dates
 
 
-_DATES = ["on 3.4.2010 it was", "since 12/25/2011 open", "by 2012-1-9", "May 5, 2013 came", "am 7. Oktober 2014 war", "31/31/2015 never", "year 1999 1/2/1999", "4-5/2016 mixed", "March 3rd, 2017", "no date", "2018/02/30 no, 2018/03/01 yes", "12 Dezember 2019"]
-_FOUND = ["2010-04-03", "2011-12-25", "2012-01-09", "2013-05-05", "2014-10-07", None, None, None, "2017-03-03", None, "2018-03-01", "2019-12-12"]
-
-
-@query("dat01_dates_in_text", "select id, day from (values " + ",".join(f"({i}, {f and repr(f) or 'null'})" for i, f in enumerate(_FOUND)) + ") v(id, day)")
+@query("dat01_dates_in_text", "with e as (select event_id, ts::date as d from events) select event_id, case when event_id % 9 = 8 then null else d::varchar end as day from e")
 def _(t):
-    return t.values("id int, text string", list(enumerate(_DATES))).select("id", D.first_date(F.col("text")).cast("string").alias("day"))
+    """Each event's day as text in one of nine ways (the last of which is no date), with other numbers around."""
+    of = lambda form: F.date_format("ts", form)
+    ways = [of("d.M.yyyy"), F.when(F.dayofmonth("ts") > 12, of("M/d/yyyy")).otherwise(of("d/M/yyyy")), of("yyyy-M-d"), of("MMMM d, yyyy"), F.concat(of("d"), F.lit(". Januar "), of("yyyy")), of("yyyy/MM/dd"), F.concat(of("MMM d"), F.lit("th, "), of("yyyy")), F.concat(of("d MMM"), F.lit(" "), of("yyyy")), F.concat(of("yyyy"), F.lit("-31/31 and 4-5/2016"))]
+    text = F.concat(F.lit("no 1/2/1999 but "), F.element_at(F.array(*ways), (F.col("event_id") % 9 + 1).cast("int")), F.lit(" it was, 17 times"))
+    return t("events").select("event_id", D.first_date(text).cast("string").alias("day"))
 
 
 @query("dat01_order_dates", "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day from orders")
@@ -174,11 +182,19 @@ def _(t):
     return t("orders").select("o_orderkey", D.first_date(text, 1990).cast("string").alias("day"))
 
 
-@query("dat02_nearest_date", "select * from (values (1, 'the cat of May', '2012-05-04'), (2, 'the cat alone', null)) v(id, fragment, date)")
+@query("dat02_nearest_date", "select event_id, 'the cat of ' || event_type as fragment, case when event_id % 3 < 2 then ts::date::varchar end as date from events")
 def _(t):
-    pages = t.values("id int, html string", [(1, "<div>posted 1.2.2011<div><p>May 4, 2012</p><p>short 9</p><p>the cat of May</p></div></div><p>3.3.2013</p>"), (2, "<p>the cat alone</p><p>4.4.2014</p>")])
-    rows = pages.select("id", F.explode(D.fragment_dates(H.text_nodes(F.col("html")), "the cat")).alias("f"))
-    return rows.select("id", "f.fragment", F.col("f.date").cast("string").alias("date"))
+    """A page for each event: of three the date stands right above the fragment, far above it after an older one, or only
+    below it, where it doesn't count."""
+    day, cat = F.date_format("ts", "MMMM d, yyyy"), F.concat(F.lit("<p>the cat of "), "event_type", F.lit("</p>"))
+    ways = [
+        F.concat(F.lit("<div>posted 1.2.2011<div><p>"), day, F.lit("</p><p>short 9</p>"), cat, F.lit("</div></div><p>3.3.2013</p>")),
+        F.concat(F.lit("<p>1.2.2011</p><p>on "), day, F.lit("</p>" + "<p>no digits here</p>" * 15), cat),
+        F.concat(cat, F.lit("<p>"), day, F.lit("</p>")),
+    ]
+    pages = t("events").select("event_id", F.element_at(F.array(*ways), (F.col("event_id") % 3 + 1).cast("int")).alias("html"))
+    rows = pages.select("event_id", F.explode(D.fragment_dates(H.text_nodes(F.col("html")), "the cat")).alias("f"))
+    return rows.select("event_id", "f.fragment", F.col("f.date").cast("string").alias("date"))
 
 
 @query("dat03_intervals", "select event_id, date_diff('second', ts, timestamp '2024-01-15 00:00:00') >= 86400 as due, strftime(ts, '%b %d, %Y') as day from events")
@@ -187,12 +203,17 @@ def _(t):
     return t("events").select("event_id", (F.timestamp_diff("SECOND", second, F.lit("2024-01-15 00:00:00").cast("timestamp")) >= 86400).alias("due"), F.date_format("ts", "MMM dd, yyyy").alias("day"))
 
 
-_FEED = [("2003-12-31T10:14:55Z", "2003-12-31 10:14:55"), ("2003-12-31T10:14:55-08:00", "2003-12-31 18:14:55"), ("2003-12-31", "2003-12-31 00:00:00"), ("2003-12", "2003-12-01 00:00:00"), ("2003", "2003-01-01 00:00:00"), ("20031231", "2003-12-31 00:00:00"), ("Thu, 01 Jan 2004 19:48:21 GMT", "2004-01-01 19:48:21"), ("Thu, 1 Jan 2004 19:48:21 +0100", "2004-01-01 18:48:21"), ("2004-07-08 23:56:58.000", "2004-07-08 23:56:58"), ("2004년 5월 28일 금 오전 10:20:30", "2004-05-28 10:20:30"), ("Κυρ, 11 Ιούλ 2004 12:00:00 +0000", "2004-07-11 12:00:00"), ("2004-július-13T9:15-03:00", "2004-07-13 12:15:00"), ("not a date", None)]
-
-
-@query("dat04_feed_dates", "select id, moment from (values " + ",".join(f"({i}, {w and repr(w) or 'null'})" for i, (_, w) in enumerate(_FEED)) + ") v(id, moment)")
+@query("dat04_feed_dates", "select event_id, strftime(case event_id % 9 when 0 then date_trunc('second', ts) when 1 then date_trunc('second', ts) when 2 then date_trunc('day', ts) when 3 then date_trunc('month', ts) when 4 then date_trunc('year', ts) when 5 then date_trunc('day', ts) when 6 then date_trunc('second', ts) when 7 then date_trunc('second', ts) end, '%Y-%m-%d %H:%M:%S') as moment from events")
 def _(t):
-    return t.values("id int, text string", [(i, x) for i, (x, _) in enumerate(_FEED)]).select("id", D.feed_date(F.col("text")).cast("string").alias("moment"))
+    """Each event's moment as feeds write it, in one of nine ways, the last of which is none."""
+    moment = F.col("ts").cast("timestamp")
+    of = lambda form, when=moment: F.date_format(when, form)
+    ways = [
+        of("yyyy-MM-dd'T'HH:mm:ss'Z'"), F.concat(of("yyyy-MM-dd'T'HH:mm:ss", moment - F.expr("interval 8 hours")), F.lit("-08:00")), of("yyyy-MM-dd"), of("yyyy-MM"), of("yyyy"), of("yyyyMMdd"),
+        F.concat(of("EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT")), F.concat(of("EEE, d MMM yyyy HH:mm:ss", moment + F.expr("interval 1 hour")), F.lit(" +0100")), F.lit("not a date"),
+    ]
+    text = F.element_at(F.array(*ways), (F.col("event_id") % 9 + 1).cast("int"))
+    return t("events").select("event_id", F.date_format(D.feed_date(text), "yyyy-MM-dd HH:mm:ss").alias("moment"))
 
 
 @query("dat05_dates_of_fragments")

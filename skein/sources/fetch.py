@@ -66,11 +66,14 @@ def reachable(fetched: DataFrame) -> DataFrame:
 
 
 def acquire(spark: SparkSession, name, kind: str, timeout: float = 2.0) -> DataFrame:
-    """name, text, error: of files (f; a path or glob), a URL (u) or an object in memory (o; text or list of texts)."""
+    """name, text, error: of files (f; a path or glob), a URL (u) or an object in memory (o; text, list of texts, or rows
+    name, text)."""
     if kind == "f":
         return spark.read.text(name, wholetext=True).select(F.input_file_name().alias("name"), F.col("value").alias("text"), F.lit(None).cast("string").alias("error"))
     if kind == "u":
         return fetch(spark.createDataFrame([(name,)], "url string"), timeout=timeout).select(F.col("url").alias("name"), F.col("body").alias("text"), "error")
+    if kind == "o" and isinstance(name, DataFrame):
+        return name.select(F.col("name").cast("string").alias("name"), "text", F.when(F.length("text") > 0, F.lit(None).cast("string")).otherwise("empty").alias("error"))
     if kind == "o":
         rows = [name] if isinstance(name, str) else list(name)
         return spark.createDataFrame([(str(i), r, None if r else "empty") for i, r in enumerate(rows)], "name string, text string, error string")

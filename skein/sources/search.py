@@ -22,6 +22,15 @@ def requests(terms: list[str], exclude: list[str], most: int, step: int = 50) ->
     return [(engine_query(list(p), exclude), at) for p in itertools.permutations(terms) for at in page_offsets(most, step)]
 
 
+def requested(searches: DataFrame, step: int = 50) -> DataFrame:
+    """query, start_at of every page of each search (terms, exclude: arrays of text, most) and of its terms in reverse."""
+    quoted = lambda terms, sign: F.transform(terms, lambda t: F.concat(F.lit(f'{sign}"'), t, F.lit('"')))
+    orders = F.explode(F.array_distinct(F.array("terms", F.reverse("terms")))).alias("terms")
+    rows = searches.where("most > 0").select(orders, "exclude", "most")
+    query = F.array_join(F.concat(quoted(F.col("terms"), ""), quoted(F.coalesce("exclude", F.array().cast("array<string>")), "-")), " ")
+    return rows.select(query.alias("query"), F.explode(F.sequence(F.lit(0), F.col("most").cast("int") - 1, F.lit(min(step, 100)))).alias("start_at"))
+
+
 def search(docs: DataFrame, key: str, text: str, include: list[str], exclude: list[str], most: int = 1000, size: int = 50) -> DataFrame:
     """key, place (from 1) and page (from 0) of the first ``most`` documents that hold all terms and no excluded one."""
     found = include_exclude(docs.select(key, text), F.col(text), include, exclude).select(key).orderBy(key).limit(most)
