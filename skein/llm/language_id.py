@@ -140,7 +140,8 @@ def train(docs: DataFrame, usable: Column, per_class: int = 600, buckets: int =
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "lang", "keys", "shares"])
 
-    chosen = rows.join(counts, "lang").where(chance).select("doc_id", "lang", "text").dropDuplicates(["doc_id", "lang"])
+    # Of repeated rows of a doc_id and language the text of least hash, so that reruns learn the same.
+    chosen = rows.join(counts, "lang").where(chance).groupBy("doc_id", "lang").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     got = chosen.mapInPandas(featurise, "doc_id long, lang string, keys binary, shares binary").toArrow()  # bytes stay in place in Arrow
     if not got.num_rows:
         return LanguageModel([], np.zeros((buckets, 0)), np.zeros(0), 1.0, 0.0)
