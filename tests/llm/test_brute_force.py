@@ -184,6 +184,17 @@ def test_language_columns_that_clash_are_kept_by_the_filter(spark):
     assert len(language_id.letters_of("\U000302a9")) == 3
 
 
+def test_repeated_documents_are_learned_alike_in_any_order(spark):
+    docs = [(i, f"the cat and the dog {i}" if i % 2 else f"der Hund und die Katze {i}", "en" if i % 2 else "de") for i in range(60)]
+    docs += [(i, f"quite another text of {i} and more of it {k}", lang) for i, _, lang in docs for k in range(2)] + [(3, None, "en")]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    one, two = (language_id.train(frame(rows), F.lit(True)) for rows in (docs, docs[::-1]))
+    assert one.predict("the dog of more") == two.predict("the dog of more") and np.array_equal(one.table, two.table)
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(60)], "doc_id long, toxic int")
+    one, two = (toxicity.train(frame(rows), labels, F.lit(True)) for rows in (docs, docs[::-1]))
+    assert [one.score(t) for t in ("the dog", "quite 10", None)] == [two.score(t) for t in ("the dog", "quite 10", None)]
+
+
 @tables
 def test_search_recall_at_the_shipped_factor(spark):
     vectors = spark.read.parquet(f"{MEDIUM}/embeddings.parquet")
