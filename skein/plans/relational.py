@@ -255,8 +255,7 @@ def _(t):
 
 @query("agg16_term_document", f"with m as (select doc_id, w as word, count(*) as n from (select doc_id, unnest({TOK}) as w from documents) where w not in (select unnest([{','.join(repr(w) for w in lex.STOP)}])) group by 1, 2) select doc_id, word, n, round(n / sum(n) over (partition by doc_id), 9) as share from m")
 def _(t):
-    words = t("documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("word")).where(~F.col("word").isin(lex.STOP))
-    counts = words.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    counts = T.term_counts(t("documents"), "doc_id", F.col("text")).where(~F.col("word").isin(lex.STOP))
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("doc_id")), 9))
 
 
