@@ -12,31 +12,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import decontamination, jaccard_join, language_id, mixing, secret_scan
-from skein.llm.common import drop_folder, shared_folder, small_batches, table
+from skein.llm.common import drop_folder, shared_folder, shrink_heaps, small_batches, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with enough confidence; null texts and texts without letters go."""
+    shrink_heaps(spark)
     return language_id.confident(docs, language_id.train(docs, F.lit(True)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest doc_id) of each group linked by word-shingle Jaccard of 0.8 or more."""
+    shrink_heaps(spark)
     return jaccard_join.one_of_each_group(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    shrink_heaps(spark)
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced in their texts; n_chars follows the text where that changed."""
+    shrink_heaps(spark)
     return secret_scan.redact(docs, secret_scan.learn(docs), chars="n_chars")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix in training order: copy and taken (its first words that belong to the mix) of each document taken."""
+    shrink_heaps(spark)
     mix = mixing.mix(docs).where("taken > 0").select("doc_id", "text_hash", "size", "source_size", "target", "copy", "finish", "taken", "place")
     texts = docs.select("doc_id", "text", "lang", "source").withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"])
     out = mix.join(texts.withColumnRenamed("doc_id", "_id"), mix["doc_id"].eqNullSafe(F.col("_id")) & (mix["text_hash"] == F.col("_hash")))

@@ -62,6 +62,13 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> It
             spark.conf.set(name, value)
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Have the executors collect garbage. A heap stays as large as it once grew until then; what it gives back is there
+    for the Python workers of the next stage."""
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).selectExpr("java_method('java.lang.System', 'gc')").write.format("noop").mode("overwrite").save()
+
+
 def hinted(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
     """``keys`` with a broadcast hint if it has at most ``most`` rows; as it is, so joined by shuffle, otherwise."""
     return F.broadcast(keys) if keys.count() <= most else keys
