@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.order import kept
 
 from .normalize import CORRECT, STOP, SWAP
+from .stem import stem
 
 VOWELS = "aeiou"
 #: Irregular forms with their lemma and ending.
@@ -185,24 +186,6 @@ def lemmas_of(counts: DataFrame, least: int = 2, most_rules: int = 200_000) -> D
     return met.select("word", F.coalesce("_known", F.when(F.col("_own"), F.col("word")), F.pandas_udf(run, "string")(F.col("word"))).alias("lemma"))
 
 
-#: Endings that light stemmers take off, longest first.
-LIGHT = {
-    "fr": ["issements", "issement", "atrices", "ations", "ation", "ements", "ement", "euses", "euse", "ives", "ive", "eaux", "aux", "ées", "ée", "és", "er", "es", "s", "e"],
-    "es": ["amientos", "amiento", "aciones", "ación", "mente", "idades", "idad", "os", "as", "es", "o", "a", "e"],
-    "pt": ["amentos", "amento", "ações", "ação", "mente", "idades", "idade", "os", "as", "es", "o", "a", "e"],
-    "it": ["amenti", "amento", "azioni", "azione", "mente", "ità", "i", "o", "a", "e"],
-    "nl": ["heden", "heid", "ingen", "ing", "en", "e", "s"],
-    "hu": ["okban", "ekben", "ban", "ben", "nak", "nek", "val", "vel", "ok", "ek", "ak", "k", "t"],
-}
-
-
-def stem(word: str, lang: str) -> str:
-    for ending in LIGHT.get(lang, []):
-        if word.endswith(ending) and len(word) - len(ending) >= 3:
-            return word[: len(word) - len(ending)]
-    return word
-
-
 def stemmed(text: str, lang: str) -> str:
     """The stems of the words that aren't stop words, sorted."""
     found = [w.strip(_TRIM).lower() for w in text.split()]

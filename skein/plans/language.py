@@ -8,6 +8,7 @@ from ..nlp import lemma as L
 from ..nlp import normalize as N
 from ..nlp import parse as P
 from ..nlp import peg as G
+from ..nlp.stem import LANGUAGES
 from ..operators.order import kept
 from .registry import query
 
@@ -105,9 +106,12 @@ def _(t):
 
 @query("nlp08_stems")
 def _(t):
-    docs = t("documents").where(F.col("lang").isin("fr", "es"))
-    french = docs.where("lang = 'fr'").select("doc_id", L.stem_text(F.col("text"), "fr").alias("stems"))
-    return french.unionByName(docs.where("lang = 'es'").select("doc_id", L.stem_text(F.col("text"), "es").alias("stems")))
+    """The sorted stems of all documents of the languages that have a stemmer."""
+    docs, out = t("documents").select("doc_id", "lang", "text"), None
+    for lang in LANGUAGES:
+        mine = docs.where(F.col("lang") == lang).select("doc_id", "lang", L.stem_text(F.col("text"), lang).alias("stems"))
+        out = mine if out is None else out.unionByName(mine)
+    return out
 
 
 @query("nlp09_identity", "select doc_id, text as normal from documents")

@@ -363,7 +363,7 @@ def _(t):
     return R.top_rows(items, [F.desc("weight"), "place"], 5)
 
 
-@query("top07_beam")
+@query("top07_beam", "with e as (select 'p' || l_partkey as a, 's' || l_suppkey as b, max(l_quantity) / 50 as w from lineitem group by 1, 2), r as (select a, b, w from e union all select b, a, w from e), one as (select b as concept, max(w) as weight from r where a = 'p1' group by 1 order by 2 desc, 1 limit 50) select r.b as concept, max(one.weight * r.w) as weight from one join r on r.a = one.concept group by 1 order by 2 desc, 1 limit 50")
 def _(t):
     from ..graph import activation
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from skein.nlp import lemma, peg
+from skein.nlp import lemma, peg, stem
 
 
 def plain(e, tokens, at):
@@ -114,3 +114,37 @@ def test_families_of_the_words_of_a_table(spark):
     got = {r["word"]: r["lemma"] for r in lemma.lemmas_of(counts, least=2).collect()}
     assert got["walks"] == "walk" and got["foxes"] == "fox" and got["baking"] == "bake" and got["box"] == "box" and len(got) == len(words) + 2
     assert lemma.lemmas_of(counts.limit(0)).count() == 0
+
+
+STEMS = {
+    "es": "corriendo corr corría corr amablemente amabl rápidamente rapid naciones nacion nación nacion ciudades ciudad hablábamos habl canciones cancion activamente activ biológica biolog chicas chic gatos gat pague pag comprándolo compr",
+    "fr": "continuation continu continuellement continuel chanteuse chanteux majestueusement majestu nationaux national finissait fin mangeaient mang chevaux cheval activité activ activités activ religieuse religi rapidement rapid constamment const maisons maison grandes grand",
+    "pt": "quilométricas quilométr trabalhadores trabalh nações naçõ felizmente feliz cantando cant canções cançõ",
+    "it": "pronunciato pronunc propaganda propagand abbandonata abbandon nazioni nazion felicemente felic cantando cant mangiarlo mang città citt",
+    "nl": "lichamelijk licham opglimlachten opglimlacht gelegenheden geleg boeken boek katten kat maken mak vrijheid vrijheid dankbaar dankbar",
+    "hu": "kutyával kuty embereknek ember",
+    "de": "Häuser Häuser",
+}
+
+
+@pytest.mark.parametrize("lang", sorted(STEMS))
+def test_stems_as_the_descriptions_have_them(lang):
+    pairs = STEMS[lang].split()
+    assert [stem.stem(w, lang) for w in pairs[::2]] == pairs[1::2]
+
+
+def test_regions_of_words():
+    # Examples of the published descriptions.
+    assert stem.regions("beautiful", "aeiouy", "none")["R1"] == 5 and stem.regions("beautiful", "aeiouy", "none")["R2"] == 7
+    spanish = lambda w: w[stem.regions(w, stem.SPANISH.vowels, "romance")["RV"] :]
+    assert [spanish(w) for w in ("macho", "oliva", "trabajo", "áureo")] == ["ho", "va", "bajo", "eo"]
+    french = lambda w: w[stem.regions(w, stem.FRENCH.vowels, "french")["RV"] :]
+    assert [french(w) for w in ("aimer", "adorer", "voler", "tapis")] == ["er", "rer", "ler", "is"]
+
+
+def test_stems_of_odd_words():
+    rng = random.Random(1)
+    for lang in stem.LANGUAGES:
+        for _ in range(300):
+            word = "".join(rng.choice("aeiouylnrstmdcgáéíóúàèìòùãõçhkőű") for _ in range(rng.randrange(0, 14)))
+            assert len(stem.stem(word, lang)) <= len(word) + 3

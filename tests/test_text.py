@@ -85,7 +85,7 @@ def test_lemmas_and_residue_give_the_text_back(said):
 
 def test_stems():
     assert lemma.stem("maisons", "fr") == "maison" and lemma.stemmed("las ciudades grandes", "es") == "ciudad grand las"
-    assert lemma.stemmed("zeta alfa", "it") == "alf zet"
+    assert lemma.stemmed("zeta alfa", "it") == "alfa zet"
 
 
 @pytest.mark.parametrize("said, want", [
