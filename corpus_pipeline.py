@@ -16,7 +16,8 @@ from skein.llm.common import drop_folder, shared_folder, shrink_heaps, small_bat
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with enough confidence; null texts and texts without letters go."""
+    """Documents whose language is told with enough confidence; null texts and texts without letters go, repeated rows
+    stay. Columns of any names pass through."""
     shrink_heaps(spark)
     return language_id.confident(docs, language_id.train(docs, F.lit(True)))
 
@@ -28,19 +29,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none, repeated rows are each kept or not."""
     shrink_heaps(spark)
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced in their texts; n_chars follows the text where that changed."""
+    """All documents, secrets replaced in their texts; n_chars, if there is such a column, follows the text where that
+    changed. Null texts stay null; repeated rows stay."""
     shrink_heaps(spark)
-    return secret_scan.redact(docs, secret_scan.learn(docs), chars="n_chars")
+    return secret_scan.redact(docs, secret_scan.learn(docs), chars="n_chars" if "n_chars" in docs.columns else None)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in training order: copy and taken (its first words that belong to the mix) of each document taken."""
+    """The mix in training order: copy and taken (its first words that belong to the mix) of each document taken.
+
+    Ties are served in one order of source, place and copy; null texts have no words and are never taken; repeated rows
+    are served each. Without documents the mix is empty.
+    """
     shrink_heaps(spark)
     mix = mixing.mix(docs).where("taken > 0").select("doc_id", "text_hash", "size", "source_size", "target", "copy", "finish", "taken", "place")
     texts = docs.select("doc_id", "text", "lang", "source").withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"])

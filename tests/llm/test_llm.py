@@ -143,6 +143,37 @@ def test_pipeline_against_brute_force(spark):
     assert all(0 < r["taken"] <= r["size"] for r in out)
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    english, german = "the cat and this dog with those of that are not from where they go".split(), "der Hund und die Katze nicht mit einem auf das sich auch nach wird".split()
+    said = lambda words: " ".join(rng.choice(words) for _ in range(40))
+    rows = [(i, said(english if i % 2 else german), "en" if i % 2 else "de", rng.choice(["a", "b", None])) for i in range(80)]
+    rows += [rows[3], rows[3], (3, said(english), "en", "a"), (None, said(english), "en", "a"), (None, None, None, None), (90, None, "en", "a"), (91, "", "en", "a"), (92, "12 34", None, "b")]
+    rows += [(93, said(english) + " who was the first to fly over the pole " + said(english), "en", "b"), (94, said(english) + " password=k3J9xQ2mZ7pL0aT5 " + said(english), "en", "b")]
+    more = ("n_chars", "score", "taken", "node", "lang_pred", "spans", "finish", "tokens")
+    docs = spark.createDataFrame([(*r, *range(8)) for r in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} long" for c in more))
+    spark.createDataFrame([(1, "Who was the FIRST to fly over the pole"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    counts = []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/{name}")
+        columns, docs = docs.columns, spark.read.parquet(f"{tmp_path}/{name}")
+        assert name == "source_mix" or docs.columns == columns
+        counts.append([r["doc_id"] for r in docs.select("doc_id").collect()])
+    whole, single, clean, safe, mixed = counts
+    assert not {90, 91, 92} & set(whole) and whole.count(3) == 4 and whole.count(None) == 1
+    assert single.count(3) == 2 and len(single) == len(whole) - 2 and set(single) == set(whole)
+    assert sorted(map(str, clean)) == sorted(map(str, (i for i in single if i != 93))) and sorted(map(str, safe)) == sorted(map(str, clean))
+    assert set(mixed) <= set(safe) and mixed
+    texts = {r["doc_id"]: r for r in spark.read.parquet(f"{tmp_path}/secret_scan").collect()}
+    assert "k3J9xQ2mZ7pL0aT5" not in texts[94]["text"] and texts[94]["n_chars"] == len(texts[94]["text"]) and texts[5]["n_chars"] == 0
+    nothing = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, str(tmp_path)).count() == 0
+
+
 def test_secrets_are_learned_from_all_texts(spark):
     rng = random.Random(8)
     key = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
