@@ -36,6 +36,19 @@ def harvest(found: DataFrame, key: str, url: str, fragments: list[str]) -> DataF
     return numbered(good, [F.col("first_id")], "url_order")
 
 
+def screened(found: DataFrame, key: str, url: str, fragments: list[str], rules: list[tuple[str, str]]) -> DataFrame:
+    """url, first_id, reason and url_order of every URL that engines found, each once: "bad" without http or with a
+    fragment, else the reason of the first rule that it breaks, else "near duplicate" where a later one (by first_id) of
+    the same host and query has its path but for .htm or .html; the others are "ok" and numbered in the order found."""
+    each = kept(found.groupBy(F.col(url).alias("url")).agg(F.min(key).alias("first_id")))
+    told = each.withColumn("reason", F.when(U.good(F.col("url"), fragments), U.status(F.col("url"), rules)).otherwise("bad"))
+    newest = R.newest_of_near_urls(told.where("reason = 'ok'"), "first_id", "url").select(F.col("first_id").alias("_newest"))
+    told = told.join(newest, F.col("first_id") == F.col("_newest"), "left")
+    told = told.withColumn("reason", F.when((F.col("reason") == "ok") & F.col("_newest").isNull(), "near duplicate").otherwise(F.col("reason"))).drop("_newest")
+    good = numbered(told.where("reason = 'ok'"), [F.col("first_id")], "url_order")
+    return good.unionByName(told.where("reason <> 'ok'").withColumn("url_order", F.lit(None).cast("long")))
+
+
 def parse_pages(pages: DataFrame, criteria: DataFrame) -> DataFrame:
     """page_id, kind, criteria_id, value: the fragments of pages that fit each of the (few) criteria, polished; their meta
     attributes and their links."""

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..pipelines import crawl
 from ..sources import sinks
 from .registry import HITS, TOK, lexicon_counts, query
-from .relational import _SENT
+from .relational import _PART, _SENT
 
 _FOUND = f"with f as (select * from documents where contains(lower(text), 'the') and not contains(lower(text), 'idiot') and doc_id not in (select doc_id from labels where quality = 1)), s as (select doc_id, unnest({_SENT}) as sent, generate_subscripts({_SENT},1)-1 as pos from f), h as (select *, max(case when contains(sent,' the ') then 1 else 0 end) over (partition by doc_id order by pos rows between 1 preceding and 1 following) as near from s), w as (select doc_id, substr(string_agg(trim(sent), ' ... ' order by pos), 1, 500) as snippet from h where near=1 group by 1)"
 
@@ -30,6 +30,22 @@ def _(t):
     return crawl.harvest(t("pages").select("page_id", "url"), "page_id", "url", lex.BAD_URL_FRAGMENTS)
 
 
+_VARIED = "(select page_id, url from pages union all select page_id + 1000000, url || '.html' from pages where not contains(url, '?') and not contains(url, '#'))"
+
+
+@query("pipe03_screened_harvest", f"""with u as (select url, min(page_id) as first_id from {_VARIED} group by 1),
+t as (select *, case when not (lower(url[1:4]) = 'http' and not strpos(url, 'blog') > 1 and not strpos(url, '/fr/') > 1 and not strpos(url, 'ref=') > 1) then 'bad' when contains(url, 'https://m.') then 'mobile' when contains(url, 'page=') then 'page' else 'ok' end as rule,
+  {_PART['host']} as h, {_PART['query']} as q, regexp_replace({_PART['path']}, '[.]html?$', '') as p from u),
+n as (select *, case when rule = 'ok' and first_id < max(first_id) over (partition by rule, h, q, p) then 'near duplicate' else rule end as reason from t)
+select url, first_id, reason, case when reason = 'ok' then row_number() over (partition by reason order by first_id) end as url_order from n""")
+def _(t):
+    """The addresses of all pages, and again with .html behind those that have neither query nor fragment."""
+    found = t("pages").select("page_id", "url")
+    bare = found.where(~F.contains("url", F.lit("?")) & ~F.contains("url", F.lit("#")))
+    found = found.unionByName(bare.select((F.col("page_id") + 1_000_000).alias("page_id"), F.concat("url", F.lit(".html")).alias("url")))
+    return crawl.screened(found, "page_id", "url", lex.BAD_URL_FRAGMENTS, [("https://m.", "mobile"), ("page=", "page")])
+
+
 @query("pipe04_parse_pages")
 def _(t):
     criteria = t.values("criteria_id int, include string, exclude string", [(1, "the", "idiot"), (2, "der", "und")])
