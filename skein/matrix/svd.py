@@ -86,65 +86,129 @@ def _orthonormal(vectors: DataFrame, key: str, k: int) -> tuple[DataFrame, int]:
     return kept(_applied(vectors, key, basis[:, keep] / np.sqrt(values[keep]))), int(keep.sum())
 
 
-def svd(cells: DataFrame, k: int, tolerance: float = 1e-6, extra: int = 8, blocks: int = 8, restarts: int = 25) -> Factors:
-    """The k greatest singular values and vectors of cells (row, col, v), by a block Krylov search with Rayleigh-Ritz.
-
-    From a block of k + ``extra`` vectors told by a hash of the columns, each step multiplies the newest block by the
-    matrix and its transpose, takes out what the blocks before have (twice), and finds the best values and vectors in
-    the span of all blocks. It ends when every wanted vector's residual (what the matrix and its transpose make of it,
-    less its squared value times it) is within ``tolerance`` of the greatest squared value; after ``blocks`` blocks the
-    search starts again from the best vectors. An end short of that, after ``restarts`` of them, is an error.
-
-    The matrix and all vectors stay distributed; sums of products of components, at most ((k + extra) (blocks + 1))^2
-    numbers, come to the driver, so rows and columns may be any number. Each vector's greatest component by size is
-    positive. Cells of null or zero value count nothing, cells of one place add up. Fewer come back if the rank is less.
+def _small(cells: DataFrame, columns: list) -> np.ndarray:
+    """The products of all pairs of columns, for a short list of them: partial ones by task, summed up by place."""
+    n, key = len(columns), cells.schema["col"].dataType.simpleString()
+    places = cells.sparkSession.createDataFrame(list(zip(columns, range(n))), f"col {key}, place int")
+    rows = cells.join(F.broadcast(places), "col").groupBy("row").agg(F.collect_list("place").alias("places"), F.collect_list("v").alias("values"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, n))
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                sizes = part.column("places").value_lengths().to_numpy()
+                x = np.zeros((len(sizes), n))
+                np.add.at(x, (np.repeat(np.arange(len(sizes)), sizes), part.column("places").flatten().to_numpy()), part.column("values").flatten().to_numpy())
+                total += x.T @ x
+        for start in range(0, n, 256):
+            part = total[start : start + 256]
+            ends = np.arange(len(part) + 1, dtype=np.int32) * n
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(start, start + len(part), dtype=np.int32)), pa.ListArray.from_arrays(ends, part.ravel())], ["place", "vector"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for place, vector in zip(batch.column("place").to_numpy(), _stacked(batch) if batch.num_rows else ()):
+                out[place] = out[place] + vector if place in out else vector
+        if out:
+            ends = np.arange(len(out) + 1, dtype=np.int32) * n
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.ListArray.from_arrays(ends, np.concatenate(list(out.values())))], ["place", "vector"])
+
+    # Each task gives n x n numbers, so there are at most 64.
+    sums = rows.select("places", "values").coalesce(64).mapInArrow(run, "place int, vector array<double>").repartition(8, "place").mapInArrow(added, "place int, vector array<double>").toArrow()
+    gram = np.zeros((n, n))
+    gram[sums.column("place").to_numpy()] = np.asarray(sums.column("vector").combine_chunks().flatten(), float).reshape(-1, n)
+    return gram
+
+
+def svd(cells: DataFrame, k: int, tolerance: float = 1e-6, extra: int = 8, blocks: int = 8, restarts: int = 25, small: int = 3072) -> Factors:
+    """The k greatest singular values and vectors of cells (row, col, v).
+
+    A matrix of at most ``small`` rows or columns is one sum of products of these, ``small`` by ``small`` numbers that
+    come to the driver, and its eigenvectors. A larger one is searched: from a block of k + ``extra`` vectors told by a
+    hash of the columns, each step of a block Krylov search multiplies the newest block by the matrix and its transpose,
+    takes out what the blocks before have (twice), and finds the best values and vectors in the span of all blocks
+    (Rayleigh-Ritz). It ends when every wanted vector's residual (what the matrix and its transpose make of it, less its
+    squared value times it) is within ``tolerance`` of the greatest squared value; after ``blocks`` blocks the search
+    starts again from the best vectors. An end short of that, after ``restarts`` of them, is an error.
+
+    The matrix and all vectors stay distributed, and only vectors of the shorter side are kept between steps; sums of
+    products of components, at most ((k + extra) (blocks + 1))^2 numbers, come to the driver, so rows and columns may be
+    any number. Each vector's greatest component by size is positive. Cells of null or zero value count nothing, cells of
+    one place add up. Fewer come back if the rank is less.
     """
     cells = kept(cells.select("row", "col", F.col("v").cast("double").alias("v")).where("v <> 0"))
+    n_rows, n_cols = cells.agg(F.count_distinct("row"), F.count_distinct("col")).first()
+    turned = n_rows < n_cols
+    if turned:
+        cells = cells.select(F.col("col").alias("row"), F.col("row").alias("col"), "v")
+    if min(n_rows, n_cols) <= small:
+        columns = [r["col"] for r in cells.select("col").distinct().orderBy("col").collect()]
+        values, basis = np.linalg.eigh(_small(cells, columns)) if columns else (np.zeros(0), np.zeros((0, 0)))
+        best = [i for i in np.argsort(-values)[:k] if values[i] > 1e-12 * max(values[-1], 1e-300)]
+        values, key = values[best], cells.schema["col"].dataType.simpleString()
+        v = kept(cells.sparkSession.createDataFrame([(c, x.tolist()) for c, x in zip(columns, basis[:, best])], f"col {key}, vector array<double>"))
+    else:
+        values, v = _searched(cells, k, tolerance, extra, blocks, restarts)
+    sigma = np.sqrt(values)
+    if not len(sigma):
+        none = v.limit(0)
+        return Factors(none.select(F.col("col").alias("row"), "vector"), none, [])
+    u = kept(_applied(_times(cells, "row", "col", v, len(sigma)), "row", np.diag(1 / sigma)))
+    if turned:
+        u, v = v.select(F.col("col").alias("row"), "vector"), u.select(F.col("row").alias("col"), "vector")
+    ends = u.agg(*[f(F.element_at("vector", i + 1)).alias(f"{n}{i}") for i in range(len(sigma)) for n, f in (("x", F.max), ("n", F.min))]).first()
+    sign = [1.0 if abs(ends[f"x{i}"]) >= abs(ends[f"n{i}"]) else -1.0 for i in range(len(sigma))]
+    return Factors(u.select("row", _scaled("vector", sign).alias("vector")), v.select("col", _scaled("vector", sign).alias("vector")), sigma.tolist())
+
+
+def _searched(cells: DataFrame, k: int, tolerance: float, extra: int, blocks: int, restarts: int) -> tuple[np.ndarray, DataFrame]:
+    """The k greatest squared singular values, and col, vector of them: see ``svd``."""
     start = F.array(*[F.lit(1.0) - F.pmod(F.xxhash64("col", F.lit(i)), F.lit(1 << 20)) / float(1 << 19) for i in range(k + extra)])
     block, width = _orthonormal(cells.select("col").distinct().select("col", start.alias("vector")), "col", k + extra)
-    if not width or block.isEmpty():
-        return Factors(block.select(F.col("col").alias("row"), "vector"), block, [])
     most, begun = blocks * width, 0
-    q, m = block, width
-    z = newest = kept(_times(cells, "row", "col", block, width))
+    q, m, known = block, width, np.zeros((0, 0))  # known: what the product of transpose and matrix is in the span of q
     while True:
-        values, basis = np.linalg.eigh(_gram(z, m))
+        image = kept(_beside(q, _times(cells, "col", "row", _times(cells, "row", "col", block, width), width), "col", width))
+        gram = _gram(image, m + width)
+        across, own = gram[:m, m:], gram[m:, m:]
+        grown = np.zeros((m, m))
+        grown[: len(known), : len(known)] = known
+        grown[:, m - width :], grown[m - width :, :] = across, across.T
+        known = grown
+        known[m - width :, m - width :] = (across[m - width :] + across[m - width :].T) / 2
+        values, basis = np.linalg.eigh(known)
         order = np.argsort(-values)
         values, basis = np.maximum(values[order], 0.0), basis[:, order]
         wanted = [i for i in range(min(k, m)) if values[i] > 1e-12 * max(values[0], 1e-300)]
-        image = kept(_beside(q, _times(cells, "col", "row", newest, width), "col", width))
-        gram = _gram(image, m + width)
-        across, own = gram[:m, m:], gram[m:, m:]
         beyond = own - across.T @ across  # what of the image stands outside the span
         last = basis[m - width : m, wanted]
         apart = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", last, beyond, last), 0.0))
         scale, turn = np.linalg.eigh((beyond + beyond.T) / 2)
         fresh = scale > 1e-12 * max(own.trace(), 1e-300)
         if (apart <= tolerance * values[0]).all() or not fresh.any():
-            break
-        if m + width > most:
-            begun += 1
-            if begun > restarts:
-                raise RuntimeError(f"residuals of {apart.max() / values[0]:.2g} after {restarts} restarts")
-            keep = basis[:, : k + extra]
-            q, z, m = kept(_applied(q, "col", keep)), kept(_applied(z, "row", keep)), keep.shape[1]
-            newest, width = z, m
-            continue
+            return values[wanted], kept(_applied(q, "col", basis[:, wanted]))
         by = turn[:, fresh] / np.sqrt(scale[fresh])
         block = kept(_applied(image, "col", np.vstack([-across @ by, by])))
         gram = _gram(_beside(q, block, "col", by.shape[1]), m + by.shape[1])
         again = gram[:m, m:]
         scale, turn = np.linalg.eigh(gram[m:, m:] - again.T @ again)
         by = turn / np.sqrt(np.maximum(scale, 1e-300))
+        block = _applied(_beside(q, block, "col", by.shape[1]), "col", np.vstack([-again @ by, by]))
+        if m + by.shape[1] > most:
+            begun += 1
+            if begun > restarts:
+                raise RuntimeError(f"residuals of {apart.max() / values[0]:.2g} after {restarts} restarts")
+            # The best vectors and the newest block go on: what is known of the former is their values, and what ties
+            # them to the latter comes with its image.
+            block = kept(block)
+            keep = basis[:, : k + extra]
+            q, m, known = kept(_applied(q, "col", keep)), keep.shape[1], np.diag(values[: k + extra])
+        else:
+            block = kept(block)
         width = by.shape[1]
-        block = kept(_applied(_beside(q, block, "col", width), "col", np.vstack([-again @ by, by])))
-        newest = kept(_times(cells, "row", "col", block, width))
-        q, z, m = kept(_beside(q, block, "col", width)), kept(_beside(z, newest, "row", width)), m + width
-    sigma = np.sqrt(values[wanted])
-    u, v = kept(_applied(z, "row", basis[:, wanted] / sigma)), kept(_applied(q, "col", basis[:, wanted]))
-    ends = u.agg(*[f(F.element_at("vector", i + 1)).alias(f"{n}{i}") for i in range(len(wanted)) for n, f in (("x", F.max), ("n", F.min))]).first()
-    sign = [1.0 if abs(ends[f"x{i}"]) >= abs(ends[f"n{i}"]) else -1.0 for i in range(len(wanted))]
-    return Factors(u.select("row", _scaled("vector", sign).alias("vector")), v.select("col", _scaled("vector", sign).alias("vector")), sigma.tolist())
+        q, m = kept(_beside(q, block, "col", width)), m + width
 
 
 def dot(a, b):

@@ -90,6 +90,22 @@ def test_close_values_are_told_apart(spark):
     assert svd.largest(cells) == pytest.approx(5.0, abs=1e-9) and svd.largest(cells.limit(0)) == 0.0
 
 
+def test_few_columns_take_one_product_and_many_are_searched(spark, monkeypatch):
+    """Noise, whose values lie close together, held either way round against numpy."""
+    rng = np.random.default_rng(6)
+    x = rng.random((90, 50)) * (rng.random((90, 50)) < 0.4)
+    times, calls = svd._times, []
+    monkeypatch.setattr(svd, "_times", lambda *a: (calls.append(a), times(*a))[1])
+    for y, small in ((x, 3072), (x.T, 3072), (x.T, 0)):
+        calls.clear()
+        cells = spark.createDataFrame([(i, j, float(y[i, j])) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(y)))], "row long, col long, v double")
+        f = svd.svd(cells, 4, blocks=4, **({} if small else {"small": 0}))
+        assert f.sigma == pytest.approx(np.linalg.svd(y)[1][:4].tolist(), abs=1e-6)
+        u, v = (np.array([r["vector"] for r in side.orderBy(key).collect()]) for side, key in ((f.u, "row"), (f.v, "col")))
+        assert np.abs(u.T @ y @ v - np.diag(f.sigma)).max() < 1e-5
+        assert len(calls) <= 1 or not small
+
+
 def test_balanced_rows_and_columns(spark):
     rng = np.random.default_rng(4)
     cells = [(i, j, float(rng.random() + 0.1)) for i in range(12) for j in range(5) if (i * j) % 4 != 3] + [(99, 0, 0.0)]
