@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,68 +46,114 @@ def tags_of(word: str) -> dict[str, float]:
     return {t: q * 0.01 for t, q in out.items()}
 
 
-def chart(words: list[str], longest: int) -> list[list[dict[str, float]]]:
-    """For each start and end up to ``longest`` words on the probability of each tag or phrase over it, filled from short
-    to long."""
-    n = len(words)
-    cells: list[list[dict[str, float]]] = [[{} for _ in range(n + 1)] for _ in range(n)]
-    for size in range(1, min(n, longest) + 1):
-        for i in range(n - size + 1):
-            cell = cells[i][i + size]
-            if size == 1:
-                cell.update(tags_of(words[i]))
-            for k in range(i + 1, i + size):
-                left, right = cells[i][k], cells[k][i + size]
-                for made, parts, p in RULES:
-                    if len(parts) == 2 and parts[0] in left and parts[1] in right:
-                        cell[made] = max(cell.get(made, 0.0), p * left[parts[0]] * right[parts[1]])
-            for made, parts, p in RULES:
-                if len(parts) == 1 and parts[0] in cell:
-                    cell[made] = max(cell.get(made, 0.0), p * cell[parts[0]])
+_SYMBOLS = {name: i for i, name in enumerate(sorted({t for t in [*CLOSED.values(), *OPEN]} | {x for made, parts, _ in RULES for x in (made, *parts)}))}
+_ONE = [(_SYMBOLS[made], _SYMBOLS[parts[0]], p) for made, parts, p in RULES if len(parts) == 1]
+_TWO = sorted((_SYMBOLS[made], _SYMBOLS[parts[0]], _SYMBOLS[parts[1]], p) for made, parts, p in RULES if len(parts) == 2)
+_MADE = sorted({made for made, *_ in _TWO})
+_FIRST = [[made for made, *_ in _TWO].index(m) for m in _MADE]
+_LEFT, _RIGHT, _P = [r[1] for r in _TWO], [r[2] for r in _TWO], np.array([r[3] for r in _TWO])[:, None, None]
+
+
+def charts(texts: np.ndarray) -> np.ndarray:
+    """For texts of one length n, given as (text, word, symbol) probabilities of tags: (symbol, start, words, text) with
+    the probability of each tag or phrase over each run of words, 0 where it is none, filled from short to long."""
+    count, n, symbols = texts.shape
+    cells = np.zeros((symbols, n, n + 1, count))
+    cells[:, :, 1] = texts.transpose(2, 1, 0)
+    for size in range(1, n + 1):
+        starts = n - size + 1
+        for d in range(1, size):
+            left, right = cells[_LEFT, :starts, d], cells[_RIGHT, d : d + starts, size - d]
+            best = np.maximum.reduceat(_P * left * right, _FIRST, axis=0)
+            cells[_MADE, :starts, size] = np.maximum(cells[_MADE, :starts, size], best)
+        for made, part, p in _ONE:
+            cells[made, :starts, size] = np.maximum(cells[made, :starts, size], p * cells[part, :starts, size])
     return cells
 
 
+@lru_cache(100_000)
+def _tagged(word: str) -> tuple[float, ...]:
+    tags = tags_of(word)
+    return tuple(tags.get(name, 0.0) for name in _SYMBOLS)
+
+
+def _charted(runs: set[tuple[str, ...]], at_once: int = 256) -> dict[tuple[str, ...], tuple[np.ndarray, np.ndarray]]:
+    """For each run of words the cells (symbol, words) from its start and (symbol, start) to its end."""
+    by_length: dict[int, list[tuple[str, ...]]] = {}
+    for run in runs:
+        by_length.setdefault(len(run), []).append(run)
+    out = {}
+    for n, mine in by_length.items():
+        for first in range(0, len(mine), at_once):
+            some = mine[first : first + at_once]
+            cells = charts(np.array([[_tagged(w) for w in run] for run in some]))
+            heads, tails = cells[:, 0].copy(), cells[:, np.arange(n), n - np.arange(n)]
+            out |= {run: (heads[:, :, i], tails[:, :, i]) for i, run in enumerate(some)}
+    return out
+
+
 #: A sentence without any of these words fits no pattern.
 _SAYING = {w for _, pattern, _ in PATTERNS for part in pattern if not part.isupper() for w in part.split("|")}
 
 
+def _places(words: list[str], longest: int) -> list[tuple[int, int, int]]:
+    """pattern, end of the first concept, start of the second, for each place where a pattern's words stand between two
+    runs of words that can be its concepts; the first concept of a pattern that begins with words is empty."""
+    n, out = len(words), []
+    for nth, (_, pattern, _) in enumerate(PATTERNS):
+        said = [part.split("|") for part in pattern if not part.isupper()]
+        for end in range(1, min(n, longest) + 1) if pattern[0].isupper() else (0,):
+            start = end + len(said)
+            if 0 < n - start <= longest and all(words[end + i] in these for i, these in enumerate(said)):
+                out.append((nth, end, start))
+    return out
+
+
+def parse_all(sentences: list[str | None], longest: int = 24) -> list[tuple[str, str, str] | None]:
+    """For each sentence relation, first and second concept of the likeliest pattern; None for none and for junk.
+
+    Sentences have any length; a concept is a phrase of at most ``longest`` words. Charts are filled for the runs of words
+    before and after a pattern's only, for all sentences together."""
+    asked, runs = {}, set()
+    for nth, sentence in enumerate(sentences):
+        plain = sentence.strip().rstrip(".!?").replace('"', "").split() if isinstance(sentence, str) else []
+        words = [w.lower().strip(",;:") for w in plain]
+        if _SAYING.isdisjoint(words) or len(words) > 2 * longest + max(len(p) for _, p, _ in PATTERNS):
+            continue  # nothing to say it by, or more words than two concepts and a pattern have
+        if places := _places(words, longest):
+            head, tail = tuple(words[: max(end for _, end, _ in places)]), tuple(words[min(start for *_, start in places) :])
+            asked[nth] = plain, places, head, tail
+            runs |= {run for run in (head, tail) if run}
+    known, out = _charted(runs), [None] * len(sentences)
+    for nth, (plain, places, head, tail) in asked.items():
+        best = {}
+        for which, end, start in places:
+            pattern = PATTERNS[which][1]
+            p = known[tail][1][_SYMBOLS[pattern[-1]], start - len(plain) + len(tail)]
+            if end:
+                p = known[head][0][_SYMBOLS[pattern[0]], end] * p
+            if p > best.get(which, (0.0,))[0]:
+                best[which] = p, end, start
+        likeliest = (FLOOR, "", 0, 0)
+        for which, (p, end, start) in sorted(best.items()):
+            if p * PATTERNS[which][2] > likeliest[0]:
+                likeliest = (p * PATTERNS[which][2], PATTERNS[which][0], end, start)
+        _, relation, end, start = likeliest
+        if relation and relation != "junk" and end:
+            out[nth] = relation, " ".join(plain[:end]), " ".join(plain[start:])
+    return out
+
+
 def parse(sentence: str, longest: int = 24) -> tuple[str, str, str] | None:
-    """relation, first and second concept of the likeliest pattern; None for none and for junk. Sentences have any
-    length; a concept is a phrase of at most ``longest`` words, so that the chart grows as the sentence does."""
-    plain = sentence.strip().rstrip(".!?").replace('"', "").split()
-    words = [w.lower().strip(",;:") for w in plain]
-    if _SAYING.isdisjoint(words) or len(words) > 2 * longest + max(len(p) for _, p, _ in PATTERNS):
-        return None  # nothing to say it by, or more words than two concepts and a pattern have
-    cells, best = chart(words, longest), (FLOOR, "", [])
-
-    def fits(pattern: list[str], at: int) -> list[tuple[float, list[tuple[int, int]]]]:
-        if not pattern:
-            return [(1.0, [])] if at == len(words) else []
-        head, rest = pattern[0], pattern[1:]
-        if head.isupper():
-            out = []
-            for end in range(at + 1, min(len(words), at + longest) + 1):
-                if head in cells[at][end]:
-                    out += [(cells[at][end][head] * p, [(at, end), *spans]) for p, spans in fits(rest, end)]
-            return sorted(out, key=lambda x: -x[0])[:1]
-        return fits(rest, at + 1) if at < len(words) and words[at] in head.split("|") else []
-
-    for relation, pattern, weight in PATTERNS:
-        for p, spans in fits(pattern, 0):
-            if p * weight > best[0]:
-                best = (p * weight, relation, spans)
-    _, relation, spans = best
-    if not relation or relation == "junk" or len(spans) < 2:
-        return None
-    said = [" ".join(plain[a:b]) for a, b in spans]
-    return relation, said[0], said[1]
+    """``parse_all`` of one sentence."""
+    return parse_all([sentence], longest)[0]
 
 
 def parsed(text: Column) -> Column:
     """struct<relation, text1, text2>, null where nothing fits."""
 
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(isinstance(t, str) and parse(t)) or (None, None, None) for t in texts], columns=["relation", "text1", "text2"])
+        return pd.DataFrame([p or (None, None, None) for p in parse_all(texts.tolist())], columns=["relation", "text1", "text2"])
 
     return F.pandas_udf(run, "relation string, text1 string, text2 string")(text)
 

@@ -138,14 +138,18 @@ AFTER = {"DT": "NN", "PRP$": "NN", "IN": "NN", "TO": "VB", "MD": "VB", "PRP": "V
 ENDINGS = [("ing", "VBG"), ("ed", "VBN"), ("ly", "RB"), ("ful", "JJ"), ("less", "JJ"), ("ous", "JJ"), ("able", "JJ"), ("ble", "JJ"), ("al", "JJ"), ("s", "NNS")]
 
 
-def sentences(docs: DataFrame, id_name: str, text: str) -> DataFrame:
-    """id, sentence (number), place and word of every word: text cut after . ! ? and at line ends; words without the
-    signs around them. Null texts have none."""
-    cut = F.filter(F.split(text, r"(?<=[.!?])\s+|[\r\n]+"), lambda s: F.length(F.trim(s)) > 0)
-    rows = docs.select(id_name, F.posexplode(cut).alias("sentence", "said"))
+def cut(docs: DataFrame, id_name: str, text: str) -> DataFrame:
+    """id, sentence (number) and words of every sentence: text cut after . ! ? and at line ends; words without the signs
+    around them, empty ones too. Null texts have none. Texts are dealt by id, so that sentences stay where they are."""
+    said = F.filter(F.split(text, r"(?<=[.!?])\s+|[\r\n]+"), lambda s: F.length(F.trim(s)) > 0)
+    rows = docs.select(id_name, text).repartition(id_name).select(id_name, F.posexplode(said).alias("sentence", "said"))
     words = F.filter(F.split("said", r"\s+"), lambda w: w != "")
-    rows = rows.select(id_name, "sentence", F.posexplode(F.transform(words, lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))).alias("place", "word"))
-    return rows.where("word <> ''")
+    return rows.select(id_name, "sentence", F.transform(words, lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")).alias("words"))
+
+
+def sentences(docs: DataFrame, id_name: str, text: str) -> DataFrame:
+    """id, sentence (number), place and word of every word of ``cut``."""
+    return cut(docs, id_name, text).select(id_name, "sentence", F.posexplode("words").alias("place", "word")).where("word <> ''")
 
 
 def tagged(words: DataFrame, id_name: str, smooth: float = 0.1) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,39 @@ def test_stems():
 ])
 def test_sentences_become_assertions(said, want):
     assert parse.parse(said) == want
+
+
+def plainly(sentence, longest=24):
+    """The likeliest pattern of one sentence, from one table of all runs of its words."""
+    plain = sentence.split()
+    words, cells = [w.lower().strip(",;:") for w in plain], {}
+    for size in range(1, min(len(words), longest) + 1):
+        for i in range(len(words) - size + 1):
+            cell = cells[i, i + size] = parse.tags_of(words[i]) if size == 1 else {}
+            for made, parts, p in parse.RULES:
+                for k in range(i + 1, i + size) if len(parts) == 2 else ():
+                    q = p * cells[i, k].get(parts[0], 0) * cells[k, i + size].get(parts[1], 0)
+                    cell[made] = max(cell.get(made, 0), q)
+            for made, parts, p in parse.RULES:
+                if len(parts) == 1 and parts[0] in cell:
+                    cell[made] = max(cell.get(made, 0), p * cell[parts[0]])
+    found = [(1e-60, "", "", "")]
+    for relation, pattern, weight in parse.PATTERNS:
+        said = [part.split("|") for part in pattern if not part.isupper()]
+        for end in range(1, len(words)) if pattern[0].isupper() else (0,):
+            start = end + len(said)
+            if start < len(words) and all(words[end + i] in x for i, x in enumerate(said)):
+                p = cells.get((start, len(words)), {}).get(pattern[-1], 0) * (cells.get((0, end), {}).get(pattern[0], 0) if end else 1)
+                found.append((p * weight, relation, " ".join(plain[:end]), " ".join(plain[start:])))
+    best = max(found, key=lambda f: f[0])
+    return best[1:] if best[1] not in ("", "junk") else None
+
+
+def test_sentences_parsed_together_are_those_parsed_one_by_one():
+    rng = np.random.default_rng(3)
+    words = "a the dog dogs can be used for to is are was in on running beautiful quickly wants causes made part of has it and walked near bread, Knife".split()
+    said = [" ".join(rng.choice(words, n)) for n in rng.integers(1, 10, 1500)]
+    said += [" ".join([*rng.choice(["a", "x", "zing", "of"], n), "is", *rng.choice(["the", "y", "zed"], 27 - n)]) for n in range(1, 27)]
+    got = parse.parse_all(said)
+    assert got == [plainly(s) for s in said] and sum(g is not None for g in got) > 20
+    assert parse.parse_all(["", None]) == [None, None]
