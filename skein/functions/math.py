@@ -103,3 +103,13 @@ def register_table_functions(spark) -> None:
                 yield i, term
 
     spark.udtf.register("skein_terms", Terms)
+
+
+def rounded(x: Column, places: int) -> Column:
+    """A double with so many decimal places as SQL engines round it that scale by a power of ten: halves of the scaled
+    value away from zero. (Spark's own rounds the shortest decimal that stands for it, so 157.325 up.)"""
+    scaled = F.abs(x * 10.0**places)
+    whole = F.floor(scaled)
+    up = whole + F.when(scaled - whole >= 0.5, 1.0).otherwise(0.0)
+    exact = x.isNull() | F.isnan(x) | (F.abs(x) >= 2.0**52 / 10.0**places)
+    return F.when(exact, x).otherwise(F.signum(x) * up / 10.0**places)

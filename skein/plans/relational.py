@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as lex
 from ..functions import html as H
+from ..functions import math as M
 from ..functions import text as T
 from ..functions import url as U
 from ..operators import relational as R
@@ -79,7 +80,7 @@ def _(t):
 def _(t):
     total = t("customer").agg(F.count("*").alias("total"))
     rows = t("customer").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey")).crossJoin(F.broadcast(total))
-    return rows.select(F.to_json(F.struct(F.col("c_name").alias("content"), F.col("n_name").alias("url"), (F.col("c_custkey") == 1).alias("first"), "total", F.round("c_acctbal", 2).alias("score"))).alias("item"))
+    return rows.select(F.to_json(F.struct(F.col("c_name").alias("content"), F.col("n_name").alias("url"), (F.col("c_custkey") == 1).alias("first"), "total", M.rounded(F.col("c_acctbal"), 2).alias("score")), {"ignoreNullFields": "false"}).alias("item"))
 
 
 @query("prj02_date_format", """select o_orderkey, strftime(o_orderdate, '%b-%d-%Y') as day, regexp_replace('"' || o_orderpriority || '"', '^"(.*)"$', '\\1') as bare from orders""")

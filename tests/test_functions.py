@@ -52,3 +52,17 @@ def test_link_expansion_stops_at_depth(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("b", "a")], "url string, target string")
     got = relational.expand_links(links, spark.createDataFrame([("a",)], "url string"), 2)
     assert sorted(map(tuple, got.collect())) == [("a", 0), ("b", 1), ("c", 2)]
+
+
+def test_rows_as_structs_keep_nulls_and_round_as_sql(spark, tmp_path):
+    import duckdb
+
+    from skein.plans import registry
+
+    con = duckdb.connect()
+    for name, sql in (("nation", "select 1 as n_nationkey, 'N' as n_name"), ("customer", "select i as c_custkey, 'C' || i as c_name, 1 as c_nationkey, (i - 40000) / 1000.0::double as c_acctbal from range(90000) r(i) union all select null, null, 1, null")):
+        con.execute(f"create table {name} as {sql}")
+        con.execute(f"copy {name} to '{tmp_path}/{name}.parquet'")
+    got = [r["item"] for r in registry.queries()["prj01_rows_as_structs"](spark, str(tmp_path)).collect()]
+    want = [r[0] for r in con.execute(registry.oracle_sql()["prj01_rows_as_structs"]).fetchall()]
+    assert sorted(got) == sorted(want)
