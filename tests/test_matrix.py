@@ -24,6 +24,20 @@ def test_every_pair_has_its_cosine(spark):
         assert g[:2] == w[:2] and (g[2] is w[2] is None or abs(g[2] - w[2]) < 1e-6)
 
 
+def test_cosines_at_the_half_of_a_place_are_rounded_as_in_sql(spark):
+    rng = np.random.default_rng(8)
+    rows = [(0, [3.0, 0.1, 0.7])]
+    for i in range(1, 3000):  # at an angle to the first whose cosine is half a place, but for the last bits
+        u, c = np.array(rows[0][1]) / np.linalg.norm(rows[0][1]), (int(rng.integers(0, 999_999)) + 0.5) / 1e6
+        v = np.cross(u, rng.standard_normal(3))
+        rows.append((i, ((c * u + np.sqrt(1 - c * c) * v / np.linalg.norm(v)) * rng.random()).tolist()))
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["b"]: r["cosine"] for r in pairwise_cosine(vectors).where("a = 0").collect()}
+    frame = vectors.toPandas()  # noqa: F841
+    sql = "select y.vec_id, round(list_cosine_similarity(x.embedding, y.embedding), 6) from frame x, frame y where x.vec_id = 0 and y.vec_id > 0"
+    assert got == dict(duckdb.sql(sql).fetchall())
+
+
 def test_the_report_covers_all_vectors(spark):
     folder = "/root/testdata/sf0.001"
     whole = registry.queries()["mat09_pairwise_cosine_all"](spark, folder)
