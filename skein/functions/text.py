@@ -209,22 +209,25 @@ def merged_counts(known: DataFrame, fresh: DataFrame) -> DataFrame:
 def tfidf(docs: DataFrame, key: str, text: str, broadcast_words: int = 2_000_000) -> DataFrame:
     """key, word and tfidf: count in the document times the logarithm of (documents / documents that hold the word).
 
-    Words are counted by document once and kept; document frequencies are added up from that table, with partial sums
-    before the shuffle, and broadcast if they are at most ``broadcast_words``, else joined by shuffle (where AQE splits
+    Words are counted by document once and kept; document frequencies are added up from that table once, with partial
+    sums before the shuffle, and broadcast if they are at most ``broadcast_words``, else joined by shuffle (where AQE splits
     the partitions of words that most documents hold).
     """
     from ..operators.order import hinted, kept
 
     total = docs.count()
     counted = kept(term_counts(docs, key, F.col(text)))
-    df = counted.groupBy("word").agg(F.count("*").alias("df"))
+    df = kept(counted.groupBy("word").agg(F.count("*").alias("df")))
     return counted.join(hinted(df, broadcast_words), "word").select(key, "word", (F.col("n") * F.log(F.lit(float(total)) / F.col("df"))).alias("tfidf"))
 
 
-def term_counts(docs: DataFrame, key: str, text: Column) -> DataFrame:
+def term_counts(docs: DataFrame, key: str, text: Column, at_once: int = 8_000_000) -> DataFrame:
     """key, word, n of the words of each key. Texts are dealt by key before they are cut into words, so that counting
-    and what follows by key needs no shuffle of words."""
-    words = docs.select(key, text.alias("_t")).repartition(key).select(key, F.explode(tokens(F.col("_t"))).alias("word"))
+    and what follows by key needs no shuffle of words, into parts of about ``at_once`` characters, so that a task's
+    counts stay small however many texts there are."""
+    chars = docs.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-chars // at_once))
+    words = docs.select(key, text.alias("_t")).repartition(parts, key).select(key, F.explode(tokens(F.col("_t"))).alias("word"))
     return words.groupBy(key, "word").agg(F.count("*").alias("n"))
 
 

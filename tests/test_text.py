@@ -131,3 +131,11 @@ def test_sentences_parsed_together_are_those_parsed_one_by_one():
     got = parse.parse_all(said)
     assert got == [plainly(s) for s in said] and sum(g is not None for g in got) > 20
     assert parse.parse_all(["", None]) == [None, None]
+
+
+def test_words_are_counted_in_parts_as_many_as_the_texts_need(spark):
+    docs = spark.createDataFrame([(i % 40, f"one two two w{i}") for i in range(80)] + [(99, None)], "doc_id long, text string")
+    got = text.term_counts(docs, "doc_id", F.col("text"), at_once=100)
+    assert got.rdd.getNumPartitions() >= 12  # 1,270 characters
+    counts = {(r["doc_id"], r["word"]): r["n"] for r in got.collect()}
+    assert len(counts) == 160 and counts[7, "two"] == 4 and counts[7, "w47"] == 1
