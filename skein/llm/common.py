@@ -6,6 +6,7 @@ jobs run inside it.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -62,9 +63,17 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> It
             spark.conf.set(name, value)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have the driver collect garbage. Its heap gives back what it grew by, and the shuffle files, checkpoints and
+    broadcasts that nothing refers to any more go from the disks; they stay until then, however many come after."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def shrink_heaps(spark: SparkSession) -> None:
-    """Have the executors collect garbage. A heap stays as large as it once grew until then; what it gives back is there
-    for the Python workers of the next stage."""
+    """Have the driver and the executors collect garbage. A heap stays as large as it once grew until then; what it gives
+    back is there for the Python workers of the next stage."""
+    tidy(spark)
     tasks = 2 * spark.sparkContext.defaultParallelism
     spark.range(0, tasks, 1, tasks).selectExpr("java_method('java.lang.System', 'gc')").write.format("noop").mode("overwrite").save()
 

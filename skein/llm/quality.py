@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_folder, hinted, mix, shared_folder, slices, table
+from .common import cut, drop_folder, hinted, mix, shared_folder, slices, table, tidy
 
 ORDER = 5
 #: Values that may be broadcast, 12 bytes each; and characters of the texts of a chunk beyond that.
@@ -118,6 +118,8 @@ def kneser_ney(grams: DataFrame) -> tuple[dict[int, DataFrame], dict[int, int]]:
             level, q = level.withColumn("suffix", F.expr("substring(gram, 2)")).join(shorter, ["fold", "suffix"]), F.col("q")
         p = (F.col("n") - discount) / F.col("total") + F.col("rest") * q
         levels[m] = cut(level.select("fold", "gram", "context", p.alias("p"), "rest"))
+        del counts[m], level, contexts
+        tidy(levels[m].sparkSession)
     return levels, vocabulary
 
 
@@ -136,8 +138,12 @@ def values_of(asked: DataFrame, levels: dict[int, DataFrame], vocabulary: dict[i
             passed = levels[m].select(F.col("fold").alias("f"), F.col("context").alias("g"), F.log("rest").alias(f"r{m}")).distinct()
             rows = rows.join(passed, (F.col("fold") == F.col("f")) & (F.expr(f"substring(gram, {ORDER - m + 1}, {m - 1})") == F.col("g")), "left").drop("f", "g")
             weight = F.coalesce(f"r{m}", F.lit(0.0))
-        value = F.coalesce(F.col(f"p{m}"), weight + value)
-    return rows.select("fold", "gram", value.alias("value"))
+        rows = rows.select("fold", "gram", F.coalesce(F.col(f"p{m}"), weight + value).alias("value"))
+        value = F.col("value")
+        if m < ORDER:  # what an order's joins shuffle goes before the next one's
+            rows = cut(rows)
+            tidy(rows.sparkSession)
+    return rows
 
 
 class Hashed:
@@ -218,6 +224,7 @@ def keyed(values: DataFrame) -> DataFrame:
 def scored(docs: DataFrame, values: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """doc_id, lang, trusted, log_likelihood, n_scored for each row of docs (doc_id, lang, trusted, model, text)."""
     values = cut(keyed(values))
+    tidy(docs.sparkSession)
     if values.count() > broadcast_keys:
         return _scored_in_chunks(docs, values)
     got = values.toArrow()
@@ -299,7 +306,9 @@ def judge(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, broadcast
     rows = docs.select(F.col("doc_id").cast("long"), "text", "lang")
     rows = rows.join(hinted(ids), F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "lang", fold.alias("fold"), F.col("_id").isNotNull().alias("trusted"))
     grams = cut(count_grams(rows))
+    tidy(docs.sparkSession)  # the n-grams of all tasks, shuffled, are the most that is ever on disk
     levels, vocabulary = kneser_ney(grams.where("n > 0"))
+    tidy(docs.sparkSession)
     if not vocabulary:
         none = F.lit(None).cast("double")
         return rows.select("doc_id", "lang", none.alias("perplexity"), none.alias("threshold"), (F.length(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))) > 0).alias("kept"))
