@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hinted, keep_keys, mix, running, shingle_set
+from .common import cut, hinted, keep_keys, mix, running, shingle_set, tidy
 
 
 #: Rows of edges in one partition.
@@ -100,6 +100,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.where("u <> v").withColumn("m", least).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = cut(small.coalesce(parts))
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        tidy(edges.sparkSession)
         if state == before:
             break
         before = state
@@ -156,6 +157,7 @@ def _family_links(whole: DataFrame, slack, percent: int, block_tokens: int = 150
     facing = i.join(j, (F.col("i.family") == F.col("j.family")) & (F.col("i.block") <= F.col("j.block")) & sizes & several)
     facing = cut(facing.select("i.family", F.col("i.block").alias("i"), F.col("j.block").alias("j")))
     rows = cut(rows.join(places.select("node", "block"), "node"))
+    tidy(whole.sparkSession)
 
     def side(which: str, prefix: str) -> DataFrame:
         out = rows.join(facing.withColumnRenamed(which, "block"), ["family", "block"]).withColumnRenamed("block", which)
@@ -248,15 +250,20 @@ def _components_of_nodes(docs: DataFrame, k: int, percent: int, frequent: int, h
     to_star = shared.select("node", "n", F.col("star").alias("o"), F.col("star_n").alias("o_n")).where("o <> node")
     to_last = shared.where("last <> star").select("node", "n", F.col("last").alias("o"), F.col("last_n").alias("o_n"))
     tied = to_star.unionByName(to_last).where(_sizes_fit(F.col("n"), F.col("o_n"), percent))
+    tidy(docs.sparkSession)
     tied = tied.groupBy(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).agg(F.count("*").alias("met"), F.min(F.least("n", "o_n")).alias("n"))
     tried = cut(tied.where(F.col("met") * 10 >= (slack(F.col("n")) + 1) * 6).select("a", "b"))
+    tidy(docs.sparkSession)
     links = cut(_verified(tried, docs, firsts, k, percent))
     clusters = cut(components(links))
+    # What each part leaves on the driver and on disk goes before the next one begins.
+    tidy(docs.sparkSession)
 
     labelled = shared.select("token", "node", "n").join(clusters, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
     held = labelled.groupBy("token", "label").agg(F.count("*").alias("rows")).groupBy("token").agg(F.count("*").alias("held"), F.sum("rows").alias("rows")).where("held > 1")
     held = cut(held.select("token", ((F.col("held") > frequent) | (F.col("rows") > 16 * frequent)).alias("is_hot")))
     hot_tokens, cold_tokens = cut(held.where("is_hot").select("token")), held.where("not is_hot").select("token")
+    tidy(docs.sparkSession)
     cold = keep_keys(labelled, hot_tokens, "token", "left_anti").join(cold_tokens, "token", "left_semi")
     hot = keep_keys(labelled, hot_tokens, "token")
     many = cut(cold.withColumn("hot", F.lit(0).cast("long")).unionByName(hot.withColumn("hot", F.lit(1).cast("long"))))
@@ -273,6 +280,7 @@ def _components_of_nodes(docs: DataFrame, k: int, percent: int, frequent: int, h
     spare = F.least(F.col("n"), slack(F.col("n")) + 1 + F.floor((slack(F.col("n")) + 1) / 8) + 8)
     of_node = many.groupBy("node").agg(F.sum("hot").alias("hots"))
     tops = nodes.select("node", F.element_at("tokens", -1).alias("top"), (F.col("n") - F.size("tokens")).alias("after"))
+    tidy(docs.sparkSession)
     info = cut(of_node.join(tops, "node"))
     rare = many.where("hot = 0").select("token", "node", "n", "label").join(info, "node")
     x, y = rare.alias("x"), rare.where("true").alias("y")
@@ -293,6 +301,7 @@ def _components_of_nodes(docs: DataFrame, k: int, percent: int, frequent: int, h
         spread = spread.groupBy("token").agg(F.count("*").alias("held"), F.sum("rows").alias("rows"))
         spread = spread.where((F.col("held") > frequent) | (F.col("held") > 1) & (F.col("rows") > 16 * frequent))
         more = cut(spread.join(hot_tokens, "token", "left_anti").select("token"))
+        tidy(docs.sparkSession)
         if more.isEmpty():
             break
         hot_tokens = cut(hot_tokens.union(more))
@@ -307,7 +316,9 @@ def _components_of_nodes(docs: DataFrame, k: int, percent: int, frequent: int, h
         few = cut(beyond.select("token").distinct())
         others = keep_keys(prefix, few, "token").join(clusters, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
         found += [crossing(others, beyond), crossing(singles, beyond)]
+        tidy(docs.sparkSession)
         late_links = _family_links(whole, slack, percent)
+    tidy(docs.sparkSession)
     fresh = found[0]
     for more in found[1:]:
         fresh = fresh.union(more)
@@ -318,7 +329,8 @@ def _components_of_nodes(docs: DataFrame, k: int, percent: int, frequent: int, h
     label_of = clusters.select(F.col("node").alias("key"), "label")
     for end in ("a", "b"):
         late = late.join(label_of, late[end] == label_of["key"], "left").withColumn(end, F.coalesce("label", end)).drop("key", "label")
-    merged = components(late)
+    tidy(docs.sparkSession)
+    merged = components(cut(late.distinct()))
     ends = merged.select(F.col("node").alias("label"), F.col("label").alias("top"))
     tops = clusters.join(ends, "label", "full").select(F.coalesce("node", "label").alias("node"), F.coalesce("top", "label").alias("top"))
     return sets, cut(tops)

@@ -1,6 +1,6 @@
 """What a job leaves on disk and on the driver goes before the next one."""
 
-from skein.llm import quality
+from skein.llm import jaccard_join, quality
 
 
 def test_values_are_told_order_by_order(spark, monkeypatch):
@@ -14,3 +14,12 @@ def test_values_are_told_order_by_order(spark, monkeypatch):
     got = {r["gram"]: r["value"] for r in quality.values_of(asked, levels, vocabulary).collect()}
     assert kept == [["fold", "gram", "value"]] * (quality.ORDER - 1)
     assert got["abcab"] > got["zzzzz"] and len(got) == 3
+
+
+def test_join_tidies_between_its_parts(spark, monkeypatch):
+    calls, tidy = [], jaccard_join.tidy
+    monkeypatch.setattr(jaccard_join, "tidy", lambda session: calls.append(1) or tidy(session))
+    docs = spark.createDataFrame([(i, f"one two three four five six seven eight nine ten w{i % 3}") for i in range(9)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == dict.fromkeys(range(9), 0) or got == {i: i % 3 for i in range(9)}
+    assert len(calls) >= 5
