@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 _PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
 
+def by_row(f, kind: str):
+    """``f`` of each row, sent to Python a hundred rows at a time; an Arrow batch holds 10,000 texts and all that is made
+    of them at once."""
+    return F.udf(f, kind, useArrow=False)
+
+
 def strip_punctuation(text: Column) -> Column:
     """Without the 32 ASCII punctuation characters, lower-cased."""
     return F.lower(F.regexp_replace(text, _PUNCTUATION, ""))
