@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import by_row
 from ..operators.order import kept
 
 from .normalize import CORRECT, STOP, SWAP
@@ -41,6 +43,7 @@ def inflect(lemma: str, ending: str) -> str:
     return lemma + (lemma[-1] if short else "") + ending
 
 
+@lru_cache(100_000)
 def split_word(word: str) -> tuple[str, str]:
     """lemma, ending; only such that ``inflect`` gives the word back."""
     if word in IRREGULAR:
@@ -192,28 +195,15 @@ def stemmed(text: str, lang: str) -> str:
     return " ".join(sorted(stem(w, lang) for w in found if w and w not in STOP.get(lang, [])))
 
 
-def _by_row(f, kind: str):
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(f, na_action="ignore")
-
-    return F.pandas_udf(run, kind)
-
-
 def lemma_factor(text: Column, lang: str = "en") -> Column:
     """struct<lemmas, residue>."""
 
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([lemma_split(t, lang) if isinstance(t, str) else (None, None) for t in texts], columns=["lemmas", "residue"])
-
-    return F.pandas_udf(run, "lemmas string, residue string")(text)
+    return by_row(lambda t: (None, None) if t is None else lemma_split(t, lang), "lemmas string, residue string")(text)
 
 
 def recombined(lemmas: Column, residue: Column) -> Column:
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([lemma_combine(x, y) if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(a, b)], dtype=object)
-
-    return F.pandas_udf(run, "string")(lemmas, residue)
+    return by_row(lambda x, y: None if x is None or y is None else lemma_combine(x, y), "string")(lemmas, residue)
 
 
 def stem_text(text: Column, lang: str) -> Column:
-    return _by_row(lambda t: stemmed(t, lang), "string")(text)
+    return by_row(lambda t: None if t is None else stemmed(t, lang), "string")(text)
