@@ -39,8 +39,8 @@ def features(edges: DataFrame, value: Column) -> DataFrame:
         F.struct(F.col("a").alias("concept"), F.lit("right").alias("side"), F.col("rel"), F.col("b").alias("other")),
         F.struct(F.col("b").alias("concept"), F.lit("left").alias("side"), F.col("rel"), F.col("a").alias("other")),
     )
-    rows = edges.select(F.explode(ends).alias("f"), value.alias("v")).select("f.*", "v")
-    return rows.groupBy("concept", "side", "rel", "other").agg(F.sum("v").alias("v"))
+    sums = edges.select("a", "rel", "b", value.alias("v")).groupBy("a", "rel", "b").agg(F.sum("v").alias("v"))
+    return sums.select(F.explode(ends).alias("f"), "v").select("f.*", "v")
 
 
 def by_relation(edges: DataFrame) -> DataFrame:

@@ -22,6 +22,13 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt(df: DataFrame, by: list, most: int = 500_000) -> DataFrame:
+    """``df`` dealt by the columns ``by`` into parts of about ``most`` rows, so that what a task holds of sums by them
+    stays the same however many rows there are, and the sums need no further shuffle."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-df.count() // most)), *by)
+
+
 def numbered(df: DataFrame, by: list, name: str) -> DataFrame:
     """``df`` with column ``name``: the row's number from 1 in the order ``by`` over all rows.
 

@@ -11,7 +11,7 @@ from ..matrix import svd as S
 from ..functions import text as T
 from ..matrix.similarity import pairwise_cosine
 from ..operators import relational as R
-from ..operators.order import kept
+from ..operators.order import dealt, kept
 from .registry import query
 
 _EDGES = "(select l_partkey as a, l_returnflag as rel, 100000000 + l_suppkey as b, max(l_quantity) / 50 as score from lineitem group by 1, 2, 3)"
@@ -19,8 +19,8 @@ _EDGES = "(select l_partkey as a, l_returnflag as rel, 100000000 + l_suppkey as
 
 def edges(t):
     """part - returnflag - supplier, scored by the largest quantity from 0 to 1; suppliers have numbers of their own."""
-    l = t("lineitem").groupBy(F.col("l_partkey").alias("a"), F.col("l_returnflag").alias("rel"), (F.col("l_suppkey") + 100_000_000).alias("b"))  # noqa: E741
-    return l.agg((F.max("l_quantity") / 50).alias("score"))
+    l = t("lineitem").select(F.col("l_partkey").alias("a"), F.col("l_returnflag").alias("rel"), (F.col("l_suppkey") + 100_000_000).alias("b"), "l_quantity")  # noqa: E741
+    return dealt(l, ["a", "rel", "b"]).groupBy("a", "rel", "b").agg((F.max("l_quantity") / 50).alias("score"))
 
 
 @query("grf01_adjacency", f"with e as {_EDGES}, f as (select a as concept, list_sort(list(rel || '/' || b)) as forward from e group by 1), r as (select b as concept, list_sort(list(rel || '/' || a)) as reverse from e group by 1) select coalesce(f.concept, r.concept) as concept, coalesce(forward, []) as forward, coalesce(reverse, []) as reverse from f full join r on f.concept = r.concept")
