@@ -157,7 +157,8 @@ def _(t):
 
 @query("mat02_co_occurrence", "with l as (select distinct l_orderkey, l_suppkey from lineitem) select x.l_suppkey as a, y.l_suppkey as b, count(*) as v from l x join l y on x.l_orderkey = y.l_orderkey and x.l_suppkey < y.l_suppkey group by 1, 2")
 def _(t):
-    lists = t("lineitem").groupBy("l_orderkey").agg(F.collect_list("l_suppkey").alias("items"))  # an order has few lines
+    lines = dealt(t("lineitem").select("l_orderkey", "l_suppkey"), ["l_orderkey"])
+    lists = lines.groupBy("l_orderkey").agg(F.collect_list("l_suppkey").alias("items"))  # an order has few lines
     return B.co_occurrence(lists, "l_orderkey", "items")
 
 

@@ -18,3 +18,12 @@ def test_features_add_up_edges_not_their_ends(spark, capsys):
     assert got == {(1, "right", "r", 2, 3.0), (2, "left", "r", 1, 3.0), (3, "right", "r", 3, 5.0), (3, "left", "r", 3, 5.0), (None, "right", "r", 2, 1.0), (2, "left", "r", None, 1.0)}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Aggregate")  # the explosion is above the sums
+
+
+def test_lines_of_orders_are_dealt_by_count(spark, tmp_path):
+    from skein.plans import registry
+
+    spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 2), (2, 2), (3, 9)], "l_orderkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = registry.queries()["mat02_co_occurrence"](spark, str(tmp_path))
+    assert [tuple(r) for r in out.collect()] == [(1, 2, 2)]
+    assert "RepartitionByExpression [l_orderkey" in out._jdf.queryExecution().optimizedPlan().toString()
