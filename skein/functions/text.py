@@ -219,11 +219,11 @@ def tfidf(docs: DataFrame, key: str, text: str, broadcast_words: int = 2_000_000
     sums before the shuffle, and broadcast if they are at most ``broadcast_words``, else joined by shuffle (where AQE splits
     the partitions of words that most documents hold).
     """
-    from ..operators.order import hinted, kept
+    from ..operators.order import hinted, written
 
     total = docs.count()
-    counted = kept(term_counts(docs, key, F.col(text)))
-    df = kept(counted.groupBy("word").agg(F.count("*").alias("df")))
+    counted = written(term_counts(docs, key, F.col(text)))
+    df = written(counted.groupBy("word").agg(F.count("*").alias("df")))
     return counted.join(hinted(df, broadcast_words), "word").select(key, "word", (F.col("n") * F.log(F.lit(float(total)) / F.col("df"))).alias("tfidf"))
 
 

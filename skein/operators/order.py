@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,13 +14,26 @@ from pyspark.sql import functions as F
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder of spark.checkpoint.dir and read from there; only a local session without
     that setting (tests) gets a temporary folder."""
+    _checkpoint_folder(df)
+    return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``kept`` for many rows: as Parquet in the same folder, by columns, where a checkpoint writes each row as an object
+    of its own. Partitions and their order aren't kept."""
+    folder = f"{_checkpoint_folder(df)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def _checkpoint_folder(df: DataFrame) -> str:
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skein-"))
-    return df.checkpoint(eager=True)
+    return spark.sparkContext.getCheckpointDir()
 
 
 def dealt(df: DataFrame, by: list, most: int = 500_000) -> DataFrame:
