@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 
 def tag_probabilities(tagged: DataFrame, closed: list[str], smooth: float) -> DataFrame:
     """word, tag, n, p = (n + smooth) / (tokens of the tag + smooth * words), without words of closed classes."""
-    counts = tagged.where(~F.col("tag").isin(closed)).groupBy("word", "tag").agg(F.count("*").alias("n"))
+    return counted_probabilities(tagged.where(~F.col("tag").isin(closed)).groupBy("word", "tag").agg(F.count("*").alias("n")), smooth)
+
+
+def counted_probabilities(counts: DataFrame, smooth: float) -> DataFrame:
+    """``tag_probabilities`` of counts (word, tag, n)."""
     of_tag = counts.groupBy("tag").agg(F.sum("n").alias("total"))
     size = counts.agg(F.count_distinct("word").alias("size"))
     rows = counts.join(F.broadcast(of_tag), "tag").crossJoin(F.broadcast(size))  # tags are few

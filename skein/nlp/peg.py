@@ -15,13 +15,16 @@ Rules, words and tags are of our own; the relations are those of ``RELATIONS``,
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .parse import tag_probabilities
+from ..operators.order import hinted, written
+from .parse import counted_probabilities, tag_probabilities
 
 Token = tuple[str, str]
 
@@ -182,3 +185,99 @@ def assertions(tokens: DataFrame, id_name: str) -> DataFrame:
 
     kind = tokens.schema[id_name].dataType.simpleString()
     return whole.mapInPandas(run, f"`{id_name}` {kind}, sentence int, relation string, text1 string, text2 string")
+
+
+def _parts(e) -> Iterator[str]:
+    """All words and tags of an expression."""
+    if isinstance(e, str):
+        yield from [e] if e.isupper() or e.endswith("$") else e.split("|")
+    else:
+        for part in e[1:] if e[0] not in ("is", "slot") else [GRAMMAR[e[1]] if e[0] == "is" else e[2]]:
+            yield from _parts(part)
+
+
+def _needs(e) -> list[frozenset[str]]:
+    """Sets of words of each of which whatever fits ``e`` holds one."""
+    if isinstance(e, str):
+        return [] if e.isupper() or e.endswith("$") else [frozenset(e.split("|"))]
+    if e[0] == "seq":
+        return [need for part in e[1:] for need in _needs(part)]
+    if e[0] == "first":
+        ways = [_needs(way) for way in e[1:]]
+        return [frozenset().union(*(way[0] for way in ways))] if all(ways) else []
+    return _needs(e[2]) if e[0] == "slot" else _needs(e[1]) if e[0] == "some" else []
+
+
+_CLOSED = {w: t for t, ws in CLOSED.items() for w in ws.split()}
+#: What a sentence needs for some relation, and words that nothing in the grammar takes: their tags are fixed.
+_NEEDED = [_needs(way) for _, e in RELATIONS for way in (e[1:] if e[0] == "first" else [e])]
+_TAKEN = {part for _, e in RELATIONS for part in _parts(e)}
+_NEVER = frozenset(w for w, t in _CLOSED.items() if w not in _TAKEN and t not in _TAKEN)
+
+
+def may_fit(words: list[str]) -> bool:
+    """Whether a sentence of lower-case words holds what some relation needs, and no word that none can take."""
+    held = set(words)
+    return held.isdisjoint(_NEVER) and any(all(not held.isdisjoint(need) for need in needs) for needs in _NEEDED)
+
+
+def _said_of(words: list[str]) -> Iterator[tuple[str, str]]:
+    """Each open word of a lower-case sentence and what its neighbour and ending say of it: see ``tagged``."""
+    before = None
+    for word in words:
+        tag = _CLOSED.get(word)
+        if tag is None:
+            ending = next((t for e, t in ENDINGS if word.endswith(e) and len(word) > len(e) + 2), "NN")
+            after = AFTER.get(before)
+            if after == "NN" and ending == "NNS":
+                yield word, "NNS"
+            elif before == "BE" and ending in ("NN", "NNS"):
+                yield word, "JJ"
+            else:
+                yield word, after or ending
+        before = tag
+
+
+def assertions_of(docs: DataFrame, id_name: str, text: str, smooth: float = 0.1, at_once: int = 100_000, broadcast_words: int = 2_000_000) -> DataFrame:
+    """``assertions`` of the sentences of all texts, their words ``tagged`` by the whole table.
+
+    One pass over the sentences adds up what is said of words, ``at_once`` of them at a time, and lets sentences go that
+    no relation can fit (``may_fit``); only words of the others are joined with their tags."""
+    words = cut(docs, id_name, text).select(id_name, "sentence", F.array_join(F.filter("words", lambda w: w != ""), " ").alias("said"))
+    kind = docs.schema[id_name].dataType
+    schema = f"`{id_name}` {kind.simpleString()}, sentence int, said string, low string, word string, tag string, n long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def counted(like: pa.RecordBatch) -> pa.RecordBatch:
+            none = [pa.nulls(len(seen), t) for t in (like.column(id_name).type, pa.int32(), pa.string(), pa.string())]
+            pairs = [pa.array([k[i] for k in seen], pa.string()) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([*none, *pairs, pa.array(list(seen.values()), pa.int64())], [id_name, "sentence", "said", "low", "word", "tag", "n"])
+
+        batch = None
+        for batch in batches:
+            lows, places = batch.column("low"), []
+            for place, low in enumerate(lows.to_pylist()):
+                if low:
+                    parts = low.split(" ")
+                    seen.update(_said_of(parts))
+                    if may_fit(parts):
+                        places.append(place)
+            fit = batch.take(pa.array(places, pa.int64()))
+            none = [pa.nulls(len(places), t) for t in (pa.string(), pa.string(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([fit.column(id_name), fit.column("sentence"), fit.column("said"), fit.column("low"), *none], [id_name, "sentence", "said", "low", "word", "tag", "n"])
+            if len(seen) > at_once:
+                yield counted(batch)
+                seen.clear()
+        if seen:
+            yield counted(batch)
+
+    both = written(words.withColumn("low", F.lower("said")).mapInArrow(run, schema))
+    counts = both.where("n is not null").groupBy("word", "tag").agg(F.sum("n").alias("n"))
+    best = written(counted_probabilities(counts, smooth).groupBy("word").agg(F.max_by("tag", F.struct("n", "p", "tag")).alias("_best")).withColumnRenamed("word", "low"))
+    known = F.create_map(*[F.lit(x) for pair in _CLOSED.items() for x in pair])
+    placed = F.posexplode(F.arrays_zip(F.split("said", " ").alias("word"), F.split("low", " ").alias("low"))).alias("place", "w")
+    tokens = both.where("n is null").select(id_name, "sentence", placed).select(id_name, "sentence", "place", F.col("w.word").alias("word"), F.col("w.low").alias("low"))
+    met = tokens.join(hinted(best, broadcast_words), "low", "left")
+    return assertions(met.select(id_name, "sentence", "place", "word", F.coalesce(F.element_at(known, F.col("low")), "_best").alias("tag")), id_name)

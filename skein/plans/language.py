@@ -137,8 +137,7 @@ def _(t):
 @query("nlp12_tagged_assertions")
 def _(t):
     """Every sentence of all documents, its words tagged by what the whole table says of them."""
-    words = G.sentences(t("documents"), "doc_id", "text")
-    return G.assertions(G.tagged(words, "doc_id"), "doc_id")
+    return G.assertions_of(t("documents"), "doc_id", "text")
 
 
 @query("nlp13_repairs", "with a as (select l_orderkey, l_linenumber, case l_linenumber % 4 when 0 then 'AtLocation' when 1 then 'IsA' when 2 then 'junk' else 'CapableOf' end as relation, case l_returnflag when 'A' then 'near' when 'N' then 'in' else 'of' end as adverb, case when l_quantity > 40 then 'one two three four five six seven' else 'short text' end as text1, 'x' as text2 from lineitem) select l_orderkey, l_linenumber, case when relation = 'AtLocation' and adverb = 'near' then 'LocatedNear' when relation in ('IsA', 'CapableOf') and adverb in ('in', 'on', 'at', 'by') then 'AtLocation' else relation end as relation, case when relation in ('IsA', 'CapableOf') and adverb in ('in', 'on', 'at', 'by') then '' else adverb end as adverb, text1, text2 from a where relation <> 'junk' and not (relation = 'AtLocation' and adverb = 'of') and text1 = 'short text'")

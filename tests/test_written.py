@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from skein.functions import text
+from skein.nlp import peg
 from skein.operators.order import written
 
 
@@ -19,3 +20,14 @@ def test_word_counts_are_kept_by_columns(spark):
     assert {(r["doc_id"], r["word"], round(r["tfidf"], 6)) for r in out.collect()} == {(1, "a", 1.098612), (1, "b", 0.81093), (2, "b", 0.405465), (2, "c", 1.098612)}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "parquet" in plan and "LogicalRDD" not in plan
+
+
+def test_assertions_need_only_sentences_that_may_fit(spark):
+    texts = ["The glorp is red. A glorp is in the wug! glorps and wugs", None, "", "Running makes you want to eat. the ÉLAN wants to be SEEN\nit is used for baking", "x " * 500 + "is y", "Not this one or that is it. -- !!"]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    want = peg.assertions(peg.tagged(peg.sentences(docs, "doc_id", "text"), "doc_id"), "doc_id")
+    for how in ({}, {"at_once": 1, "broadcast_words": 0}):
+        got = peg.assertions_of(docs, "doc_id", "text", **how)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 3
+    assert peg.assertions_of(docs.limit(0), "doc_id", "text").count() == 0
+    assert not peg.may_fit("cats and dogs are pets".split()) and peg.may_fit("a cat is a pet".split()) and not peg.may_fit("a cat sleeps".split())
