@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.order import kept
+from ..operators.order import dealt, hinted, kept
 from .svd import largest
 
 
@@ -86,18 +86,21 @@ def balanced(cells: DataFrame, tolerance: float = 1e-9, most: int = 200) -> Data
     brought to length 1, then columns to the common length that the same sum of squares gives them, in turn, until no
     row is off by more than ``tolerance`` or ``most`` turns are over. Cells of zero stay; where the pattern of cells
     allows no such scaling, the turns end at ``most``."""
-    cells = kept(cells.select("row", "col", F.col("v").cast("double").alias("v")))
+    cells = kept(dealt(cells.select("row", "col", F.col("v").cast("double").alias("v")), ["row"]))
     rows, columns = cells.where("v <> 0").agg(F.count_distinct("row"), F.count_distinct("col")).first()
     if not rows:
         return cells
-    squares = F.sum(F.col("v") * F.col("v")).alias("_s")
-    for _ in range(most):
-        by_row = cells.groupBy("row").agg(squares)
-        cells = cells.join(by_row, "row").select("row", "col", F.when(F.col("_s") > 0, F.col("v") / F.sqrt("_s")).otherwise(0.0).alias("v"))
-        by_col = cells.groupBy("col").agg(squares)
-        share = F.sqrt(F.col("_s") * columns / rows)
-        cells = kept(cells.join(by_col, "col").select("row", "col", F.when(F.col("_s") > 0, F.col("v") / share).otherwise(0.0).alias("v")))
-        off = cells.groupBy("row").agg(squares).where("_s > 0").agg(F.max(F.abs(F.col("_s") - 1))).first()[0]
-        if off <= tolerance:
-            break
-    return cells
+    # Cells stay where they are, dealt by row; what changes from turn to turn is a factor of each row and column.
+    squares = cells.select("row", "col", (F.col("v") * F.col("v")).alias("_s")).where("_s > 0")
+    by_col = kept(squares.select("col").distinct().select("col", F.lit(1.0).alias("_c")))
+    by_row = None
+    for turn in range(most + 1):
+        sums = squares.join(hinted(by_col), "col").groupBy("row").agg(F.sum(F.col("_s") * F.col("_c")).alias("_now"))
+        if turn:
+            if turn == most or by_row.join(sums, "row").agg(F.max(F.abs(F.col("_r") * F.col("_now") - 1))).first()[0] <= tolerance:
+                break
+        by_row = kept(sums.select("row", (1 / F.col("_now")).alias("_r")))
+        sums = squares.join(by_row, "row").groupBy("col").agg(F.sum(F.col("_s") * F.col("_r")).alias("_now"))
+        by_col = kept(sums.select("col", (rows / (F.col("_now") * columns)).alias("_c")))
+    met = cells.join(by_row, "row", "left").join(hinted(by_col), "col", "left")
+    return met.select("row", "col", F.coalesce(F.col("v") * F.sqrt("_r") * F.sqrt("_c"), F.lit(0.0)).alias("v"))

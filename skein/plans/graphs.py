@@ -11,7 +11,7 @@ from ..matrix import svd as S
 from ..functions import text as T
 from ..matrix.similarity import pairwise_cosine
 from ..operators import relational as R
-from ..operators.order import dealt, kept
+from ..operators.order import dealt, kept, written
 from .registry import query
 
 _EDGES = "(select l_partkey as a, l_returnflag as rel, 100000000 + l_suppkey as b, max(l_quantity) / 50 as score from lineitem group by 1, 2, 3)"
@@ -186,7 +186,7 @@ def _(t):
 def _(t):
     """Each cell's row and column length after scaling, the latter by the common one: all are 1."""
     cells = edges(t).where("rel = 'A'").select(F.col("a").alias("row"), F.col("b").cast("string").alias("col"), F.col("score").alias("v"))
-    out = kept(B.balanced(cells, tolerance=1e-7))
+    out = written(B.balanced(cells, tolerance=1e-7))
     rows, columns = out.agg(F.count_distinct("row"), F.count_distinct("col")).first()
     length = lambda key, by: out.groupBy(key).agg(F.round(F.sqrt(F.sum(F.col("v") * F.col("v")) / by), 5).alias(f"{'rows' if key == 'row' else 'columns'}_length"))
     return out.join(length("row", 1.0), "row").join(length("col", rows / columns), "col").select("row", "col", "rows_length", "columns_length")

@@ -1,8 +1,10 @@
 """Tables that are kept as Parquet between steps."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from skein.functions import text
+from skein.matrix import build
 from skein.nlp import peg
 from skein.operators.order import written
 
@@ -31,3 +33,25 @@ def test_assertions_need_only_sentences_that_may_fit(spark):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 3
     assert peg.assertions_of(docs.limit(0), "doc_id", "text").count() == 0
     assert not peg.may_fit("cats and dogs are pets".split()) and peg.may_fit("a cat is a pet".split()) and not peg.may_fit("a cat sleeps".split())
+
+
+def test_turns_of_balancing_keep_factors_not_cells(spark, monkeypatch):
+    kept, rows = build.kept, []
+
+    def counted(df):
+        rows.append(df.count())
+        return kept(df)
+
+    monkeypatch.setattr(build, "kept", counted)
+    cells = [(i, j, 1.0 + (i * 7 + j * 3) % 5) for i in range(12) for j in range(10)] + [(12, 0, 0.0), (13, 1, 2.0)]
+    out = build.balanced(spark.createDataFrame(cells, "row long, col long, v double"), most=3)
+    got, want = np.zeros((14, 10)), np.zeros((14, 10))
+    for r in out.collect():
+        got[r["row"], r["col"]] = r["v"]
+    for i, j, v in cells:
+        want[i, j] = v
+    for _ in range(3):
+        want[want.any(axis=1)] /= np.linalg.norm(want[want.any(axis=1)], axis=1, keepdims=True)
+        want /= np.linalg.norm(want, axis=0) / np.sqrt(13 / 10)
+    assert np.allclose(got, want, rtol=1e-9) and out.count() == len(cells)
+    assert rows[0] == len(cells) and max(rows[1:]) < 20
