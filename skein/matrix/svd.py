@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.order import hinted, kept
+from ..operators.order import dealt, hinted, kept, written
 
 
 @dataclass
@@ -138,7 +138,7 @@ def svd(cells: DataFrame, k: int, tolerance: float = 1e-6, extra: int = 8, block
     any number. Each vector's greatest component by size is positive. Cells of null or zero value count nothing, cells of
     one place add up. Fewer come back if the rank is less.
     """
-    cells = kept(cells.select("row", "col", F.col("v").cast("double").alias("v")).where("v <> 0"))
+    cells = written(cells.select("row", "col", F.col("v").cast("double").alias("v")).where("v <> 0"))
     n_rows, n_cols = cells.agg(F.count_distinct("row"), F.count_distinct("col")).first()
     turned = n_rows < n_cols
     if turned:
@@ -150,6 +150,8 @@ def svd(cells: DataFrame, k: int, tolerance: float = 1e-6, extra: int = 8, block
         values, key = values[best], cells.schema["col"].dataType.simpleString()
         v = kept(cells.sparkSession.createDataFrame([(c, x.tolist()) for c, x in zip(columns, basis[:, best])], f"col {key}, vector array<double>"))
     else:
+        # Dealt by row once, so that a multiplication by the matrix and its transpose shuffles only sums by column.
+        cells = kept(dealt(cells, ["row"]))
         values, v = _searched(cells, k, tolerance, extra, blocks, restarts)
     sigma = np.sqrt(values)
     if not len(sigma):
@@ -248,7 +250,7 @@ def evaluated(factors: Factors, cells: DataFrame) -> DataFrame:
 
 def largest(cells: DataFrame, tolerance: float = 1e-9) -> float:
     """The largest singular value of cells (row, col, v); 0 without any."""
-    return next(iter(svd(cells, 1, tolerance=tolerance).sigma), 0.0)
+    return next(iter(svd(cells, 1, tolerance=tolerance, extra=2).sigma), 0.0)
 
 
 def folded(factors: Factors, rows: DataFrame, key: str) -> DataFrame:

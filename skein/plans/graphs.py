@@ -178,7 +178,8 @@ def cells(t):
 
 @query("mat04_blended")
 def _(t):
-    part = lambda rel: edges(t).where(F.col("rel") == rel).select(F.col("a").alias("row"), F.col("b").cast("string").alias("col"), F.col("score").alias("v"))
+    both = written(edges(t).where("rel in ('A', 'N')"))
+    part = lambda rel: both.where(F.col("rel") == rel).select(F.col("a").alias("row"), F.col("b").cast("string").alias("col"), F.col("score").alias("v"))
     return B.blended([part("A"), part("N")]).select("row", "col", F.round("v", 6).alias("v"))
 
 

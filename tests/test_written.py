@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from skein.functions import text
-from skein.matrix import build
+from skein.matrix import build, svd
 from skein.nlp import peg
 from skein.operators.order import written
 
@@ -55,3 +55,12 @@ def test_turns_of_balancing_keep_factors_not_cells(spark, monkeypatch):
         want /= np.linalg.norm(want, axis=0) / np.sqrt(13 / 10)
     assert np.allclose(got, want, rtol=1e-9) and out.count() == len(cells)
     assert rows[0] == len(cells) and max(rows[1:]) < 20
+
+
+def test_search_for_the_largest_value_deals_cells_once(spark, monkeypatch):
+    dealt, calls = svd.dealt, []
+    monkeypatch.setattr(svd, "dealt", lambda df, by: calls.append(by) or dealt(df, by))
+    m = np.random.default_rng(3).random((30, 20)) * (np.random.default_rng(4).random((30, 20)) < 0.4)
+    m = np.kron(np.eye(2), m)  # each value twice
+    cells = spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))], "row long, col long, v double")
+    assert abs(svd.svd(cells, 1, tolerance=1e-9, extra=2, small=8).sigma[0] - np.linalg.norm(m, 2)) < 1e-8 and calls == [["row"]]
