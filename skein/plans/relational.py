@@ -321,8 +321,8 @@ def _(t):
 
 @query("win07_ngrams", f"with w as (select doc_id, {TOK} as w from documents) select doc_id, i as start_at, array_to_string(w[i:i+n-1], ' ') as gram from w, unnest(range(1, len(w) + 1)) r(i), (values (3), (2), (1)) k(n) where i + n - 1 <= len(w)")
 def _(t):
-    w = t("documents").select("doc_id", F.explode(T.windows_placed(T.tokens(F.col("text")), 3)).alias("g"))
-    return w.select("doc_id", "g.start_at", "g.gram")
+    docs = t("documents").select("doc_id", "text")
+    return T.placed_windows(docs, T.tokens(F.col("text")), 3).select("doc_id", "start_at", "gram")
 
 
 @query("win08_top_per_group", "with r as (select l_returnflag, l_linestatus, l_orderkey, l_linenumber, row_number() over (partition by l_returnflag, l_linestatus order by l_extendedprice desc, l_orderkey, l_linenumber) r, count(*) over (partition by l_returnflag, l_linestatus) as n from lineitem) select l_returnflag, l_linestatus, l_orderkey, l_linenumber, dense_rank() over (order by n desc, l_returnflag, l_linestatus) as feature_order from r where r <= 10")

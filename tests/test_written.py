@@ -64,3 +64,10 @@ def test_search_for_the_largest_value_deals_cells_once(spark, monkeypatch):
     m = np.kron(np.eye(2), m)  # each value twice
     cells = spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))], "row long, col long, v double")
     assert abs(svd.svd(cells, 1, tolerance=1e-9, extra=2, small=8).sigma[0] - np.linalg.norm(m, 2)) < 1e-8 and calls == [["row"]]
+
+
+def test_ngrams_at_each_place(spark):
+    docs = spark.createDataFrame([(1, "a b  c"), (2, "x"), (3, None), (4, ""), (5, "p q")], "doc_id long, text string")
+    out = text.placed_windows(docs.select("doc_id", "text"), text.tokens(F.col("text")), 3).select("doc_id", "start_at", "gram")
+    want = [(1, 1, "a b c"), (1, 1, "a b"), (1, 1, "a"), (1, 2, "b c"), (1, 2, "b"), (1, 3, "c"), (2, 1, "x"), (5, 1, "p q"), (5, 1, "p"), (5, 2, "q")]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
