@@ -71,3 +71,12 @@ def test_ngrams_at_each_place(spark):
     out = text.placed_windows(docs.select("doc_id", "text"), text.tokens(F.col("text")), 3).select("doc_id", "start_at", "gram")
     want = [(1, 1, "a b c"), (1, 1, "a b"), (1, 1, "a"), (1, 2, "b c"), (1, 2, "b"), (1, 3, "c"), (2, 1, "x"), (5, 1, "p q"), (5, 1, "p"), (5, 2, "q")]
     assert sorted(map(tuple, out.collect())) == sorted(want)
+
+
+def test_concepts_are_made_once(spark, tmp_path):
+    from skein.plans import registry
+
+    spark.createDataFrame([(1, "red cat"), (2, "red cat runs"), (3, "Red cat, red"), (4, None), (5, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = registry.queries()["nlp04_concepts"](spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect())) == sorted((i, c) for i in (1, 2, 3) for c in ("red", "cat", "red cat"))
+    assert "documents.parquet" not in " ".join(out.inputFiles())  # texts aren't read again for the result
