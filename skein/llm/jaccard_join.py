@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hinted, keep_keys, mix, running, shingle_set, tidy
+from .common import cut, hinted, keep_keys, mix, running, shingle_set, shrink_heaps, tidy
 
 
 #: Rows of edges in one partition.
@@ -157,7 +157,7 @@ def _family_links(whole: DataFrame, slack, percent: int, block_tokens: int = 150
     facing = i.join(j, (F.col("i.family") == F.col("j.family")) & (F.col("i.block") <= F.col("j.block")) & sizes & several)
     facing = cut(facing.select("i.family", F.col("i.block").alias("i"), F.col("j.block").alias("j")))
     rows = cut(rows.join(places.select("node", "block"), "node"))
-    tidy(whole.sparkSession)
+    shrink_heaps(whole.sparkSession)
 
     def side(which: str, prefix: str) -> DataFrame:
         out = rows.join(facing.withColumnRenamed(which, "block"), ["family", "block"]).withColumnRenamed("block", which)
@@ -253,17 +253,17 @@ def _components_of_nodes(docs: DataFrame, k: int, percent: int, frequent: int, h
     tidy(docs.sparkSession)
     tied = tied.groupBy(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).agg(F.count("*").alias("met"), F.min(F.least("n", "o_n")).alias("n"))
     tried = cut(tied.where(F.col("met") * 10 >= (slack(F.col("n")) + 1) * 6).select("a", "b"))
-    tidy(docs.sparkSession)
+    shrink_heaps(docs.sparkSession)
     links = cut(_verified(tried, docs, firsts, k, percent))
     clusters = cut(components(links))
-    # What each part leaves on the driver and on disk goes before the next one begins.
-    tidy(docs.sparkSession)
+    # What each part leaves on the driver, on disk and in the executors' heaps goes before the next one begins.
+    shrink_heaps(docs.sparkSession)
 
     labelled = shared.select("token", "node", "n").join(clusters, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
     held = labelled.groupBy("token", "label").agg(F.count("*").alias("rows")).groupBy("token").agg(F.count("*").alias("held"), F.sum("rows").alias("rows")).where("held > 1")
     held = cut(held.select("token", ((F.col("held") > frequent) | (F.col("rows") > 16 * frequent)).alias("is_hot")))
     hot_tokens, cold_tokens = cut(held.where("is_hot").select("token")), held.where("not is_hot").select("token")
-    tidy(docs.sparkSession)
+    shrink_heaps(docs.sparkSession)
     cold = keep_keys(labelled, hot_tokens, "token", "left_anti").join(cold_tokens, "token", "left_semi")
     hot = keep_keys(labelled, hot_tokens, "token")
     many = cut(cold.withColumn("hot", F.lit(0).cast("long")).unionByName(hot.withColumn("hot", F.lit(1).cast("long"))))
@@ -316,9 +316,9 @@ def _components_of_nodes(docs: DataFrame, k: int, percent: int, frequent: int, h
         few = cut(beyond.select("token").distinct())
         others = keep_keys(prefix, few, "token").join(clusters, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
         found += [crossing(others, beyond), crossing(singles, beyond)]
-        tidy(docs.sparkSession)
+        shrink_heaps(docs.sparkSession)
         late_links = _family_links(whole, slack, percent)
-    tidy(docs.sparkSession)
+    shrink_heaps(docs.sparkSession)
     fresh = found[0]
     for more in found[1:]:
         fresh = fresh.union(more)

@@ -23,3 +23,12 @@ def test_join_tidies_between_its_parts(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()}
     assert got == dict.fromkeys(range(9), 0) or got == {i: i % 3 for i in range(9)}
     assert len(calls) >= 5
+
+
+def test_join_has_executors_give_back_heap_between_its_parts(spark, monkeypatch):
+    """The pipeline's check on many partitions: a heap that only grows leaves no room for the Python workers."""
+    calls, shrink = [], jaccard_join.shrink_heaps
+    monkeypatch.setattr(jaccard_join, "shrink_heaps", lambda session: calls.append(1) or shrink(session))
+    docs = spark.createDataFrame([(i, f"one two three four five six seven eight nine ten w{i % 3}") for i in range(9)], "doc_id long, text string")
+    assert jaccard_join.one_of_each_group(docs).count() in (1, 3)
+    assert len(calls) >= 4
