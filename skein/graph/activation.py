@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.math import branching_discount
-from ..operators.order import hinted, kept
+from ..operators.order import hinted, kept, written
 
 #: How much relations count for spreading, said of a concept; others, and all said of it in others, count 0.
 DEFAULT_WEIGHTS = {
@@ -79,21 +79,21 @@ def _hop(rows: DataFrame, degrees: DataFrame, frontier: DataFrame, fade: float)
     return met.groupBy(F.col("b").alias("concept")).agg(noisy_or_all(x).alias("activation"))
 
 
-def flows(edges: DataFrame, weights: dict[str, float], fade: float = 0.5) -> DataFrame:
-    """a, b, factor: what a step from a to b leaves of activation: ``fade`` times the relation's weight times the
-    discount of b's branches (edges that leave it; for a step against an edge, by the weight of '-rel', edges that reach
-    it). Steps of weight 0 are left out; repeated edges (a, rel, b) are one."""
+def flows(edges: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """a, rel, b, discount: steps along edges and, as relation '-rel', against them, of relations of a weight above 0 only.
+    The discount is that of b's branches (edges that leave it; for a step against an edge, edges that reach it). Repeated
+    edges (a, rel, b) are one."""
     known = edges.select("a", "rel", "b").where("a is not null and b is not null").distinct()
-    weight = lambda sign: F.coalesce(*[F.when(F.concat(F.lit(sign), "rel") == r, float(w)) for r, w in weights.items()], F.lit(0.0))
+    met = [r for r, w in weights.items() if w > 0]
 
     def steps_by(sign: str, a: str, b: str) -> DataFrame:
         degree = known.groupBy(F.col(a).alias("_to")).agg(F.count("*").alias("_n"))
-        rows = known.select(F.col(a).alias("a"), F.col(b).alias("b"), weight(sign).alias("w")).where("w > 0")
-        met = rows.join(degree, F.col("b") == F.col("_to"), "left")
-        return met.select("a", "b", (fade * branching_discount(F.coalesce("_n", F.lit(0))) * F.col("w")).alias("factor"))
+        rows = known.select(F.col(a).alias("a"), F.concat(F.lit(sign), "rel").alias("rel"), F.col(b).alias("b")).where(F.col("rel").isin(met))
+        found = rows.join(degree, F.col("b") == F.col("_to"), "left")
+        return found.select("a", "rel", "b", branching_discount(F.coalesce("_n", F.lit(0))).alias("discount"))
 
     forward = steps_by("", "a", "b")
-    return forward.unionByName(steps_by("-", "b", "a")) if any(r.startswith("-") and w > 0 for r, w in weights.items()) else forward
+    return forward.unionByName(steps_by("-", "b", "a")) if any(r.startswith("-") for r in met) else forward
 
 
 def spread(edges: DataFrame, origins: DataFrame, weights: dict[str, float] | None = None, fade: float = 0.5, queue: int = 500, visits: int = 500, top: int = 200) -> DataFrame:
@@ -103,33 +103,58 @@ def spread(edges: DataFrame, origins: DataFrame, weights: dict[str, float] | Non
     concept) and adds an entry for each step from there (see ``flows``; ``DEFAULT_WEIGHTS`` if none are given), until
     fewer than ``visits`` have been made or none waits; of those that wait the best ``queue`` stay. Visits of one concept
     add up as a noisy or; origins, which start with their weight times the discount of their branches, aren't in the result.
+    Null concepts and concepts without edges reach nothing; repeated origins are entries each.
+    """
+    views = {"": DEFAULT_WEIGHTS if weights is None else weights}
+    return spread_views(edges, origins, views, fade, queue, visits, top).drop("view").orderBy(F.desc("activation"), "concept")
+
+
+def spread_views(edges: DataFrame, origins: DataFrame, views: dict[str, dict[str, float]], fade: float = 0.5, queue: int = 500, visits: int = 500, top: int = 200) -> DataFrame:
+    """view, concept, activation: ``spread`` by the weights of each view.
 
     The order of visits over the whole graph is kept, though many are made at once: a step leaves at most the greatest
     factor of all, so all entries above that share of the best one come before anything that these can add. Each round
-    visits this bucket and joins at most ``queue`` rows with the steps, which stay where they are. Null concepts and
-    concepts without edges reach nothing; repeated origins are entries each.
+    visits this bucket of every view and joins at most ``queue`` rows a view with the steps, which are made and written
+    once for all views; a round reads them once, only those that leave the visited concepts go on.
     """
-    rows = kept(flows(edges, DEFAULT_WEIGHTS if weights is None else weights, fade))
-    degree = edges.select("a", "rel", "b").where("a is not null and b is not null").distinct().groupBy("a").agg(F.count("*").alias("degree"))
-    waiting = kept(_started(origins, degree))
-    reach = rows.agg(F.max("factor")).first()[0] or 0.0
-    left, visited = visits - 1, []
-    best_first = [F.desc("activation"), "concept"]
-    while left > 0 and (greatest := waiting.agg(F.max("activation")).first()[0]):
-        bucket = F.col("activation") > reach * greatest
-        now = kept(waiting.where(bucket).orderBy(*best_first).limit(left))  # at most ``queue`` rows
+    spark = edges.sparkSession
+    known = edges.select("a", "rel", "b").where("a is not null and b is not null").distinct()
+    wanted = {r: max(w.get(r, 0.0) for w in views.values()) for weights in views.values() for r in weights}
+    rows = written(flows(edges, wanted))
+    degree = known.join(F.broadcast(origins.select(F.col("concept").alias("a")).distinct()), "a", "left_semi").groupBy("a").agg(F.count("*").alias("degree"))
+    weight = spark.createDataFrame([(v, r, float(x)) for v, w in views.items() for r, x in w.items() if x > 0], "view string, rel string, w double")
+    names = spark.createDataFrame([(v,) for v in views], "view string")
+    waiting = kept(_started(origins, degree).crossJoin(F.broadcast(names)))
+    passed = lambda x: x * fade * F.col("discount") * F.col("w")
+    most = rows.groupBy("rel").agg(F.max("discount").alias("discount")).join(weight, "rel").groupBy("view").agg(F.max(passed(F.lit(1.0))).alias("reach"))
+    reach = {r["view"]: r["reach"] for r in most.collect()}
+    share = spark.createDataFrame([(v, reach.get(v, 0.0)) for v in views], "view string, reach double")
+    left, visited = dict.fromkeys(views, visits - 1), []
+    best = Window.partitionBy("view").orderBy(F.desc("activation"), "concept")  # a view has few entries
+    while True:
+        greatest = {r["view"]: r["most"] for r in waiting.groupBy("view").agg(F.max("activation").alias("most")).collect()}
+        going = [(v, left[v], greatest[v]) for v in views if left[v] > 0 and greatest.get(v)]
+        if not going:
+            break
+        limits = F.broadcast(spark.createDataFrame(going, "view string, most int, greatest double").join(share, "view"))
+        ranked = waiting.join(limits, "view").withColumn("now", F.col("activation") > F.col("reach") * F.col("greatest") * (1 + 1e-12))  # products are rounded in another order
+        ranked = kept(ranked.withColumn("nth", F.row_number().over(best)).select("view", "concept", "activation", "now", "nth", "most"))
+        now = ranked.where("now and nth <= most").select("view", "concept", "activation")  # at most ``queue`` rows a view
         visited.append(now)
-        left -= now.count()
-        met = rows.join(F.broadcast(now), F.col("a") == F.col("concept"))
-        new = met.select(F.col("b").alias("concept"), (F.col("activation") * F.col("factor")).alias("activation"))
-        waiting = kept(waiting.where(~bucket).unionByName(new).where("activation > 0").orderBy(*best_first).limit(queue))
+        for r in now.groupBy("view").count().collect():
+            left[r["view"]] -= r["count"]
+        steps_on = rows.join(F.broadcast(now.withColumnRenamed("concept", "a")), "a").join(F.broadcast(weight), ["view", "rel"])
+        new = steps_on.select("view", F.col("b").alias("concept"), passed(F.col("activation")).alias("activation"))
+        waiting = ranked.where("not now").select("view", "concept", "activation").unionByName(new).where("activation > 0")
+        waiting = kept(waiting.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= queue).drop("nth"))
     if not visited:
-        return waiting.select("concept", "activation").limit(0)
+        return waiting.select("view", "concept", "activation").limit(0)
     out = visited[0]
     for more in visited[1:]:
         out = out.unionByName(more)
     out = out.join(origins.select("concept").distinct(), "concept", "left_anti")
-    return out.groupBy("concept").agg(noisy_or_all(F.col("activation")).alias("activation")).orderBy(*best_first).limit(top)
+    out = out.groupBy("view", "concept").agg(noisy_or_all(F.col("activation")).alias("activation"))
+    return out.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= top).select("view", "concept", "activation")
 
 
 def related(edges: DataFrame, roots: DataFrame, weights: dict[str, float] | None = None, levels: int = 2, expand: int = 100) -> DataFrame:

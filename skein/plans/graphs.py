@@ -59,10 +59,10 @@ def _named(column: str, names: dict[str, str], usual: str):
 
 
 def named_edges(t):
-    """a, rel, b: parts and suppliers both ways, by named relations."""
+    """a, rel, b: parts and suppliers both ways, by named relations; an edge for each line."""
     l = t("lineitem").select("l_partkey", (F.col("l_suppkey") + 100_000_000).alias("s"), _named(_WAY, _WAYS, "IsA").alias("there"), _named("l_linestatus", _BACK, "MadeOf").alias("back"))  # noqa: E741
     ways = F.array(F.struct(F.col("l_partkey").alias("a"), F.col("there").alias("rel"), F.col("s").alias("b")), F.struct(F.col("s").alias("a"), F.col("back").alias("rel"), F.col("l_partkey").alias("b")))
-    return l.select(F.explode(ways).alias("e")).select("e.*").distinct()
+    return l.select(F.explode(ways).alias("e")).select("e.*")
 
 
 def _spread_sql(weights: dict[str, float], origins: str) -> str:
@@ -108,11 +108,7 @@ def _(t):
 
 @query("grf05_projection", "\nunion all ".join(f"select '{v}' as \"view\", * from ({_spread_sql(w, _ORIGINS)})" for v, w in A.VIEWS.items()))
 def _(t):
-    named, out = kept(named_edges(t)), None
-    for view in A.VIEWS:
-        mine = A.projection(named, _origins(t), view).select(F.lit(view).alias("view"), "concept", F.round("activation", 6).alias("activation"))
-        out = mine if out is None else out.unionByName(mine)
-    return out
+    return A.spread_views(named_edges(t), _origins(t), A.VIEWS).select("view", "concept", F.round("activation", 6).alias("activation"))
 
 
 @query("grf06_analogous", f"with e as (select * from {_EDGES} e where rel <> 'R'), o as (select rel, b, score from e where a = 7) select e.a as other, round(sum(ln(o.score + e.score + 2) / ln(4.0)), 6) as strength, list_sort(list(distinct e.rel || '/' || e.b)) as shared from e join o using (rel, b) where e.a <> 7 group by 1")
