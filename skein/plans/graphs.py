@@ -11,7 +11,7 @@ from ..matrix import svd as S
 from ..functions import text as T
 from ..matrix.similarity import pairwise_cosine
 from ..operators import relational as R
-from ..operators.order import dealt, kept, written
+from ..operators.order import dealt, written
 from .registry import query
 
 _EDGES = "(select l_partkey as a, l_returnflag as rel, 100000000 + l_suppkey as b, max(l_quantity) / 50 as score from lineitem group by 1, 2, 3)"
@@ -229,13 +229,12 @@ def _(t):
     from ..functions.math import colour_mix, cosine
 
     words = t("documents").select("doc_id", F.concat_ws("/", F.coalesce("lang", F.lit("?")), F.coalesce("source", F.lit("?"))).alias("col"), F.explode(T.tokens(F.col("text"))).alias("row"))
-    counts = kept(words.groupBy("doc_id", "col", "row").agg(F.count("*").alias("v")))
-    cells = counts.groupBy("row", "col").agg(F.log1p(F.sum("v")).alias("v"))
-    f = S.svd(B.normalized(cells), 3)
-    totals = kept(counts.groupBy("row").agg(F.sum("v").alias("n")))
+    counts = written(words.groupBy("row", "col").agg(F.count("*").alias("n")))  # by word and feature, not by document
+    f = S.svd(B.normalized(counts.select("row", "col", F.log1p("n").alias("v"))), 3)
+    totals = counts.groupBy("row").agg(F.sum("n").alias("n"))
     anchors = [r["row"] for r in totals.orderBy(F.desc("n"), "row").limit(3).collect()]
     vectors = {r["row"]: r["vector"] for r in f.weighted.where(F.col("row").isin(anchors)).collect()}
-    of_doc = S.folded(f, counts, "doc_id")
+    of_doc = S.folded(f, words.select("doc_id", "row", F.lit(1.0).alias("v")), "doc_id")
     near = [F.greatest(cosine(F.col("vector"), F.array(*map(F.lit, vectors[a]))), F.lit(0.0)) for a in anchors]
     mixed = colour_mix(near, [(255, 0, 0), (0, 255, 0), (0, 0, 255)][: len(anchors)])
     return of_doc.select("doc_id", *[F.round(m, 4).alias(n) for m, n in zip(mixed, ("red", "green", "blue"))])
