@@ -170,23 +170,40 @@ class SuffixTrie:
         return word[: len(word) - cut] + add
 
 
+def told_by_suffix(words: DataFrame, rules: DataFrame) -> DataFrame:
+    """word, told: what ``SuffixTrie.lemma`` makes of each distinct word, by a join of its suffixes with the rules; words that
+    no rule fits are left out."""
+    longest = rules.agg(F.coalesce(F.max(F.length("suffix")), F.lit(0)).alias("_longest"))
+    tails = words.select("word").where(F.length("word") > 0).distinct().crossJoin(F.broadcast(longest)).where("_longest > 0")
+    tails = tails.select("word", F.explode(F.sequence(F.lit(1), F.least(F.length("word"), F.col("_longest")))).alias("k"))
+    met = tails.withColumn("suffix", F.substring("word", -F.col("k"), F.col("k"))).join(rules, "suffix").where(F.col("cut") < F.length("word"))
+    best = met.groupBy("word").agg(F.max_by(F.struct("cut", "add"), "k").alias("r"))
+    return best.select("word", F.concat(F.substring("word", F.lit(1), F.length("word") - F.col("r.cut")), F.col("r.add")).alias("told"))
+
+
 def lemmas_of(counts: DataFrame, least: int = 2, most_rules: int = 200_000) -> DataFrame:
     """word, lemma of each row of words (word, n): one that stands in the table with a word it comes of has that; of
-    others the ending is told by a trie learned from the families of the table. The trie has the ``most_rules`` rules of
-    most words at most, which bounds what is sent to the workers."""
+    others the ending is told by the changes of suffixes learned from the families of the table. Up to ``most_rules`` of
+    them go to the workers as a trie; more are joined by suffix, which tells the same."""
     spark = counts.sparkSession
     families = kept(word_families(counts))
-    rules = suffix_rules(families, least=least).orderBy(F.desc("n"), "suffix").limit(most_rules).collect()
-    trie = spark.sparkContext.broadcast(SuffixTrie.of([tuple(r) for r in rules]))
-
-    def run(words: pd.Series) -> pd.Series:
-        return words.map(trie.value.lemma, na_action="ignore")
+    rules = kept(suffix_rules(families, least=least).where("n > 1"))
 
     known = families.select(F.col("word").alias("_w"), F.col("lemma").alias("_known"))
     met = counts.select("word").join(known, F.col("word") == F.col("_w"), "left")
     is_lemma = families.select(F.col("lemma").alias("_l")).distinct().withColumn("_own", F.lit(True))
     met = met.join(is_lemma, F.col("word") == F.col("_l"), "left")
-    return met.select("word", F.coalesce("_known", F.when(F.col("_own"), F.col("word")), F.pandas_udf(run, "string")(F.col("word"))).alias("lemma"))
+    if rules.count() > most_rules:
+        told = told_by_suffix(met.where("_known is null and _own is null"), rules)
+        met, last = met.join(told.withColumnRenamed("word", "_t"), F.col("word") == F.col("_t"), "left"), F.coalesce("told", "word")
+    else:
+        trie = spark.sparkContext.broadcast(SuffixTrie.of([tuple(r) for r in rules.collect()]))
+
+        def run(words: pd.Series) -> pd.Series:
+            return words.map(trie.value.lemma, na_action="ignore")
+
+        last = F.pandas_udf(run, "string")(F.col("word"))
+    return met.select("word", F.coalesce("_known", F.when(F.col("_own"), F.col("word")), last).alias("lemma"))
 
 
 def stemmed(text: str, lang: str) -> str:
