@@ -189,13 +189,17 @@ def _(t):
     return out.join(length("row", 1.0), "row").join(length("col", rows / columns), "col").select("row", "col", "rows_length", "columns_length")
 
 
+def by_supplier(t):
+    return edges(t).select(F.col("a").alias("row"), F.col("b").cast("string").alias("col"), F.col("score").alias("v"))
+
+
 def factors(t, k=5):
-    return S.svd(edges(t).select(F.col("a").alias("row"), F.col("b").cast("string").alias("col"), F.col("score").alias("v")), k)
+    return S.svd(by_supplier(t), k)
 
 
 @query("mat05_singular_values")
 def _(t):
-    return t.values("place int, sigma double", [(i + 1, round(s, 6)) for i, s in enumerate(factors(t).sigma)])
+    return t.values("place int, sigma double", [(i + 1, round(s, 6)) for i, s in enumerate(S.singular_values(by_supplier(t), 5))])
 
 
 @query("mat06_similar")
