@@ -183,10 +183,11 @@ def greedy_snippets(text: Column, term: str, most: int = 2000, least: int = 5) -
 
 def placed_windows(rows: DataFrame, words: Column, most: int) -> DataFrame:
     """The columns of ``rows`` with start_at, gram: the n-grams of up to ``most`` words at each place (from 1). Each
-    place has its next words beside it, so that no array is cut or joined for an n-gram."""
+    place has its next words beside it, so that no array is cut or joined for an n-gram. Outer, as Spark has a filter
+    on an inner one's array, for which it makes the words once more, below any repartition of ``rows``."""
     names, w = rows.columns, F.col("_w")
     beside = F.arrays_zip(w.alias("w1"), *[F.slice(w, n, F.greatest(F.size(w) - n + 1, F.lit(0))).alias(f"w{n}") for n in range(2, most + 1)])
-    placed = rows.withColumn("_w", words).select(*names, beside.alias("_z")).select(*names, F.posexplode("_z").alias("_at", "_g"))
+    placed = rows.withColumn("_w", words).select(*names, beside.alias("_z")).select(*names, F.posexplode_outer("_z").alias("_at", "_g"))
     part = [F.col("_g")[f"w{n}"] for n in range(1, most + 1)]
     grams = F.array(*[F.concat(*[x for p in part[:n] for x in (F.lit(" "), p)][1:]) for n in range(most, 0, -1)])  # null where words are too few
     return placed.select(*names, (F.col("_at") + 1).cast("long").alias("start_at"), F.explode(grams).alias("gram")).where("gram is not null")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +23,22 @@ _PLAIN_RULES = [
 ]
 
 
+#: Rules without a pattern's signs, which need no search by pattern: what is replaced by what.
+_LITERAL = {r"\r": [("\r", "")], r"\n": [("\n", " ")], r"([()])": [("(", " ( "), (")", " ) ")]} | {p: [(p, to)] for p, to in _TOKEN_RULES if re.fullmatch("[a-z ']+", p)}
+
+
 def tokenize(text: Column) -> Column:
-    for pattern, becomes in _TOKEN_RULES:
-        text = F.regexp_replace(text, pattern, becomes)
-    return F.trim(text)
+    return F.trim(_by_rules(text, _TOKEN_RULES))
+
+
+def _by_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
+    for pattern, becomes in rules:
+        if pattern in _LITERAL:
+            for part, instead in _LITERAL[pattern]:
+                text = F.replace(text, F.lit(part), F.lit(instead))
+        else:
+            text = F.regexp_replace(text, pattern, becomes)
+    return text
 
 
 def untokenize(text: Column) -> Column:
@@ -41,7 +55,7 @@ FREQUENCY = {"en": ["always", "often", "sometimes", "never", "usually"], "de": [
 CORRECT = {"teh": "the", "dont": "don't", "recieve": "receive"}
 SWAP = {"i": "person", "me": "person", "you": "person"}
 #: Punctuation stripped from the ends of words: all of ASCII but ' - `.
-_ENDS = r"""^[!"#$%&()*+,./:;<=>?@\[\\\]^_{|}~]+|[!"#$%&()*+,./:;<=>?@\[\\\]^_{|}~]+$"""
+_ENDS = r"""!"#$%&()*+,./:;<=>?@[\]^_{|}~"""
 
 
 def is_stop(word: Column, lang: str) -> Column:
@@ -67,11 +81,11 @@ def split_words(text: Column) -> Column:
 
 def words(text: Column, lang: str = "en", strip_stop: bool = False) -> Column:
     """Tokens without punctuation at their ends, lower-case, corrected; stop words left out if asked for."""
-    out = split_words(F.replace(tokenize(text), F.lit("/"), F.lit(" ")))
-    out = F.filter(F.transform(out, lambda w: F.lower(F.regexp_replace(w, _ENDS, ""))), lambda w: w != "")
+    out = split_words(F.replace(_by_rules(text, _TOKEN_RULES[:-1]), F.lit("/"), F.lit(" ")))  # blanks part words, however many
     known = F.create_map(*[F.lit(x) for pair in CORRECT.items() for x in pair])
-    out = F.transform(out, lambda w: F.coalesce(F.element_at(known, w), w))
-    return F.filter(out, lambda w: ~w.isin(STOP.get(lang, []))) if strip_stop else out
+    bare = lambda w: F.lower(F.btrim(w, F.lit(_ENDS)))
+    out = F.transform(F.transform(out, bare), lambda w: F.coalesce(F.element_at(known, w), w))
+    return F.filter(out, lambda w: ~w.isin(["", *STOP.get(lang, [])] if strip_stop else [""]))
 
 
 def concepts(df: DataFrame, text: str, most_words: int, vocabulary: DataFrame | None = None) -> DataFrame:
@@ -83,6 +97,15 @@ def concepts(df: DataFrame, text: str, most_words: int, vocabulary: DataFrame |
     return rows if vocabulary is None else rows.join(vocabulary.select("concept").distinct(), "concept", "left_semi")
 
 
+def word_pairs(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, concept: the distinct words of each text that aren't stop words, and the distinct pairs of words that follow
+    each other. Outer, as Spark has a filter on an inner one's array, for which it makes the words once more, below any
+    repartition of ``docs``."""
+    w = docs.select(key, words(F.col(text), strip_stop=True).alias("w"))
+    pairs = F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))  # null at the last
+    return w.select(key, F.explode_outer(F.concat(F.array_distinct("w"), F.array_distinct(pairs))).alias("concept")).where("concept is not null")
+
+
 def identity(text: Column) -> Column:
     """Languages without a normaliser keep the text."""
     return text

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..nlp import lemma as L
 from ..nlp import normalize as N
 from ..nlp import parse as P
@@ -70,8 +69,10 @@ def _(t):
 @query("nlp04_concepts", f"with w as (select doc_id, list_filter({_WORDS}, lambda w: not list_contains({_list(N.STOP['en'])}, w)) as w from documents), c as (select distinct doc_id, array_to_string(w[i:i+n-1], ' ') as concept from w, unnest(range(1, len(w) + 1)) r(i), (values (1), (2)) k(n) where i + n - 1 <= len(w)), v as (select concept from c group by 1 having count(*) >= 3) select doc_id, concept from c semi join v using (concept)")
 def _(t):
     docs = t("documents").select("doc_id", "text")
-    grams = T.placed_windows(docs.repartition("doc_id"), N.words(F.col("text"), strip_stop=True), 2)  # dealt by text, not by word
-    every = written(grams.select("doc_id", F.col("gram").alias("concept")).distinct())  # made once for both uses
+    made = N.word_pairs(docs.repartition("doc_id"), "doc_id", "text")  # dealt by text, not by word
+    # A text's concepts are distinct; those of an id come together only where it has several texts.
+    several = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    every = written(made.distinct() if several else made)  # made once for both uses
     vocabulary = written(every.groupBy("concept").count().where("count >= 3").select("concept"))
     return every.join(hinted(vocabulary, 2_000_000), "concept", "left_semi").select("doc_id", "concept")
 
